@@ -63,4 +63,61 @@ QUERIES: dict[str, Query] = {
     "op9_url_filter": op9_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": """
+WITH RECURSIVE s AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
+w AS (SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,
+             CAST([3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS weight FROM g),
+r AS (
+  SELECT 0 AS round, CAST(-1 AS DOUBLE) AS level, (SELECT count(*) FROM w) * 0 AS capped, -1 AS held
+  UNION ALL
+  SELECT r.round + 1,
+         (SELECT (1.5 * (SELECT sum(source_size) FROM w) - coalesce(sum(cap) FILTER (WHERE r.level >= 0 AND weight * r.level > cap), 0)) / nullif(sum(weight) FILTER (WHERE r.level < 0 OR weight * r.level <= cap), 0) FROM w),
+         (SELECT count(*) FROM w WHERE r.level >= 0 AND weight * r.level > cap), CAST(r.capped AS INTEGER)
+  FROM r WHERE r.round = 0 OR (r.round <= (SELECT count(*) FROM w) AND r.level IS NOT NULL AND (r.round = 1 OR r.capped > r.held))),
+l AS (SELECT coalesce(max_by(level, round), 0) AS level FROM r WHERE level IS NOT NULL),
+t AS (SELECT source, source_size, least(cap, weight * level) AS target FROM w, l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+c AS (SELECT s.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+             sum(size) OVER (PARTITION BY s.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+             sum(size) OVER (PARTITION BY s.source, h) AS own
+      FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (epochs + CASE WHEN size = 0 THEN 0 WHEN upto - own <= rest AND (rest >= upto OR rest - (upto - own) >= own / 2.0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c""",
+    "op4_preferences": """
+WITH t AS (
+  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS chosen, turn, coalesce(role, 'unknown') AS role,
+         '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS shown
+  FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY pair_id, chosen ORDER BY turn NULLS FIRST, role, shown) AS pos FROM t),
+s AS (SELECT *, count(*) OVER x = 2 AND min(shown) OVER x = max(shown) OVER x AS same FROM p WINDOW x AS (PARTITION BY pair_id, pos)),
+u AS (SELECT *, bool_and(same) OVER (PARTITION BY pair_id, chosen ORDER BY pos ROWS UNBOUNDED PRECEDING) AS shared FROM s),
+v AS (SELECT *, CAST(sum(CASE WHEN shared THEN 0 ELSE length(shown) END) OVER (PARTITION BY pair_id, chosen ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM u),
+m AS (SELECT *, CASE WHEN role = 'assistant' AND NOT shared THEN CAST(stop - length(shown) + length(role) + 5 AS VARCHAR) || '-' || CAST(stop AS VARCHAR) END AS span FROM v)
+SELECT pair_id, count(*) FILTER (WHERE chosen AND shared) AS n_prompt_turns,
+       coalesce(string_agg(shown, '' ORDER BY pos) FILTER (WHERE chosen AND shared), '') AS prompt,
+       CASE WHEN bool_or(chosen) THEN coalesce(string_agg(shown, '' ORDER BY pos) FILTER (WHERE chosen AND NOT shared), '') END AS chosen,
+       CASE WHEN bool_or(NOT chosen) THEN coalesce(string_agg(shown, '' ORDER BY pos) FILTER (WHERE NOT chosen AND NOT shared), '') END AS rejected,
+       CASE WHEN bool_or(chosen) THEN coalesce(string_agg(span, ',' ORDER BY pos) FILTER (WHERE chosen AND span IS NOT NULL), '') END AS chosen_mask,
+       CASE WHEN bool_or(NOT chosen) THEN coalesce(string_agg(span, ',' ORDER BY pos) FILTER (WHERE NOT chosen AND span IS NOT NULL), '') END AS rejected_mask
+FROM m GROUP BY pair_id""",
+    "op9_url_filter": """
+WITH h AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (
+  SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+                 WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+                 WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+                 WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM h)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN regexp_matches('.' || host || path, '(?s)^[^/]*\\.(ads-track|adult-[^/]*|casino-[^/]*|cheap-pills|free-bets|spam-farm)\\.') THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM r""",
+}

@@ -21,7 +21,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 #: Globs over ``.host/path``: ``*`` stays within a slash-free part, ``**`` crosses slashes, ``?`` is one byte.
-GLOBS = (("*.cheap-pills.**", "block"), ("*.spam-farm.**", "block"), ("*.casino-*.**", "block"))
+GLOBS = tuple((f"*.{name}.**", "block") for name in ("ads-track", "adult-*", "casino-*", "cheap-pills", "free-bets", "spam-farm"))
 
 
 def rule_glob(rule: str) -> str:

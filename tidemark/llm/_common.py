@@ -198,3 +198,14 @@ def ordered_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame
     first = F.create_map(*firsts)[F.col("__part")] if firsts else F.lit(0)
     within = Window.partitionBy("__part").orderBy(*order)
     return ranged.withColumn(name, (first + F.row_number().over(within) - 1).cast("long")).drop("__part")
+
+
+def units(separator: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and texts of the runs of bytes that are no separators; a run ends where its text does."""
+    edges = np.diff(np.concatenate([[1], separator.astype(np.int8), [1]]))
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    cut = np.unique(offsets[1:-1])
+    cut = cut[(cut > 0) & (cut < len(separator))]
+    cut = cut[~separator[cut] & ~separator[cut - 1]]
+    starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1

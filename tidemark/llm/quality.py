@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import arrow_schema, byte_slices, prefix_hash, span_hash
+from tidemark.llm._common import arrow_schema, byte_slices, prefix_hash, span_hash, units
 
 #: Labelled documents that the model is fitted on at most: those whose ids have the smallest hashes.
 TRAIN_ROWS = 20_000
@@ -42,12 +42,6 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 ODD = np.logical_or.reduce(CLASSES[2:5])
 
 
-def _spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of True."""
-    edges = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-
-
 def _distinct(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     """Distinct values of each owner."""
     if not len(owner):
@@ -69,25 +63,13 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return (total[offsets[1:]] - total[offsets[:-1]]) / some
 
     out = [np.log1p(size), *[share(mask[data]) for mask in CLASSES]]
-    # a boundary between texts separates words and lines, as a space does
-    gaps = np.zeros(len(data) + 1, bool)
-    gaps[offsets] = True
-    space = SPACE[data]
-
-    def units(separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        starts, ends = _spans(~separator)
-        cut = np.flatnonzero(gaps[1:-1]) + 1
-        cut = cut[~separator[cut] & ~separator[cut - 1]] if len(cut) else cut
-        starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
-        return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
-
     prefix = prefix_hash(data)
-    starts, ends, owner = units(space)
+    starts, ends, owner = units(SPACE[data], offsets)
     words = np.bincount(owner, minlength=n).astype(float)
     per_word = np.maximum(words, 1)
     value = span_hash(prefix, starts, ends)
     out.append(np.bincount(owner, weights=ends - starts, minlength=n) / per_word)
-    lines_start, lines_end, lines_owner = units(data == 10)
+    lines_start, lines_end, lines_owner = units(data == 10, offsets)
     lines = np.bincount(lines_owner, minlength=n).astype(float)
     per_line = np.maximum(lines, 1)
     out.append(np.log1p(np.bincount(lines_owner, weights=lines_end - lines_start, minlength=n) / per_line))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import audio, chat, mixing, packing, quality, sharding, urls
+from tidemark.llm import audio, chat, jaccard, mixing, packing, quality, sharding, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = jaccard.similar_documents(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "n_links", "copy_of", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_quality": op3_quality,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op6_pack": op6_pack,
     "op7_reshard": op7_reshard,
     "op9_url_filter": op9_url_filter,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import audio, chat, jaccard, mixing, packing, quality, sharding, urls
+from tidemark.llm import audio, chat, embeddings, jaccard, mixing, packing, quality, sharding, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,11 @@ def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
+def op8_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = embeddings.similar_vectors(table(spark, sf_dir, "embeddings"))
+    return linked.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op5_telephony": op5_telephony,
     "op6_pack": op6_pack,
     "op7_reshard": op7_reshard,
+    "op8_embedding_links": op8_embedding_links,
     "op9_url_filter": op9_url_filter,
     "op10_jaccard_join": op10_jaccard_join,
 }

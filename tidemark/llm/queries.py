@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import audio, chat, embeddings, jaccard, mixing, packing, quality, sharding, urls
+from tidemark.llm import audio, chat, embeddings, jaccard, mixing, packing, quality, sharding, suffix, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
@@ -65,6 +69,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_repeated_substrings": op2_repeated_substrings,
     "op3_quality": op3_quality,
     "op4_preferences": op4_preferences,
     "op5_telephony": op5_telephony,

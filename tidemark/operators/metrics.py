@@ -194,7 +194,7 @@ def compact_points(curve: DataFrame, least: int = 20) -> DataFrame:
 def weighted_correlation(df: DataFrame, x: str, y: str, weight: str, eps: float = 1e-12) -> DataFrame:
     """One row: correlation (null where a variance is about zero)."""
     w, a, b = F.col(weight).cast("double"), F.col(x).cast("double"), F.col(y).cast("double")
-    m = df.agg(F.sum(w).alias("w"), (F.sum(w * a) / F.sum(w)).alias("ma"), (F.sum(w * b) / F.sum(w)).alias("mb"))
+    m = df.agg((F.sum(w * a) / F.sum(w)).alias("ma"), (F.sum(w * b) / F.sum(w)).alias("mb"))
     s = df.crossJoin(F.broadcast(m)).agg(F.sum(w * (a - F.col("ma")) * (b - F.col("mb"))).alias("ab"), F.sum(w * F.pow(a - F.col("ma"), F.lit(2.0))).alias("aa"), F.sum(w * F.pow(b - F.col("mb"), F.lit(2.0))).alias("bb"))  # means are a single row
     return s.select(F.when((F.col("aa") > eps) & (F.col("bb") > eps), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("correlation"))
 

@@ -214,7 +214,7 @@ ORACLES = {
     "interval_merge_strict": f"WITH w AS (SELECT user_id, date_trunc('hour', ts) AS s, date_trunc('hour', ts) + INTERVAL 2 HOUR AS e, event_type = 'purchase' AS event FROM events), {_ISLANDS.format('w', '>=')} SELECT user_id, min(s) AS s, max(e) AS e, count(*) AS n, bool_or(event) AS event FROM i GROUP BY user_id, k",
     "interval_overlap_join": f"WITH {COVER} SELECT a.user_id, a.event_id AS error_id, b.event_id AS purchase_id FROM cover a JOIN cover b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase' AND a.s < b.e AND a.e > b.s",
     "interval_containment_semi": f"{_MERGED} SELECT user_id, window_id FROM win WHERE EXISTS (SELECT 1 FROM merged WHERE merged.user_id = win.user_id AND ms <= ws AND me >= we)",
-    "interval_exposure_hours": f"{_MERGED} SELECT win.user_id, window_id, round(coalesce(sum(greatest(0, epoch_us(least(we, me)) - epoch_us(greatest(ws, ms)))), 0) / 3.6e9, 6) AS covered_hours FROM win LEFT JOIN merged ON merged.user_id = win.user_id AND ms < we AND me > ws GROUP BY win.user_id, window_id",
+    "interval_exposure_hours": f"{_MERGED} SELECT win.user_id, window_id, round(coalesce(sum(CASE WHEN ms IS NULL THEN 0 ELSE epoch_us(least(we, me)) - epoch_us(greatest(ws, ms)) END), 0) / 3.6e9, 6) AS covered_hours FROM win LEFT JOIN merged ON merged.user_id = win.user_id AND ms < we AND me > ws GROUP BY win.user_id, window_id",
     "consumed_anti_join": "SELECT user_id, event_id FROM events a WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'purchase' AND (b.ts > a.ts OR b.ts = a.ts AND b.event_id > a.event_id) AND b.ts <= a.ts + INTERVAL 24 HOUR)",
     "asof_latest_before": "SELECT e.user_id, e.event_id, max_by(p.event_id, (p.ts, p.event_id)) AS purchase_id FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts < e.ts WHERE e.event_type = 'error' GROUP BY e.user_id, e.event_id",
     "leakage_exclusion": "SELECT t.event_id AS target_id, count(*) AS evidence FROM events t JOIN events p ON p.user_id = t.user_id AND t.event_type = 'purchase' AND p.event_type <> 'purchase' AND p.ts < t.ts AND p.ts + INTERVAL 1 MICROSECOND > t.ts - INTERVAL 12 HOUR AND p.event_id % 5 <> t.event_id % 5 GROUP BY t.event_id",

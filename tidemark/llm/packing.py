@@ -25,6 +25,11 @@ from tidemark.llm._common import arrow_schema, gapless_rank, written
 #: Words whose ids a worker remembers at most.
 REMEMBERED = 400_000
 
+#: How byte-level vocabularies write a space at the start of a token.
+SPACE_MARK = "\u0120"
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
 Pattern = tuple[int, ...]
 
 
@@ -49,6 +54,30 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes | None] = {}
+        #: Which ids begin with a space, as only the first one of a word does.
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE_MARK)]] = True
+
+    @classmethod
+    def shared(cls, path: str) -> WordTokenizer:
+        """The one of this worker process, which keeps what earlier tasks remembered."""
+        if path not in _tokenizers:
+            _tokenizers[path] = cls(path)
+        return _tokenizers[path]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it; many words are encoded as one text and taken apart at the spaces."""
+        out: list[bytes] = []
+        groups = [words[k : k + 256] for k in range(0, len(words), 256)]
+        for group, encoding in zip(groups, self.tokenizer.encode_batch_fast(["".join([f" {w}" for w in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(encoding.ids, "<u4")
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(group) and starts[0] == 0:
+                raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            else:
+                out += self._encode([f" {w}" for w in group])
+        return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -62,7 +91,7 @@ class WordTokenizer:
         odd = {w for w in fresh if not w or w[0].isspace() or w[-1].isspace()}
         self.known.update(dict.fromkeys(odd))
         plain = list(fresh - odd)
-        self.known.update(zip(plain, self._encode([f" {w}" for w in plain]), strict=True))
+        self.known.update(zip(plain, self._encode_words(plain), strict=True))
         first = list({line[0] for line in words if line[0]})
         heads = dict(zip(first, self._encode(first), strict=True))
         heads[""] = b""
@@ -88,7 +117,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
     schema = T.StructType.fromDDL(PIECES + (", ids array<int>" if keep_ids else ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, target = WordTokenizer(path), arrow_schema(schema)
+        tokenizer, target = WordTokenizer.shared(path), arrow_schema(schema)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)

@@ -38,7 +38,8 @@ h AS (SELECT g.hour, coalesce(n, 0) AS errors, coalesce(n, 0) / CAST(coalesce(n,
 
 
 def r6(c: str | Column, name: str | None = None) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
+    # adding zero makes -0.0 and 0.0 one value
+    return (F.round(F.col(c) if isinstance(c, str) else c, 6) + 0.0).alias(name or c)
 
 
 def daily_hours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,8 +35,8 @@ PLACE_BITS = 28
 #: Bytes of text whose samples are found at once; small, for the sake of the processor's cache.
 RUN_BYTES = 1 << 17
 
-#: Distinct contexts of one sample key that a task sorts; keys with more go the way of counted window hashes.
-GROUP_LIMIT = 256
+#: Distinct contexts of one sample key that a task sorts; keys with more are divided first, into so many runs of places.
+GROUP_LIMIT, PARTS = 256, 4
 
 #: Contexts that are induced together.
 SHARD_ROWS = 8192
@@ -257,35 +257,81 @@ def repeated_strings(contexts: DataFrame, length: int, window: int) -> DataFrame
     return contexts.repartition("key").sortWithinPartitions("key", "after", "context").mapInArrow(run, schema)
 
 
-def counted_strings(contexts: DataFrame, length: int, window: int) -> DataFrame:
-    """As ``repeated_strings``, for keys with very many contexts: the hashes of their strings are counted, which no hot key hinders."""
-    schema = T.StructType.fromDDL("key long, context long, o int, h1 long, h2 long, copies long")
+def divided_contexts(contexts: DataFrame, length: int, window: int) -> DataFrame:
+    """key, context, base, sub_key, sub_context, reach, before, after, copies: contexts seen from nearer to their strings.
+
+    The ``window`` places where a context's strings start are dealt into PARTS runs.  From the
+    first place of a run on, all its strings share more bytes than those of the whole context
+    did, so that one key falls apart into many; and contexts that differ only beyond a run's
+    strings become one.  base: how far before the sample the run's first place is.
+    """
+    schema = T.StructType.fromDDL("key long, context long, base int, sub_key long, sub_context long, reach int, before binary, after binary, copies long")
+    width = -(-window // PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = arrow_schema(schema)
         for batch in batches:
-            reach = batch.column("reach").to_numpy()
+            keys, names, copies = batch.column("key").to_pylist(), batch.column("context").to_pylist(), batch.column("copies").to_pylist()
             before, after = batch.column("before").to_pylist(), batch.column("after").to_pylist()
+            rows, spans, texts, at = [], [], [], 0
             for k in range(batch.num_rows):
-                text = np.frombuffer(before[k][::-1] + after[k], np.uint8)
-                prefix, start = prefix_hash(text), np.arange(reach[k] + 1)
-                start = start[start + length <= len(text)]
-                h1, n = span_hash(prefix, start, start + length), len(start)
-                h2 = span_hash(prefix, start, start + length // 2) ^ np.uint64(0x5851F42D4C957F2D)
-                # together with the half strings' hashes, 128 bits
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column("key")[k].as_py())), pa.array(np.full(n, batch.column("context")[k].as_py())), pa.array((reach[k] - start).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(n, batch.column("copies")[k].as_py()))], schema=arrow_schema(schema))
-
-    @F.pandas_udf("binary")
-    def packed(places):  # noqa: ANN001, ANN202
-        def one(x: np.ndarray) -> bytes:
-            line = np.zeros(window, bool)
-            line[x] = True
-            return np.packbits(line).tobytes()
-
-        return places.map(one)
-
-    strings = written(contexts.mapInArrow(run, schema))
-    often = strings.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).filter("n > 1").select("h1", "h2")
-    return strings.join(often, ["h1", "h2"]).groupBy("key", "context").agg(F.collect_set("o").alias("o")).select("key", "context", packed("o").alias("marks"))
+                own = before[k][::-1] + after[k]
+                for base in range(0, len(before[k]) + 1, width):
+                    place = len(before[k]) - base
+                    reach, end = min(place, width - 1), min(place + length, len(own))
+                    if end - place > length - width:  # else the text ends before any string of the run does
+                        rows.append((keys[k], names[k], base, reach, before[k][base : base + reach], own[place:end], copies[k]))
+                        spans.append((at + place - reach, at + place, at + place + length - width + 1, at + end))
+                texts.append(own)
+                at += len(own)
+            if not rows:
+                continue
+            prefix = prefix_hash(np.frombuffer(b"".join(texts), np.uint8))
+            first, place, common, end = np.array(spans, np.int64).T
+            columns = list(zip(*rows, strict=True))
+            parent = mix64(np.array(columns[0], np.int64).view(np.uint64) + np.array(columns[2], np.uint64))
+            sub_key = mix64(span_hash(prefix, place, common) ^ parent)
+            sub_context = mix64(span_hash(prefix, first, end) + np.array(columns[3], np.uint64))
+            columns[3:3] = [sub_key.view(np.int64), sub_context.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    return contexts.mapInArrow(run, schema)
+
+
+def _same_contexts(found: DataFrame) -> DataFrame:
+    return found.groupBy("key", "context").agg(F.sum("copies").alias("copies"), F.first("reach").alias("reach"), F.first("before").alias("before"), F.first("after").alias("after"))
+
+
+def marked_contexts(contexts: DataFrame, length: int, window: int, limit: int) -> DataFrame:
+    """key, context, base, marks: bit o says that the string base + o bytes before the sample starts elsewhere.
+
+    Keys of more than ``limit`` contexts are divided until none has more; a run of one place has
+    one context a key, so that this ends after log(window) rounds.
+    """
+    marks, roots, width = None, None, window
+    while True:
+        hot = written(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("key"))
+        n_hot = hot.count()
+        found = repeated_strings(join_small(contexts, hot, ["key"], n_hot, 16, "left_anti"), length, width)
+        if roots is None:
+            found = found.withColumn("base", F.lit(0))
+        else:
+            found = roots.withColumnsRenamed({"key": "root_key", "context": "root_context", "sub_key": "key", "sub_context": "context"}).join(found, ["key", "context"])
+            found = found.select(F.col("root_key").alias("key"), F.col("root_context").alias("context"), "base", "marks")
+        found = written(found.select("key", "context", "base", "marks"))
+        marks = found if marks is None else marks.unionByName(found)
+        if not n_hot:
+            return marks
+        parts = written(divided_contexts(join_small(contexts, hot, ["key"], n_hot, 16, "left_semi"), length, width))
+        width = -(-width // PARTS)
+        nearer = parts.select("key", "context", "base", "sub_key", "sub_context")
+        if roots is not None:
+            above = roots.select(F.col("key").alias("root_key"), F.col("context").alias("root_context"), F.col("base").alias("root_base"), F.col("sub_key").alias("key"), F.col("sub_context").alias("context"))
+            nearer = above.join(nearer, ["key", "context"])
+            nearer = nearer.select(F.col("root_key").alias("key"), F.col("root_context").alias("context"), (F.col("root_base") + F.col("base")).alias("base"), "sub_key", "sub_context")
+        roots = written(nearer)
+        own = parts.select(F.col("sub_key").alias("key"), F.col("sub_context").alias("context"), "reach", "before", "after", "copies")
+        contexts = written(_same_contexts(own))
 
 
 def _contexts_of_texts(texts: DataFrame, length: int, window: int) -> DataFrame:
@@ -320,15 +366,16 @@ def _cut(texts: DataFrame, length: int, window: int, keep_text: bool) -> DataFra
             for lo, hi, data, offsets in byte_slices(batch.column("text"), RUN_BYTES):
                 raw, found, out = data.tobytes(), Samples(data, offsets, length, window), []
                 for k in range(lo, hi):
-                    marks = {(x["key"], x["context"]): x["marks"] for x in known[k] or ()}
+                    marks: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+                    for x in known[k] or ():
+                        marks.setdefault((x["key"], x["context"]), []).append((x["base"], x["marks"]))
                     text = raw[offsets[k - lo] : offsets[k - lo + 1]]
                     a, b = np.searchsorted(found.owner, [k - lo, k - lo + 1])
                     at = np.arange(a, b)
                     covered = np.zeros(len(text) + 1, np.int64)
                     for s, context in zip(at.tolist(), found.contexts(at).view(np.int64).tolist(), strict=True) if len(at) else ():
-                        bits = marks.get((int(found.key[s : s + 1].view(np.int64)[0]), context))
-                        if bits:
-                            o = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
+                        for base, bits in marks.get((int(found.key[s : s + 1].view(np.int64)[0]), context), ()):
+                            o = base + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
                             start = found.place[s] - o - offsets[k - lo]
                             covered[start] += 1
                             covered[start + length] -= 1
@@ -361,36 +408,29 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, li
     names = active.select("text_key", F.coalesce("rep_id", F.lit(-1)).alias("at"))
     touched = join_small(texts, names, ["text_key", "at"], names.count(), 64)
     with_text = written(touched.join(active, "text_key").select("text_key", "text", "copies", "keys"))
-    found = sample_contexts(with_text, length, window)
-    contexts = written(found.groupBy("key", "context").agg(F.sum("copies").alias("copies"), F.first("reach").alias("reach"), F.first("before").alias("before"), F.first("after").alias("after")))
-    hot = written(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("key"))
-    n_hot = hot.count()
-    marks = repeated_strings(join_small(contexts, hot, ["key"], n_hot, 16, "left_anti"), length, window)
-    if n_hot:
-        marks = marks.unionByName(counted_strings(join_small(contexts, hot, ["key"], n_hot, 16, "left_semi"), length, window))
-    marks = written(marks)
+    marks = marked_contexts(written(_same_contexts(sample_contexts(with_text, length, window))), length, window, limit)
     of_text = _contexts_of_texts(with_text, length, window).join(marks, ["key", "context"])
-    by_text = of_text.groupBy("text_key").agg(F.collect_set(F.struct("key", "context", "marks")).alias("found"))
+    by_text = of_text.groupBy("text_key").agg(F.collect_set(F.struct("key", "context", "base", "marks")).alias("found"))
     cut = _cut(with_text.select("text_key", "text").join(by_text, "text_key"), length, window, keep_text)
-    return rows, cut.dropDuplicates(["text_key"])
+    return rows, written(cut.dropDuplicates(["text_key"]))
 
 
-def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeat_report(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, limit: int = GROUP_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; see ``find_repeats``."""
-    rows, cut = find_repeats(docs, length)
+    rows, cut = find_repeats(docs, length, window, limit)
     joined = rows.select("doc_id", "text_key", "n_bytes", "sha256").join(cut, "text_key", "left")
     zero = F.lit(0).cast("long")
     return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated bytes cut out of the texts, all other columns as they are.
 
     A character that a cut divides goes entirely.  Texts that lose nothing, null among them, stay
     as they are; n_chars, where there is one, follows the text.
     """
-    _, cut = find_repeats(docs, length, keep_text=True)
-    cut = written(cut.select(F.col("text_key").alias("__key"), "kept"))
+    _, cut = find_repeats(docs, length, window, keep_text=True)
+    cut = cut.select(F.col("text_key").alias("__key"), F.col("kept").alias("__kept"))
 
     @F.pandas_udf("string")
     def decoded(kept):  # noqa: ANN001, ANN202
@@ -399,7 +439,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     names = cut.select("__key")
     n = names.count()
-    changed = join_small(keyed, names, ["__key"], n, 32, "left_semi").join(cut, "__key").withColumn("text", decoded("kept"))
+    changed = join_small(keyed, names, ["__key"], n, 32, "left_semi").join(cut, "__key").withColumn("text", decoded("__kept"))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     whole = join_small(keyed, names, ["__key"], n, 32, "left_anti")

@@ -16,6 +16,9 @@ from pyspark.sql.window import Window
 #: Largest table, as rows times an assumed width, that a join may broadcast.
 BROADCAST_BYTES = 8 << 20
 
+#: Rows and bytes of an Arrow batch.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+
 #: Bytes of text that one numpy step works on; arrays of eight bytes a position stay small beside it.
 CHUNK_BYTES = 1 << 20
 
@@ -136,7 +139,15 @@ def grouped_batches(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.
         yield pa.concat_tables(held)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold few rows, as a row may be a long text, unless the session says how many."""
+    for name, value in BATCH_LIMITS.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+
+
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import arrow_schema, byte_slices
+from tidemark.llm._common import arrow_schema, byte_slices, map_arrow
 
 #: Format tags of RIFF/WAVE files.
 PCM, ALAW, ULAW, IMA_ADPCM = 1, 6, 7, 17
@@ -156,7 +156,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                     media.append(wav(ULAW, one + b"\0" * (-len(one) % 64 or (0 if one else 64))))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], schema=target)
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, schema)
 
 
 def telephony_features(stored: DataFrame, rate: int = 16000) -> DataFrame:
@@ -192,4 +192,4 @@ def telephony_features(stored: DataFrame, rate: int = 16000) -> DataFrame:
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), counts.slice(lo, hi - lo), *[pa.array(c, f.type) for c, f in zip(columns, list(target)[2:], strict=True)]], schema=target)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return map_arrow(stored.select("doc_id", "n_bytes", "media"), run, schema)

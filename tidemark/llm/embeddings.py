@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import arrow_schema, grouped_batches, mix64, written
+from tidemark.llm._common import arrow_schema, grouped_batches, map_arrow, mix64, written
 from tidemark.llm.blocks import BLOCK, block_tasks, link_groups, new_pairs
 from tidemark.llm.graph import components
 
@@ -119,7 +119,7 @@ def vector_signatures(vectors: DataFrame, bands: int, width: int) -> DataFrame:
                     keys[i], codes[i] = hashlib.md5(found[i].tobytes()).digest(), code
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), *[pa.array(x, f.type) for x, f in zip((keys, found, codes), list(target)[1:], strict=True)]], schema=target)
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, schema)
+    return map_arrow(vectors.select("vec_id", "embedding"), run, schema)
 
 
 def _verify(members: DataFrame, threshold: float) -> DataFrame:
@@ -153,7 +153,7 @@ def _verify(members: DataFrame, threshold: float) -> DataFrame:
             at = np.flatnonzero(linked.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.binary()), pa.array([names[roots[i]] for i in at], pa.binary()), pa.array(links[at], pa.int64())], schema=target)
 
-    return members.repartition("task").sortWithinPartitions("task").mapInArrow(run, schema)
+    return map_arrow(members.repartition("task").sortWithinPartitions("task"), run, schema)
 
 
 def similar_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999, block: int = BLOCK) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import arrow_schema, byte_slices, grouped_batches, mix64, prefix_hash, span_hash, units, written
+from tidemark.llm._common import arrow_schema, byte_slices, grouped_batches, map_arrow, mix64, prefix_hash, span_hash, units, written
 from tidemark.llm.blocks import BLOCK, block_tasks, link_groups, new_pairs
 from tidemark.llm.graph import components
 
@@ -107,7 +107,7 @@ def text_signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 digests = [hashlib.md5(raw[offsets[k] : offsets[k + 1]]).digest() for k in range(n)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), pa.array(digests, pa.binary()), lists], schema=target)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), run, schema)
 
 
 def _intersections(sets: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
@@ -184,7 +184,7 @@ def _verify(members: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(keys_out, pa.binary()), pa.array(roots_out, pa.binary()), pa.array(links_out, pa.int64())], schema=target)
 
     spread = members.repartition("task").sortWithinPartitions("task")
-    return spread.mapInArrow(run, schema)
+    return map_arrow(spread, run, schema)
 
 
 def similar_documents(docs: DataFrame, recall: float = 0.999, block: int = BLOCK) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import arrow_schema, gapless_rank, written
+from tidemark.llm._common import arrow_schema, gapless_rank, map_arrow, written
 
 #: Words whose ids a worker remembers at most.
 REMEMBERED = 400_000
@@ -134,7 +134,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, schema)
 
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import arrow_schema, byte_slices, prefix_hash, span_hash, units
+from tidemark.llm._common import arrow_schema, bounded_batches, byte_slices, map_arrow, prefix_hash, span_hash, units
 
 #: Labelled documents that the model is fitted on at most: those whose ids have the smallest hashes.
 TRAIN_ROWS = 20_000
@@ -215,7 +215,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
                 arrays = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.array(rows.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), arrays.cast(target.field(1).type)], schema=target)
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), run, schema)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> AdditiveModel:
@@ -248,7 +248,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3)
                 score = shared.value.score(text_features(data, offsets))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(score)], schema=target)
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    scored = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), run, schema)
     return scored.select("doc_id", (id_remainder() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -262,5 +262,6 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) ->
         out = [shared.value.score(text_features(data, offsets)) for _, _, data, offsets in byte_slices(pa.array(texts, pa.string()))]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.filter(score(F.coalesce("text", F.lit(""))) >= threshold)

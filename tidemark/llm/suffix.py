@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import arrow_schema, byte_slices, grouped_batches, join_small, mix64, prefix_hash, span_hash, written
+from tidemark.llm._common import arrow_schema, byte_slices, grouped_batches, join_small, map_arrow, mix64, prefix_hash, span_hash, written
 
 LENGTH, WINDOW, KMER = 400, 256, 16
 
@@ -128,7 +128,7 @@ def text_samples(docs: DataFrame, length: int, window: int) -> DataFrame:
                 texts = [raw[offsets[k] : offsets[k + 1]] for k in range(n)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), pa.array([hashlib.md5(x).digest() for x in texts], pa.binary()), pa.array(np.diff(offsets)), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), lists], schema=target)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), run, schema)
 
 
 def sample_contexts(texts: DataFrame, length: int, window: int) -> DataFrame:
@@ -157,7 +157,7 @@ def sample_contexts(texts: DataFrame, length: int, window: int) -> DataFrame:
                 after = [raw[p:e] for p, e in zip(place.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(context[first].view(np.int64)), pa.array(reach.astype(np.int32)), pa.array(before, pa.binary()), pa.array(after, pa.binary()), pa.array(number)], schema=target)
 
-    return texts.mapInArrow(run, schema)
+    return map_arrow(texts, run, schema)
 
 
 def _matrix(rows: list[bytes], width: int) -> np.ndarray:
@@ -254,7 +254,7 @@ def repeated_strings(contexts: DataFrame, length: int, window: int) -> DataFrame
         if held:
             yield shard(held)
 
-    return contexts.repartition("key").sortWithinPartitions("key", "after", "context").mapInArrow(run, schema)
+    return map_arrow(contexts.repartition("key").sortWithinPartitions("key", "after", "context"), run, schema)
 
 
 def divided_contexts(contexts: DataFrame, length: int, window: int) -> DataFrame:
@@ -295,7 +295,7 @@ def divided_contexts(contexts: DataFrame, length: int, window: int) -> DataFrame
             columns[3:3] = [sub_key.view(np.int64), sub_context.view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
-    return contexts.mapInArrow(run, schema)
+    return map_arrow(contexts, run, schema)
 
 
 def _same_contexts(found: DataFrame) -> DataFrame:
@@ -353,7 +353,7 @@ def _contexts_of_texts(texts: DataFrame, length: int, window: int) -> DataFrame:
                 names = batch.column("text_key").slice(lo, hi - lo).take(pa.array(owner[first]))
                 yield pa.RecordBatch.from_arrays([names, pa.array(key[first].view(np.int64)), pa.array(context[first].view(np.int64))], schema=arrow_schema(schema))
 
-    return texts.mapInArrow(run, schema)
+    return map_arrow(texts, run, schema)
 
 
 def _cut(texts: DataFrame, length: int, window: int, keep_text: bool) -> DataFrame:
@@ -388,7 +388,7 @@ def _cut(texts: DataFrame, length: int, window: int, keep_text: bool) -> DataFra
                 target = arrow_schema(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
 
-    return texts.mapInArrow(run, schema)
+    return map_arrow(texts, run, schema)
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, limit: int = GROUP_LIMIT, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,49 +55,70 @@ def gap_sessions(df: DataFrame, keys: Sequence[str], time: str, tie: str, hours:
     return df.withColumn("__new", new).withColumn(name, F.sum("__new").over(w)).drop("__new")
 
 
-def _greedy(df: DataFrame, keys: Sequence[str], time: str, tie: str, hours: float, decide) -> DataFrame:  # noqa: ANN001
-    """Run ``decide`` (sorted micros -> new column) on pieces between which a gap makes every choice start anew."""
-    pieces = gap_sessions(df, keys, time, tie, hours, "__piece")
-    schema = T.StructType([*df.schema.fields, T.StructField("chosen", T.LongType())])
+def _fold(df: DataFrame, keys: Sequence[str], time: str, tie: str, starts: Column, name: str, kind: T.DataType, stepper) -> DataFrame:  # noqa: ANN001
+    """A column of what ``stepper()`` says of each row in order, given its time (micros), whether a piece starts there, and its tie.
+
+    Rows stay where the window that found the pieces has put and sorted them; a task folds its
+    rows in one pass and holds one batch of them, however long a key's history is.
+    """
+    marked = df.withColumn("__starts", starts).sortWithinPartitions(*keys, time, tie)
+    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = stepper()
+        for part in parts:
+            times = part[time].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            part[name] = [step(*x) for x in zip(times, part["__starts"].tolist(), part[tie].tolist(), strict=True)]
+            yield part[[f.name for f in schema.fields]]
+
+    return marked.mapInPandas(run, schema)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([time, tie], kind="stable")
-        part["chosen"] = decide(part[time].to_numpy().astype("datetime64[us]").astype("int64"))
-        return part[[f.name for f in schema.fields]]
 
-    return pieces.groupBy(*keys, "__piece").applyInPandas(run, schema)
+def _after_gap(keys: Sequence[str], time: str, tie: str, hours: float) -> Column:
+    """Is the row the first of its key, or more than ``hours`` after the one before?"""
+    gap = micros(F.col(time)) - F.lag(micros(F.col(time))).over(Window.partitionBy(*keys).orderBy(time, tie))
+    return gap.isNull() | (gap > int(hours * HOUR_US))
 
 
 def non_overlapping(df: DataFrame, keys: Sequence[str], start: str, tie: str, hours: float) -> DataFrame:
     """Greedy choice of windows of one width: a row is taken when it starts at or after the last taken one's end (chosen 1, else 0)."""
     width = int(hours * HOUR_US)
 
-    def decide(times: Iterable[int]) -> list[int]:
-        out, free = [], None
-        for t in times:
-            take = free is None or t >= free
+    def stepper():  # noqa: ANN202
+        free = 0
+
+        def step(t: int, starts: bool, _: object) -> int:
+            nonlocal free
+            take = starts or t >= free
             free = t + width if take else free
-            out.append(int(take))
-        return out
+            return int(take)
 
-    return _greedy(df, keys, start, tie, hours, decide)
+        return step
 
+    return _fold(df, keys, start, tie, _after_gap(keys, start, tie, hours), "chosen", T.LongType(), stepper)
 
-def gap_span_clusters(df: DataFrame, keys: Sequence[str], time: str, tie: str, gap_hours: float = 2.0, span_hours: float = 6.0) -> DataFrame:
-    """Clusters of rows at most ``gap_hours`` after the one before and ``span_hours`` after the first: cluster_start."""
-    gap, span = int(gap_hours * HOUR_US), int(span_hours * HOUR_US)
 
-    def decide(times: Iterable[int]) -> list[int]:
-        out, first, last = [], None, None
-        for t in times:
-            if first is None or t - last > gap or t - first > span:
-                first = t
-            last = t
-            out.append(first)
-        return out
+def _first_within(span: int, tied: bool):  # noqa: ANN202
+    """Steps that give the first row's tie, or its time, of pieces that last ``span`` at most."""
+
+    def stepper():  # noqa: ANN202
+        first, name = 0, None
 
-    out = _greedy(df, keys, time, tie, gap_hours, decide)
-    return out.withColumn("cluster_start", F.timestamp_micros("chosen").cast("timestamp_ntz")).drop("chosen")
+        def step(t: int, starts: bool, own: object) -> object:
+            nonlocal first, name
+            if starts or t - first > span:
+                first, name = t, own
+            return name if tied else first
+
+        return step
+
+    return stepper
+
+
+def gap_span_clusters(df: DataFrame, keys: Sequence[str], time: str, tie: str, gap_hours: float = 2.0, span_hours: float = 6.0) -> DataFrame:
+    """Clusters of rows at most ``gap_hours`` after the one before and ``span_hours`` after the first: cluster_start."""
+    out = _fold(df, keys, time, tie, _after_gap(keys, time, tie, gap_hours), "__first", T.LongType(), _first_within(int(span_hours * HOUR_US), tied=False))
+    return out.withColumn("cluster_start", F.timestamp_micros("__first").cast("timestamp_ntz")).drop("__first")
 
 
 def copy_waves(df: DataFrame, content: str, time: str, tie: str, restart: Column, hours: float = 72.0) -> DataFrame:
@@ -105,23 +126,8 @@ def copy_waves(df: DataFrame, content: str, time: str, tie: str, restart: Column
 
     A wave ends ``hours`` after its first row; a row for which ``restart`` holds begins a new one.
     """
-    width = int(hours * HOUR_US)
-    pieces = gap_sessions(df.withColumn("__restart", restart), [content], time, tie, hours, "__piece")
-    w = Window.partitionBy(content, "__piece").orderBy(time, tie)
-    pieces = pieces.withColumn("__part", F.sum(F.col("__restart").cast("int")).over(w))
-    schema = T.StructType([*df.schema.fields, T.StructField("wave_root", df.schema[tie].dataType)])
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([time, tie], kind="stable")
-        roots, first, root = [], None, None
-        for t, own in zip(part[time].to_numpy().astype("datetime64[us]").astype("int64"), part[tie], strict=True):
-            if first is None or t - first > width:
-                first, root = t, own
-            roots.append(root)
-        part["wave_root"] = roots
-        return part[[f.name for f in schema.fields]]
-
-    return pieces.groupBy(content, "__piece", "__part").applyInPandas(run, schema)
+    starts = F.coalesce(restart, F.lit(False)) | _after_gap([content], time, tie, hours)
+    return _fold(df, [content], time, tie, starts, "wave_root", df.schema[tie].dataType, _first_within(int(hours * HOUR_US), tied=True))
 
 
 def lifecycle(df: DataFrame, keys: Sequence[str], time: str, tie: str, phase: str, resolved: str = "resolved") -> DataFrame:

@@ -10,8 +10,8 @@ from tidemark.functions import time as tm
 from tidemark.operators import graph, sequences
 from tidemark.session import table
 
-#: Rules for the documents table, whose words are invented.
-DOC_RULES = ((r"license|copyright|all rights reserved", "legal"), (r"\$\$\$|\*\*\*|###", "junk"), (r"[a-z0-9._-]+@[a-z0-9-]+\.[a-z]+", "contact"), (r"\bund\b", "german"), (r"\bles\b", "french"), (r"\blos\b", "spanish"), (r"\bthe\b", "english"))
+#: Rules for the documents table, whose words are invented; engines differ in whether a word boundary knows letters beyond ASCII.
+DOC_RULES = ((r"license|copyright|all rights reserved", "legal"), (r"\$\$\$|\*\*\*|###", "junk"), (r"[a-z0-9._-]+@[a-z0-9-]+\.[a-z]+", "contact"), (r"(?:^|[^\p{L}\p{N}_])und(?:$|[^\p{L}\p{N}_])", "german"), (r"(?:^|[^\p{L}\p{N}_])les(?:$|[^\p{L}\p{N}_])", "french"), (r"(?:^|[^\p{L}\p{N}_])los(?:$|[^\p{L}\p{N}_])", "spanish"), (r"(?:^|[^\p{L}\p{N}_])the(?:$|[^\p{L}\p{N}_])", "english"))
 
 ROUTES = ((r"^/(?:de|fr|es)/", "localised"), (r"^/en/\d+\.html$", "page"), (r"^/en/\d+/$", "folder"), (r"^/en/", "english"), (r"^/?$", "root"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 from tests.llm import test_jaccard, test_mixing, test_packing
-from tests.llm.tables import SMALL
+from tests.llm.tables import SMALL, by_id, documents
 from tidemark.llm import quality
 
 
@@ -52,3 +55,40 @@ def test_stages_keep_the_columns(spark):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).columns == docs.columns
+
+
+def test_passages_of_more_than_50_words_go(spark):
+    """51 words go although they are shorter than 400 bytes; 50 words stay, and so does text that stands once."""
+    rng = random.Random(5)
+    word = iter(["".join(p) for p in rng.sample(list(itertools.product("abcdefghij", repeat=4)), 2000)])
+    long, short, tiny = (" ".join(next(word)[:n] + tail for _ in range(k)) for n, k, tail in ((4, 51, "é"), (4, 50, ""), (4, 60, "")))
+    own = [" ".join(next(word) for _ in range(30)) for _ in range(8)]
+    texts = [f"{own[0]} {long} {own[1]}", f"{own[2]}\n{long.replace(' ', chr(10))}\t{own[3]}", f"{own[4]} {short} {own[5]}", f"{own[6]} {short} {own[7]}", tiny, None, ""]
+    assert len(long.encode()) < 400
+    got = by_id(corpus_pipeline.without_repeats(spark, documents(spark, texts), SMALL))
+    assert [got[d]["text"] for d in range(2, 7)] == texts[2:]
+    assert got[0]["text"] == f"{own[0]}  {own[1]}" and got[1]["text"] == f"{own[2]}\n\t{own[3]}"
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values() if r["text"])
+
+
+def cut_both(texts: dict[int, str | None], length: int = 400, words: int = 51) -> dict[int, str | None]:
+    raw = {k: (t or "").encode() for k, t in texts.items()}
+    spans = {d: [m.span() for m in re.finditer(rb"\S+", t)] for d, t in raw.items()}
+    own = {d: [raw[d][a:b] for a, b in s] for d, s in spans.items()}
+    seen = Counter(t[k : k + length] for t in raw.values() for k in range(len(t) - length + 1))
+    passages = Counter(tuple(w[k : k + words]) for w in own.values() for k in range(len(w) - words + 1))
+    out = {}
+    for d, t in raw.items():
+        gone = bytearray(len(t))
+        at = [(k, k + length) for k in range(len(t) - length + 1) if seen[t[k : k + length]] > 1]
+        at += [(spans[d][k][0], spans[d][k + words - 1][1]) for k in range(len(own[d]) - words + 1) if passages[tuple(own[d][k : k + words])] > 1]
+        for a, b in at:
+            gone[a:b] = b"\1" * (b - a)
+        out[d] = bytes(c for c, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore") if any(gone) else texts[d]
+    return out
+
+
+def test_equals_brute_force_with_passages(spark, monkeypatch):
+    """As above, but passages of 51 words go as well."""
+    monkeypatch.setitem(globals(), "cut", cut_both)
+    test_equals_brute_force(spark)

@@ -20,12 +20,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import arrow_schema, byte_slices, grouped_batches, join_small, map_arrow, mix64, prefix_hash, span_hash, written
+from tidemark.llm._common import arrow_schema, byte_slices, grouped_batches, join_small, map_arrow, mix64, prefix_hash, span_hash, units, written
+from tidemark.llm.jaccard import SPACE
 
 LENGTH, WINDOW, KMER = 400, 256, 16
 
@@ -41,6 +43,9 @@ GROUP_LIMIT, PARTS = 256, 4
 #: Contexts that are induced together.
 SHARD_ROWS = 8192
 
+#: Characters that stand for a word where passages are measured in words; six bits of its hash each.
+WORD_CODE = 8
+
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each window of ``width`` values."""
@@ -356,9 +361,9 @@ def _contexts_of_texts(texts: DataFrame, length: int, window: int) -> DataFrame:
     return map_arrow(texts, run, schema)
 
 
-def _cut(texts: DataFrame, length: int, window: int, keep_text: bool) -> DataFrame:
-    """text_key, n_removed, n_spans, kept_sha256 (and spans, kept) of texts with the marks of their contexts."""
-    schema = T.StructType.fromDDL("text_key binary, n_removed long, n_spans long, kept_sha256 string" + (", spans array<struct<start: long, end: long>>, kept binary" if keep_text else ""))
+def _cut(texts: DataFrame, length: int, window: int, keep_spans: bool) -> DataFrame:
+    """text_key, n_removed, n_spans, kept_sha256 (and spans) of texts with the marks of their contexts."""
+    schema = T.StructType.fromDDL("text_key binary, n_removed long, n_spans long, kept_sha256 string" + (", spans array<long>" if keep_spans else ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,19 +389,20 @@ def _cut(texts: DataFrame, length: int, window: int, keep_text: bool) -> DataFra
                     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
                     kept = np.frombuffer(text, np.uint8)[gone[1:-1] == 0].tobytes()
                     row = (batch.column("text_key")[k].as_py(), int((ends - starts).sum()), len(starts), hashlib.sha256(kept).hexdigest())
-                    out.append((*row, [{"start": int(x), "end": int(y)} for x, y in zip(starts, ends, strict=True)], kept) if keep_text else row)
+                    out.append((*row, np.column_stack([starts, ends]).ravel().tolist()) if keep_spans else row)
                 target = arrow_schema(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
 
     return map_arrow(texts, run, schema)
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, limit: int = GROUP_LIMIT, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, limit: int = GROUP_LIMIT, keep_spans: bool = False) -> tuple[DataFrame, DataFrame]:
     """Two tables: every row's doc_id, text_key, n_bytes, sha256; and what is cut from the texts that lose bytes.
 
     Texts are UTF-8 bytes, null is empty, and matches end where a text does.  Every row counts: a
     text that stands in two rows repeats all its strings.  Strings are judged on the input, not on
-    what is left.  ``length`` has to exceed ``window`` by ``KMER`` or more.
+    what is left.  ``length`` has to exceed ``window`` by ``KMER`` or more.  spans: where each cut
+    starts and ends, one after the other.
     """
     rows = written(text_samples(docs, length, window))
     often = rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
@@ -411,7 +417,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, li
     marks = marked_contexts(written(_same_contexts(sample_contexts(with_text, length, window))), length, window, limit)
     of_text = _contexts_of_texts(with_text, length, window).join(marks, ["key", "context"])
     by_text = of_text.groupBy("text_key").agg(F.collect_set(F.struct("key", "context", "base", "marks")).alias("found"))
-    cut = _cut(with_text.select("text_key", "text").join(by_text, "text_key"), length, window, keep_text)
+    cut = _cut(with_text.select("text_key", "text").join(by_text, "text_key"), length, window, keep_spans)
     return rows, written(cut.dropDuplicates(["text_key"]))
 
 
@@ -423,23 +429,76 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, l
     return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+def word_codes(docs: DataFrame) -> DataFrame:
+    """doc_id, source_key (of the text) and text: WORD_CODE characters for each word, equal ones for equal words.
+
+    A passage of n words becomes n * WORD_CODE bytes, however long its words are.  Words are runs
+    of anything but ASCII white space.
+    """
+    schema = T.StructType.fromDDL("doc_id long, source_key binary, text string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in byte_slices(batch.column("text"), RUN_BYTES):
+                starts, ends, owner = units(SPACE[data], offsets)
+                value = span_hash(prefix_hash(data), starts, ends)
+                codes = ((value[:, None] >> (np.uint64(6) * np.arange(WORD_CODE, dtype=np.uint64))) & np.uint64(63)).astype(np.uint8) + np.uint8(48)
+                at = (np.searchsorted(owner, np.arange(hi - lo + 1)) * WORD_CODE).astype(np.int32)
+                texts = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(at.tobytes()), pa.py_buffer(codes.tobytes()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("source_key").slice(lo, hi - lo), texts], schema=arrow_schema(schema))
+
+    text = F.coalesce("text", F.lit(""))
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("source_key"), text.alias("text")), run, schema)
+
+
+def repeated_words(docs: DataFrame, words: int, window: int = WINDOW) -> DataFrame:
+    """source_key, words: the first and the end word of each run of passages of ``words`` words that stand elsewhere as well.
+
+    Passages are equal word by word; the white space between the words does not matter.
+    """
+    coded, length = written(word_codes(docs)), words * WORD_CODE
+    _, cut = find_repeats(coded, length, min(window, length - KMER), keep_spans=True)
+    texts = coded.select("source_key", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key")).distinct()
+    # the spans of equal words start and end with words
+    whole = F.transform("spans", lambda x, i: F.when(i % 2 == 0, F.ceil(x / WORD_CODE)).otherwise(F.floor(x / WORD_CODE)))
+    return texts.join(cut.select("text_key", whole.alias("words")), "text_key").select("source_key", "words")
+
+
+def _without(text: str, spans: np.ndarray | None, words: np.ndarray | None) -> str:
+    """The text without some spans of bytes and of words; a character that a cut divides goes entirely."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    keep = np.ones(len(data), bool)
+    for lo, hi in np.reshape(spans, (-1, 2)) if spans is not None else ():
+        keep[lo:hi] = False
+    if words is not None:
+        starts, ends, _ = units(SPACE[data], np.array([0, len(data)]))
+        for lo, hi in np.reshape(words, (-1, 2)):
+            keep[starts[lo] : ends[hi - 1]] = False
+    return data[keep].tobytes().decode("utf-8", "ignore")
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, words: int | None = None) -> DataFrame:
     """``docs`` with the repeated bytes cut out of the texts, all other columns as they are.
 
-    A character that a cut divides goes entirely.  Texts that lose nothing, null among them, stay
-    as they are; n_chars, where there is one, follows the text.
+    With ``words``, passages of so many words that stand elsewhere as well go too, also where they
+    are shorter than ``length``.  A character that a cut divides goes entirely.  Texts that lose
+    nothing, null among them, stay as they are; n_chars, where there is one, follows the text.
     """
-    _, cut = find_repeats(docs, length, window, keep_text=True)
-    cut = cut.select(F.col("text_key").alias("__key"), F.col("kept").alias("__kept"))
+    _, cut = find_repeats(docs, length, window, keep_spans=True)
+    cut = cut.select(F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
+    if words is None:
+        cut = cut.withColumn("__words", F.lit(None).cast("array<long>"))
+    else:
+        cut = written(cut.join(repeated_words(docs, words, window).select(F.col("source_key").alias("__key"), F.col("words").alias("__words")), "__key", "full"))
 
     @F.pandas_udf("string")
-    def decoded(kept):  # noqa: ANN001, ANN202
-        return kept.map(lambda x: bytes(x).decode("utf-8", "ignore"))
+    def without(texts, spans, words):  # noqa: ANN001, ANN202
+        return pd.Series([_without(*x) for x in zip(texts, spans, words, strict=True)], dtype=object)
 
     keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     names = cut.select("__key")
     n = names.count()
-    changed = join_small(keyed, names, ["__key"], n, 32, "left_semi").join(cut, "__key").withColumn("text", decoded("__kept"))
+    changed = join_small(keyed, names, ["__key"], n, 32, "left_semi").join(cut, "__key").withColumn("text", without("text", "__spans", "__words"))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     whole = join_small(keyed, names, ["__key"], n, 32, "left_anti")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import episodes, hazard, intervals, sequences
+from tidemark.plans import text_queries
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -75,3 +76,10 @@ def test_certain_hazard_is_certain(spark):
     df = spark.createDataFrame([(1, k, h) for k, h in enumerate([0.1, 1.0, 0.3])], "k int, i int, hazard double")
     got = [r["cumulative"] for r in hazard.log_cumulative(df, ["k"], "i", "hazard").orderBy("i").collect()]
     assert math.isclose(got[0], 0.1) and got[1:] == [1.0, 1.0]
+
+
+def test_every_document_has_all_its_topic_tokens(spark, tmp_path):
+    rows = [(1, "en", "alpha bravo charlie delta echoes foxtrot golfing"), (2, "de", "haus und garten"), (3, None, "tiempo")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n"], r["tokens"]) for r in text_queries.QUERIES["topic_tokens_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: (7, "alpha bravo charlie delta echo foxtrot golf"), 2: (2, "haus garten"), 3: (1, "tiempo")}

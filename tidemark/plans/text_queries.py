@@ -28,6 +28,12 @@ def topic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(tokens).alias("n"), F.array_join(F.slice(tokens, 1, 5), " ").alias("first"))
 
 
+def topic_tokens_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All topic tokens of every document, whatever its language."""
+    tokens = text.topic_tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).alias("n"), F.array_join(tokens, " ").alias("tokens"))
+
+
 def array_intersect_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Do neighbouring documents share two topic words?"""
     docs = table(spark, sf_dir, "documents").select("doc_id", text.topic_tokens(F.col("text")).alias("a"))
@@ -86,7 +92,7 @@ def snowflake_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", text.status_id(url).alias("status_id"), tm.snowflake_time(text.status_id(url)).alias("at"))
 
 
-QUERIES = {f.__name__: f for f in (classify_rules, topic_tokens, array_intersect_topics, sentence_counts, html_to_text, url_route_class, relation_closure_3hop, relation_contexts, copy_wave_roots, props_json_health, record_identity, snowflake_times)}
+QUERIES = {f.__name__: f for f in (classify_rules, topic_tokens, topic_tokens_all, array_intersect_topics, sentence_counts, html_to_text, url_route_class, relation_closure_3hop, relation_contexts, copy_wave_roots, props_json_health, record_identity, snowflake_times)}
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 _STEM = "CASE " + " ".join(f"WHEN suffix(x, '{s}') AND length(x) - {len(s)} >= 4 THEN left(x, length(x) - {len(s)})" for s in text.SUFFIXES) + " ELSE x END"
@@ -96,6 +102,7 @@ _CASE = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{label}'
 ORACLES = {
     "classify_rules": f"SELECT doc_id, {_CASE} AS class, coalesce(nullif(concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{label}' END" for p, label in DOC_RULES[:3]) + "), ''), 'none') AS tags FROM documents",
     "topic_tokens": f"WITH w AS (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE lang = 'en'), d AS (SELECT doc_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM w) SELECT doc_id, CAST(len(t) AS INTEGER) AS n, array_to_string(t[1:5], ' ') AS first FROM d",
+    "topic_tokens_all": f"WITH w AS (SELECT doc_id, {_TOKENS} AS t FROM documents), d AS (SELECT doc_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM w) SELECT doc_id, CAST(len(t) AS INTEGER) AS n, array_to_string(t, ' ') AS tokens FROM d",
     "array_intersect_topics": f"WITH w AS (SELECT doc_id, list_distinct({_TOKENS}) AS t FROM documents) SELECT a.doc_id, len(list_intersect(a.t, b.t)) >= 2 AS shared FROM w a JOIN w b ON b.doc_id = a.doc_id + 1",
     "url_route_class": "WITH p AS (SELECT page_id, coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '') AS path FROM pages) SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(path, '(?i){p}') THEN '{label}'" for p, label in ROUTES) + " ELSE 'other' END AS route FROM p",
     "relation_closure_3hop": "WITH t AS (SELECT conv_id, turn FROM conversations) SELECT DISTINCT a.conv_id * 1000 + a.turn AS source, a.conv_id * 1000 + a.turn - h AS target, CAST(h AS INTEGER) AS hops FROM t a, (VALUES (1), (2), (3)) v(h) WHERE a.turn - h >= 0",

@@ -8,6 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.operators import episodes, hazard, intervals, sequences
 from tidemark.plans import text_queries
 
@@ -83,3 +84,9 @@ def test_every_document_has_all_its_topic_tokens(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n"], r["tokens"]) for r in text_queries.QUERIES["topic_tokens_all"](spark, str(tmp_path)).collect()}
     assert got == {1: (7, "alpha bravo charlie delta echo foxtrot golf"), 2: (2, "haus garten"), 3: (1, "tiempo")}
+
+
+def test_one_distinctive_token_is_a_shared_topic(spark):
+    rows = [("login broken", "login slowly"), ("crashed here", "crashing yonder"), ("broken again", "broken pipe"), ("red blue tools", "tools blue green"), ("login", "upload")]
+    df = spark.createDataFrame(rows, "a string, b string").select(text.shares_topic(text.topic_tokens(F.col("a")), text.topic_tokens(F.col("b"))).alias("x"))
+    assert [r["x"] for r in df.collect()] == [True, True, False, True, False]

@@ -35,7 +35,7 @@ def topic_tokens_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def array_intersect_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Do neighbouring documents share two topic words?"""
+    """Do neighbouring documents share two topic words, or a distinctive one?"""
     docs = table(spark, sf_dir, "documents").select("doc_id", text.topic_tokens(F.col("text")).alias("a"))
     next_ = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
     return docs.join(next_, "doc_id").select("doc_id", text.shares_topic(F.col("a"), F.col("b")).alias("shared"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import episodes, hazard, intervals, sequences
-from tidemark.plans import text_queries
+from tidemark.plans import metric_queries, text_queries
+from tidemark.streaming import subscriptions
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -90,3 +91,32 @@ def test_one_distinctive_token_is_a_shared_topic(spark):
     rows = [("login broken", "login slowly"), ("crashed here", "crashing yonder"), ("broken again", "broken pipe"), ("red blue tools", "tools blue green"), ("login", "upload")]
     df = spark.createDataFrame(rows, "a string, b string").select(text.shares_topic(text.topic_tokens(F.col("a")), text.topic_tokens(F.col("b"))).alias("x"))
     assert [r["x"] for r in df.collect()] == [True, True, False, True, False]
+
+
+@pytest.mark.parametrize("batch", ["2", "10000"])
+def test_replay_folds_in_batches(spark, batch):
+    """Equal to the plain fold of each subscriber, a null one too, without a subscriber's rows in one frame."""
+    rows = [(s, f"p{(i * 7) % 11}", i, i, i + 5, i, (i * 37 % 100) / 100, str(i // 6), -1, i, 0.5) for s in (1, 2, None) for i in range(20 + (s or 0))]
+    names = ["subscriber", *subscriptions.COLUMNS, "now", "threshold"]
+    df = spark.createDataFrame(rows[::-1], "subscriber long, prediction string, issued long, emitted long, expires long, cutoff long, probability double, outcome string, outcome_known long, now long, threshold double")
+    want, watches = [], {}
+    for r in (dict(zip(names, r, strict=True)) for r in rows):
+        watch, reason, said = subscriptions.transition(watches.get(r["subscriber"]), subscriptions.Input(*[r[c] for c in subscriptions.COLUMNS]), r["now"], r["threshold"])
+        watches[r["subscriber"]] = watch
+        want.append((r["subscriber"], r["prediction"], r["emitted"], reason, said, bool(watch and watch.active)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = subscriptions.replay(df)
+        got = [tuple(r) for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any(r[4] for r in got)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
+def test_carry_of_purchases_sees_one_row_an_hour(spark, monkeypatch):
+    sides, join = [], intervals.asof_join
+    monkeypatch.setattr(intervals, "asof_join", lambda left, right, *a, **b: sides.append(right) or join(left, right, *a, **b))
+    folder = "/root/testdata/sf0.01"
+    hours = metric_queries.refractory_multiplier(spark, folder).count()
+    assert 0 < sides[0].count() <= hours and sides[0].select(F.date_trunc("hour", "at")).distinct().count() == sides[0].count()

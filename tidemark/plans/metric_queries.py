@@ -84,8 +84,9 @@ def first_event_mass_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def refractory_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = daily_hours(spark, sf_dir).withColumn("all", F.lit(1))
-    bought = table(spark, sf_dir, "events").filter("event_type = 'purchase' and value >= 200").select(F.lit(1).alias("all"), F.col("ts").alias("at"))
-    out = intervals.asof_join(h.withColumn("day", F.col("day")), bought.withColumn("all", F.lit(1)), ["all"], "hour", "at", ["at"])
+    # of each hour only the last purchase can be the last one before a full hour, so that the carry sees one row an hour
+    bought = table(spark, sf_dir, "events").filter("event_type = 'purchase' and value >= 200").groupBy(tm.floor_hour(F.col("ts"))).agg(F.max("ts").alias("at")).select(F.lit(1).alias("all"), "at")
+    out = intervals.asof_join(h, bought, ["all"], "hour", "at", ["at"])
     factor = hazard.refractory(tm.hours_between(F.col("hour"), F.col("at")))
     return out.select("hour", r6(factor, "factor"), r6(F.col("hazard") * factor, "hazard_after"))
 

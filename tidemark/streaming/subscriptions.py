@@ -7,6 +7,7 @@ from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: A watch opens above its threshold and closes this much below it.
@@ -87,12 +88,27 @@ NAMES = ["subscriber", "prediction", "emitted", "reason", "announcement", "activ
 
 
 def replay(inputs: DataFrame) -> DataFrame:
-    """All transitions of each subscriber, in batch.  A subscriber's forecasts are one ordered fold."""
+    """All transitions of each subscriber, in batch.  A subscriber's forecasts are one ordered fold.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_steps(None, rows, key[0])[1], columns=NAMES)
-
-    return inputs.groupBy("subscriber").applyInPandas(run, OUTPUT)
+    Spark sorts them (and spills); a task holds one batch of rows and one watch, however long a
+    subscriber's history is.
+    """
+    marked = inputs.withColumns({"__id": F.coalesce("subscriber", F.lit(0)), "__none": F.col("subscriber").isNull()}).drop("subscriber")
+    rows = marked.repartition("__id", "__none").sortWithinPartitions("__id", "__none", F.col("emitted").asc_nulls_last(), F.col("prediction").asc_nulls_last())
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, watch = None, None
+        for part in parts:
+            out = []
+            keys = zip(part.pop("__id").tolist(), part.pop("__none").tolist(), strict=True)
+            for key, r in zip(keys, part.itertuples(index=False), strict=True):
+                watch = watch if key == last else None
+                last, x = key, Input(*[getattr(r, c) for c in COLUMNS])
+                watch, reason, announcement = transition(watch, x, r.now, r.threshold)
+                out.append((None if key[1] else key[0], x.prediction, x.emitted, reason, announcement, bool(watch and watch.active)))
+            yield pd.DataFrame(out, columns=NAMES)
+
+    return rows.mapInPandas(run, OUTPUT)
 
 
 def watch_stream(inputs: DataFrame) -> DataFrame:

@@ -13,16 +13,33 @@ from tests.llm.tables import SMALL, by_id, documents
 from tidemark.llm import quality
 
 
-def cut(texts: dict[int, str | None], length: int = 400) -> dict[int, str | None]:
+def covered(items: dict[int, list], size: int) -> dict[int, list[tuple[int, int]]]:
+    """The runs of items that sequences of ``size`` cover which start in more than one place."""
+    seen = Counter(tuple(x[k : k + size]) for x in items.values() for k in range(len(x) - size + 1))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for d, x in items.items():
+        runs: list[tuple[int, int]] = []
+        for k in range(len(x) - size + 1):
+            if seen[tuple(x[k : k + size])] > 1:
+                if runs and k <= runs[-1][1]:
+                    runs[-1] = (runs[-1][0], k + size)
+                else:
+                    runs.append((k, k + size))
+        out[d] = runs
+    return out
+
+
+def cut(texts: dict[int, str | None], length: int = 400, words: int = 50) -> dict[int, str | None]:
     raw = {k: (t or "").encode() for k, t in texts.items()}
-    seen = Counter(t[k : k + length] for t in raw.values() for k in range(len(t) - length + 1))
+    spans = {d: [m.span() for m in re.finditer(rb"[^\t-\r ]+", t)] for d, t in raw.items()}
+    of_words = covered({d: [raw[d][a:b] for a, b in s] for d, s in spans.items()}, words)
     out = {}
-    for d, t in raw.items():
-        gone = bytearray(len(t))
-        for k in range(len(t) - length + 1):
-            if seen[t[k : k + length]] > 1:
-                gone[k : k + length] = b"\1" * length
-        out[d] = bytes(c for c, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore") if any(gone) else texts[d]
+    for d, at in covered({d: list(t) for d, t in raw.items()}, length).items():
+        at += [(spans[d][a][0], spans[d][b - 1][1]) for a, b in of_words[d] if b - a > words]
+        gone = bytearray(len(raw[d]))
+        for a, b in at:
+            gone[a:b] = b"\1" * (b - a)
+        out[d] = bytes(c for c, g in zip(raw[d], gone, strict=True) if not g).decode("utf-8", "ignore") if at else texts[d]
     return out
 
 
@@ -69,26 +86,3 @@ def test_passages_of_more_than_50_words_go(spark):
     assert [got[d]["text"] for d in range(2, 7)] == texts[2:]
     assert got[0]["text"] == f"{own[0]}  {own[1]}" and got[1]["text"] == f"{own[2]}\n\t{own[3]}"
     assert all(r["n_chars"] == len(r["text"]) for r in got.values() if r["text"])
-
-
-def cut_both(texts: dict[int, str | None], length: int = 400, words: int = 51) -> dict[int, str | None]:
-    raw = {k: (t or "").encode() for k, t in texts.items()}
-    spans = {d: [m.span() for m in re.finditer(rb"\S+", t)] for d, t in raw.items()}
-    own = {d: [raw[d][a:b] for a, b in s] for d, s in spans.items()}
-    seen = Counter(t[k : k + length] for t in raw.values() for k in range(len(t) - length + 1))
-    passages = Counter(tuple(w[k : k + words]) for w in own.values() for k in range(len(w) - words + 1))
-    out = {}
-    for d, t in raw.items():
-        gone = bytearray(len(t))
-        at = [(k, k + length) for k in range(len(t) - length + 1) if seen[t[k : k + length]] > 1]
-        at += [(spans[d][k][0], spans[d][k + words - 1][1]) for k in range(len(own[d]) - words + 1) if passages[tuple(own[d][k : k + words])] > 1]
-        for a, b in at:
-            gone[a:b] = b"\1" * (b - a)
-        out[d] = bytes(c for c, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore") if any(gone) else texts[d]
-    return out
-
-
-def test_equals_brute_force_with_passages(spark, monkeypatch):
-    """As above, but passages of 51 words go as well."""
-    monkeypatch.setitem(globals(), "cut", cut_both)
-    test_equals_brute_force(spark)

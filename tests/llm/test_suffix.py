@@ -4,9 +4,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.llm.tables import SMALL, by_id, documents
+from tests.llm.test_pipeline import cut
 from tidemark.llm import suffix
 
 
@@ -66,6 +68,27 @@ def test_real_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
     assert found(suffix.repeat_report(docs)) == brute(texts, 400)
+    got = suffix.repeat_report(docs, words=50)
+    assert found(got) == brute(texts, 400)
+    assert {d: r["text"] for d, r in by_id(got).items()} == cut(dict(enumerate(texts)))
+
+
+def test_text_of_many_parts(spark, monkeypatch):
+    """A text that is looked at in parts gives the samples of a whole one."""
+    rng = np.random.default_rng(9)
+    data = rng.integers(97, 101, 5000).astype(np.uint8)
+    whole = suffix.Samples(data, np.array([0, 5000]), 400, 256)
+    monkeypatch.setattr(suffix, "PART_BYTES", 300)
+    parts = suffix.Samples(data, np.array([0, 5000]), 400, 256)
+    for name in ("place", "reach", "key", "owner"):
+        assert (getattr(whole, name) == getattr(parts, name)).all()
+
+
+def test_null_ids_count_as_rows(spark):
+    text = "".join(map(chr, range(200, 500)))
+    docs = spark.createDataFrame([(None, text), (None, text), (1, "x"), (None, None)], "doc_id long, text string")
+    got = suffix.repeat_report(docs, words=50).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in got) == [(0, 0, 0), (0, 600, 600), (0, 600, 600), (1, 1, 0)]
 
 
 def test_repeated_row_repeats_itself_and_empty_table(spark):

@@ -22,7 +22,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.repeat_report(table(spark, sf_dir, "documents"))
+    return suffix.repeat_report(table(spark, sf_dir, "documents"), words=suffix.WORDS)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

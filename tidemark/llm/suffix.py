@@ -1,4 +1,4 @@
-"""Suffix-array deduplication by external induced sorting.
+"""Suffix-array deduplication by sampled suffixes and induction.
 
 Removed is every byte that a string of ``length`` bytes covers which also starts anywhere else.
 
@@ -11,7 +11,12 @@ their contexts, shard by shard, far beyond memory.  A task then reads its shard
 the common prefix of each suffix and its neighbour, and induces round by round the order of the
 suffixes that start one byte earlier: a tuple (rank, common prefix) goes to the queue of the byte
 before it, queues being read in byte order.  A suffix whose common prefix with a neighbour
-reaches ``length`` starts a repeated string.
+reaches ``length`` starts a repeated string.  Hashes only bring candidates together: that strings
+are equal is decided on their bytes.
+
+With ``words``, the words of each text also go through as a second string, in which every word
+stands as ``length / words`` bytes, so that passages of so many words repeat however short or
+long their words are; what runs of more than ``words`` words such passages cover goes too.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,21 +36,24 @@ from tidemark.llm.jaccard import SPACE
 
 LENGTH, WINDOW, KMER = 400, 256, 16
 
-#: Bits of a position inside a run of texts; a text has to be shorter than 2**PLACE_BITS bytes.
-PLACE_BITS = 28
+#: Words of a passage; longer runs of repeated words are cut where words are asked for.
+WORDS = 50
+
+#: Low bits of a k-mer's rank that hold its position; the others hold its hash.
+PLACE_BITS = 32
 
 #: Bytes of text whose samples are found at once; small, for the sake of the processor's cache.
 RUN_BYTES = 1 << 17
 
+#: Bytes of a longer text that are looked at together.
+PART_BYTES = 1 << 22
+
 #: Distinct contexts of one sample key that a task sorts; keys with more are divided first, into so many runs of places.
 GROUP_LIMIT, PARTS = 256, 4
 
 #: Contexts that are induced together.
 SHARD_ROWS = 8192
 
-#: Characters that stand for a word where passages are measured in words; six bits of its hash each.
-WORD_CODE = 8
-
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each window of ``width`` values."""
@@ -70,14 +78,28 @@ class Samples:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, window: int) -> None:
         self.offsets, self.length = offsets, length
-        self.owner = self.place = self.reach = np.zeros(0, np.int64)
-        self.key = np.zeros(0, np.uint64)
-        if len(data) >= 1 << PLACE_BITS:
-            raise ValueError(f"a text of {len(data)} bytes is too long")
-        lengths = np.diff(offsets)
-        if not len(data) or lengths.max() < length:
-            return
-        raw = np.ascontiguousarray(data)
+        self.raw = np.ascontiguousarray(data)
+        places, starts, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        start = [np.arange(lo, hi - length + 1) for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if hi - lo >= length]
+        whole = np.concatenate(start) if start else np.zeros(0, np.int64)
+        cuts = np.searchsorted(whole, np.arange(0, len(data) + PART_BYTES, PART_BYTES))
+        last = -1
+        for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a == b:
+                continue
+            base = part * PART_BYTES
+            place, key = self._part(base, whole[a:b], window)
+            new = np.concatenate([[place[0] != last], place[1:] != place[:-1]])  # a sample that two parts share is one
+            last = place[-1]
+            places.append(place[new])
+            starts.append(whole[a:b][new])
+            keys.append(key(place[new]))
+        self.place, start = np.concatenate(places), np.concatenate(starts)
+        self.reach, self.key = self.place - start, np.concatenate(keys)
+        self.owner = np.searchsorted(offsets, start, side="right") - 1
+
+    def _part(self, base: int, start: np.ndarray, window: int):  # noqa: ANN202
+        raw = self.raw[base : base + PART_BYTES + self.length]
         eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))  # the eight bytes from each position on
         hashes = eight[: len(raw) - KMER + 1] * np.uint64(0x9E3779B97F4A7C15) + eight[8 : len(raw) - KMER + 9] * np.uint64(0xC2B2AE3D27D4EB4F)
         hashes ^= hashes >> np.uint64(32)
@@ -85,22 +107,18 @@ class Samples:
         hashes &= ~np.uint64((1 << PLACE_BITS) - 1)
         hashes |= np.arange(len(hashes), dtype=np.uint64)
         least = sliding_min(hashes, window) & np.uint64((1 << PLACE_BITS) - 1)
-        for_text = [np.arange(lo, hi - length + 1) for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if hi - lo >= length]
-        start = np.concatenate(for_text)
-        place = least[start].astype(np.int64)
-        first = np.concatenate([[True], place[1:] != place[:-1]])
-        self.place, start = place[first], start[first]
-        self.reach = self.place - start
-        self.owner = np.searchsorted(offsets, start, side="right") - 1
-        self.prefix = prefix_hash(raw)
-        self.key = span_hash(self.prefix, self.place, self.place + length - window + 1)
+        prefix = prefix_hash(raw)
+        common = self.length - window + 1
+        return least[start - base].astype(np.int64) + base, lambda place: span_hash(prefix, place - base, place - base + common)
 
     def ends(self, at: np.ndarray) -> np.ndarray:
         return np.minimum(self.place[at] + self.length, self.offsets[self.owner[at] + 1])
 
     def contexts(self, at: np.ndarray) -> np.ndarray:
-        """Identities of the samples' contexts: with the key, 128 bits of the bytes from reach to end and of the reach."""
-        return mix64(span_hash(self.prefix, self.place[at] - self.reach[at], self.ends(at)) + self.reach[at].astype(np.uint64))
+        """Names of the samples' contexts: 64 bits of the MD5 of the bytes from reach to end, and of the reach."""
+        raw, first = memoryview(self.raw), self.place[at] - self.reach[at]
+        names = [hashlib.md5(bytes(raw[a:b]) + r.to_bytes(4, "little")).digest()[:8] for a, b, r in zip(first.tolist(), self.ends(at).tolist(), self.reach[at].tolist(), strict=True)]
+        return np.frombuffer(b"".join(names), np.uint64)
 
     def with_key(self, keys: np.ndarray) -> np.ndarray:
         """Samples whose key is among ``keys`` (sorted)."""
@@ -114,28 +132,68 @@ def _key_matrix(column: pa.Array) -> list[np.ndarray]:
     return [np.sort(x.values.to_numpy().view(np.uint64)) if x.values is not None else np.zeros(0, np.uint64) for x in column]
 
 
-def text_samples(docs: DataFrame, length: int, window: int) -> DataFrame:
-    """doc_id, text_key, n_bytes, sha256 and keys of every row; a key that a text has more than once stands there twice."""
-    schema = T.StructType.fromDDL("doc_id long, text_key binary, n_bytes long, sha256 string, keys array<long>")
+def coded_words(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``width`` bytes for each word of a run of texts, equal ones for equal words, and the texts' offsets into them.
+
+    Words are runs of anything but ASCII white space.
+    """
+    starts, ends, owner = units(SPACE[data], offsets)
+    value = span_hash(prefix_hash(data), starts, ends)
+    codes = np.concatenate([mix64(value + np.uint64(k)).view(np.uint8).reshape(-1, 8) for k in range(-(-width // 8))], axis=1)[:, :width]
+    return np.ascontiguousarray(codes).ravel(), np.searchsorted(owner, np.arange(len(offsets))) * width
+
+
+def _code_width(length: int, words: int | None) -> int:
+    if words is None:
+        return 0
+    if length % words or length // words < 4:
+        raise ValueError(f"{length} bytes are no whole number of at least 4 bytes for each of {words} words")
+    return length // words
+
+
+def text_samples(docs: DataFrame, length: int, window: int, width: int) -> DataFrame:
+    """doc_id, text_key and keys of every row; a key that a text has more than once stands there twice."""
+    schema = T.StructType.fromDDL("doc_id long, text_key binary, keys array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
         for batch in batches:
             for lo, hi, data, offsets in byte_slices(batch.column("text"), RUN_BYTES):
                 raw, n = data.tobytes(), hi - lo
-                found = Samples(data, offsets, length, window)
-                order = np.lexsort((found.key, found.owner))
-                owner, key = found.owner[order], found.key[order]
+                found = [Samples(data, offsets, length, window)]
+                if width:
+                    found.append(Samples(*coded_words(data, offsets, width), length, window))
+                key, owner = np.concatenate([x.key for x in found]), np.concatenate([x.owner for x in found])
+                order = np.lexsort((key, owner))
+                owner, key = owner[order], key[order]
                 same = (key[2:] == key[:-2]) & (owner[2:] == owner[:-2])
                 keep = np.concatenate([np.ones(min(2, len(key)), bool), ~same])
                 owner, key = owner[keep], key[keep]
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(key.view(np.int64))).cast(target.field(4).type)
-                texts = [raw[offsets[k] : offsets[k + 1]] for k in range(n)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), pa.array([hashlib.md5(x).digest() for x in texts], pa.binary()), pa.array(np.diff(offsets)), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), lists], schema=target)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(key.view(np.int64))).cast(target.field(2).type)
+                names = pa.array([hashlib.md5(raw[offsets[k] : offsets[k + 1]]).digest() for k in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), names, lists], schema=target)
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), run, schema)
 
 
+def as_strings(texts: DataFrame, width: int) -> DataFrame:
+    """text_key, in_words, text (bytes), copies, keys: each text's bytes and, with a ``width``, its coded words."""
+    schema = T.StructType.fromDDL("text_key binary, in_words boolean, text binary, copies long, keys array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = arrow_schema(schema)
+        for batch in batches:
+            for lo, hi, data, offsets in byte_slices(batch.column("text"), RUN_BYTES):
+                rest = [batch.column(c).slice(lo, hi - lo) for c in ("copies", "keys")]
+                for in_words, (own, at) in enumerate([(data, offsets), *([coded_words(data, offsets, width)] if width else [])]):
+                    raw = own.tobytes()
+                    strings = pa.array([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                    columns = [batch.column("text_key").slice(lo, hi - lo), pa.array([bool(in_words)] * (hi - lo)), strings, *rest]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    return map_arrow(texts.select("text_key", "text", "copies", "keys"), run, schema)
+
+
 def sample_contexts(texts: DataFrame, length: int, window: int) -> DataFrame:
     """key, context, reach, before (bytes up to the sample, nearest first), after (from it on), copies."""
     schema = T.StructType.fromDDL("key long, context long, reach int, before binary, after binary, copies long")
@@ -296,15 +354,17 @@ def divided_contexts(contexts: DataFrame, length: int, window: int) -> DataFrame
             columns = list(zip(*rows, strict=True))
             parent = mix64(np.array(columns[0], np.int64).view(np.uint64) + np.array(columns[2], np.uint64))
             sub_key = mix64(span_hash(prefix, place, common) ^ parent)
-            sub_context = mix64(span_hash(prefix, first, end) + np.array(columns[3], np.uint64))
-            columns[3:3] = [sub_key.view(np.int64), sub_context.view(np.int64)]
+            joined = b"".join(texts)
+            names = [hashlib.md5(joined[a:b] + r.to_bytes(4, "little")).digest()[:8] for a, b, r in zip(first.tolist(), end.tolist(), columns[3], strict=True)]
+            columns[3:3] = [sub_key.view(np.int64), np.frombuffer(b"".join(names), np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
     return map_arrow(contexts, run, schema)
 
 
 def _same_contexts(found: DataFrame) -> DataFrame:
-    return found.groupBy("key", "context").agg(F.sum("copies").alias("copies"), F.first("reach").alias("reach"), F.first("before").alias("before"), F.first("after").alias("after"))
+    """One row for contexts that are equal byte by byte."""
+    return found.groupBy("key", "context", "reach", "before", "after").agg(F.sum("copies").alias("copies"))
 
 
 def marked_contexts(contexts: DataFrame, length: int, window: int, limit: int) -> DataFrame:
@@ -340,8 +400,8 @@ def marked_contexts(contexts: DataFrame, length: int, window: int, limit: int) -
 
 
 def _contexts_of_texts(texts: DataFrame, length: int, window: int) -> DataFrame:
-    """text_key, key, context: each text's samples with candidate keys, once each."""
-    schema = T.StructType.fromDDL("text_key binary, key long, context long")
+    """text_key, in_words, key, context: each string's samples with candidate keys, once each."""
+    schema = T.StructType.fromDDL("text_key binary, in_words boolean, key long, context long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,56 +415,65 @@ def _contexts_of_texts(texts: DataFrame, length: int, window: int) -> DataFrame:
                 order = np.lexsort((context, key, owner))
                 context, owner, key = context[order], owner[order], key[order]
                 first = np.concatenate([[True], (context[1:] != context[:-1]) | (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])])
-                names = batch.column("text_key").slice(lo, hi - lo).take(pa.array(owner[first]))
-                yield pa.RecordBatch.from_arrays([names, pa.array(key[first].view(np.int64)), pa.array(context[first].view(np.int64))], schema=arrow_schema(schema))
+                names = [batch.column(c).slice(lo, hi - lo).take(pa.array(owner[first])) for c in ("text_key", "in_words")]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(key[first].view(np.int64)), pa.array(context[first].view(np.int64))], schema=arrow_schema(schema))
 
     return map_arrow(texts, run, schema)
 
 
-def _cut(texts: DataFrame, length: int, window: int, keep_spans: bool) -> DataFrame:
-    """text_key, n_removed, n_spans, kept_sha256 (and spans) of texts with the marks of their contexts."""
-    schema = T.StructType.fromDDL("text_key binary, n_removed long, n_spans long, kept_sha256 string" + (", spans array<long>" if keep_spans else ""))
+def _runs(starts: np.ndarray, length: int) -> np.ndarray:
+    """(runs, 2): where the runs that strings of ``length`` cover start and end."""
+    starts = np.unique(starts)
+    new = np.flatnonzero(np.concatenate([[True], starts[1:] > starts[:-1] + length]))
+    return np.column_stack([starts[new], starts[np.append(new[1:], len(starts)) - 1] + length])
+
+
+def _marked_runs(texts: DataFrame, length: int, window: int) -> DataFrame:
+    """text_key, in_words, spans, n_removed, n_spans, kept_sha256 of strings with the marks of their contexts."""
+    schema = T.StructType.fromDDL("text_key binary, in_words boolean, spans array<long>, n_removed long, n_spans long, kept_sha256 string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = arrow_schema(schema)
         for batch in batches:
             known = batch.column("found").to_pylist()
             for lo, hi, data, offsets in byte_slices(batch.column("text"), RUN_BYTES):
-                raw, found, out = data.tobytes(), Samples(data, offsets, length, window), []
+                found, rows = Samples(data, offsets, length, window), []
                 for k in range(lo, hi):
                     marks: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
-                    for x in known[k] or ():
+                    for x in known[k]:
                         marks.setdefault((x["key"], x["context"]), []).append((x["base"], x["marks"]))
-                    text = raw[offsets[k - lo] : offsets[k - lo + 1]]
                     a, b = np.searchsorted(found.owner, [k - lo, k - lo + 1])
-                    at = np.arange(a, b)
-                    covered = np.zeros(len(text) + 1, np.int64)
-                    for s, context in zip(at.tolist(), found.contexts(at).view(np.int64).tolist(), strict=True) if len(at) else ():
-                        for base, bits in marks.get((int(found.key[s : s + 1].view(np.int64)[0]), context), ()):
-                            o = base + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
-                            start = found.place[s] - o - offsets[k - lo]
-                            covered[start] += 1
-                            covered[start + length] -= 1
-                    gone = np.concatenate([[0], (np.cumsum(covered)[:-1] > 0).astype(np.int8), [0]])
-                    edges = np.diff(gone)
-                    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-                    kept = np.frombuffer(text, np.uint8)[gone[1:-1] == 0].tobytes()
-                    row = (batch.column("text_key")[k].as_py(), int((ends - starts).sum()), len(starts), hashlib.sha256(kept).hexdigest())
-                    out.append((*row, np.column_stack([starts, ends]).ravel().tolist()) if keep_spans else row)
-                target = arrow_schema(schema)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+                    at = a + np.flatnonzero(np.isin(found.key[a:b].view(np.int64), [key for key, _ in marks]))
+                    starts = []
+                    for s, key, context in zip(at.tolist(), found.key[at].view(np.int64).tolist(), found.contexts(at).view(np.int64).tolist(), strict=True):
+                        for base, bits in marks.get((key, context), ()):
+                            starts.append(found.place[s] - offsets[k - lo] - base - np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))))
+                    spans = _runs(np.concatenate(starts), length)
+                    digest, done = hashlib.sha256(), int(offsets[k - lo])
+                    for start, end in (spans + offsets[k - lo]).tolist():
+                        digest.update(data[done:start])
+                        done = end
+                    digest.update(data[done : offsets[k - lo + 1]])
+                    rows.append((batch.column("text_key")[k].as_py(), batch.column("in_words")[k].as_py(), spans.ravel(), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), digest.hexdigest()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
 
     return map_arrow(texts, run, schema)
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, limit: int = GROUP_LIMIT, keep_spans: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Two tables: every row's doc_id, text_key, n_bytes, sha256; and what is cut from the texts that lose bytes.
+def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, limit: int = GROUP_LIMIT, words: int | None = None) -> DataFrame:
+    """text_key (MD5), spans, n_removed, n_spans, kept_sha256 and words of the texts that lose bytes or words.
+
+    spans: where each run of removed bytes starts and ends, one after the other; words: the same
+    for words, where ``words`` asks for them (else null).  n_removed, n_spans and kept_sha256 tell
+    of the bytes alone; they are null where a text loses words only.
 
-    Texts are UTF-8 bytes, null is empty, and matches end where a text does.  Every row counts: a
-    text that stands in two rows repeats all its strings.  Strings are judged on the input, not on
-    what is left.  ``length`` has to exceed ``window`` by ``KMER`` or more.  spans: where each cut
-    starts and ends, one after the other.
+    Texts are UTF-8 bytes, null is empty, and matches end where a text does.  Every row counts,
+    those with null doc_id as well: a text that stands in two rows repeats all its strings.
+    Strings are judged on the input, not on what is left.  ``length`` has to exceed ``window`` by
+    ``KMER`` or more, and to be a multiple of ``words``.
     """
-    rows = written(text_samples(docs, length, window))
+    width = _code_width(length, words)
+    rows = written(text_samples(docs, length, window, width))
     often = rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     reps = rows.groupBy("text_key").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("all_keys"))
     pairs = reps.select("text_key", "rep_id", "copies", F.explode(F.array_distinct("all_keys")).alias("key"))
@@ -412,56 +481,21 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, li
     # only one row of equal texts goes on; joining on doc_id as well spreads the others
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("at"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     names = active.select("text_key", F.coalesce("rep_id", F.lit(-1)).alias("at"))
-    touched = join_small(texts, names, ["text_key", "at"], names.count(), 64)
-    with_text = written(touched.join(active, "text_key").select("text_key", "text", "copies", "keys"))
-    marks = marked_contexts(written(_same_contexts(sample_contexts(with_text, length, window))), length, window, limit)
-    of_text = _contexts_of_texts(with_text, length, window).join(marks, ["key", "context"])
-    by_text = of_text.groupBy("text_key").agg(F.collect_set(F.struct("key", "context", "base", "marks")).alias("found"))
-    cut = _cut(with_text.select("text_key", "text").join(by_text, "text_key"), length, window, keep_spans)
-    return rows, written(cut.dropDuplicates(["text_key"]))
-
-
-def repeat_report(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, limit: int = GROUP_LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; see ``find_repeats``."""
-    rows, cut = find_repeats(docs, length, window, limit)
-    joined = rows.select("doc_id", "text_key", "n_bytes", "sha256").join(cut, "text_key", "left")
-    zero = F.lit(0).cast("long")
-    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
-
-
-def word_codes(docs: DataFrame) -> DataFrame:
-    """doc_id, source_key (of the text) and text: WORD_CODE characters for each word, equal ones for equal words.
-
-    A passage of n words becomes n * WORD_CODE bytes, however long its words are.  Words are runs
-    of anything but ASCII white space.
-    """
-    schema = T.StructType.fromDDL("doc_id long, source_key binary, text string")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in byte_slices(batch.column("text"), RUN_BYTES):
-                starts, ends, owner = units(SPACE[data], offsets)
-                value = span_hash(prefix_hash(data), starts, ends)
-                codes = ((value[:, None] >> (np.uint64(6) * np.arange(WORD_CODE, dtype=np.uint64))) & np.uint64(63)).astype(np.uint8) + np.uint8(48)
-                at = (np.searchsorted(owner, np.arange(hi - lo + 1)) * WORD_CODE).astype(np.int32)
-                texts = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(at.tobytes()), pa.py_buffer(codes.tobytes()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("source_key").slice(lo, hi - lo), texts], schema=arrow_schema(schema))
-
-    text = F.coalesce("text", F.lit(""))
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("source_key"), text.alias("text")), run, schema)
-
-
-def repeated_words(docs: DataFrame, words: int, window: int = WINDOW) -> DataFrame:
-    """source_key, words: the first and the end word of each run of passages of ``words`` words that stand elsewhere as well.
-
-    Passages are equal word by word; the white space between the words does not matter.
-    """
-    coded, length = written(word_codes(docs)), words * WORD_CODE
-    _, cut = find_repeats(coded, length, min(window, length - KMER), keep_spans=True)
-    texts = coded.select("source_key", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key")).distinct()
-    # the spans of equal words start and end with words
-    whole = F.transform("spans", lambda x, i: F.when(i % 2 == 0, F.ceil(x / WORD_CODE)).otherwise(F.floor(x / WORD_CODE)))
-    return texts.join(cut.select("text_key", whole.alias("words")), "text_key").select("source_key", "words")
+    touched = join_small(texts, names, ["text_key", "at"], names.count(), 64).dropDuplicates(["text_key"])
+    strings = written(as_strings(touched.join(active, "text_key"), width))
+    marks = marked_contexts(written(_same_contexts(sample_contexts(strings, length, window))), length, window, limit)
+    found = _contexts_of_texts(strings, length, window).join(marks, ["key", "context"])
+    found = found.groupBy("text_key", "in_words").agg(F.collect_set(F.struct("key", "context", "base", "marks")).alias("found"))
+    cut = written(_marked_runs(strings.select("text_key", "in_words", "text").join(found, ["text_key", "in_words"]), length, window))
+    of_bytes = cut.filter("not in_words").drop("in_words")
+    if words is None:
+        return of_bytes.withColumn("words", F.lit(None).cast("array<long>"))
+    # the spans of words start and end with whole words, and have more than ``words`` of them
+    starts, ends = F.filter("spans", lambda _, i: i % 2 == 0), F.filter("spans", lambda _, i: i % 2 == 1)
+    runs = F.zip_with(starts, ends, lambda a, b: F.array(F.ceil(a / width), F.floor(b / width)))
+    runs = F.flatten(F.filter(runs, lambda x: x[1] - x[0] > words))
+    of_words = cut.filter("in_words").select("text_key", runs.alias("words")).filter(F.size("words") > 0)
+    return written(of_bytes.join(of_words, "text_key", "full"))
 
 
 def _without(text: str, spans: np.ndarray | None, words: np.ndarray | None) -> str:
@@ -477,30 +511,49 @@ def _without(text: str, spans: np.ndarray | None, words: np.ndarray | None) -> s
     return data[keep].tobytes().decode("utf-8", "ignore")
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, words: int | None = None) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of the texts, all other columns as they are.
-
-    With ``words``, passages of so many words that stand elsewhere as well go too, also where they
-    are shorter than ``length``.  A character that a cut divides goes entirely.  Texts that lose
-    nothing, null among them, stay as they are; n_chars, where there is one, follows the text.
-    """
-    _, cut = find_repeats(docs, length, window, keep_spans=True)
-    cut = cut.select(F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
-    if words is None:
-        cut = cut.withColumn("__words", F.lit(None).cast("array<long>"))
-    else:
-        cut = written(cut.join(repeated_words(docs, words, window).select(F.col("source_key").alias("__key"), F.col("words").alias("__words")), "__key", "full"))
-
+def _kept_text() -> Column:
     @F.pandas_udf("string")
-    def without(texts, spans, words):  # noqa: ANN001, ANN202
+    def kept(texts, spans, words):  # noqa: ANN001, ANN202
         return pd.Series([_without(*x) for x in zip(texts, spans, words, strict=True)], dtype=object)
 
-    keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    names = cut.select("__key")
+    return kept("text", "__spans", "__words")
+
+
+def _by_change(docs: DataFrame, cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` that ``cut`` leaves alone, and the others joined with it (columns with __ before their names)."""
+    keyed = docs.withColumn("__text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    cut = cut.select(*[F.col(c).alias(f"__{c}") for c in cut.columns])
+    names = cut.select("__text_key")
     n = names.count()
-    changed = join_small(keyed, names, ["__key"], n, 32, "left_semi").join(cut, "__key").withColumn("text", without("text", "__spans", "__words"))
+    return join_small(keyed, names, ["__text_key"], n, 32, "left_anti"), join_small(keyed, names, ["__text_key"], n, 32, "left_semi").join(cut, "__text_key")
+
+
+def repeat_report(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, limit: int = GROUP_LIMIT, words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text of every row; see ``find_repeats``.
+
+    The numbers and the digest tell of the repeated bytes.  text: what is left as whole
+    characters, without the repeated passages of ``words`` words either; null stays null.
+    """
+    whole, changed = _by_change(docs, find_repeats(docs, length, window, limit, words))
+    text, zero = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    names = [F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes")]
+    digest = F.sha2(text.cast("binary"), 256)
+    out = whole.select(*names, zero.alias("n_removed"), zero.alias("n_spans"), digest.alias("kept_sha256"), F.col("text"))
+    cut = changed.select(*names, F.coalesce("__n_removed", zero).alias("n_removed"), F.coalesce("__n_spans", zero).alias("n_spans"), F.coalesce("__kept_sha256", digest).alias("kept_sha256"), _kept_text().alias("text"))
+    return out.unionByName(cut)
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, words: int | None = None) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the texts, all other columns as they are.
+
+    With ``words``, runs of more than so many words that passages of so many words cover which
+    stand elsewhere as well go too, also where they are shorter than ``length`` bytes.  A
+    character that a cut divides goes entirely.  Texts that lose nothing, null among them, stay as
+    they are; n_chars, where there is one, follows the text.
+    """
+    whole, changed = _by_change(docs, find_repeats(docs, length, window, words=words))
+    changed = changed.withColumn("text", _kept_text())
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    whole = join_small(keyed, names, ["__key"], n, 32, "left_anti")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return whole.select(*columns).unionByName(changed.select(*columns))

@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import jaccard, mixing, packing, quality, suffix
 from tidemark.llm._common import written
 
-#: Words of the shortest passage that may not stand in the corpus twice.
-PASSAGE_WORDS = 51
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -28,7 +25,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings, and the passages of more than 50 words, that stand elsewhere as well."""
-    return suffix.cut_repeats(docs, words=PASSAGE_WORDS)
+    return suffix.cut_repeats(docs, words=suffix.WORDS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,25 @@ def test_odd_texts(spark):
     assert packing.pack(docs.limit(0)).collect() == []
 
 
+def test_ids_by_words_are_those_of_whole_texts(monkeypatch):
+    """Every kind of white space, letter, number and sign beside each other, and the small documents."""
+    tokenizer = packing.ByteTokenizer(packing.default_tokenizer())
+    rng = random.Random(11)
+    signs = [" ", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u202f", "\u2060", "\u3000", "\ufeff", "a", "Zz", "é", "中", "ǅ", "1", "२", "½", "Ⅷ", "'s", "'ll", "'", "don't", "-", "€", "😀", "\u0301", "_", "\0", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(0, 30))) for _ in range(20_000)]
+    texts += ["".join(map(chr, range(a, a + 16))) + " " + " ".join(map(chr, range(a, a + 16))) for a in range(0, 0x3100, 16)]
+    assert tokenizer.by_words and tokenizer.ids(texts) == tokenizer.whole(texts)
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 100)
+    assert tokenizer.ids(texts[:50]) == tokenizer.whole(texts[:50]) and not tokenizer.known
+
+
+def test_null_ids_and_repeated_rows_are_packed(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (3, "a b"), (4, None)], "doc_id long, text string")
+    rows = packing.pack(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in rows) == [(0, 3), (0, 3), (3, 3), (3, 3), (4, 1)]
+    assert sorted(r["offset"] for r in rows)[0] == 0 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 5
+
+
 def optimum(lengths: list[int], room: int) -> int:
     best, lengths = len(lengths), sorted(lengths, reverse=True)
 
@@ -79,7 +98,8 @@ def test_bin_completion_is_optimal_on_small_cases():
     for _ in range(60):
         lengths = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 11))]
         counts = {x: lengths.count(x) for x in lengths}
-        plan = packing.bin_completion(counts, 60)
+        plan, proven = packing.bin_completion(counts, 60)
+        assert proven
         used = defaultdict(int)
         for pattern, times in plan:
             assert sum(pattern) <= 60

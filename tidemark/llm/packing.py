@@ -2,16 +2,20 @@
 
 Sequences are filled for classes of equal length: the driver sees how many pieces have each length
 (at most ``capacity`` numbers, whatever the data), not the pieces.  A branch and bound completes a
-bin around the longest length left with an undominated filling, as often as the counts allow, and
-prunes by the waste that any better solution could still afford; best-fit decreasing gives the
-first incumbent.  Pieces then find their places by their rank among those of equal length.
+bin around the longest length left with an undominated filling, as often as the counts allow or
+less often, and prunes by the waste that any better solution could still afford; best-fit
+decreasing gives the first incumbent.  Pieces then find their places by their rank among those of
+equal length.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +27,14 @@ from pyspark.sql import types as T
 
 from tidemark.llm._common import arrow_schema, gapless_rank, map_arrow, written
 
-#: Bytes of a text without a space, or of spaces, from which on the tokenizer's own library encodes the text: long runs cost ``tiktoken`` their square.
-LONG_RUN = 1000
+#: A space behind anything but white space, or what some tables of characters call so: a token starts here.
+WORD_START = re.compile(" (?<=[^\\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff] )")
 
-#: Texts of a batch that both libraries encode, so that a difference would show.
-COMPARED = 8
+#: Pieces of one length that a window numbers together, about.
+RANKED_TOGETHER = 100_000
+
+#: Bytes of words and their ids, about, that a worker remembers before it starts afresh.
+KNOWN_BYTES = 64 << 20
 
 _tokenizers: dict[str, ByteTokenizer] = {}
 
@@ -40,44 +47,26 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def _alphabet() -> dict[str, int]:
-    """Bytes by the characters that stand for them in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
-def _ranks(path: str) -> dict[bytes, int] | None:
-    """Ids of a tokenizer file by bytes, if it is a plain byte-level BPE whose ids are in order of its merges."""
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    model, before = spec["model"], spec.get("pre_tokenizer") or {}
-    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", ())]
-    ids = [model["vocab"][m] for m in merged]
-    plain = not (spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or before.get("add_prefix_space"))
-    if model.get("type") != "BPE" or before.get("type") != "ByteLevel" or not before.get("use_regex", True) or not plain or ids != sorted(ids):
-        return None
-    letters = _alphabet()
-    return {bytes(letters[c] for c in token): model["vocab"][token] for token in [*letters, *merged]}
-
-
 class ByteTokenizer:
-    """Ids of a tokenizer file, as the ``tokenizers`` library gives them.
+    """Ids of a byte-level BPE tokenizer file, computed by the ``tokenizers`` library.
 
-    Where the file is a plain byte-level BPE, ``tiktoken`` computes the same ids from the same
-    merges in a third of the time; some texts of each batch go through both.
+    Its pre-tokenizer never lets a token go on over a space that follows something else than white
+    space, so that texts are cut there and each word is encoded once and remembered.  Strings of
+    special tokens in a text are ordinary text.  Other kinds of tokenizers encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        ranks = _ranks(path)
-        self.quick = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        before = spec.get("pre_tokenizer") or {}
+        self.by_words = not spec.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def shared(cls, path: str) -> ByteTokenizer:
@@ -86,22 +75,23 @@ class ByteTokenizer:
             _tokenizers[path] = cls(path)
         return _tokenizers[path]
 
-    def _slow(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if self.quick is None:
-            return self._slow(texts)
-        spaces, out = " " * LONG_RUN, []
-        for text in texts:
-            if spaces in text or max(map(len, text.split(" "))) >= LONG_RUN:
-                out += self._slow([text])
-            else:
-                out.append(self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes())
-        if self._slow(texts[:COMPARED]) != out[:COMPARED]:
-            self.quick = None
-            return self._slow(texts)
+        if not self.by_words:
+            return self.whole(texts)
+        words = [WORD_START.split(x) for x in texts]
+        # behind the first one, a word stands with the space before it
+        words = [[x[0], *map(" ".__add__, x[1:])] for x in words]
+        new = list(set().union(*words).difference(self.known))
+        for word, ids in zip(new, self.whole(new), strict=True):
+            self.known[word] = ids
+            self.held += len(word) + len(ids) + 200
+        out = [b"".join([self.known[w] for w in x]) for x in words]
+        if self.held > KNOWN_BYTES:
+            self.known, self.held = {}, 0
         return out
 
 
@@ -161,99 +151,105 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Pat
     return [x for bins in open_.values() for x in bins]
 
 
-def fillings(room: int, lengths: list[int], counts: dict[int, int], most: int, steps: int) -> list[Pattern]:
-    """Undominated fillings of ``room`` (maximal, none of whose members an unused longer one could replace), least waste first.
+def fillings(room: int, counts: dict[int, int], budget: list[int]) -> Iterator[tuple[Pattern, int]]:
+    """Undominated fillings of ``room`` and their waste, least waste first; each partial filling takes one of the budget.
 
-    ``lengths`` descend.  The search visits ``steps`` partial fillings, exact ones ending it early.
+    Undominated: no unused piece fits beside the members, or fits in place of a shorter one.
     """
-    found: dict[Pattern, int] = {}
-    exact = left_steps = 0
-    left_steps = steps
-    smallest = lengths[-1] if lengths else room + 1
-    usable = set(lengths)
-    stack: list[tuple[Pattern, int, int]] = [((), room, 0)]
-    while stack and left_steps and exact < most:
-        left_steps -= 1
-        own, left, at = stack.pop()
-        if left in usable and (not own or left <= own[-1]) and own.count(left) < counts[left]:
-            found[(*own, left)] = 0
-            exact += 1
-            continue
-        if left < smallest or at >= len(lengths):
-            found.setdefault(own, left)
-            continue
-        # after the largest that fits, a shorter one: pushed in ascending order, so that the longest is tried first
-        options = []
-        k = at
-        while k < len(lengths) and lengths[k] > left:
-            k += 1
-        for j in range(k, min(k + 24, len(lengths))):
-            if own.count(lengths[j]) < counts[lengths[j]]:
-                options.append((*own, lengths[j]))
-                stack_at = j
-                stack.append(((*own, lengths[j]), left - lengths[j], stack_at))
-        if not options:
-            found.setdefault(own, left)
-        else:
-            stack[-len(options) :] = stack[-len(options) :][::-1]
-    out = []
-    for own, waste in sorted(found.items(), key=lambda x: (x[1], len(x[0]), tuple(-v for v in x[0]))):
-        if waste and any(y in usable and own.count(y) < counts[y] for x in set(own) for y in range(x + 1, x + waste + 1)):
-            continue  # a longer unused member fits in place of x
-        if waste and any(own.count(y) < counts[y] for y in range(smallest, waste + 1) if y in usable):
-            continue  # not maximal
-        out.append(own)
-        if len(out) == most:
-            break
-    return out
-
-
-def bin_completion(counts: dict[int, int], capacity: int, branches: int = 3, nodes: int = 6000, steps: int = 400) -> list[tuple[Pattern, int]]:
-    """Patterns (lengths that share a sequence) and how often each is used, in as few sequences as found.
-
-    The search ends at the lower bound, or after ``nodes`` completions with the best incumbent.
+    lengths = sorted((k for k, n in counts.items() if n and k <= room), reverse=True)
+    rising = lengths[::-1]
+    behind = np.cumsum([0] + [k * counts[k] for k in rising])[::-1].tolist()  # bytes of the lengths from each place on
+
+    def exact(left: int, at: int) -> Iterator[Pattern]:
+        if budget[0] <= 0:
+            return
+        budget[0] -= 1
+        if not left:
+            yield ()
+            return
+        for j in range(max(at, len(rising) - bisect_left(rising, left + 1)), len(lengths)):
+            if behind[j] < left or budget[0] <= 0:
+                return
+            k = lengths[j]
+            for n in range(min(counts[k], left // k), 0, -1):
+                for rest in exact(left - n * k, j + 1):
+                    yield (k,) * n + rest
+
+    for waste in range(room + 1):
+        for own in exact(room - waste, 0):
+            used = Counter(own)
+            spare = [y for y in rising if counts[y] > used[y]] if waste else []
+            if spare and (spare[0] <= waste or any(x < y <= x + waste for x in used for y in spare)):
+                continue
+            yield own, waste
+        if budget[0] <= 0:
+            return
+
+
+def bin_completion(counts: dict[int, int], capacity: int, steps: int = 2_000_000) -> tuple[list[tuple[Pattern, int]], bool]:
+    """Patterns (lengths that share a sequence) and how often each is used; and whether no packing has fewer sequences.
+
+    The search ends at the lower bound, when it has tried everything that could be better, or
+    after ``steps`` partial fillings, with the best packing so far.
     """
-    counts = {k: v for k, v in counts.items() if v}
-    total = sum(k * v for k, v in counts.items())
+    left = {k: v for k, v in counts.items() if v}
+    total = sum(k * v for k, v in left.items())
     least = -(-total // capacity)
-    best = best_fit_decreasing(counts, capacity)
+    best = best_fit_decreasing(left, capacity)
     incumbent = sum(n for _, n in best)
-    # a node: lengths left, bins, waste so far, patterns so far as a linked list
-    stack: list[tuple[dict[int, int], int, int, tuple | None]] = [(counts, 0, 0, None)]
-    while stack and nodes and incumbent > least:
-        nodes -= 1
-        left, bins, waste, chosen = stack.pop()
-        if waste > (incumbent - 1) * capacity - total:
-            continue  # no better solution can waste so much
-        if not left:
-            if bins < incumbent:
-                incumbent, best = bins, []
-                while chosen:
-                    best.append(chosen[0])
-                    chosen = chosen[1]
-            continue
+    if incumbent == least:
+        return best, True
+    budget = [steps]
+
+    def options() -> Iterator[tuple[Pattern, int, int]]:
         longest = max(left)
+        left[longest] -= 1
         rest = dict(left)
-        rest[longest] -= 1
-        lengths = sorted((k for k, v in rest.items() if v and k <= capacity - longest), reverse=True)
-        options = fillings(capacity - longest, lengths, rest, branches, steps) or [()]
-        for own in reversed(options):
+        left[longest] += 1
+        for own, waste in fillings(capacity - longest, rest, budget):
             pattern = (longest, *own)
-            times = min(left[k] // pattern.count(k) for k in set(pattern))
-            after = dict(left)
-            for k in pattern:
-                after[k] -= times
-                if not after[k]:
-                    del after[k]
-            stack.append((after, bins + times, waste + times * (capacity - sum(pattern)), ((pattern, times), chosen)))
-    return best
+            for times in range(min(left[k] // n for k, n in Counter(pattern).items()), 0, -1):
+                yield pattern, times, waste
+
+    def put(pattern: Pattern, times: int) -> None:
+        for k in pattern:
+            left[k] = left.get(k, 0) + times
+            if not left[k]:
+                del left[k]
+
+    frames, chosen, wasted = [options()], [], 0
+    while frames and budget[0] > 0:
+        affordable = (incumbent - 1) * capacity - total - wasted
+        step = next(frames[-1], None)
+        if step is None or step[2] > affordable:  # fillings come by their waste: the others waste more
+            frames.pop()
+            if chosen:
+                pattern, times, waste = chosen.pop()
+                wasted -= times * waste
+                put(pattern, times)
+            continue
+        pattern, times, waste = step
+        if times * waste > affordable:
+            continue
+        put(pattern, -times)
+        if left:
+            chosen.append(step)
+            wasted += times * waste
+            frames.append(options())
+            continue
+        best = [(p, n) for p, n, _ in [*chosen, step]]
+        incumbent = sum(n for _, n in best)
+        put(pattern, times)
+        if incumbent == least:
+            return best, True
+    return best, budget[0] > 0
 
 
 def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` (any columns, among them length) with sequence_id and offset."""
     rows = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each length, at most ``capacity``
     counts = {r["length"]: r["n"] for r in rows}
-    plan = bin_completion({k: v for k, v in counts.items() if k < capacity}, capacity)
+    plan, _ = bin_completion({k: v for k, v in counts.items() if k < capacity}, capacity)
     at: dict[int, list[tuple[int, int, int]]] = {}  # by length: first rank, sequence less rank, offset
     taken = dict.fromkeys(counts, 0)
     sequences = 0
@@ -280,7 +276,8 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         return pd.DataFrame(out, columns=["sequence_id", "offset"])
 
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
-    ranked = gapless_rank(pieces, ["length"], order, "__rank", salts=64)
+    salts = max(64, max(counts.values(), default=0) // RANKED_TOGETHER)
+    ranked = gapless_rank(pieces, ["length"], order, "__rank", salts)
     seated = ranked.withColumn("__seat", seat("length", "__rank"))
     return seated.select(*[F.col(c) for c in pieces.columns], "__seat.sequence_id", "__seat.offset")
 

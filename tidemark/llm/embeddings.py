@@ -14,15 +14,17 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import arrow_schema, grouped_batches, map_arrow, mix64, written
-from tidemark.llm.blocks import BLOCK, block_tasks, link_groups, new_pairs
+from tidemark.llm._common import arrow_schema, map_arrow, mix64, written
+from tidemark.llm.blocks import BLOCK, block_tasks, smallest_linked, task_pairs
 from tidemark.llm.graph import components
 
 #: Standard deviations of the estimate's error that the bound allows for.
@@ -31,6 +33,9 @@ DEVIATIONS = 5.0
 #: Levels of the coarse version of a vector that meets another's signs.
 LEVEL_BITS = 4
 
+#: Members that are compared together, whole tasks of them, and pairs that are looked at in one step.
+MEMBERS_TOGETHER, PAIRS_TOGETHER = 8192, 1 << 18
+
 
 def choose_bands(count: int, threshold: float, recall: float) -> tuple[int, int]:
     """Bands and signs a band: signs grow with the logarithm of the count, so that buckets of unrelated vectors stay small."""
@@ -39,6 +44,7 @@ def choose_bands(count: int, threshold: float, recall: float) -> tuple[int, int]
     return math.ceil(math.log(1 - recall) / math.log(1 - agree**signs)), signs
 
 
+@lru_cache(maxsize=4)
 def rotations(dim: int, count: int) -> np.ndarray:
     """(dim, count * dim): random orthogonal matrices side by side, the same wherever they are made."""
     rng = np.random.default_rng([20240531, dim])
@@ -61,53 +67,64 @@ def sign_bands(signs: np.ndarray, bands: int, width: int, dim: int) -> np.ndarra
     return out
 
 
-def estimates(turned: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products (row: whose signs, column: whose coarse version) and, for each row, the deviation at a right angle."""
-    n, dims = turned.shape
-    factor = np.abs(turned).sum(axis=1) / math.sqrt(dims)  # inner product of the signs' unit vector and the vector
-    low = turned.min(axis=1)
-    step = np.maximum((turned.max(axis=1) - low) / (2**LEVEL_BITS - 1), 1e-30)
-    levels = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
-    pad = -dims % 64
-
-    def packed(bits: np.ndarray) -> np.ndarray:
-        return np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1).view(np.uint64)
-
-    codes = packed(signs)
-    planes = [packed((levels >> p) & 1) for p in range(LEVEL_BITS)]
-    inner = np.zeros((n, n), np.int32)
-    for p, plane in enumerate(planes):
-        for w in range(codes.shape[1]):
-            inner += np.bitwise_count(codes[:, w][:, None] & plane[:, w][None, :]).astype(np.int32) << p
-    ones = signs.sum(axis=1)
-    on = low[None, :] * ones[:, None] + step[None, :] * inner  # sum of the coarse values where the sign is positive
-    whole = dims * low + step * levels.sum(axis=1)
-    out = (2 * on - whole[None, :]) / math.sqrt(dims) / factor[:, None]
-    return out, np.sqrt(np.maximum(1 - factor**2, 0)) / factor
-
-
-def _vectors(table: pa.Table | pa.RecordBatch, column: str) -> list[np.ndarray | None]:
-    """Vectors as doubles, None for those that link with nothing."""
+class Codes:
+    """Signs, correction factors and coarse versions of turned vectors, for estimates of inner products."""
+
+    def __init__(self, turned: np.ndarray, signs: np.ndarray) -> None:
+        self.dims = turned.shape[1]
+        self.factor = np.abs(turned).sum(axis=1) / math.sqrt(self.dims)  # inner product of the signs' unit vector and the vector
+        self.spread = np.sqrt(np.maximum(1 - self.factor**2, 0)) / self.factor
+        self.low = turned.min(axis=1)
+        self.step = np.maximum((turned.max(axis=1) - self.low) / (2**LEVEL_BITS - 1), 1e-30)
+        levels = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
+        pad = -self.dims % 64
+
+        def packed(bits: np.ndarray) -> np.ndarray:
+            return np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1).view(np.uint64)
+
+        self.signs, self.ones = packed(signs), signs.sum(axis=1)
+        self.planes = [packed((levels >> p) & 1) for p in range(LEVEL_BITS)]
+        self.whole = self.dims * self.low + self.step * levels.sum(axis=1)
+
+    def estimates(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Estimated inner products of pairs: signs of i, coarse version of j."""
+        inner = np.zeros(len(i), np.int64)
+        for p, plane in enumerate(self.planes):
+            inner += np.bitwise_count(self.signs[i] & plane[j]).sum(axis=1, dtype=np.int64) << p
+        on = self.low[j] * self.ones[i] + self.step[j] * inner  # sum of the coarse values where the sign is positive
+        return (2 * on - self.whole[j]) / math.sqrt(self.dims) / self.factor[i]
+
+    def slack(self, i: np.ndarray, threshold: float) -> np.ndarray:
+        """How far below the threshold an estimate may be; at the threshold the error shrinks with the sine of the angle."""
+        return DEVIATIONS * self.spread[i] / math.sqrt(max(self.dims - 1, 1)) * math.sqrt(1 - threshold**2) + 0.02
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    """A finite vector times a power of two, so that its largest component is near one and its square can't overflow."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+
+
+def _vectors(column: pa.Array) -> list[np.ndarray | None]:
+    """Vectors as scaled doubles, None for those that link with nothing."""
     out: list[np.ndarray | None] = []
-    for x in table.column(column):
+    for x in column:
         raw = x.values
         if raw is None or raw.null_count or not len(raw):
             out.append(None)
             continue
         v = raw.to_numpy(zero_copy_only=False).astype(np.float64)
-        size = math.sqrt(float(v @ v)) if np.isfinite(v).all() else 0.0
-        out.append(v if size > 0 and math.isfinite(size) else None)
+        out.append(scaled(v) if np.isfinite(v).all() and v.any() else None)
     return out
 
 
 def vector_signatures(vectors: DataFrame, bands: int, width: int) -> DataFrame:
-    """vec_id, vec_key (digest of the components; null for vectors that link with nothing), vector, bands."""
-    schema = T.StructType.fromDDL("vec_id long, vec_key binary, vector array<double>, bands array<long>")
+    """vec_id, vec_key (digest of the scaled components; null for vectors that link with nothing), vector (as bytes), bands."""
+    schema = T.StructType.fromDDL("vec_id long, vec_key binary, vector binary, bands array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
         for batch in batches:
-            found = _vectors(batch, "embedding")
+            found = _vectors(batch.column("embedding"))
             keys: list = [None] * len(found)
             codes: list = [None] * len(found)
             for dim in {len(v) for v in found if v is not None}:
@@ -117,43 +134,62 @@ def vector_signatures(vectors: DataFrame, bands: int, width: int) -> DataFrame:
                 _, signs = signs_of(unit, dim, bands * width)
                 for i, code in zip(at, sign_bands(signs, bands, width, dim).view(np.int64), strict=True):
                     keys[i], codes[i] = hashlib.md5(found[i].tobytes()).digest(), code
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), *[pa.array(x, f.type) for x, f in zip((keys, found, codes), list(target)[1:], strict=True)]], schema=target)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), *[pa.array(x, f.type) for x, f in zip((keys, [None if v is None else v.tobytes() for v in found], codes), list(target)[1:], strict=True)]], schema=target)
 
     return map_arrow(vectors.select("vec_id", "embedding"), run, schema)
 
 
+def _linked(x: np.ndarray, bands: np.ndarray, task: np.ndarray, band: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs among the members of whole tasks, which are in order of task and side."""
+    norms = np.sqrt(np.einsum("ij,ij->i", x, x))
+    codes = Codes(*signs_of(x / norms[:, None], x.shape[1], x.shape[1]))
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i, j in task_pairs(task, side, PAIRS_TOGETHER):
+        earlier = np.arange(bands.shape[1])[None, :] < band[i][:, None]
+        near = ~((bands[i] == bands[j]) & earlier).any(axis=1)
+        if x.shape[1] >= 16:  # of fewer dimensions the bound says too little
+            near &= codes.estimates(i, j) >= threshold - codes.slack(i, threshold)
+        i, j = i[near], j[near]
+        close = np.einsum("ij,ij->i", x[i], x[j]) / (norms[i] * norms[j]) >= threshold
+        found.append((i[close], j[close]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
 def _verify(members: DataFrame, threshold: float) -> DataFrame:
     """vec_key, root_key, links of the members of each task that have links there."""
     schema = T.StructType.fromDDL("vec_key binary, root_key binary, links long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = arrow_schema(schema)
-        for table in grouped_batches(batches, "task"):
-            names = table.column("vec_key").to_pylist()
-            x = np.array(table.column("vector").to_pylist(), np.float64)
-            bands = np.array(table.column("bands").to_pylist(), np.int64)
-            wanted = new_pairs(bands, table.column("band")[0].as_py(), table.column("side").to_numpy())
-            if not wanted.any():
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        sizes = pc.binary_length(table.column("vector")).to_numpy()
+        for size in np.unique(sizes):  # vectors of other lengths are in other tasks
+            own = table.filter(pa.array(sizes == size)) if len(np.unique(sizes)) > 1 else table
+            x = np.frombuffer(b"".join(own.column("vector").to_pylist()), np.float64).reshape(own.num_rows, -1)
+            bands = np.array(own.column("bands").combine_chunks().flatten()).reshape(own.num_rows, -1)
+            i, j = _linked(x, bands, *[own.column(c).to_numpy() for c in ("task", "band", "side")], threshold)
+            if not len(i):
                 continue
-            norms = np.sqrt(np.einsum("ij,ij->i", x, x))
-            turned, signs = signs_of(x / norms[:, None], x.shape[1], x.shape[1])
-            guess, spread = estimates(turned, signs)
-            # at the threshold the error shrinks with the sine of the angle
-            slack = DEVIATIONS * spread / math.sqrt(max(x.shape[1] - 1, 1)) * math.sqrt(1 - threshold**2) + 0.02
-            open_ = wanted & ((guess >= threshold - slack[:, None]) | (x.shape[1] < 16))
-            linked = np.zeros(wanted.shape, bool)
-            for i in np.flatnonzero(open_.any(axis=1)):
-                js = np.flatnonzero(open_[i])
-                linked[i, js] = (x[js] @ x[i]) / (norms[js] * norms[i]) >= threshold
-            if not linked.any():
+            copies = own.column("copies").to_numpy()
+            links = np.bincount(i, copies[j], own.num_rows) + np.bincount(j, copies[i], own.num_rows)
+            roots, at = smallest_linked(own.num_rows, i, j), np.flatnonzero(links)
+            names = own.column("vec_key").combine_chunks()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), names.take(pa.array(roots[at])), pa.array(links[at].astype(np.int64))], schema=arrow_schema(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in held) < MEMBERS_TOGETHER:
                 continue
-            linked |= linked.T
-            roots = link_groups(linked)
-            links = linked @ table.column("copies").to_numpy().astype(np.int64)
-            at = np.flatnonzero(linked.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.binary()), pa.array([names[roots[i]] for i in at], pa.binary()), pa.array(links[at], pa.int64())], schema=target)
+            table = pa.concat_tables(held)
+            tasks = table.column("task").to_numpy()
+            whole = int(np.searchsorted(tasks, tasks[-1]))  # the last task may go on
+            yield from compare(table.slice(0, whole)) if whole else ()
+            held = [table.slice(whole)]
+        if held:
+            yield from compare(pa.concat_tables(held))
 
-    return map_arrow(members.repartition("task").sortWithinPartitions("task"), run, schema)
+    return map_arrow(members.repartition("task").sortWithinPartitions("task", "side"), run, schema)
 
 
 def similar_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999, block: int = BLOCK) -> DataFrame:
@@ -162,7 +198,8 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float =
     n_links: other rows at a cosine of ``threshold`` or more, equal vectors included.
     component_id: the smallest vec_id reachable by links, itself included.  Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing; their component is
-    themselves.  Vectors of different lengths never link.  No link is reported below the
+    themselves.  Finite vectors link whatever their size.  Vectors of different lengths never
+    link.  A null vec_id counts as a row; among others it is no component's smallest.  No link is reported below the
     threshold; one at it is found with probability ``recall``, closer ones more surely.
     """
     count = vectors.count()

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -27,6 +28,42 @@ def test_held_out_accuracy_and_fold(spark):
     assert auc(np.array([s for s, _ in held]), np.array([y for _, y in held])) > 0.9
 
 
+def brute_features(text: str) -> list[float]:
+    raw = text.encode()
+    size, words, lines = max(len(raw), 1), raw.split(), [x for x in raw.split(b"\n") if x]
+    groups = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"*$%&#@^~=+<>\\{}[]_", b"|", b"!", b".,;:?", b"'\"()-/`", bytes(range(128, 256))]
+    n_words, n_lines = max(len(words), 1), max(len(lines), 1)
+    out = [math.log1p(len(raw)), *[sum(raw.count(c) for c in g) / size for g in groups]]
+    out += [sum(map(len, words)) / n_words, math.log1p(sum(map(len, lines)) / n_lines), len(set(words)) / n_words]
+    out += [sum(a == b for a, b in zip(words, words[1:], strict=False)) / n_words, len(set(lines)) / n_lines]
+    odd = set(groups[2] + groups[3] + groups[4])
+    return [*out, sum(any(c in odd for c in w) for w in words) / n_words, math.log1p(max(map(len, words), default=0))]
+
+
+def brute_score(model: quality.AdditiveModel, text: str) -> float:
+    """Bins found by counting edges, entries of the tables added one by one."""
+    at = [sum(e <= x for e in edges) for edges, x in zip(model.edges, brute_features(text), strict=True)]
+    total = model.intercept + sum(t[k] for t, k in zip(model.tables, at, strict=True))
+    return 1 / (1 + math.exp(-total - sum(t[at[a], at[b]] for (a, b), t in zip(model.pairs, model.pair_tables, strict=True))))
+
+
+def test_scores_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train_quality(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, model).collect()}
+    far = [d for d, t in texts.items() if abs(got[d] - brute_score(model, t)) > 1e-9]
+    assert len(model.pairs) == 6 and got.keys() == texts.keys() and far == []
+    assert all(t.shape == (len(model.edges[a]) + 1, len(model.edges[b]) + 1) for (a, b), t in zip(model.pairs, model.pair_tables, strict=True))
+
+
+def test_repeated_rows_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (3, "a b"), (3, "a b")], "doc_id long, text string")
+    model = quality.train_quality(docs, spark.createDataFrame([(3, 1), (3, 1), (None, 0)], "doc_id long, quality int"))
+    rows = quality.score_quality(docs, model).collect()
+    assert len(rows) == 3 and len({r["score"] for r in rows}) == 1
+
+
 def test_equal_texts_score_alike_and_odd_rows(spark):
     texts = [None, "", "a b", "a b", prose(1, 40_000), "*** $$$ !!! ||| BUY NOW"] + [prose(k, 60) for k in range(40)] + [f"{k} ###|||$$$ WIN {k}" for k in range(40)]
     docs = documents(spark, texts, more="score features quality")

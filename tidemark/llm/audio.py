@@ -2,7 +2,7 @@
 
 Mu-law and A-law samples expand through 256-entry lookup tables that a rule builds; IMA ADPCM
 blocks, each with its own predictor, are decoded side by side with numpy, one nibble step for all
-blocks at a time.  Decoded sound is resampled and stored as 16-bit PCM.
+blocks at a time.  Decoded sound is mixed to one channel, resampled and stored as 16-bit PCM.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -72,37 +73,78 @@ def wav(tag: int, data: bytes, rate: int = 8000) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def read_wav(media: bytes) -> tuple[int, int, bytes]:
-    """Format tag, sample rate and the bytes of the data chunk."""
+class Wave(NamedTuple):
+    """What the header of a RIFF/WAVE file says, and the bytes of its data chunk."""
+
+    tag: int
+    channels: int
+    rate: int
+    align: int
+    bits: int
+    data: bytes
+
+
+def read_wav(media: bytes) -> Wave:
+    """A file's header and data.  ValueError: no such file, or a header without format, channels or rate."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
-    at, tag, rate, data = 12, 0, 0, b""
+    at, head, data = 12, None, b""
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-        if name == b"fmt ":
-            tag, _, rate = struct.unpack_from("<HHI", media, at + 8)
+        if name == b"fmt " and at + 24 <= len(media):
+            tag, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", media, at + 8)
+            head = (tag, channels, rate, align, bits)
         elif name == b"data":
             data = media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
-    return tag, rate, data
+    if head is None or not head[1] or not head[2]:
+        raise ValueError("the header has no format, no channels or no rate")
+    return Wave(*head, data)
+
+
+def _ima_channel(blocks: np.ndarray, channels: int, channel: int) -> np.ndarray:
+    """Samples (blocks, samples) of one channel: a predictor and an index each, then groups of four code bytes by turns."""
+    head = np.ascontiguousarray(blocks[:, 4 * channel : 4 * channel + 4])
+    first = head[:, :2].copy().view("<i2")[:, 0]
+    groups = (blocks.shape[1] - 4 * channels) // (4 * channels)
+    codes = blocks[:, 4 * channels :][:, : groups * 4 * channels].reshape(len(blocks), groups, channels, 4)[:, :, channel].reshape(len(blocks), -1)
+    return np.concatenate([first[:, None], decode_ima_blocks(codes, first, head[:, 2])], axis=1)
+
+
+def _ima_samples(wave: Wave) -> np.ndarray:
+    """(samples, channels) of IMA ADPCM blocks as long as the header says; a last, shorter block counts as well."""
+    if wave.bits != 4 or wave.align <= 4 * wave.channels:
+        raise ValueError(f"ADPCM of {wave.bits} bits in blocks of {wave.align} bytes is not known")
+    codes = np.frombuffer(wave.data, np.uint8)
+    whole = len(codes) // wave.align * wave.align
+    parts = [codes[:whole].reshape(-1, wave.align)] if whole else []
+    if len(codes) - whole > 4 * wave.channels:
+        parts.append(codes[whole:][None, :])
+    out = [np.stack([_ima_channel(x, wave.channels, c).ravel() for c in range(wave.channels)], axis=1) for x in parts]
+    return np.concatenate(out) if out else np.zeros((0, wave.channels), np.int16)
 
 
 def decode(media: bytes) -> tuple[int, np.ndarray]:
-    """Sample rate and 16-bit samples of a mu-law, A-law, IMA ADPCM or PCM file."""
-    tag, rate, data = read_wav(media)
-    codes = np.frombuffer(data, np.uint8)
-    if tag == ULAW:
-        return rate, ULAW_PCM[codes]
-    if tag == ALAW:
-        return rate, ALAW_PCM[codes]
-    if tag == PCM:
-        return rate, np.frombuffer(data[: len(data) // 2 * 2], "<i2")
-    if tag == IMA_ADPCM:
-        blocks = codes[: len(codes) // 68 * 68].reshape(-1, 68)
-        first = np.ascontiguousarray(blocks[:, :2]).view("<i2")[:, 0]
-        rest = decode_ima_blocks(blocks[:, 4:], first, blocks[:, 2])
-        return rate, np.concatenate([first[:, None], rest], axis=1).ravel().astype(np.int16)
-    raise ValueError(f"format {tag} is not known")
+    """Sample rate and 16-bit samples of a mu-law, A-law, IMA ADPCM or PCM file; channels are averaged.
+
+    ValueError: another format, other bits than 8 (companded), 8 or 16 (PCM) or 4 (ADPCM), or a
+    broken header.  Bytes behind the last whole sample are left out.
+    """
+    wave = read_wav(media)
+    if wave.tag in (ULAW, ALAW) and wave.bits == 8:
+        samples = (ULAW_PCM if wave.tag == ULAW else ALAW_PCM)[np.frombuffer(wave.data, np.uint8)]
+    elif wave.tag == PCM and wave.bits == 16:
+        samples = np.frombuffer(wave.data[: len(wave.data) // 2 * 2], "<i2")
+    elif wave.tag == PCM and wave.bits == 8:
+        samples = ((np.frombuffer(wave.data, np.uint8).astype(np.int16) - 128) << 8).astype(np.int16)
+    elif wave.tag == IMA_ADPCM:
+        samples = _ima_samples(wave).ravel()
+    else:
+        raise ValueError(f"format {wave.tag} of {wave.bits} bits is not known")
+    if wave.channels > 1:
+        samples = samples[: len(samples) // wave.channels * wave.channels].reshape(-1, wave.channels)
+        samples = np.floor_divide(samples.sum(axis=1, dtype=np.int64), wave.channels).astype(np.int16)
+    return wave.rate, samples
 
 
 def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
@@ -121,7 +163,7 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
 
 
 def to_pcm(media: DataFrame, column: str = "media", rate: int = 16000) -> DataFrame:
-    """``media`` with a column pcm: its sound as a 16-bit PCM file at ``rate``.  Null or unreadable media: null."""
+    """``media`` with a column pcm: its sound as a mono 16-bit PCM file at ``rate``.  Null or unreadable media: null."""
 
     @F.pandas_udf("binary")
     def convert(files):  # noqa: ANN001, ANN202
@@ -160,13 +202,14 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def telephony_features(stored: DataFrame, rate: int = 16000) -> DataFrame:
-    """Digests and features of stored recordings, from the bytes that are read back.
+    """Digests and features of stored recordings, from the bytes that are read back, and their sound as PCM.
 
     payload_* speak of the 8-bit samples, media_* of the file.  feature: loudness (root mean
-    square) of the samples under mu-law, A-law and ADPCM, the mu-law peak and sign changes, and
-    the CRC of the mu-law sound resampled to ``rate``.
+    square) of the samples under mu-law, A-law and ADPCM (blocks of 64 bytes that start at zero),
+    the mu-law peak and sign changes, and the CRC of the mu-law sound resampled to ``rate``.  pcm:
+    that sound as a 16-bit PCM file, to be stored.  A null doc_id stays null.
     """
-    schema = T.StructType.fromDDL("doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
@@ -176,19 +219,20 @@ def telephony_features(stored: DataFrame, rate: int = 16000) -> DataFrame:
                 raw = data.tobytes()
                 files = [raw[offsets[k] : offsets[k + 1]] for k in range(hi - lo)]
                 read = [read_wav(x) for x in files]
-                samples = np.frombuffer(b"".join(x[2] for x in read), np.uint8)
+                samples = np.frombuffer(b"".join(x.data for x in read), np.uint8)
                 nibbles = decode_ima_blocks(samples.reshape(-1, 64)).reshape(-1)
-                ends = np.cumsum([len(x[2]) for x in read])
-                columns: list[list] = [[] for _ in range(6)]
-                for (_, own, payload), media, end in zip(read, files, ends, strict=True):
+                ends = np.cumsum([len(x.data) for x in read])
+                columns: list[list] = [[] for _ in range(7)]
+                for wave, media, end in zip(read, files, ends, strict=True):
+                    payload = wave.data
                     codes = samples[end - len(payload) : end]
                     loud, other = ULAW_PCM[codes], ALAW_PCM[codes]
                     adpcm = nibbles[2 * (end - len(payload)) : 2 * end]
                     power = [np.sqrt(np.mean(np.square(x, dtype=np.float64))) for x in (loud, other, adpcm)]
                     turns = int(np.count_nonzero((loud[1:] < 0) != (loud[:-1] < 0)))
-                    sound = resample(loud, own, rate).astype("<i2").tobytes()
+                    sound = resample(loud, wave.rate, rate).astype("<i2").tobytes()
                     feature = f"rms={power[0]:.3f};alaw_rms={power[1]:.3f};adpcm_rms={power[2]:.3f};peak={int(np.abs(loud.astype(np.int32)).max())};turns={turns};pcm_crc32={zlib.crc32(sound)}"
-                    for column, value in zip(columns, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature), strict=True):
+                    for column, value in zip(columns, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, wav(PCM, sound, rate)), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), counts.slice(lo, hi - lo), *[pa.array(c, f.type) for c, f in zip(columns, list(target)[2:], strict=True)]], schema=target)
 

@@ -152,7 +152,7 @@ def _code_width(length: int, words: int | None) -> int:
 
 
 def text_samples(docs: DataFrame, length: int, window: int, width: int) -> DataFrame:
-    """doc_id, text_key and keys of every row; a key that a text has more than once stands there twice."""
+    """doc_id, text_key and keys of every row, a key as often as the text has samples with it."""
     schema = T.StructType.fromDDL("doc_id long, text_key binary, keys array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,15 +160,10 @@ def text_samples(docs: DataFrame, length: int, window: int, width: int) -> DataF
         for batch in batches:
             for lo, hi, data, offsets in byte_slices(batch.column("text"), RUN_BYTES):
                 raw, n = data.tobytes(), hi - lo
-                found = [Samples(data, offsets, length, window)]
-                if width:
-                    found.append(Samples(*coded_words(data, offsets, width), length, window))
+                found = [Samples(own, at, length, window) for _, own, at in _strings(data, offsets, width)]
                 key, owner = np.concatenate([x.key for x in found]), np.concatenate([x.owner for x in found])
                 order = np.lexsort((key, owner))
                 owner, key = owner[order], key[order]
-                same = (key[2:] == key[:-2]) & (owner[2:] == owner[:-2])
-                keep = np.concatenate([np.ones(min(2, len(key)), bool), ~same])
-                owner, key = owner[keep], key[keep]
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(key.view(np.int64))).cast(target.field(2).type)
                 names = pa.array([hashlib.md5(raw[offsets[k] : offsets[k + 1]]).digest() for k in range(n)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), names, lists], schema=target)
@@ -176,25 +171,14 @@ def text_samples(docs: DataFrame, length: int, window: int, width: int) -> DataF
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), run, schema)
 
 
-def as_strings(texts: DataFrame, width: int) -> DataFrame:
-    """text_key, in_words, text (bytes), copies, keys: each text's bytes and, with a ``width``, its coded words."""
-    schema = T.StructType.fromDDL("text_key binary, in_words boolean, text binary, copies long, keys array<long>")
+def _strings(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """A run of texts as bytes and, with a ``width``, as coded words: in_words, bytes, offsets.  Codes are never stored."""
+    yield False, data, offsets
+    if width:
+        yield True, *coded_words(data, offsets, width)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = arrow_schema(schema)
-        for batch in batches:
-            for lo, hi, data, offsets in byte_slices(batch.column("text"), RUN_BYTES):
-                rest = [batch.column(c).slice(lo, hi - lo) for c in ("copies", "keys")]
-                for in_words, (own, at) in enumerate([(data, offsets), *([coded_words(data, offsets, width)] if width else [])]):
-                    raw = own.tobytes()
-                    strings = pa.array([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-                    columns = [batch.column("text_key").slice(lo, hi - lo), pa.array([bool(in_words)] * (hi - lo)), strings, *rest]
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
-    return map_arrow(texts.select("text_key", "text", "copies", "keys"), run, schema)
-
-
-def sample_contexts(texts: DataFrame, length: int, window: int) -> DataFrame:
+def sample_contexts(texts: DataFrame, length: int, window: int, width: int) -> DataFrame:
     """key, context, reach, before (bytes up to the sample, nearest first), after (from it on), copies."""
     schema = T.StructType.fromDDL("key long, context long, reach int, before binary, after binary, copies long")
 
@@ -202,23 +186,24 @@ def sample_contexts(texts: DataFrame, length: int, window: int) -> DataFrame:
         target = arrow_schema(schema)
         for batch in batches:
             keys, copies = _key_matrix(batch.column("keys")), batch.column("copies").to_numpy()
-            for lo, hi, data, offsets in byte_slices(batch.column("text"), RUN_BYTES):
-                raw = data.tobytes()
-                found = Samples(data, offsets, length, window)
-                at = found.with_key(np.unique(np.concatenate(keys[lo:hi])))
-                if not len(at):
-                    continue
-                context = found.contexts(at)
-                # equal contexts of the run become one row
-                order = np.lexsort((context, found.key[at]))
-                at, context = at[order], context[order]
-                key = found.key[at]
-                first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1])]))
-                number = np.add.reduceat(copies[lo:hi][found.owner[at]], first)
-                place, reach, ends = found.place[at][first], found.reach[at][first], found.ends(at)[first]
-                before = [raw[p - r : p][::-1] for p, r in zip(place.tolist(), reach.tolist(), strict=True)]
-                after = [raw[p:e] for p, e in zip(place.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(context[first].view(np.int64)), pa.array(reach.astype(np.int32)), pa.array(before, pa.binary()), pa.array(after, pa.binary()), pa.array(number)], schema=target)
+            for lo, hi, text, text_offsets in byte_slices(batch.column("text"), RUN_BYTES):
+                wanted = np.unique(np.concatenate(keys[lo:hi]))
+                for _, data, offsets in _strings(text, text_offsets, width):
+                    raw, found = data.tobytes(), Samples(data, offsets, length, window)
+                    at = found.with_key(wanted)
+                    if not len(at):
+                        continue
+                    context = found.contexts(at)
+                    # equal contexts of the run become one row
+                    order = np.lexsort((context, found.key[at]))
+                    at, context = at[order], context[order]
+                    key = found.key[at]
+                    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1])]))
+                    number = np.add.reduceat(copies[lo:hi][found.owner[at]], first)
+                    place, reach, ends = found.place[at][first], found.reach[at][first], found.ends(at)[first]
+                    before = [raw[p - r : p][::-1] for p, r in zip(place.tolist(), reach.tolist(), strict=True)]
+                    after = [raw[p:e] for p, e in zip(place.tolist(), ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(context[first].view(np.int64)), pa.array(reach.astype(np.int32)), pa.array(before, pa.binary()), pa.array(after, pa.binary()), pa.array(number)], schema=target)
 
     return map_arrow(texts, run, schema)
 
@@ -288,21 +273,28 @@ def repeated_strings(contexts: DataFrame, length: int, window: int) -> DataFrame
     schema = T.StructType.fromDDL("key long, context long, marks binary")
 
     def shard(tables: list[pa.Table]) -> pa.RecordBatch:
-        table = pa.concat_tables(tables)
-        key, reach = table.column("key").to_numpy(), table.column("reach").to_numpy().astype(np.int64)
+        table = pa.concat_tables(tables).combine_chunks()
+        key, context = table.column("key").to_numpy(), table.column("context").to_numpy()
         before, after = table.column("before").to_pylist(), table.column("after").to_pylist()
+        # contexts that are equal byte by byte are one
+        maybe = np.flatnonzero((key[1:] == key[:-1]) & (context[1:] == context[:-1])).tolist()
+        again = {k + 1 for k in maybe if after[k] == after[k + 1] and before[k] == before[k + 1]}
+        first = np.array([k for k in range(len(key)) if k not in again], np.int64)
+        copies = np.add.reduceat(table.column("copies").to_numpy(), first)
+        key, context, reach = key[first], context[first], table.column("reach").to_numpy()[first].astype(np.int64)
+        before, after = [before[k] for k in first.tolist()], [after[k] for k in first.tolist()]
         group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
         after_length = np.array([len(x) for x in after])
         hits = induce(group, reach, _matrix(before, window), _matrix(after, length), after_length, length)
         full = np.zeros((len(key), window), bool)
         full[:, : hits.shape[1]] = hits
         # a context that stands in several places repeats all its strings, those that end with the text at the latest
-        several = table.column("copies").to_numpy() > 1
+        several = copies > 1
         o = np.arange(window)[None, :]
         full[several] |= (o <= reach[several][:, None]) & (o >= length - after_length[several][:, None])
         some = full.any(axis=1)
         bits = np.packbits(full[some], axis=1)
-        columns = [pa.array(key[some]), pa.array(table.column("context").to_numpy()[some]), pa.array([x.tobytes() for x in bits], pa.binary())]
+        columns = [pa.array(key[some]), pa.array(context[some]), pa.array([x.tobytes() for x in bits], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, schema=arrow_schema(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,24 +391,22 @@ def marked_contexts(contexts: DataFrame, length: int, window: int, limit: int) -
         contexts = written(_same_contexts(own))
 
 
-def _contexts_of_texts(texts: DataFrame, length: int, window: int) -> DataFrame:
-    """text_key, in_words, key, context: each string's samples with candidate keys, once each."""
-    schema = T.StructType.fromDDL("text_key binary, in_words boolean, key long, context long")
+def _placed_contexts(texts: DataFrame, length: int, window: int, width: int) -> DataFrame:
+    """text_key, in_words, place, key, context: where each string's samples with candidate keys are."""
+    schema = T.StructType.fromDDL("text_key binary, in_words boolean, place long, key long, context long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = _key_matrix(batch.column("keys"))
-            for lo, hi, data, offsets in byte_slices(batch.column("text"), RUN_BYTES):
-                found = Samples(data, offsets, length, window)
-                at = found.with_key(np.unique(np.concatenate(keys[lo:hi])))
-                if not len(at):
-                    continue
-                context, owner, key = found.contexts(at), found.owner[at], found.key[at]
-                order = np.lexsort((context, key, owner))
-                context, owner, key = context[order], owner[order], key[order]
-                first = np.concatenate([[True], (context[1:] != context[:-1]) | (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])])
-                names = [batch.column(c).slice(lo, hi - lo).take(pa.array(owner[first])) for c in ("text_key", "in_words")]
-                yield pa.RecordBatch.from_arrays([*names, pa.array(key[first].view(np.int64)), pa.array(context[first].view(np.int64))], schema=arrow_schema(schema))
+            for lo, hi, text, text_offsets in byte_slices(batch.column("text"), RUN_BYTES):
+                wanted = np.unique(np.concatenate(keys[lo:hi]))
+                for in_words, data, offsets in _strings(text, text_offsets, width):
+                    found = Samples(data, offsets, length, window)
+                    at = found.with_key(wanted)
+                    owner = found.owner[at]
+                    names = batch.column("text_key").slice(lo, hi - lo).take(pa.array(owner))
+                    columns = [found.place[at] - offsets[owner], found.key[at].view(np.int64), found.contexts(at).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([names, pa.array([in_words] * len(at), pa.bool_()), *map(pa.array, columns)], schema=arrow_schema(schema))
 
     return map_arrow(texts, run, schema)
 
@@ -428,44 +418,31 @@ def _runs(starts: np.ndarray, length: int) -> np.ndarray:
     return np.column_stack([starts[new], starts[np.append(new[1:], len(starts)) - 1] + length])
 
 
-def _marked_runs(texts: DataFrame, length: int, window: int) -> DataFrame:
-    """text_key, in_words, spans, n_removed, n_spans, kept_sha256 of strings with the marks of their contexts."""
-    schema = T.StructType.fromDDL("text_key binary, in_words boolean, spans array<long>, n_removed long, n_spans long, kept_sha256 string")
+def _marked_runs(found: DataFrame, length: int) -> DataFrame:
+    """text_key, in_words, spans, n_removed, n_spans of strings whose marks (place, base, marks) ``found`` lists."""
+    schema = T.StructType.fromDDL("text_key binary, in_words boolean, spans array<long>, n_removed long, n_spans long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = arrow_schema(schema)
         for batch in batches:
-            known = batch.column("found").to_pylist()
-            for lo, hi, data, offsets in byte_slices(batch.column("text"), RUN_BYTES):
-                found, rows = Samples(data, offsets, length, window), []
-                for k in range(lo, hi):
-                    marks: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
-                    for x in known[k]:
-                        marks.setdefault((x["key"], x["context"]), []).append((x["base"], x["marks"]))
-                    a, b = np.searchsorted(found.owner, [k - lo, k - lo + 1])
-                    at = a + np.flatnonzero(np.isin(found.key[a:b].view(np.int64), [key for key, _ in marks]))
-                    starts = []
-                    for s, key, context in zip(at.tolist(), found.key[at].view(np.int64).tolist(), found.contexts(at).view(np.int64).tolist(), strict=True):
-                        for base, bits in marks.get((key, context), ()):
-                            starts.append(found.place[s] - offsets[k - lo] - base - np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))))
-                    spans = _runs(np.concatenate(starts), length)
-                    digest, done = hashlib.sha256(), int(offsets[k - lo])
-                    for start, end in (spans + offsets[k - lo]).tolist():
-                        digest.update(data[done:start])
-                        done = end
-                    digest.update(data[done : offsets[k - lo + 1]])
-                    rows.append((batch.column("text_key")[k].as_py(), batch.column("in_words")[k].as_py(), spans.ravel(), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), digest.hexdigest()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
+            spans = []
+            for own in batch.column("found"):
+                place, base, marks = own.values.flatten()
+                first = place.to_numpy() - base.to_numpy()
+                bits = [np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8))) for x in marks.to_pylist()]
+                spans.append(_runs(np.repeat(first, [len(x) for x in bits]) - np.concatenate(bits), length))
+            sizes = [int((x[:, 1] - x[:, 0]).sum()) for x in spans]
+            columns = [[x.ravel() for x in spans], sizes, [len(x) for x in spans]]
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), batch.column("in_words"), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow_schema(schema))[2:], strict=True)]], schema=arrow_schema(schema))
 
-    return map_arrow(texts, run, schema)
+    return map_arrow(found, run, schema)
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, limit: int = GROUP_LIMIT, words: int | None = None) -> DataFrame:
-    """text_key (MD5), spans, n_removed, n_spans, kept_sha256 and words of the texts that lose bytes or words.
+    """text_key (MD5), spans, n_removed, n_spans and words of the texts that lose bytes or words.
 
     spans: where each run of removed bytes starts and ends, one after the other; words: the same
-    for words, where ``words`` asks for them (else null).  n_removed, n_spans and kept_sha256 tell
-    of the bytes alone; they are null where a text loses words only.
+    for words, where ``words`` asks for them (else null).  n_removed and n_spans tell of the bytes
+    alone; they are null where a text loses words only.
 
     Texts are UTF-8 bytes, null is empty, and matches end where a text does.  Every row counts,
     those with null doc_id as well: a text that stands in two rows repeats all its strings.
@@ -474,19 +451,28 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, li
     """
     width = _code_width(length, words)
     rows = written(text_samples(docs, length, window, width))
-    often = rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     reps = rows.groupBy("text_key").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("all_keys"))
+    # n: samples of different texts, and so contexts at most, of a key that stands in the rows more than once
+    often = reps.select("copies", F.explode("all_keys").alias("key")).groupBy("key").agg(F.sum("copies").alias("in_rows"), F.count(F.lit(1)).alias("n"))
+    often = written(often.filter("in_rows > 1").select("key", "n"))
     pairs = reps.select("text_key", "rep_id", "copies", F.explode(F.array_distinct("all_keys")).alias("key"))
-    active = written(pairs.join(often, "key").groupBy("text_key", "rep_id", "copies").agg(F.collect_list("key").alias("keys")))
+    active = written(pairs.join(often, "key").groupBy("text_key", "rep_id", "copies").agg(F.collect_list("key").alias("keys"), F.bool_or(F.col("n") > limit).alias("hot")))
     # only one row of equal texts goes on; joining on doc_id as well spreads the others
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("at"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     names = active.select("text_key", F.coalesce("rep_id", F.lit(-1)).alias("at"))
     touched = join_small(texts, names, ["text_key", "at"], names.count(), 64).dropDuplicates(["text_key"])
-    strings = written(as_strings(touched.join(active, "text_key"), width))
-    marks = marked_contexts(written(_same_contexts(sample_contexts(strings, length, window))), length, window, limit)
-    found = _contexts_of_texts(strings, length, window).join(marks, ["key", "context"])
-    found = found.groupBy("text_key", "in_words").agg(F.collect_set(F.struct("key", "context", "base", "marks")).alias("found"))
-    cut = written(_marked_runs(strings.select("text_key", "in_words", "text").join(found, ["text_key", "in_words"]), length, window))
+    with_text = written(touched.join(active, "text_key").select("text_key", "text", "copies", "keys", "hot"))
+    hot = written(often.filter(F.col("n") > limit).select("key"))
+    n_hot = hot.count()
+    # keys of few contexts go straight to their shard; those of many are merged and, if need be, divided first
+    few = join_small(sample_contexts(with_text, length, window, width), hot, ["key"], n_hot, 16, "left_anti")
+    marks = written(repeated_strings(few, length, window).withColumn("base", F.lit(0)))
+    if n_hot:
+        many = join_small(sample_contexts(with_text.filter("hot"), length, window, width), hot, ["key"], n_hot, 16, "left_semi")
+        marks = marks.unionByName(marked_contexts(written(_same_contexts(many)), length, window, limit))
+    placed = _placed_contexts(with_text, length, window, width).join(marks, ["key", "context"])
+    found = placed.groupBy("text_key", "in_words").agg(F.collect_list(F.struct("place", "base", "marks")).alias("found"))
+    cut = written(_marked_runs(found, length))
     of_bytes = cut.filter("not in_words").drop("in_words")
     if words is None:
         return of_bytes.withColumn("words", F.lit(None).cast("array<long>"))
@@ -498,23 +484,27 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, li
     return written(of_bytes.join(of_words, "text_key", "full"))
 
 
-def _without(text: str, spans: np.ndarray | None, words: np.ndarray | None) -> str:
-    """The text without some spans of bytes and of words; a character that a cut divides goes entirely."""
+def _without(text: str, spans: np.ndarray | None, words: np.ndarray | None) -> tuple[str, str]:
+    """The text without some spans of bytes and of words, and the SHA-256 of what the bytes alone leave.
+
+    A character that a cut divides goes entirely.
+    """
     data = np.frombuffer(text.encode(), np.uint8)
     keep = np.ones(len(data), bool)
     for lo, hi in np.reshape(spans, (-1, 2)) if spans is not None else ():
         keep[lo:hi] = False
+    digest = hashlib.sha256(data[keep]).hexdigest()
     if words is not None:
         starts, ends, _ = units(SPACE[data], np.array([0, len(data)]))
         for lo, hi in np.reshape(words, (-1, 2)):
             keep[starts[lo] : ends[hi - 1]] = False
-    return data[keep].tobytes().decode("utf-8", "ignore")
+    return data[keep].tobytes().decode("utf-8", "ignore"), digest
 
 
-def _kept_text() -> Column:
-    @F.pandas_udf("string")
-    def kept(texts, spans, words):  # noqa: ANN001, ANN202
-        return pd.Series([_without(*x) for x in zip(texts, spans, words, strict=True)], dtype=object)
+def _kept() -> Column:
+    @F.pandas_udf("text string, digest string")
+    def kept(texts: pd.Series, spans: pd.Series, words: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_without(*x) for x in zip(texts, spans, words, strict=True)], columns=["text", "digest"], dtype=object)
 
     return kept("text", "__spans", "__words")
 
@@ -539,7 +529,8 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, l
     names = [F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes")]
     digest = F.sha2(text.cast("binary"), 256)
     out = whole.select(*names, zero.alias("n_removed"), zero.alias("n_spans"), digest.alias("kept_sha256"), F.col("text"))
-    cut = changed.select(*names, F.coalesce("__n_removed", zero).alias("n_removed"), F.coalesce("__n_spans", zero).alias("n_spans"), F.coalesce("__kept_sha256", digest).alias("kept_sha256"), _kept_text().alias("text"))
+    changed = changed.withColumn("__kept", _kept())
+    cut = changed.select(*names, F.coalesce("__n_removed", zero).alias("n_removed"), F.coalesce("__n_spans", zero).alias("n_spans"), F.col("__kept.digest").alias("kept_sha256"), F.col("__kept.text").alias("text"))
     return out.unionByName(cut)
 
 
@@ -552,7 +543,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, wor
     they are; n_chars, where there is one, follows the text.
     """
     whole, changed = _by_change(docs, find_repeats(docs, length, window, words=words))
-    changed = changed.withColumn("text", _kept_text())
+    changed = changed.withColumn("text", _kept()["text"])
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     columns = [F.col(f"`{c}`") for c in docs.columns]

@@ -113,3 +113,9 @@ def unresolved(refs: DataFrame, targets: DataFrame, on: Sequence[str]) -> DataFr
 def version_key(version: Column) -> Column:
     """Sort key of a dotted version: its numbers, not its characters, count."""
     return F.transform(F.split(version, r"[^0-9]+"), lambda x: F.coalesce(x.try_cast("int"), F.lit(-1)))
+
+
+def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each key in the given order; the others are pruned."""
+    ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter(F.col("__n") <= n).drop("__n")

@@ -113,7 +113,7 @@ def window_classes(windows: DataFrame, outcomes: DataFrame, coverage: DataFrame,
     """
     pairs = overlap_join(windows.select(*dict.fromkeys([*on, *ids, "start", "end"])), outcomes.select(*on, "from_", "to", "ambiguous"), on, ("start", "end"), ("from_", "to"), bin_hours)
     seen = pairs.groupBy(*ids).agg(F.bool_or(F.col("from_") <= F.col("start")).alias("inside"), F.bool_or("ambiguous").alias("unclear"), F.bool_or(~F.col("ambiguous") & (F.col("from_") > F.col("start"))).alias("hit"))
-    open_ = contained(windows.select(*dict.fromkeys([*on, *ids, "start", "end"])), coverage, on, ("start", "end"), ("covered_from", "covered_to"), "left_anti").select(*ids, F.lit(True).alias("open"))
+    open_ = contained(windows.select(*dict.fromkeys([*on, *ids, "start", "end"])), coverage, on, ("start", "end"), ("covered_from", "covered_to"), "left_anti", bucket="day").select(*ids, F.lit(True).alias("open"))
     status = (
         F.when(F.col("end") > cutoff, "immature")
         .when(F.col("inside"), "censored_anchor_inside_outcome")

@@ -4,65 +4,62 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.math import fourier
-from tidemark.functions.time import HOUR_US, circular_distance, decay, hour_of_week, hours_between, micros
-from tidemark.operators.intervals import overlap_join
-
-#: Outcomes whose times travel as one array at most; a longer history needs coarser times first.
-HISTORY_LIMIT = 200_000
-
+from tidemark.functions.time import HOUR_US, circular_distance, decay, floor_hour, hour_of_week, hours_between, micros
+from tidemark.operators.intervals import asof_join
+from tidemark.operators.training import hourly_decay
 
 def _bell(distance: Column) -> Column:
     return F.exp(-0.5 * distance * distance)
 
 
-def _mean(values: Column, f) -> Column:  # noqa: ANN001
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + f(x))
-    return F.when(F.size(values) > 0, total / F.size(values)).otherwise(0.0)
-
-
 def recurrence(targets: DataFrame, outcomes: DataFrame, target: str, occurred: str) -> DataFrame:
     """``targets`` with renewal, daily, weekly and combined kernels of the outcomes' midpoints.
 
     renewal compares the logarithm of the age of the last outcome with those of past gaps; daily
     and weekly compare the time of day (deviation 6 h) and of week (36 h).  Without outcomes, or
     with a last one after the target, what needs it is 0.
+
+    Targets are few (a horizon).  Outcomes are summed up by minute of the week, which they count
+    in, and gaps are found day by day, the first of a day from the day before; each gap meets the
+    targets where it is, in partial averages.
     """
-    times = outcomes.select((micros(F.col(occurred)) / F.lit(float(HOUR_US))).alias("h"))
-    history = times.agg(F.array_sort(F.collect_list("h")).alias("__h"))
-    n = outcomes.count()
-    if n > HISTORY_LIMIT:
-        raise ValueError(f"{n} outcomes are more than {HISTORY_LIMIT}")
-    rows = targets.crossJoin(F.broadcast(history))  # a single row of counted size
-    at = micros(F.col(target)) / F.lit(float(HOUR_US))
-    gaps = F.zip_with(F.slice("__h", 2, F.greatest(F.size("__h") - 1, F.lit(0))), F.slice("__h", 1, F.greatest(F.size("__h") - 1, F.lit(0))), lambda b, a: b - a)
-    age = at - F.element_at("__h", -1)
+    few = F.broadcast(targets.select(target, (micros(F.col(target)) / F.lit(float(HOUR_US))).alias("__at")).distinct())
+    times = outcomes.select(F.col(occurred).alias("__t"), F.date_trunc("day", occurred).alias("__day"))
+    days = times.groupBy("__day").agg(F.max("__t").alias("__last"))
+    last_before = F.max("__last").over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))  # a row a day
+    days = days.select("__day", last_before.alias("__before"))
+    own = Window.partitionBy("__day").orderBy("__t")
+    with_gaps = times.join(days, "__day").withColumn("__from", F.coalesce(F.lag("__t").over(own), "__before"))
+    gaps = with_gaps.filter("__from is not null").select(((micros(F.col("__t")) - micros(F.col("__from"))) / F.lit(float(HOUR_US))).alias("__gap"))
+    last = times.agg((micros(F.max("__t")) / F.lit(float(HOUR_US))).alias("__last"))
+    aged = few.crossJoin(F.broadcast(last)).withColumn("__age", F.col("__at") - F.col("__last")).filter("__age >= 0")  # a single row
+    renewal = gaps.crossJoin(F.broadcast(aged)).groupBy(target).agg(F.avg(_bell(F.log1p("__age") - F.log1p("__gap"))).alias("renewal"))
     # hour 0 of the epoch was a Thursday, 72 hours after a Monday
-    clock, week = at % 24, (at + 72) % 168
-    rows = rows.withColumn("__age", F.when(F.size("__h") > 0, age)).withColumn("__gaps", F.when(F.size("__h") > 1, gaps).otherwise(F.array().cast("array<double>")))
-    whole_minutes = F.transform("__h", lambda x: F.floor(x * 60 + 1e-6) / 60)
-    return rows.withColumns(
-        {
-            "renewal": F.when(F.col("__age") >= 0, _mean(F.col("__gaps"), lambda g: _bell(F.log1p(F.col("__age")) - F.log1p(g)))).otherwise(0.0),
-            "daily": _mean(whole_minutes, lambda x: _bell(circular_distance(clock, x % 24, 24) / 6)),
-            "weekly": _mean(whole_minutes, lambda x: _bell(circular_distance(week, (x + 72) % 168, 168) / 36)),
-        }
-    ).withColumn("combined", F.col("renewal") + F.col("daily") + 0.5 * F.col("weekly")).drop("__h", "__age", "__gaps")
+    minute = F.pmod(F.floor(micros(F.col("__t")) / 60_000_000 + 1e-6) + 72 * 60, F.lit(168 * 60))
+    weekly = times.groupBy((minute / 60).alias("__m")).agg(F.count(F.lit(1)).alias("__k"))  # at most 10,080 rows
+    week = F.pmod(F.col("__at") + 72, F.lit(168.0))
+    near = {"daily": _bell(circular_distance(week % 24, F.col("__m") % 24, 24) / 6), "weekly": _bell(circular_distance(week, F.col("__m"), 168) / 36)}
+    kernels = weekly.crossJoin(few).groupBy(target).agg(*[(F.sum(F.col("__k") * k) / F.sum("__k")).alias(n) for n, k in near.items()])
+    out = targets.join(renewal, target, "left").join(kernels, target, "left")
+    out = out.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in ("renewal", "daily", "weekly")})
+    return out.withColumn("combined", F.col("renewal") + F.col("daily") + 0.5 * F.col("weekly"))
 
 
 def decayed(targets: DataFrame, evidence: DataFrame, target: str, time: str, incident: Column, rival: Column, days: int = 14) -> DataFrame:
-    """``targets`` with incident (sum, half-life 24 h) and rival (maximum, 36 h) of evidence at most ``days`` old.
+    """``targets`` (full hours) with incident (sum, half-life 24 h) and rival (maximum, 36 h) of evidence at most ``days`` old.
 
-    Sums and maxima are taken over a binned range join, partially before the exchange.
+    The sum comes from hourly sums, as decay is linear; the maximum from the last rival before the
+    target alone, as nothing decays less.  Evidence counts from the moment after it on.
     """
-    own = targets.select(target).distinct().withColumn("__t2", F.col(target) + F.expr("interval 1 microsecond")).withColumn("__all", F.lit(1))
-    valid = evidence.select(F.col(time).alias("__from"), (F.col(time) + F.expr(f"interval {days} days 1 microsecond")).alias("__to"), incident.alias("__incident"), rival.alias("__rival"), F.lit(1).alias("__all"))
-    pairs = overlap_join(own, valid.filter("__incident or __rival"), ["__all"], (target, "__t2"), ("__from", "__to"), 24)
-    age = hours_between(F.col(target), F.col("__from"))
-    sums = pairs.groupBy(target).agg(F.sum(F.when(F.col("__incident"), decay(age, 24))).alias("incident_decay"), F.max(F.when(F.col("__rival"), decay(age, 36))).alias("rival_decay"))
-    out = targets.join(sums, target, "left")
-    return out.withColumn("incident_decay", F.coalesce("incident_decay", F.lit(0.0))).withColumn("rival_decay", F.coalesce("rival_decay", F.lit(0.0)))
+    sums = hourly_decay(evidence.filter(incident), [], time, 24.0, days * 24).withColumnsRenamed({"slot": target, "decayed": "incident_decay"})
+    last = evidence.filter(rival).groupBy(floor_hour(F.col(time))).agg(F.max(time).alias("__rival")).select("__rival")
+    out = asof_join(targets.join(sums, target, "left"), last, [], target, "__rival", ["__rival"], bucket="day")
+    age = hours_between(F.col(target), F.col("__rival"))
+    rival_decay = F.when(age <= days * 24, decay(age, 36)).otherwise(0.0)
+    return out.withColumns({"incident_decay": F.coalesce("incident_decay", F.lit(0.0)), "rival_decay": F.coalesce(rival_decay, F.lit(0.0))}).drop("__rival")
 
 
 def calendar(df: DataFrame, target: str) -> DataFrame:

@@ -51,29 +51,42 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_rang
     return joined.filter((F.col(ls) < F.col(re)) & (F.col(le) > F.col(rs)) & (F.col("__bin") == first)).drop("__bin")
 
 
-def contained(windows: DataFrame, merged: DataFrame, on: Sequence[str], window_range: tuple[str, str], merged_range: tuple[str, str], how: str = "left_semi") -> DataFrame:
+def contained(windows: DataFrame, merged: DataFrame, on: Sequence[str], window_range: tuple[str, str], merged_range: tuple[str, str], how: str = "left_semi", bucket: str | None = None) -> DataFrame:
     """Windows inside one merged interval (or, with left_anti, those that are not).
 
     Merged intervals of a key do not overlap, so only the last that starts by the window's start
-    can hold it: a backward as-of search, not a range join.
+    can hold it: a backward as-of search, not a range join.  ``bucket``: see ``asof_join``.
     """
     (ws, we), (ms, me) = window_range, merged_range
-    found = asof_join(windows, merged.select(*on, F.col(ms).alias("__ms"), F.col(me).alias("__me")), on, ws, "__ms", ["__me"], strict=False)
+    found = asof_join(windows, merged.select(*on, F.col(ms).alias("__ms"), F.col(me).alias("__me")), on, ws, "__ms", ["__me"], strict=False, bucket=bucket)
     inside = F.coalesce(F.col("__me") >= F.col(we), F.lit(False))
     return found.filter(inside if how == "left_semi" else ~inside).drop("__me")
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, values: Sequence[str], strict: bool = True) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, values: Sequence[str], strict: bool = True, bucket: str | None = None) -> DataFrame:
     """``left`` with ``values`` of the last right row of the same key before (or, unless strict, at) its time.
 
     One exchange: both sides are sorted together and the last value is carried on.  Among right
     rows of one time the one with the greatest values counts.
+
+    ``bucket``, such as day: for keys with very many rows, or none at all.  Rows are sorted within
+    buckets of time, and the last right row of each bucket (one row a bucket) is carried over.
     """
     packed = F.struct(*[F.col(v) for v in values])
     a = left.select(*on, F.col(left_time).alias("__t"), F.lit(0 if strict else 1).alias("__side"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(right.select(packed.alias("x")).schema[0].dataType).alias("__right"))
     b = right.select(*on, F.col(right_time).alias("__t"), F.lit(1 if strict else 0).alias("__side"), F.lit(None).cast(a.schema["__left"].dataType).alias("__left"), packed.alias("__right"))
-    in_time = Window.partitionBy(*on).orderBy("__t", "__side", "__right").rowsBetween(Window.unboundedPreceding, 0)
-    carried = a.unionByName(b).withColumn("__last", F.last("__right", ignorenulls=True).over(in_time))
+    both = a.unionByName(b)
+    if bucket is None:
+        in_time = Window.partitionBy(*on).orderBy("__t", "__side", "__right").rowsBetween(Window.unboundedPreceding, 0)
+        carried = both.withColumn("__last", F.last("__right", ignorenulls=True).over(in_time))
+    else:
+        both = both.withColumn("__bucket", F.date_trunc(bucket, "__t"))
+        ends = both.groupBy(*on, "__bucket").agg(F.max(F.when(F.col("__right").isNotNull(), F.struct("__t", "__right"))).alias("__end"))
+        earlier = Window.partitionBy(*on).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*on, "__bucket", F.last("__end", ignorenulls=True).over(earlier)["__right"].alias("__before"))
+        in_time = Window.partitionBy(*on, "__bucket").orderBy("__t", "__side", "__right").rowsBetween(Window.unboundedPreceding, 0)
+        carried = both.withColumn("__own", F.last("__right", ignorenulls=True).over(in_time)).join(ends, [*on, "__bucket"])
+        carried = carried.withColumn("__last", F.coalesce("__own", "__before"))
     return carried.filter(F.col("__left").isNotNull()).select("__left.*", *[F.col(f"__last.{v}").alias(v) for v in values])
 
 

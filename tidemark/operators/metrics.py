@@ -33,10 +33,11 @@ def bin_by_floor(p: Column, count: int = 10) -> Column:
     return F.least(F.lit(count - 1), F.floor(p * count)).cast("int")
 
 
-def reliability(df: DataFrame, p: str, label: str, bins: Column, count: int = 10) -> DataFrame:
-    """bin, n, mean_probability, observed_rate; empty bins stay, with nulls."""
-    found = df.groupBy(bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_probability"), F.avg(F.col(label).cast("double")).alias("observed_rate"))
-    return _bins(df, count).join(F.broadcast(found), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean_probability", "observed_rate")
+def reliability(df: DataFrame, p: str, label: str, bins: Column, count: int = 10, extra: dict[str, Column] | None = None) -> DataFrame:
+    """bin, n, mean_probability, observed_rate and the aggregates of ``extra``; empty bins stay, with nulls."""
+    more = extra or {}
+    found = df.groupBy(bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_probability"), F.avg(F.col(label).cast("double")).alias("observed_rate"), *[c.alias(k) for k, c in more.items()])
+    return _bins(df, count).join(F.broadcast(found), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean_probability", "observed_rate", *more)
 
 
 def scores(df: DataFrame, p: str, label: str, baseline: str, empty_recall: float | None = None, hit: str | None = None) -> DataFrame:
@@ -65,19 +66,32 @@ def sample_gate(metrics: DataFrame, windows: int = 1008, events: int = 20) -> Da
     return metrics.withColumn("sample_sufficient", (F.col("n") >= windows) & (F.col("events") >= events))
 
 
-def ranked(df: DataFrame, p: str, tie: str, sums: dict[str, Column], buckets: int = 1024) -> DataFrame:
-    """``df`` with rank (1 for the highest p; ties by ``tie``) and running totals of ``sums`` in that order."""
-    bucket = F.least(F.lit(buckets - 1), F.floor(F.col(p) * buckets)).cast("int")
-    placed = df.withColumn("__bucket", bucket)
-    totals = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__{k}") for k, c in sums.items()])
-    above = Window.orderBy(F.col("__bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+def _edges(df: DataFrame, column: str, count: int) -> Column:
+    return F.array_distinct(F.percentile_approx(F.col(column).cast("double"), F.array(*[F.lit((i + 1) / count) for i in range(count - 1)]), 10 * count))
+
+
+def ranked(df: DataFrame, p: str, tie: str, sums: dict[str, Column], buckets: int = 256) -> DataFrame:
+    """``df`` with rank (1 for the highest p; ties by ``tie``) and running totals of ``sums`` in that order.
+
+    Rows are dealt by approximate quantiles of p, however p is distributed.  A value at a quantile
+    is a bucket of its own and is dealt once more by quantiles of ``tie``, so that a value that
+    most rows have is spread too.  Sums of the buckets (as many as the parameter allows) are added up.
+    """
+    edges = df.agg(_edges(df, p, buckets).alias("__p"), _edges(df, tie, buckets).alias("__t"))
+    placed = df.crossJoin(F.broadcast(edges))  # a single row
+    exact = F.array_contains("__p", F.col(p).cast("double"))
+    above = F.size(F.filter("__p", lambda e: e > F.col(p).cast("double")))
+    placed = placed.withColumn("__bucket", 2 * above + exact.cast("int"))
+    placed = placed.withColumn("__sub", F.when(exact, F.size(F.filter("__t", lambda e: e < F.col(tie).cast("double")))).otherwise(0)).drop("__p", "__t")
+    totals = placed.groupBy("__bucket", "__sub").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__{k}") for k, c in sums.items()])
+    before = Window.orderBy("__bucket", "__sub").rowsBetween(Window.unboundedPreceding, -1)
     names = ["n", *sums]
-    first = totals.select("__bucket", *[F.coalesce(F.sum(f"__{k}").over(above), F.lit(0)).alias(f"__{k}") for k in names])  # at most ``buckets`` rows
-    own = Window.partitionBy("__bucket").orderBy(F.col(p).desc(), F.col(tie))
+    first = totals.select("__bucket", "__sub", *[F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)).alias(f"__{k}") for k in names])
+    own = Window.partitionBy("__bucket", "__sub").orderBy(F.col(p).desc(), F.col(tie))
     running = own.rowsBetween(Window.unboundedPreceding, 0)
-    joined = placed.join(F.broadcast(first), "__bucket")
+    joined = placed.join(F.broadcast(first), ["__bucket", "__sub"])  # a row a bucket
     values = {"rank": F.col("__n") + F.row_number().over(own)} | {k: F.col(f"__{k}") + F.sum(c).over(running) for k, c in sums.items()}
-    return joined.withColumns(values).drop("__bucket", *[f"__{k}" for k in names])
+    return joined.withColumns(values).drop("__bucket", "__sub", *[f"__{k}" for k in names])
 
 
 def average_precision(df: DataFrame, p: str, label: str, tie: str) -> DataFrame:
@@ -87,24 +101,40 @@ def average_precision(df: DataFrame, p: str, label: str, tie: str) -> DataFrame:
     return rows.agg(F.sum(F.col(label).cast("long")).alias("positives"), F.avg(hit).alias("average_precision"))
 
 
-def platt_fit(df: DataFrame, p: str, label: str, iterations: int = 30, ridge: float = 1e-6) -> tuple[float, float]:
-    """Intercept and slope of the logistic recalibration of logit(p), by Newton steps of one aggregation each."""
-    rows = df.select(clamp(logit(F.col(p)), -30, 30).alias("x"), F.col(label).cast("double").alias("y"))
-    a, b = 0.0, 1.0
-    for _ in range(iterations):
+def platt_fit(df: DataFrame, p: str, label: str, iterations: int = 30, ridge: float = 1e-6) -> tuple[float | None, float | None]:
+    """Intercept and slope of the logistic recalibration of logit(p), by Newton steps of one aggregation each.
+
+    A step that would lower the likelihood is halved.  Both are kept between -30 and 30, and null
+    where only one label occurs.
+    """
+    rows = df.select(logit(F.col(p)).alias("x"), F.col(label).cast("double").alias("y"))
+
+    def sums(a: float, b: float) -> tuple:
         z = clamp(F.lit(a) + F.lit(b) * F.col("x"), -30, 30)
         q = 1 / (1 + F.exp(-z))
         r, w, x = F.col("y") - q, q * (1 - q), F.col("x")
-        g0, g1, h00, h01, h11 = rows.agg(F.sum(r), F.sum(r * x), F.sum(w), F.sum(w * x), F.sum(w * x * x)).first()
-        if g0 is None:
-            break
+        value = F.sum(F.when(F.col("y") == 1, F.log(q)).otherwise(F.log1p(-q)))
+        return rows.agg(value, F.sum(r), F.sum(r * x), F.sum(w), F.sum(w * x), F.sum(w * x * x), F.sum("y"), F.count("y")).first()
+
+    a, b = 0.0, 1.0
+    now = sums(a, b)
+    if not now[6] or now[6] == now[7]:
+        return None, None
+    for _ in range(iterations):
+        value, g0, g1, h00, h01, h11 = now[:6]
         h00, h11 = h00 + ridge, h11 + ridge
         det = h00 * h11 - h01 * h01
-        if not det > 0:
+        if abs(det) < 1e-12:
             break
         da, db = (g0 * h11 - g1 * h01) / det, (g1 * h00 - g0 * h01) / det
-        a, b = a + da, b + db
-        if max(abs(da), abs(db)) < 1e-10:
+        for _ in range(40):
+            new_a, new_b = min(30.0, max(-30.0, a + da)), min(30.0, max(-30.0, b + db))
+            now = sums(new_a, new_b)
+            if now[0] >= value - 1e-12 * abs(value):
+                break
+            da, db = da / 2, db / 2
+        a, b = new_a, new_b
+        if max(abs(da), abs(db)) < 1e-8:
             break
     return a, b
 
@@ -142,21 +172,66 @@ def distribution_summary(df: DataFrame, p: str, points: int = 5) -> DataFrame:
     return s.select("n", "mean", "deviation", "minimum", "maximum", low2.cast("int").alias("low_percent"), high2.cast("int").alias("high_percent"), threshold.cast("int").alias("threshold_percent"))
 
 
+def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], bins: int = 4096, few: int = 10_000) -> list[float]:
+    """The values of given ranks (from 0) in ascending order, exactly, by nested histograms.
+
+    Each step counts the bins of a range (at most ``bins`` rows come to the driver) and goes on in
+    the bin that holds the rank, until it has ``few`` distinct values at most.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    out = []
+    for rank in ranks:
+        span = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).first()
+        lo, hi, n, below = span["lo"], span["hi"], span["n"], 0
+        while n > few and lo < hi:
+            inside = values.filter(F.col("v").between(lo, hi))
+            number = F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / (hi - lo) * bins))
+            for r in inside.groupBy(number.alias("b")).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect():
+                if below + r["n"] > rank:
+                    stuck = (r["lo"], r["hi"]) == (lo, hi)
+                    lo, hi, n = r["lo"], r["hi"], r["n"]
+                    break
+                below += r["n"]
+            if stuck:  # the range is too narrow for doubles to divide: few distinct values are left
+                break
+        for r in values.filter(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("v").alias("n")).orderBy("v").collect():
+            if below + r["n"] > rank:
+                out.append(r["v"])
+                break
+            below += r["n"]
+    return out
+
+
+def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """Linearly interpolated quantiles (type 7); null without values."""
+    n = df.filter(F.col(column).isNotNull()).count()
+    if not n:
+        return [None] * len(shares)
+    out = []
+    for share in shares:
+        at = share * (n - 1)
+        a, b = order_statistics(df, column, [math.floor(at), math.ceil(at)])
+        out.append(a + (b - a) * (at - math.floor(at)))
+    return out
+
+
 def bandwidth(df: DataFrame, p: str) -> DataFrame:
     """Silverman's rule on exact linear quantiles, kept between 0.01 and 0.15."""
-    s = df.agg(F.count(p).alias("n"), F.stddev_pop(p).alias("deviation"), F.percentile(p, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    spread = (F.col("q")[1] - F.col("q")[0]) / 1.34
+    low, high = (F.lit(q).cast("double") for q in quantiles(df, p, (0.25, 0.75)))
+    s = df.agg(F.count(p).alias("n"), F.stddev_pop(p).alias("deviation"))
+    spread = (high - low) / 1.34
     narrow = F.when(spread > 0, F.least(F.col("deviation"), spread)).otherwise(F.col("deviation"))
-    return s.select("n", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q75"), clamp(0.9 * narrow * F.pow(F.col("n").cast("double"), F.lit(-0.2)), 0.01, 0.15).alias("bandwidth"))
+    return s.select("n", low.alias("q25"), high.alias("q75"), clamp(0.9 * narrow * F.pow(F.col("n").cast("double"), F.lit(-0.2)), 0.01, 0.15).alias("bandwidth"))
 
 
-def density(df: DataFrame, p: str, grid: int = 100) -> DataFrame:
+def density(df: DataFrame, p: str, grid: int = 100, fine: int = 10_000) -> DataFrame:
     """x and density of a Gaussian kernel estimate reflected at 0 and 1, on grid + 1 points.
 
-    Rows of one probability count together first; every remaining one meets the points of the grid.
+    Rows within 1 / ``fine`` of each other count together, at their mean, so that at most
+    ``fine`` + 1 rows meet the points of the grid.
     """
     h = bandwidth(df, p).select("n", "bandwidth")
-    counts = df.groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(h))  # a single row
+    counts = df.groupBy(F.floor(F.col(p) * fine + 1e-9).alias("__bin")).agg(F.avg(p).alias("p"), F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(h))  # a single row
     points = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid))))
     x = F.col("i") / F.lit(float(grid))
 

@@ -58,10 +58,11 @@ def gap_sessions(df: DataFrame, keys: Sequence[str], time: str, tie: str, hours:
 def _fold(df: DataFrame, keys: Sequence[str], time: str, tie: str, starts: Column, name: str, kind: T.DataType, stepper) -> DataFrame:  # noqa: ANN001
     """A column of what ``stepper()`` says of each row in order, given its time (micros), whether a piece starts there, and its tie.
 
-    Rows stay where the window that found the pieces has put and sorted them; a task folds its
-    rows in one pass and holds one batch of them, however long a key's history is.
+    Rows are dealt by key and sorted (where the window that found the pieces has done so already,
+    that costs nothing); a task folds its rows in one pass and holds one batch of them, however
+    long a key's history is.
     """
-    marked = df.withColumn("__starts", starts).sortWithinPartitions(*keys, time, tie)
+    marked = df.withColumn("__starts", starts).repartition(*keys).sortWithinPartitions(*keys, time, tie)
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -61,11 +61,10 @@ a AS (SELECT hour, p, CASE WHEN EXISTS (SELECT 1 FROM events WHERE event_type =
 
 
 def calibration_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten reliability bins of the four-hour-ahead forecast, with each bin's share of the Brier score."""
+    """Ten reliability bins of the four-hour-ahead forecast, with each bin's Brier score."""
     a = anchors(spark, sf_dir).withColumn("se", F.pow(F.col("p") - F.col("y"), F.lit(2.0)))
-    bins = metrics.reliability(a, "p", "y", metrics.bin_by_edges(F.col("p")))
-    brier = a.groupBy(metrics.bin_by_edges(F.col("p")).alias("bin")).agg(F.avg("se").alias("brier"))
-    return bins.join(F.broadcast(brier), "bin", "left").select("bin", "n", r6("mean_probability"), r6("observed_rate"), r6("brier"))
+    bins = metrics.reliability(a, "p", "y", metrics.bin_by_edges(F.col("p")), extra={"brier": F.avg("se")})
+    return bins.select("bin", "n", r6("mean_probability"), r6("observed_rate"), r6("brier"))
 
 
 def survival_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +82,10 @@ def first_event_mass_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refractory_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = daily_hours(spark, sf_dir).withColumn("all", F.lit(1))
+    h = daily_hours(spark, sf_dir)
     # of each hour only the last purchase can be the last one before a full hour, so that the carry sees one row an hour
-    bought = table(spark, sf_dir, "events").filter("event_type = 'purchase' and value >= 200").groupBy(tm.floor_hour(F.col("ts"))).agg(F.max("ts").alias("at")).select(F.lit(1).alias("all"), "at")
-    out = intervals.asof_join(h, bought, ["all"], "hour", "at", ["at"])
+    bought = table(spark, sf_dir, "events").filter("event_type = 'purchase' and value >= 200").groupBy(tm.floor_hour(F.col("ts"))).agg(F.max("ts").alias("at")).select("at")
+    out = intervals.asof_join(h, bought, [], "hour", "at", ["at"], bucket="day")
     factor = hazard.refractory(tm.hours_between(F.col("hour"), F.col("at")))
     return out.select("hour", r6(factor, "factor"), r6(F.col("hazard") * factor, "hazard_after"))
 
@@ -104,7 +103,7 @@ def settlement_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = intervals.overlap_join(h, big, ["all"], ("hour", "until"), ("at", "at_end"), 4).select("hour").distinct().withColumn("hit", F.lit(True))
     seen = table(spark, sf_dir, "events").filter("event_type = 'view'").select(F.lit(1).alias("all"), F.col("ts").alias("s"), (F.col("ts") + F.expr("interval 30 minutes")).alias("e"))
     merged = intervals.merge_intervals(seen, ["all"], "s", "e").select("all", F.col("s").alias("ms"), F.col("e").alias("me"))
-    covered = intervals.contained(h, merged, ["all"], ("hour", "until"), ("ms", "me")).select("hour").withColumn("covered", F.lit(True))
+    covered = intervals.contained(h, merged, ["all"], ("hour", "until"), ("ms", "me"), bucket="day").select("hour").withColumn("covered", F.lit(True))
     cutoff = F.lit("2024-01-29").cast("timestamp_ntz")
     status = F.when(F.col("until") > cutoff, "pending").when(F.col("hit"), "positive").when(F.col("covered"), "negative").otherwise("censored")
     return h.join(hit, "hour", "left").join(covered, "hour", "left").select("hour", status.alias("status"))
@@ -115,7 +114,7 @@ def reliability_bins_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reliability_bins_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.reliability(rows(spark, sf_dir).filter("p < 0.65"), "p", "y", metrics.bin_by_floor(F.col("p"))).select("bin", "n", r6("mean_probability"), r6("observed_rate"))
+    return metrics.reliability(rows(spark, sf_dir), "p", "y", metrics.bin_by_floor(F.col("p"))).select("bin", "n", r6("mean_probability"), r6("observed_rate"))
 
 
 def brier_logloss_ece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,10 +176,10 @@ def weighted_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def standardise_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logistic score of each order's lines from winsorised z-scores of two columns."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").cast("double").alias("x"))
-    s = {r["feature"]: r for r in metrics.standardisation(lines, ["q", "x"]).collect()}  # one row a feature
-    z = [mt.winsorised(F.col(c), s[c]["mean"], s[c]["scale"]) for c in ("q", "x")]
+    s = metrics.standardisation(lines, ["q", "x"]).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "scale")))).alias("s"))  # two entries
+    z = [mt.winsorised(F.col(c), F.col("s")[c]["mean"], F.col("s")[c]["scale"]) for c in ("q", "x")]
     score = mt.sigmoid(F.lit(-1.0) + mt.dot(F.array(*z), [0.5, 0.25]))
-    return lines.groupBy("l_orderkey").agg(F.round(F.avg(score), 6).alias("score"))
+    return lines.crossJoin(F.broadcast(s)).groupBy("l_orderkey").agg(F.round(F.avg(score), 6).alias("score"))
 
 
 def top_per_week(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,7 +301,7 @@ ORACLES = {
     "authority_mixture": f"WITH {HOURS}, m AS (SELECT hour, CAST(hour AS DATE) AS d, coalesce(product(1 - hazard) OVER ({_DAY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) * hazard AS mass, greatest(0, least(epoch_us(hour) + 3600000000, epoch_us(date_trunc('day', hour) + INTERVAL 11 HOUR)) - greatest(epoch_us(hour), epoch_us(date_trunc('day', hour) + INTERVAL 390 MINUTE))) / 3.6e9 AS share FROM h), t AS (SELECT *, share * mass AS i, sum(share * mass) OVER (PARTITION BY d) AS si, sum(share) OVER (PARTITION BY d) AS ss FROM m), x AS (SELECT *, CASE WHEN ss > 0 THEN 0.4::DOUBLE * mass + 0.6::DOUBLE * (CASE WHEN si > 0 THEN i / si ELSE share / ss END) ELSE mass END AS q FROM t), z AS (SELECT hour, q, 1 - coalesce(sum(q) OVER ({_DAY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM x) SELECT hour, round(CASE WHEN rest <= 1e-12 THEN 0 ELSE least(1, q / rest) END, 6) AS hazard_mixed FROM z",
     "settlement_labels": f"WITH {HOURS}, v AS (SELECT ts AS s, ts + INTERVAL 30 MINUTE AS e FROM events WHERE event_type = 'view'), m AS (SELECT *, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM v), i AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m), u AS (SELECT min(s) AS s, max(e) AS e FROM i GROUP BY k) SELECT hour, CASE WHEN hour + INTERVAL 4 HOUR > TIMESTAMP '2024-01-29' THEN 'pending' WHEN EXISTS (SELECT 1 FROM events WHERE event_type = 'purchase' AND value >= 200 AND ts >= hour AND ts < hour + INTERVAL 4 HOUR) THEN 'positive' WHEN EXISTS (SELECT 1 FROM u WHERE u.s <= hour AND u.e >= hour + INTERVAL 4 HOUR) THEN 'negative' ELSE 'censored' END AS status FROM h",
     "reliability_bins_edge": f"WITH {ROWS}, b AS (SELECT {_EDGE} AS bin, count(*) AS n, avg(p) AS m, avg(CAST(y AS DOUBLE)) AS o FROM e GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, coalesce(n, 0) AS n, round(m, 6) AS mean_probability, round(o, 6) AS observed_rate FROM range(10) r(i) LEFT JOIN b ON b.bin = i",
-    "reliability_bins_floor": f"WITH {ROWS}, b AS (SELECT least(9, CAST(floor(p * 10) AS INTEGER)) AS bin, count(*) AS n, avg(p) AS m, avg(CAST(y AS DOUBLE)) AS o FROM e WHERE p < 0.65::DOUBLE GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, coalesce(n, 0) AS n, round(m, 6) AS mean_probability, round(o, 6) AS observed_rate FROM range(10) r(i) LEFT JOIN b ON b.bin = i",
+    "reliability_bins_floor": f"WITH {ROWS}, b AS (SELECT least(9, CAST(floor(p * 10) AS INTEGER)) AS bin, count(*) AS n, avg(p) AS m, avg(CAST(y AS DOUBLE)) AS o FROM e GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, coalesce(n, 0) AS n, round(m, 6) AS mean_probability, round(o, 6) AS observed_rate FROM range(10) r(i) LEFT JOIN b ON b.bin = i",
     "brier_logloss_ece": f"WITH {ROWS}, q AS (SELECT *, greatest(1e-12, least(1 - 1e-12, p)) AS c FROM e), b AS (SELECT abs(sum(p) - sum(y)) AS g FROM e GROUP BY {_EDGE}) SELECT count(*) AS n, CAST(sum(y) AS BIGINT) AS events, round(avg((p - y) * (p - y)), 6) AS brier, round(avg((0.2::DOUBLE - y) * (0.2::DOUBLE - y)), 6) AS baseline_brier, round(1 - avg((p - y) * (p - y)) / avg((0.2::DOUBLE - y) * (0.2::DOUBLE - y)), 6) AS brier_skill, round(avg(-(y * ln(c) + (1 - y) * ln(1 - c))), 6) AS log_loss, round((SELECT sum(g) FROM b) / count(*), 6) AS ece, round(count(*) FILTER (WHERE y = 1 AND p >= 0.5) / sum(y)::DOUBLE, 6) AS recall, count(*) >= 1008 AND sum(y) >= 20 AS sample_sufficient FROM q",
     "average_precision": f"WITH {ROWS}, k AS (SELECT y, row_number() OVER v AS r, sum(y) OVER v AS f FROM e WINDOW v AS (ORDER BY p DESC, event_id ROWS UNBOUNDED PRECEDING)) SELECT CAST(sum(y) AS BIGINT) AS positives, round(avg(f / CAST(r AS DOUBLE)) FILTER (WHERE y = 1), 6) AS average_precision FROM k",
     "wilson_by_type": f"WITH g AS (SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value >= 50) AS hits FROM events GROUP BY 1) SELECT event_type, n, hits, round({_WILSON.format(n='n', k='hits')}, 6) AS low, round({_WILSON_HIGH.format(n='n', k='hits')}, 6) AS high FROM g",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import time as tm
-from tidemark.operators import features, hazard, model
+from tidemark.operators import features, hazard, model, training
 from tidemark.plans.metric_queries import HOURS, hours, r6
 from tidemark.session import table
 from tidemark.sources import records
@@ -45,8 +45,14 @@ def quality_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", q.alias("q")).select("event_id", "q.coverage", "q.max_delay_seconds", r6("q.sample_sufficiency", "sufficiency"), "q.out_of_distribution")
 
 
+def _load(evidence: DataFrame) -> DataFrame:
+    """hour and load: decayed errors that were known at each full hour."""
+    return training.hourly_decay(evidence.filter("event_type = 'error'"), [], "ts", 24.0, 240).withColumnsRenamed({"slot": "hour", "decayed": "load"})
+
+
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = features.calendar(hours(spark, sf_dir), "hour").withColumn("load", F.col("errors").cast("double"))
+    """Hours with what was known at their start; the event of an hour is its first purchase of 250 or more."""
+    h = features.calendar(hours(spark, sf_dir), "hour").join(_load(table(spark, sf_dir, "events")), "hour", "left").withColumn("load", F.coalesce("load", F.lit(0.0)))
     hit = table(spark, sf_dir, "events").filter("event_type = 'purchase' and value >= 250").groupBy(tm.floor_hour(F.col("ts")).alias("hour")).agg(F.min("event_id").alias("event"))
     return h.join(hit, "hour", "left").withColumn("exposure", F.lit(1.0))
 
@@ -63,9 +69,10 @@ def hazard_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def issued_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit before the cutoff, score 168 target hours, damp after the last outcome, derive the probability slots."""
     cutoff = F.lit(CUTOFF).cast("timestamp_ntz")
-    examples = _examples(spark, sf_dir).withColumn("load", F.lit(0.0))
-    m = model.fit(examples.filter(F.col("hour") < cutoff), FEATURES, "event", "exposure", iterations=20, tolerance=1e-4)
-    slots = features.calendar(_targets(spark), "target").withColumn("load", F.lit(0.0))
+    examples = _examples(spark, sf_dir)
+    m = model.fit(examples.filter(F.col("hour") < cutoff), FEATURES, "event", "exposure")
+    known = _load(_known(spark, sf_dir)).withColumnRenamed("hour", "target")
+    slots = features.calendar(_targets(spark), "target").join(known, "target", "left").withColumn("load", F.coalesce("load", F.lit(0.0)))
     scored = model.score(slots, m)
     last = _known(spark, sf_dir).filter("event_type = 'purchase' and value >= 250").agg(F.max("ts").alias("last"))
     damped = scored.crossJoin(F.broadcast(last)).withColumn("hazard", F.col("hazard") * hazard.refractory(tm.hours_between(F.col("target"), F.col("last"))))
@@ -137,6 +144,15 @@ SELECT d.target, round(coalesce(renewal, 0), 6) AS renewal, round(daily, 6) AS d
 s AS (SELECT target, sum(pow(2, -age / 24)) FILTER (WHERE event_type = 'error') AS i, max(pow(2, -age / 36)) FILTER (WHERE event_type = 'view' AND value >= 100) AS r FROM e GROUP BY target)
 SELECT t.target, round(coalesce(i, 0), 6) AS incident_decay, round(coalesce(r, 0), 6) AS rival_decay, round(sin(2 * pi() * ((isodow(t.target) - 1) * 24 + hour(t.target)) / 168), 6) + 0.0 AS weekly_sin_1, round(cos(6 * pi() * ((isodow(t.target) - 1) * 24 + hour(t.target)) / 168), 6) + 0.0 AS weekly_cos_3, round(sin(4 * pi() * hour(t.target) / 24), 6) + 0.0 AS daily_sin_2 FROM t LEFT JOIN s ON t.target = s.target""",
     "quality_steps": "WITH q AS (SELECT event_id, value / 10 AS d, event_id % 40 AS n, CASE WHEN value / 10 <= 2 THEN 1.0 WHEN value / 10 <= 6 THEN 0.8 WHEN value / 10 <= 24 THEN 0.4 ELSE 0.1 END::DOUBLE AS coverage FROM events) SELECT event_id, coverage, CAST(round(least(d, 168) * 3600) AS BIGINT) AS max_delay_seconds, round(least(1, n / 20.0::DOUBLE), 6) AS sufficiency, n < 20 OR d > 6 OR coverage < 0.5 AS out_of_distribution FROM q",
+    "hysteresis_crossings": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_id * 37 % 1000 / 1000.0::DOUBLE AS p, epoch_us(ts) // 432000000000 AS o, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS n FROM events),
+w AS (SELECT user_id, event_id, n, t, o, p > 0.7::DOUBLE AS active, false AS told, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS announcement FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN e.t <= w.t THEN w.t ELSE e.t END, CASE WHEN e.t <= w.t THEN w.o ELSE e.o END,
+    CASE WHEN e.t <= w.t THEN w.active WHEN w.active AND e.o <> w.o THEN false WHEN NOT w.active AND e.p > 0.7::DOUBLE THEN true WHEN w.active AND e.p <= 0.7::DOUBLE - 0.05::DOUBLE THEN false ELSE w.active END,
+    CASE WHEN e.t <= w.t THEN w.told WHEN w.active AND e.o <> w.o THEN false WHEN NOT w.active AND e.p > 0.7::DOUBLE THEN true WHEN w.active AND e.p <= 0.7::DOUBLE - 0.05::DOUBLE THEN false ELSE w.told END,
+    CASE WHEN e.t <= w.t THEN NULL WHEN w.active AND e.o <> w.o THEN 'outcome_revision_closed_episode' WHEN NOT w.active AND e.p > 0.7::DOUBLE THEN 'probability_above_threshold' WHEN w.active AND e.p <= 0.7::DOUBLE - 0.05::DOUBLE THEN 'probability_below_hysteresis_threshold' END,
+    CASE WHEN e.t <= w.t THEN NULL WHEN w.active AND (e.o <> w.o OR e.p <= 0.7::DOUBLE - 0.05::DOUBLE) THEN CASE WHEN w.told THEN 'closed' END WHEN NOT w.active AND e.p > 0.7::DOUBLE THEN 'opened' END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT user_id AS subscriber, CAST(event_id AS VARCHAR) AS prediction, reason, announcement FROM w WHERE announcement IS NOT NULL""",
     "minute_latency_hist_p95": f"SELECT CAST(ts AS DATE) AS day, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS failures, {_P95} AS p95 FROM events GROUP BY 1",
     "sliding_5min": "SELECT date_trunc('minute', ts) - to_minutes(CAST(k AS INTEGER)) AS window_start, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS failures, max(value) AS largest FROM events, range(5) r(k) GROUP BY 1",
     "publication_ledger": "WITH c AS (SELECT event_id, user_id || '|' || strftime(ts, '%Y-%m-%d') AS delivery_key, ts FROM events WHERE event_type = 'error'), f AS (SELECT *, row_number() OVER (PARTITION BY delivery_key ORDER BY ts, event_id) AS k FROM c) SELECT CAST(event_id AS VARCHAR) AS event_id, delivery_key, row_number() OVER (ORDER BY ts, event_id) AS sequence FROM f WHERE k = 1",

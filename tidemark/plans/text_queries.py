@@ -23,7 +23,7 @@ def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     tokens = text.topic_tokens(F.col("text"))
     return docs.select("doc_id", F.size(tokens).alias("n"), F.array_join(F.slice(tokens, 1, 5), " ").alias("first"))
 
@@ -99,11 +99,17 @@ _STEM = "CASE " + " ".join(f"WHEN suffix(x, '{s}') AND length(x) - {len(s)} >= 4
 _TOKENS = f"list_transform(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_-]+'), lambda x: length(x) >= 4 AND x NOT IN ({_STOP})), lambda x: {_STEM})"
 _CASE = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{label}'" for p, label in DOC_RULES) + " ELSE 'other' END"
 
+_TAGLESS = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|section|article|blockquote)\s*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g')"""
+_PLAIN = "regexp_replace(replace(replace(replace(replace(" + _TAGLESS + r", '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '[ \t\x{a0}\r\f]+', ' ', 'g')".replace('\\"', '"')
+
 ORACLES = {
     "classify_rules": f"SELECT doc_id, {_CASE} AS class, coalesce(nullif(concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{label}' END" for p, label in DOC_RULES[:3]) + "), ''), 'none') AS tags FROM documents",
-    "topic_tokens": f"WITH w AS (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE lang = 'en'), d AS (SELECT doc_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM w) SELECT doc_id, CAST(len(t) AS INTEGER) AS n, array_to_string(t[1:5], ' ') AS first FROM d",
+    "topic_tokens": f"WITH w AS (SELECT doc_id, {_TOKENS} AS t FROM documents), d AS (SELECT doc_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM w) SELECT doc_id, CAST(len(t) AS INTEGER) AS n, array_to_string(t[1:5], ' ') AS first FROM d",
     "topic_tokens_all": f"WITH w AS (SELECT doc_id, {_TOKENS} AS t FROM documents), d AS (SELECT doc_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM w) SELECT doc_id, CAST(len(t) AS INTEGER) AS n, array_to_string(t, ' ') AS tokens FROM d",
     "array_intersect_topics": f"WITH w AS (SELECT doc_id, list_distinct({_TOKENS}) AS t FROM documents) SELECT a.doc_id, len(list_intersect(a.t, b.t)) >= 2 AS shared FROM w a JOIN w b ON b.doc_id = a.doc_id + 1",
+    "sentence_counts": "WITH s AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?。！？])\\s*', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents) SELECT doc_id, CAST(len(p) AS INTEGER) AS n, len(list_filter(p, lambda x: regexp_matches(x, '(?i)\\breserved\\b'))) > 0 AS legal FROM s",
+    "html_to_text": f"SELECT page_id, trim(regexp_replace(regexp_replace({_PLAIN}, ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')) AS text FROM pages",
+    "copy_wave_roots": "WITH RECURSIVE d AS (SELECT doc_id, md5(text) AS c, source IS NOT DISTINCT FROM 'src0' AS again, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS n FROM documents), w AS (SELECT doc_id, c, n, doc_id AS root FROM d WHERE n = 1 UNION ALL SELECT d.doc_id, d.c, d.n, CASE WHEN d.again OR d.doc_id - w.doc_id > 72 OR d.doc_id - w.root > 72 THEN d.doc_id ELSE w.root END FROM w JOIN d ON d.c IS NOT DISTINCT FROM w.c AND d.n = w.n + 1) SELECT doc_id, root AS wave_root FROM w",
     "url_route_class": "WITH p AS (SELECT page_id, coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '') AS path FROM pages) SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(path, '(?i){p}') THEN '{label}'" for p, label in ROUTES) + " ELSE 'other' END AS route FROM p",
     "relation_closure_3hop": "WITH t AS (SELECT conv_id, turn FROM conversations) SELECT DISTINCT a.conv_id * 1000 + a.turn AS source, a.conv_id * 1000 + a.turn - h AS target, CAST(h AS INTEGER) AS hops FROM t a, (VALUES (1), (2), (3)) v(h) WHERE a.turn - h >= 0",
     "relation_contexts": "SELECT a.conv_id * 1000 + a.turn AS source, a.conv_id * 1000 + a.turn - 1 AS target, b.conv_id IS NOT NULL AS resolved, b.role FROM conversations a LEFT JOIN conversations b ON b.conv_id * 1000 + b.turn = a.conv_id * 1000 + a.turn - 1",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,17 +118,31 @@ def synthetic_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.synthetic_history(spark).select("post_id", "cycle", "published_at")
 
 
+def stream_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream's files below spark.checkpoint.dir; only a local master may leave that unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='tidemark-')}/streams/{name}-{uuid.uuid4().hex}"
+
+
 def streamed_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The minute metrics as a stream would leave them: files in, windows out, everything processed."""
+    """The hourly metrics as a stream leaves them: files in, changed windows out as Parquet, everything processed."""
     stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = tempfile.mkdtemp() if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/streams/{spark.sparkContext.applicationId}"
-    name = "tidemark_streamed_minutes"
-    query = traffic.minute_metrics(stream, "ts", "value", F.col("event_type") == "error", width="1 hour", late="10 minutes").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "requests", "failures", "largest")
+    folder = stream_folder(spark, "minutes")
+    windows = traffic.minute_metrics(stream, "ts", "value", F.col("event_type") == "error", width="1 hour", late="10 minutes")
+    traffic.keep_windows(windows, f"{folder}/table", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = traffic.latest_windows(spark.read.parquet(f"{folder}/table"))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "requests", "failures", "largest")
+
+
+def window_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each hour's number of requests changed from the hour with requests before it."""
+    hourly = traffic.minute_metrics(table(spark, sf_dir, "events"), "ts", "value", F.col("event_type") == "error", keys=["event_type"], width="1 hour")
+    return traffic.rate_of_change(hourly, ["event_type"], "window_start", "requests").select("window_start", "event_type", "change")
 
 
-QUERIES = {f.__name__: f for f in (renewal_kernel, feature_vector, quality_steps, hazard_fit, issued_forecast, minute_latency_hist_p95, sliding_5min, hysteresis_crossings, publication_ledger, synthetic_history, streamed_minutes)}
+QUERIES = {f.__name__: f for f in (renewal_kernel, feature_vector, quality_steps, hazard_fit, issued_forecast, minute_latency_hist_p95, sliding_5min, hysteresis_crossings, publication_ledger, synthetic_history, streamed_minutes, window_changes)}
 
 _TARGETS = f"t AS (SELECT TIMESTAMP '{CUTOFF}' + to_hours(CAST(i AS INTEGER)) AS target FROM range(168) r(i))"
 _DIST = "least(abs({a} - {b}) % {p}, {p} - abs({a} - {b}) % {p})"
@@ -156,6 +171,7 @@ SELECT user_id AS subscriber, CAST(event_id AS VARCHAR) AS prediction, reason, a
     "minute_latency_hist_p95": f"SELECT CAST(ts AS DATE) AS day, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS failures, {_P95} AS p95 FROM events GROUP BY 1",
     "sliding_5min": "SELECT date_trunc('minute', ts) - to_minutes(CAST(k AS INTEGER)) AS window_start, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS failures, max(value) AS largest FROM events, range(5) r(k) GROUP BY 1",
     "publication_ledger": "WITH c AS (SELECT event_id, user_id || '|' || strftime(ts, '%Y-%m-%d') AS delivery_key, ts FROM events WHERE event_type = 'error'), f AS (SELECT *, row_number() OVER (PARTITION BY delivery_key ORDER BY ts, event_id) AS k FROM c) SELECT CAST(event_id AS VARCHAR) AS event_id, delivery_key, row_number() OVER (ORDER BY ts, event_id) AS sequence FROM f WHERE k = 1",
+    "window_changes": "WITH h AS (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT window_start, event_type, n - lag(n) OVER (PARTITION BY event_type ORDER BY window_start) AS change FROM h",
     "synthetic_history": "WITH c AS (SELECT i AS id, (i // 3) * 26 + CASE i % 3 WHEN 0 THEN 0 WHEN 1 THEN 8 ELSE 16 END AS day FROM range(140) r(i)) SELECT 'demo-' || id || '-' || k AS post_id, id AS cycle, TIMESTAMP '2026-01-01 18:00:00' + to_days(CAST(day AS INTEGER)) + to_hours(h) AS published_at FROM c, (VALUES (0, -30), (1, -20), (2, -6), (3, 0), (4, 12)) v(k, h) WHERE day < 140",
     "streamed_minutes": "SELECT date_trunc('hour', ts) AS window_start, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS failures, max(value) AS largest FROM events GROUP BY 1",
 }

@@ -2,46 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.window import Window
 
+from tidemark.functions.time import micros
+
+
+KEYS = ("event_id", "delivery_key")
+
+
+def _numbered(candidates: DataFrame, last: Column, order: list[str]) -> DataFrame:
+    """``candidates`` numbered on from ``last`` (a column of a single row beside each): range partitions, their counts, a window in each.
+
+    The partition of a row follows from edges that are read once, so that a recomputed task
+    numbers its rows as before.
+    """
+    edges = candidates.agg(F.percentile_approx(micros(F.col(order[0])), F.array(*[F.lit(k / 64) for k in range(1, 64)]), 1000).alias("__edges"))
+    placed = candidates.crossJoin(F.broadcast(edges))  # a single row
+    placed = placed.withColumn("__part", F.size(F.filter(F.coalesce("__edges", F.array().cast("array<bigint>")), lambda e: e < micros(F.col(order[0]))))).drop("__edges")
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # at most 64 rows
+    firsts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    own = Window.partitionBy("__part").orderBy(*order)
+    return placed.join(F.broadcast(firsts), "__part").withColumn("sequence", (last + F.col("__first") + F.row_number().over(own)).cast("long")).drop("__part", "__first")
+
 
 def next_entries(candidates: DataFrame, ledger: DataFrame | None, order: list[str]) -> DataFrame:
     """The candidates to publish, numbered on from the ledger's last sequence.
 
     A candidate whose event_id or delivery_key is in the ledger, or earlier among the candidates,
-    is not published again.  What is left is numbered in ``order``: range partitions first, then
-    one window in each.
+    is not published again.  What is left is numbered in ``order``, whose first column is a time.
     """
-    for key in ("event_id", "delivery_key"):
+    for key in KEYS:
         first = Window.partitionBy(key).orderBy(*order)
         candidates = candidates.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
         if ledger is not None:
             candidates = candidates.join(ledger.select(key).distinct(), key, "left_anti")
-    last = (ledger.agg(F.max("sequence")).first()[0] or 0) if ledger is not None else 0
-    ranged = candidates.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
-    offsets, total = [], last
-    for part, n in sorted((r["__part"], r["n"]) for r in ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()):  # as many rows as partitions
-        offsets += [F.lit(part), F.lit(total)]
-        total += n
-    start = F.create_map(*offsets)[F.col("__part")] if offsets else F.lit(last)
-    own = Window.partitionBy("__part").orderBy(*order)
-    return ranged.withColumn("sequence", (start + F.row_number().over(own)).cast("long")).drop("__part")
+    if ledger is None:
+        return _numbered(candidates, F.lit(0), order)
+    last = ledger.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("__last"))
+    return _numbered(candidates.crossJoin(F.broadcast(last)), F.col("__last"), order).drop("__last")  # a single row
 
 
-def append(spark: SparkSession, candidates: DataFrame, path: str, order: list[str]) -> None:
-    """Publish into the table at ``path``; a batch that is repeated adds nothing."""
+def _exists(spark: SparkSession, path: str) -> bool:
     known = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = known.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(known)
-    ledger = spark.read.parquet(path) if exists else None
-    next_entries(candidates, ledger, order).write.mode("append").parquet(path)
+    return known.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(known)
 
 
 def publish(stream: DataFrame, path: str, order: list[str], checkpoint: str) -> DataStreamWriter:
-    """Writer that appends each micro-batch of ``stream``; a replayed batch finds its entries published."""
-    return stream.writeStream.foreachBatch(lambda df, _: append(df.sparkSession, df, path, order)).option("checkpointLocation", checkpoint)
+    """Writer that publishes each micro-batch of ``stream`` into the table at ``path``, a folder a batch.
+
+    What was published is known from the stream's state (keys of event_id and delivery_key), so
+    that no batch reads the ledger, but for the last sequence of the batches before it.  A batch
+    that is replayed writes its own folder anew, with the same numbers.
+    """
+
+    def append(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        last = F.lit(0)
+        if _exists(spark, path):
+            earlier = spark.read.parquet(path).filter(F.col("batch") < number).agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("s"))
+            last = F.lit(earlier.first()["s"])
+        for key in KEYS[1:]:  # rows of one batch: the state lets any of them pass first, the order decides
+            first = Window.partitionBy(key).orderBy(*order)
+            batch = batch.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+        _numbered(batch, last, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.dropDuplicates([KEYS[0]]).dropDuplicates([KEYS[1]]).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
 
 
 def page(ledger: DataFrame, after: int, limit: int, topics: list[str] | None = None) -> DataFrame:

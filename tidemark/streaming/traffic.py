@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.window import Window
 
 #: Upper bounds of the latency buckets; one more bucket takes what is above.
@@ -59,6 +60,26 @@ def rollup(minutes: DataFrame, keys: Sequence[str], period: Column) -> DataFrame
     return out.withColumn("latency", F.array(*[F.col(f"b{k}") for k in range(size)])).drop(*[f"b{k}" for k in range(size)])
 
 
+def keep_windows(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Writer that keeps changed windows as Parquet, a folder a batch; a replayed batch writes its own folder anew.
+
+    The stream runs in update mode: state of windows behind the watermark goes, and nothing but
+    what a batch changed is written.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def latest_windows(kept: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The last state of each window of a table that ``keep_windows`` wrote."""
+    columns = [c for c in kept.columns if c != "batch"]
+    return kept.groupBy("window_start", *keys).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("r.*")
+
+
 def rate_of_change(df: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
+    """``df`` with change: the value less that of the row before."""
     w = Window.partitionBy(*keys).orderBy(time)
     return df.withColumn("change", F.col(value) - F.lag(value).over(w))

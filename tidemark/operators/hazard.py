@@ -73,7 +73,3 @@ def authority_mixture(df: DataFrame, keys: Sequence[str], order: str, share: Col
     mixed = F.when(slots > 0, (1 - weight) * F.col("__mass") + weight * told).otherwise(F.col("__mass"))
     return hazards_of_mass(own.withColumn("__mixed", mixed), keys, order, "__mixed", "hazard_mixed").drop("__mass", "__share", "__in", "__mixed")
 
-
-def mixture_bands(df: DataFrame, band: str) -> DataFrame:
-    """Conditioned slots carry no interval."""
-    return df.withColumn(band, F.lit(None).cast(df.schema[band].dataType))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.math import fourier
-from tidemark.functions.time import HOUR_US, circular_distance, decay, floor_hour, hour_of_week, hours_between, micros
-from tidemark.operators.intervals import asof_join
+from tidemark.functions.time import HOUR_US, circular_distance, decay, exposure, floor_hour, hour_of_week, hours_between, micros
+from tidemark.operators.intervals import asof_join, overlapping_hours
 from tidemark.operators.training import hourly_decay
 
 def _bell(distance: Column) -> Column:
@@ -69,6 +69,22 @@ def calendar(df: DataFrame, target: str) -> DataFrame:
     return df.withColumns(dict(zip(names, waves, strict=True)))
 
 
+def asserted_overlap(targets: DataFrame, ranges: DataFrame, target: str, start: str, end: str, weight: str, most_hours: float = 48.0) -> DataFrame:
+    """``targets`` (full hours) with asserted: the weights of the ranges that touch the hour, each by the share of the hour that it covers.
+
+    Ranges of more than ``most_hours`` say too little and are left out, so that none reaches many hours.
+    """
+    length = hours_between(F.col(end), F.col(start))
+    hours = overlapping_hours(ranges.filter((length > 0) & (length <= most_hours)), start, end, target)
+    share = exposure(F.col(target), F.col(target) + F.expr("interval 1 hour"), F.col(start), F.col(end))
+    sums = hours.groupBy(target).agg(F.sum(F.col(weight) * share).alias("asserted"))
+    return targets.join(sums, target, "left").withColumn("asserted", F.coalesce("asserted", F.lit(0.0)))
+
+
+#: The features of a target hour, in the order in which a model takes them.
+VECTOR = (*(f"weekly_{f}_{k}" for k in (1, 2, 3) for f in ("sin", "cos")), *(f"daily_{f}_{k}" for k in (1, 2) for f in ("sin", "cos")), "combined", "asserted", "incident_decay", "rival_decay")
+
+
 def data_quality(delay_hours: Column, outcomes: Column, health: Column) -> Column:
     """coverage by delay (1, 0.8, 0.4, 0.1), sample sufficiency out of 20, and whether the target is out of distribution."""
     coverage = F.when(delay_hours <= 2, 1.0).when(delay_hours <= 6, 0.8).when(delay_hours <= 24, 0.4).otherwise(0.1)

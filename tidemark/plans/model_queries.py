@@ -40,6 +40,16 @@ def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("target", r6("incident_decay"), r6("rival_decay"), r6("weekly_sin_1"), r6("weekly_cos_3"), r6("daily_sin_2"))
 
 
+def full_feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fourteen features of each target hour; asserted ranges are those of large clicks, two hours to a day ahead."""
+    known = _known(spark, sf_dir)
+    ranges = known.filter("event_type = 'click' and value >= 40").select(tm.add_hours(F.col("ts"), 2).alias("from_"), tm.add_hours(F.col("ts"), F.col("value") / 4).alias("to"), (F.col("event_id") % 10 / 10.0).alias("w"))
+    out = features.recurrence(_targets(spark), known.filter("event_type = 'purchase' and value >= 250"), "target", "ts")
+    out = features.decayed(out, known, "target", "ts", F.col("event_type") == "error", (F.col("event_type") == "view") & (F.col("value") >= 100))
+    out = features.calendar(features.asserted_overlap(out, ranges, "target", "from_", "to", "w"), "target")
+    return out.select("target", *[r6(c) for c in features.VECTOR])
+
+
 def quality_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     q = features.data_quality(F.col("value") / 10, F.col("event_id") % 40, F.lit(None).cast("double"))
@@ -142,13 +152,18 @@ def window_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.rate_of_change(hourly, ["event_type"], "window_start", "requests").select("window_start", "event_type", "change")
 
 
-QUERIES = {f.__name__: f for f in (renewal_kernel, feature_vector, quality_steps, hazard_fit, issued_forecast, minute_latency_hist_p95, sliding_5min, hysteresis_crossings, publication_ledger, synthetic_history, streamed_minutes, window_changes)}
+QUERIES = {f.__name__: f for f in (renewal_kernel, feature_vector, full_feature_vector, quality_steps, hazard_fit, issued_forecast, minute_latency_hist_p95, sliding_5min, hysteresis_crossings, publication_ledger, synthetic_history, streamed_minutes, window_changes)}
 
 _TARGETS = f"t AS (SELECT TIMESTAMP '{CUTOFF}' + to_hours(CAST(i AS INTEGER)) AS target FROM range(168) r(i))"
 _DIST = "least(abs({a} - {b}) % {p}, {p} - abs({a} - {b}) % {p})"
 _BUCKETS = [None, *traffic.BOUNDS, None]
 _P95 = "CASE " + " ".join(f"WHEN count(*) FILTER (WHERE value <= {b}) >= ceil(count(*) * 0.95::DOUBLE) THEN least({b}::DOUBLE, max(value))" for b in traffic.BOUNDS) + " ELSE max(value) END"
 
+_KERNELS = f"""{_TARGETS}, o AS (SELECT epoch_us(ts) / 3.6e9 AS h, floor(epoch_us(ts) / 6e7) / 60 AS m FROM events WHERE event_type = 'purchase' AND value >= 250 AND ts <= TIMESTAMP '{CUTOFF}'),
+g AS (SELECT h - lag(h) OVER (ORDER BY h) AS g FROM o), x AS (SELECT target, epoch_us(target) / 3.6e9 AS a FROM t),
+r AS (SELECT target, avg(exp(-0.5 * pow(ln(1 + a - (SELECT max(h) FROM o)) - ln(1 + g), 2))) AS renewal FROM x, g WHERE g IS NOT NULL GROUP BY target, a),
+d AS (SELECT target, avg(exp(-0.5 * pow({_DIST.format(a='a % 24', b='m % 24', p=24)} / 6, 2))) AS daily, avg(exp(-0.5 * pow({_DIST.format(a='(a + 72) % 168', b='(m + 72) % 168', p=168)} / 36, 2))) AS weekly FROM x, o GROUP BY target)"""
+
 ORACLES = {
     "renewal_kernel": f"""WITH {_TARGETS}, o AS (SELECT epoch_us(ts) / 3.6e9 AS h, floor(epoch_us(ts) / 6e7) / 60 AS m FROM events WHERE event_type = 'purchase' AND value >= 250 AND ts <= TIMESTAMP '{CUTOFF}'),
 g AS (SELECT h - lag(h) OVER (ORDER BY h) AS g FROM o), x AS (SELECT target, epoch_us(target) / 3.6e9 AS a FROM t),
@@ -158,6 +173,12 @@ SELECT d.target, round(coalesce(renewal, 0), 6) AS renewal, round(daily, 6) AS d
     "feature_vector": f"""WITH {_TARGETS}, e AS (SELECT *, (epoch_us(target) - epoch_us(ts)) / 3.6e9 AS age FROM t JOIN events ON ts <= TIMESTAMP '{CUTOFF}' AND ts <= target AND ts >= target - INTERVAL 14 DAY),
 s AS (SELECT target, sum(pow(2, -age / 24)) FILTER (WHERE event_type = 'error') AS i, max(pow(2, -age / 36)) FILTER (WHERE event_type = 'view' AND value >= 100) AS r FROM e GROUP BY target)
 SELECT t.target, round(coalesce(i, 0), 6) AS incident_decay, round(coalesce(r, 0), 6) AS rival_decay, round(sin(2 * pi() * ((isodow(t.target) - 1) * 24 + hour(t.target)) / 168), 6) + 0.0 AS weekly_sin_1, round(cos(6 * pi() * ((isodow(t.target) - 1) * 24 + hour(t.target)) / 168), 6) + 0.0 AS weekly_cos_3, round(sin(4 * pi() * hour(t.target) / 24), 6) + 0.0 AS daily_sin_2 FROM t LEFT JOIN s ON t.target = s.target""",
+    "full_feature_vector": f"""WITH {_KERNELS}, e AS (SELECT *, (epoch_us(target) - epoch_us(ts)) / 3.6e9 AS age FROM t JOIN events ON ts <= TIMESTAMP '{CUTOFF}' AND ts <= target AND ts >= target - INTERVAL 14 DAY),
+s AS (SELECT target, sum(pow(2, -age / 24)) FILTER (WHERE event_type = 'error') AS i, max(pow(2, -age / 36)) FILTER (WHERE event_type = 'view' AND value >= 100) AS r FROM e GROUP BY target),
+c AS (SELECT epoch_us(ts) + 7200000000 AS f, epoch_us(ts) + CAST(round(value / 4 * 3.6e9) AS BIGINT) AS u, event_id % 10 / 10.0::DOUBLE AS w FROM events WHERE event_type = 'click' AND value >= 40 AND ts <= TIMESTAMP '{CUTOFF}'),
+v AS (SELECT target, sum(w * (least(u, epoch_us(target) + 3600000000) - greatest(f, epoch_us(target))) / 3.6e9) AS a FROM t JOIN c ON f < epoch_us(target) + 3600000000 AND u > epoch_us(target) AND u - f BETWEEN 1 AND 172800000000 GROUP BY target),
+z AS (SELECT t.target, (isodow(t.target) - 1) * 24 + hour(t.target) AS p, hour(t.target) AS q, coalesce(renewal, 0) + coalesce(daily, 0) + 0.5 * coalesce(weekly, 0) AS k, coalesce(a, 0) AS a, coalesce(i, 0) AS i, coalesce(s.r, 0) AS r FROM t LEFT JOIN d ON d.target = t.target LEFT JOIN r ON r.target = t.target LEFT JOIN s ON s.target = t.target LEFT JOIN v ON v.target = t.target)
+SELECT target, {', '.join(f'round({f}(2 * pi() * {k} * p / 168), 6) + 0.0 AS weekly_{f}_{k}' for k in (1, 2, 3) for f in ('sin', 'cos'))}, {', '.join(f'round({f}(2 * pi() * {k} * q / 24), 6) + 0.0 AS daily_{f}_{k}' for k in (1, 2) for f in ('sin', 'cos'))}, round(k, 6) + 0.0 AS combined, round(a, 6) + 0.0 AS asserted, round(i, 6) + 0.0 AS incident_decay, round(r, 6) + 0.0 AS rival_decay FROM z""",
     "quality_steps": "WITH q AS (SELECT event_id, value / 10 AS d, event_id % 40 AS n, CASE WHEN value / 10 <= 2 THEN 1.0 WHEN value / 10 <= 6 THEN 0.8 WHEN value / 10 <= 24 THEN 0.4 ELSE 0.1 END::DOUBLE AS coverage FROM events) SELECT event_id, coverage, CAST(round(least(d, 168) * 3600) AS BIGINT) AS max_delay_seconds, round(least(1, n / 20.0::DOUBLE), 6) AS sufficiency, n < 20 OR d > 6 OR coverage < 0.5 AS out_of_distribution FROM q",
     "hysteresis_crossings": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_id * 37 % 1000 / 1000.0::DOUBLE AS p, epoch_us(ts) // 432000000000 AS o, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS n FROM events),
 w AS (SELECT user_id, event_id, n, t, o, p > 0.7::DOUBLE AS active, false AS told, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS announcement FROM e WHERE n = 1

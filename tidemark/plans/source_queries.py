@@ -166,13 +166,29 @@ def watch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.watch_changes(e, ["user_id"], "ts", "event_id", "value", 60.0, 10.0).select("event_id", "change")
 
 
-QUERIES = {f.__name__: f for f in (search_items, gateway_items, feed_items, conflicting_items, last_of_each, recheck_ids, archive_items, archive_faults, import_counts, audit_faults, appended_records, retained_records, forecast_inputs, input_pages, alert_pages, retry_decisions, outbox_jobs, publication_changes, watch_changes)}
+def publication_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of each event as a publication, and how many events go out under one delivery key."""
+    e = _events(spark, sf_dir)
+    keyed = e.select(delivery.event_key(F.col("event_type"), _text("user_id"), _text("event_id"), F.lit("p1")).alias("event_key"), delivery.delivery_key(F.col("event_type"), _text("user_id"), F.when(F.col("value") > 10, F.floor(F.col("value") / 50).cast("string"))).alias("delivery_key"))
+    return keyed.groupBy("delivery_key").agg(F.count(F.lit(1)).alias("n"), F.min("event_key").alias("first_key"))
+
+
+def source_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Role of each supplier by its nation, ``community`` where the nation has none; nations are a fixed small table."""
+    roles = table(spark, sf_dir, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey"), F.when(F.col("n_regionkey") == 0, "official").otherwise("media").alias("role"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    return s.join(F.broadcast(roles), "s_nationkey", "left").select("s_suppkey", F.coalesce("role", F.lit("community")).alias("role"))  # at most 25 rows
+
+
+QUERIES = {f.__name__: f for f in (search_items, gateway_items, feed_items, conflicting_items, last_of_each, recheck_ids, archive_items, archive_faults, import_counts, audit_faults, appended_records, retained_records, forecast_inputs, input_pages, alert_pages, retry_decisions, outbox_jobs, publication_changes, watch_changes, publication_keys, source_roles)}
 
 _NUMBER = "CAST((410000000000 + event_id * 977)::BIGINT * 4194304 + event_id AS VARCHAR)"
 _VIEWS = "v AS (SELECT user_id, event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS t0, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'view'), u AS (SELECT DISTINCT user_id FROM v WHERE day(day) % 10 <> 0)"
 _RING = "x AS (SELECT event_id AS arrival, event_id // 3 AS id FROM events), k AS (SELECT *, id IS DISTINCT FROM lag(id) OVER (ORDER BY arrival) AS new FROM x), s AS (SELECT arrival, id, row_number() OVER (ORDER BY arrival) AS sequence FROM k WHERE new)"
 
 ORACLES = {
+    "publication_keys": "WITH k AS (SELECT 'pub_' || substr(sha256(event_type || chr(31) || user_id || chr(31) || event_id || chr(31) || 'p1'), 1, 24) AS e, event_type, user_id, CASE WHEN value > 10 THEN CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) END AS m FROM events) SELECT 'sha256:' || sha256(encode(event_type || chr(31) || user_id || chr(31)) || coalesce(encode(m), '\\x00'::BLOB)) AS delivery_key, count(*) AS n, min(e) AS first_key FROM k GROUP BY event_type, user_id, m",
+    "source_roles": "SELECT s_suppkey, CASE WHEN n_regionkey = 0 THEN 'official' WHEN n_regionkey < 3 THEN 'media' ELSE 'community' END AS role FROM supplier JOIN nation ON n_nationkey = s_nationkey",
     "search_items": "SELECT event_id, CASE WHEN user_id % 4 <> 0 THEN 'n' || user_id ELSE 'i' END AS handle, CAST(date_trunc('second', ts) AS TIMESTAMP) AS published, event_type AS text, CASE event_type WHEN 'click' THEN 'reply:' || (event_id - 1) WHEN 'error' THEN 'links:u' ELSE '' END AS relations FROM events",
     "gateway_items": f"WITH x AS (SELECT *, CASE WHEN event_id % 3 < 2 THEN {_NUMBER} END AS n, CASE WHEN event_id % 5 <> 0 THEN 'h' || user_id END AS h FROM events) SELECT coalesce(n, 'g' || event_id) AS item_id, CASE WHEN n IS NOT NULL THEN 'https://posts.example/' || coalesce(h, 'i') || '/status/' || n ELSE 'https://posts.example/about' END AS url, CASE WHEN n IS NOT NULL THEN epoch_ms(410000000000 + event_id * 977 + 1288834974657) END AS published, h AS handle, CASE WHEN event_type = 'view' THEN 'application/vnd.x-search-summary+text' ELSE 'text/plain' END AS media_type, CASE WHEN event_type = 'view' AND n IS NOT NULL THEN 1 ELSE 0 END AS n_relations, CASE WHEN event_type = 'view' THEN 'gateway_first_seen' ELSE 'provider_first_seen' END AS availability FROM x",
     "feed_items": "SELECT event_id, CASE event_type WHEN 'click' THEN 'reply' WHEN 'view' THEN 'repost' END AS marker, CASE WHEN event_type = 'click' AND NOT (event_id % 3 <> 0 AND event_id % 2 = 0) OR event_type = 'view' AND NOT (event_id % 3 <> 0 AND event_id % 2 = 1) THEN 'quarantine' ELSE 'item' END AS outcome FROM events",

@@ -11,6 +11,16 @@ from pyspark.sql.window import Window
 from tidemark.functions.time import from_micros, micros
 
 
+def event_key(kind: Column, entity: Column, source: Column, policy: Column) -> Column:
+    """Identity of a publication: what happened to what, from which source revision, under which policy."""
+    return F.concat(F.lit("pub_"), F.substring(F.sha2(F.concat_ws("\x1f", kind, entity, source, policy), 256), 1, 24))
+
+
+def delivery_key(kind: Column, entity: Column, meaning: Column) -> Column:
+    """Key under which a publication goes out once: its meaning, whatever the revision or policy behind it."""
+    return F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\x1f", kind, entity, F.coalesce(meaning, F.lit("\x00"))), 256))
+
+
 def input_ring(inputs: DataFrame, arrival: str, key: str, keep: int) -> DataFrame:
     """The last ``keep`` inputs with their sequence; one that repeats the key of the input before is none.
 

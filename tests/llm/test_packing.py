@@ -60,7 +60,8 @@ def test_ids_by_words_are_those_of_whole_texts(monkeypatch):
     texts += ["".join(map(chr, range(a, a + 16))) + " " + " ".join(map(chr, range(a, a + 16))) for a in range(0, 0x3100, 16)]
     assert tokenizer.by_words and tokenizer.ids(texts) == tokenizer.whole(texts)
     monkeypatch.setattr(packing, "KNOWN_BYTES", 100)
-    assert tokenizer.ids(texts[:50]) == tokenizer.whole(texts[:50]) and not tokenizer.known
+    for k in (0, 50, 25, 100):
+        assert tokenizer.ids(texts[k : k + 50]) == tokenizer.whole(texts[k : k + 50]) and not tokenizer.known and tokenizer.older
 
 
 def test_null_ids_and_repeated_rows_are_packed(spark):

@@ -27,19 +27,25 @@ from pyspark.sql import types as T
 
 from tidemark.llm._common import arrow_schema, gapless_rank, map_arrow, written
 
-#: A space behind anything but white space, or what some tables of characters call so: a token starts here.
-WORD_START = re.compile(" (?<=[^\\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff] )")
+#: A space, or a line break, behind anything but white space, or what some tables of characters call so: a token starts here.
+WORD_START, LINE_START = (re.compile(f"{c}(?<=[^\\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]{c})") for c in (" ", "\n"))
 
-#: Pieces of one length that a window numbers together, about.
-RANKED_TOGETHER = 100_000
+#: What some tables of characters, beside Python's, call white space.
+MAYBE_SPACE = frozenset("\u180e\u200b\u2060\ufeff")
 
-#: Bytes of words and their ids, about, that a worker remembers before it starts afresh.
-KNOWN_BYTES = 64 << 20
+#: Bytes of words and their ids, about, that a worker remembers before the older half goes.
+KNOWN_BYTES = 128 << 20
+
+#: Words of a batch that go to the tokenizer as one text.
+WORDS_TOGETHER = 8192
 
 _tokenizers: dict[str, ByteTokenizer] = {}
 
 Pattern = tuple[int, ...]
 
+#: A word behind a space, or (line break, word).
+Word = str | tuple[str, str]
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -50,9 +56,11 @@ def default_tokenizer() -> str:
 class ByteTokenizer:
     """Ids of a byte-level BPE tokenizer file, computed by the ``tokenizers`` library.
 
-    Its pre-tokenizer never lets a token go on over a space that follows something else than white
-    space, so that texts are cut there and each word is encoded once and remembered.  Strings of
-    special tokens in a text are ordinary text.  Other kinds of tokenizers encode whole texts.
+    Its pre-tokenizer never lets a token go on over white space that follows something else, so that
+    texts are cut at such spaces and line breaks and each word is encoded once and remembered.  New words of
+    a batch are encoded as one text, which is cut where the bytes of its tokens say; a word that
+    does not end with a token is encoded alone.  Strings of special tokens in a text are ordinary
+    text.  Other kinds of tokenizers encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -65,7 +73,12 @@ class ByteTokenizer:
             spec = json.load(file)
         before = spec.get("pre_tokenizer") or {}
         self.by_words = not spec.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-        self.known: dict[str, bytes] = {}
+        vocabulary = spec["model"].get("vocab") if self.by_words else {}
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # a character of a token stands for a byte
+        for token, number in vocabulary.items():
+            self.sizes[number] = len(token)
+        self.known: dict[Word, bytes] = {}
+        self.older: dict[Word, bytes] = {}
         self.held = 0
 
     @classmethod
@@ -78,20 +91,52 @@ class ByteTokenizer:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[Word]) -> Iterator[tuple[Word, bytes]]:
+        """Ids of words, with what they stand behind."""
+        alone, fit = [], []
+        for w in words:  # behind white space the next word would not start anew
+            shown = " " + w if isinstance(w, str) else w[0] + w[1]
+            end = shown[-1:]
+            (alone if end.isspace() or end in MAYBE_SPACE else fit).append((w, shown))
+        for lo in range(0, len(fit), WORDS_TOGETHER):
+            part = fit[lo : lo + WORDS_TOGETHER]
+            (text,) = self.tokenizer.encode_batch_fast(["".join([x for _, x in part])], add_special_tokens=False)
+            ids = np.array(text.ids, "<u4")
+            ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+            cuts = np.concatenate([[0], np.cumsum([len(x.encode()) for _, x in part])])
+            at = np.searchsorted(ends, cuts)
+            clean = ends[np.minimum(at, len(ends) - 1)] == cuts
+            raw, at = ids.tobytes(), (4 * at).tolist()
+            for k, (word, ok) in enumerate(zip(part, (clean[:-1] & clean[1:]).tolist(), strict=True)):
+                if ok:
+                    yield word[0], raw[at[k] : at[k + 1]]
+                else:
+                    alone.append(word)
+        yield from zip([w for w, _ in alone], self.whole([x for _, x in alone]), strict=True)
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.by_words:
             return self.whole(texts)
-        words = [WORD_START.split(x) for x in texts]
-        # behind the first one, a word stands with the space before it
-        words = [[x[0], *map(" ".__add__, x[1:])] for x in words]
-        new = list(set().union(*words).difference(self.known))
-        for word, ids in zip(new, self.whole(new), strict=True):
-            self.known[word] = ids
-            self.held += len(word) + len(ids) + 200
-        out = [b"".join([self.known[w] for w in x]) for x in words]
-        if self.held > KNOWN_BYTES:
-            self.known, self.held = {}, 0
+        words: list[list[Word]] = []
+        for text in texts:
+            own: list[Word] = []
+            for line in LINE_START.split(text):
+                at = len(own)
+                own += WORD_START.split(line)
+                if at:
+                    own[at] = ("\n", own[at])
+            words.append(own)
+        first = self.whole([x.pop(0) for x in words])
+        known = self.known
+        new = set().union(*words).difference(known)
+        again = new.intersection(self.older)
+        known.update((w, self.older[w]) for w in again)
+        known.update(self._words(list(new - again)))
+        self.held += sum(len(w) + len(known[w]) + 200 for w in new)
+        out = [b"".join([a, *[known[w] for w in x]]) for a, x in zip(first, words, strict=True)]
+        if self.held > KNOWN_BYTES // 2:
+            self.known, self.older, self.held = {}, known, 0
         return out
 
 

@@ -11,12 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A turn is rendered as HEAD with its role, its text and END.  OPEN in a text is written as CLOSED, so that no text forges a turn.
-HEAD, END, OPEN, CLOSED = "<|%s|>\n", "<|end|>\n", "<|", "< |"
+#: A turn is rendered as HEAD with its role, its text and END.  OPEN in a role or text is written as CLOSED, and what would
+#: end a head early in a role as APART, so that neither forges a turn.
+HEAD, END, OPEN, CLOSED, SHUT, APART = "<|%s|>\n", "<|end|>\n", "<|", "< |", "|>", "| >"
+
+
+def shown_role(role: Column) -> Column:
+    return F.replace(F.replace(role, F.lit(OPEN), F.lit(CLOSED)), F.lit(SHUT), F.lit(APART))
 
 
 def render_turn(role: Column, text: Column) -> Column:
-    return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.replace(text, F.lit(OPEN), F.lit(CLOSED)), F.lit(END))
+    return F.concat(F.lit("<|"), shown_role(role), F.lit("|>\n"), F.replace(text, F.lit(OPEN), F.lit(CLOSED)), F.lit(END))
 
 
 def pair_neighbours(conversations: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ FROM c""",
     "op4_preferences": """
 WITH t AS (
   SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS chosen, turn, coalesce(role, 'unknown') AS role,
-         '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS shown
+         '<|' || replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS shown
   FROM conversations WHERE conv_id IS NOT NULL),
 p AS (SELECT *, row_number() OVER (PARTITION BY pair_id, chosen ORDER BY turn NULLS FIRST, role, shown) AS pos FROM t),
 s AS (SELECT *, count(*) OVER x = 2 AND min(shown) OVER x = max(shown) OVER x AS same FROM p WINDOW x AS (PARTITION BY pair_id, pos)),

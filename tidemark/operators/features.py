@@ -11,6 +11,10 @@ from tidemark.functions.time import HOUR_US, circular_distance, decay, exposure,
 from tidemark.operators.intervals import asof_join, overlapping_hours
 from tidemark.operators.training import hourly_decay
 
+#: Targets that are sent to every task at most; each is two numbers.
+BROADCAST_ROWS = 100_000
+
+
 def _bell(distance: Column) -> Column:
     return F.exp(-0.5 * distance * distance)
 
@@ -26,7 +30,8 @@ def recurrence(targets: DataFrame, outcomes: DataFrame, target: str, occurred: s
     in, and gaps are found day by day, the first of a day from the day before; each gap meets the
     targets where it is, in partial averages.
     """
-    few = F.broadcast(targets.select(target, (micros(F.col(target)) / F.lit(float(HOUR_US))).alias("__at")).distinct())
+    few = targets.select(target, (micros(F.col(target)) / F.lit(float(HOUR_US))).alias("__at")).distinct()
+    small = F.broadcast if few.count() <= BROADCAST_ROWS else (lambda df: df)
     times = outcomes.select(F.col(occurred).alias("__t"), F.date_trunc("day", occurred).alias("__day"))
     days = times.groupBy("__day").agg(F.max("__t").alias("__last"))
     last_before = F.max("__last").over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))  # a row a day
@@ -36,13 +41,13 @@ def recurrence(targets: DataFrame, outcomes: DataFrame, target: str, occurred: s
     gaps = with_gaps.filter("__from is not null").select(((micros(F.col("__t")) - micros(F.col("__from"))) / F.lit(float(HOUR_US))).alias("__gap"))
     last = times.agg((micros(F.max("__t")) / F.lit(float(HOUR_US))).alias("__last"))
     aged = few.crossJoin(F.broadcast(last)).withColumn("__age", F.col("__at") - F.col("__last")).filter("__age >= 0")  # a single row
-    renewal = gaps.crossJoin(F.broadcast(aged)).groupBy(target).agg(F.avg(_bell(F.log1p("__age") - F.log1p("__gap"))).alias("renewal"))
+    renewal = gaps.crossJoin(small(aged)).groupBy(target).agg(F.avg(_bell(F.log1p("__age") - F.log1p("__gap"))).alias("renewal"))
     # hour 0 of the epoch was a Thursday, 72 hours after a Monday
     minute = F.pmod(F.floor(micros(F.col("__t")) / 60_000_000 + 1e-6) + 72 * 60, F.lit(168 * 60))
     weekly = times.groupBy((minute / 60).alias("__m")).agg(F.count(F.lit(1)).alias("__k"))  # at most 10,080 rows
     week = F.pmod(F.col("__at") + 72, F.lit(168.0))
     near = {"daily": _bell(circular_distance(week % 24, F.col("__m") % 24, 24) / 6), "weekly": _bell(circular_distance(week, F.col("__m"), 168) / 36)}
-    kernels = weekly.crossJoin(few).groupBy(target).agg(*[(F.sum(F.col("__k") * k) / F.sum("__k")).alias(n) for n, k in near.items()])
+    kernels = weekly.crossJoin(small(few)).groupBy(target).agg(*[(F.sum(F.col("__k") * k) / F.sum("__k")).alias(n) for n, k in near.items()])
     out = targets.join(renewal, target, "left").join(kernels, target, "left")
     out = out.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in ("renewal", "daily", "weekly")})
     return out.withColumn("combined", F.col("renewal") + F.col("daily") + 0.5 * F.col("weekly"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import time as tm
 from tidemark.operators import features, hazard, model, training
-from tidemark.plans.metric_queries import HOURS, hours, r6
+from tidemark.plans.metric_queries import hours, r6
 from tidemark.session import table
 from tidemark.sources import records
 from tidemark.streaming import ledger, subscriptions, traffic
@@ -165,11 +165,7 @@ r AS (SELECT target, avg(exp(-0.5 * pow(ln(1 + a - (SELECT max(h) FROM o)) - ln(
 d AS (SELECT target, avg(exp(-0.5 * pow({_DIST.format(a='a % 24', b='m % 24', p=24)} / 6, 2))) AS daily, avg(exp(-0.5 * pow({_DIST.format(a='(a + 72) % 168', b='(m + 72) % 168', p=168)} / 36, 2))) AS weekly FROM x, o GROUP BY target)"""
 
 ORACLES = {
-    "renewal_kernel": f"""WITH {_TARGETS}, o AS (SELECT epoch_us(ts) / 3.6e9 AS h, floor(epoch_us(ts) / 6e7) / 60 AS m FROM events WHERE event_type = 'purchase' AND value >= 250 AND ts <= TIMESTAMP '{CUTOFF}'),
-g AS (SELECT h - lag(h) OVER (ORDER BY h) AS g FROM o), x AS (SELECT target, epoch_us(target) / 3.6e9 AS a FROM t),
-r AS (SELECT target, avg(exp(-0.5 * pow(ln(1 + a - (SELECT max(h) FROM o)) - ln(1 + g), 2))) AS renewal FROM x, g WHERE g IS NOT NULL GROUP BY target, a),
-d AS (SELECT target, avg(exp(-0.5 * pow({_DIST.format(a='a % 24', b='m % 24', p=24)} / 6, 2))) AS daily, avg(exp(-0.5 * pow({_DIST.format(a='(a + 72) % 168', b='(m + 72) % 168', p=168)} / 36, 2))) AS weekly FROM x, o GROUP BY target)
-SELECT d.target, round(coalesce(renewal, 0), 6) AS renewal, round(daily, 6) AS daily, round(weekly, 6) AS weekly, round(coalesce(renewal, 0) + daily + 0.5 * weekly, 6) AS combined FROM d LEFT JOIN r ON d.target = r.target""",
+    "renewal_kernel": f"""WITH {_KERNELS} SELECT d.target, round(coalesce(renewal, 0), 6) AS renewal, round(daily, 6) AS daily, round(weekly, 6) AS weekly, round(coalesce(renewal, 0) + daily + 0.5 * weekly, 6) AS combined FROM d LEFT JOIN r ON d.target = r.target""",
     "feature_vector": f"""WITH {_TARGETS}, e AS (SELECT *, (epoch_us(target) - epoch_us(ts)) / 3.6e9 AS age FROM t JOIN events ON ts <= TIMESTAMP '{CUTOFF}' AND ts <= target AND ts >= target - INTERVAL 14 DAY),
 s AS (SELECT target, sum(pow(2, -age / 24)) FILTER (WHERE event_type = 'error') AS i, max(pow(2, -age / 36)) FILTER (WHERE event_type = 'view' AND value >= 100) AS r FROM e GROUP BY target)
 SELECT t.target, round(coalesce(i, 0), 6) AS incident_decay, round(coalesce(r, 0), 6) AS rival_decay, round(sin(2 * pi() * ((isodow(t.target) - 1) * 24 + hour(t.target)) / 168), 6) + 0.0 AS weekly_sin_1, round(cos(6 * pi() * ((isodow(t.target) - 1) * 24 + hour(t.target)) / 168), 6) + 0.0 AS weekly_cos_3, round(sin(4 * pi() * hour(t.target) / 24), 6) + 0.0 AS daily_sin_2 FROM t LEFT JOIN s ON t.target = s.target""",

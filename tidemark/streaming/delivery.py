@@ -21,21 +21,21 @@ def delivery_key(kind: Column, entity: Column, meaning: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\x1f", kind, entity, F.coalesce(meaning, F.lit("\x00"))), 256))
 
 
-def input_ring(inputs: DataFrame, arrival: str, key: str, keep: int) -> DataFrame:
+def input_ring(inputs: DataFrame, arrival: str, key: str, keep: int, parts: int = 64) -> DataFrame:
     """The last ``keep`` inputs with their sequence; one that repeats the key of the input before is none.
 
-    Only the range partition of the newest arrivals is numbered row by row: partitions are counted
-    first, and those that end before the ring begins are left out.
+    Inputs are dealt into ``parts`` by quantiles of their arrival (a number); the last key of a
+    part is carried into the next one, and the parts' counts give each its first number.
     """
-    ranged = inputs.repartitionByRange(arrival).withColumn("__part", F.spark_partition_id()).persist()
-    own = Window.partitionBy("__part").orderBy(arrival)
-    edges = ranged.groupBy("__part").agg(F.max_by(key, arrival).alias("__end"))
-    before = Window.orderBy("__part")  # as many rows as partitions
-    ends = edges.select("__part", F.lag("__end").over(before).alias("__left"))
-    marked = ranged.join(F.broadcast(ends), "__part").withColumn("__was", F.coalesce(F.lag(key).over(own), F.when(F.row_number().over(own) == 1, F.col("__left"))))
+    edges = inputs.agg(F.percentile_approx(arrival, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 1000).alias("__edges"))
+    rows = inputs.crossJoin(F.broadcast(edges))  # a single row
+    rows = rows.withColumn("__part", F.size(F.filter("__edges", lambda e: e < F.col(arrival)))).drop("__edges")
+    own, between = Window.partitionBy("__part").orderBy(arrival), Window.orderBy("__part")  # at most ``parts`` rows
+    ends = rows.groupBy("__part").agg(F.max_by(key, arrival).alias("__end")).select("__part", F.lag("__end").over(between).alias("__left"))
+    marked = rows.join(F.broadcast(ends), "__part").withColumn("__was", F.coalesce(F.lag(key).over(own), F.when(F.row_number().over(own) == 1, F.col("__left"))))
     new = marked.filter(F.col("__was").isNull() | (F.col("__was") != F.col(key))).withColumn("__n", F.row_number().over(own))
     counts = new.groupBy("__part").agg(F.count(F.lit(1)).alias("__c"))
-    firsts = counts.select("__part", F.coalesce(F.sum("__c").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"), F.sum("__c").over(Window.partitionBy()).alias("__total"))
+    firsts = counts.select("__part", F.coalesce(F.sum("__c").over(between.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"), F.sum("__c").over(Window.partitionBy()).alias("__total"))
     numbered = new.join(F.broadcast(firsts), "__part").withColumn("sequence", (F.col("__first") + F.col("__n")).cast("long"))
     return numbered.filter(F.col("sequence") > F.col("__total") - keep).select(*inputs.columns, "sequence")
 

@@ -74,6 +74,17 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, SMALL).columns == docs.columns
 
 
+def test_stages_take_odd_tables(spark):
+    """Nulls in any column, repeated rows, clashing names and no rows at all."""
+    rows = [(None, None, None, None, None, 1), (1, "a b c", "en", "s", 5, 2), (1, "a b c", "en", "s", 5, 2), (2, "", None, "s", 0, None), (3, "x" * 5000, "en", None, 5000, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int").selectExpr("*", "1 as score", "2 as key", "3 as copies", "4 as spans", "5 as text_key", "6 as band", "7 as shard")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns and out.count() <= 2 * len(rows)
+        assert stage(spark, docs.limit(0), SMALL).collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() >= 5
+
+
 def test_passages_of_more_than_50_words_go(spark):
     """51 words go although they are shorter than 400 bytes; 50 words stay, and so does text that stands once."""
     rng = random.Random(5)

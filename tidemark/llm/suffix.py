@@ -392,10 +392,11 @@ def marked_contexts(contexts: DataFrame, length: int, window: int, limit: int) -
 
 
 def _placed_contexts(texts: DataFrame, length: int, window: int, width: int) -> DataFrame:
-    """text_key, in_words, place, key, context: where each string's samples with candidate keys are."""
-    schema = T.StructType.fromDDL("text_key binary, in_words boolean, place long, key long, context long")
+    """text_key, in_words, key, context, places: where each string has samples with candidate keys, a row a context."""
+    schema = T.StructType.fromDDL("text_key binary, in_words boolean, key long, context long, places array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = arrow_schema(schema)
         for batch in batches:
             keys = _key_matrix(batch.column("keys"))
             for lo, hi, text, text_offsets in byte_slices(batch.column("text"), RUN_BYTES):
@@ -403,10 +404,17 @@ def _placed_contexts(texts: DataFrame, length: int, window: int, width: int) ->
                 for in_words, data, offsets in _strings(text, text_offsets, width):
                     found = Samples(data, offsets, length, window)
                     at = found.with_key(wanted)
-                    owner = found.owner[at]
-                    names = batch.column("text_key").slice(lo, hi - lo).take(pa.array(owner))
-                    columns = [found.place[at] - offsets[owner], found.key[at].view(np.int64), found.contexts(at).view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([names, pa.array([in_words] * len(at), pa.bool_()), *map(pa.array, columns)], schema=arrow_schema(schema))
+                    if not len(at):
+                        continue
+                    context = found.contexts(at)
+                    order = np.lexsort((at, context, found.key[at], found.owner[at]))
+                    context, at = context[order], at[order]
+                    owner, key = found.owner[at], found.key[at]
+                    first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])]))
+                    names = batch.column("text_key").slice(lo, hi - lo).take(pa.array(owner[first]))
+                    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(found.place[at] - offsets[owner]))
+                    columns = [names, pa.array([in_words] * len(first)), pa.array(key[first].view(np.int64)), pa.array(context[first].view(np.int64)), places.cast(target.field(4).type)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=target)
 
     return map_arrow(texts, run, schema)
 
@@ -419,17 +427,18 @@ def _runs(starts: np.ndarray, length: int) -> np.ndarray:
 
 
 def _marked_runs(found: DataFrame, length: int) -> DataFrame:
-    """text_key, in_words, spans, n_removed, n_spans of strings whose marks (place, base, marks) ``found`` lists."""
+    """text_key, in_words, spans, n_removed, n_spans of strings; ``found`` lists their contexts (places, parts: base and marks)."""
     schema = T.StructType.fromDDL("text_key binary, in_words boolean, spans array<long>, n_removed long, n_spans long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = []
             for own in batch.column("found"):
-                place, base, marks = own.values.flatten()
-                first = place.to_numpy() - base.to_numpy()
-                bits = [np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8))) for x in marks.to_pylist()]
-                spans.append(_runs(np.repeat(first, [len(x) for x in bits]) - np.concatenate(bits), length))
+                starts = []
+                for places, parts in zip(*[own.values.field(k).to_pylist() for k in ("places", "parts")], strict=True):
+                    back = np.concatenate([x["base"] + np.flatnonzero(np.unpackbits(np.frombuffer(x["marks"], np.uint8))) for x in parts])
+                    starts.append((np.array(places)[:, None] - back[None, :]).ravel())
+                spans.append(_runs(np.concatenate(starts), length))
             sizes = [int((x[:, 1] - x[:, 0]).sum()) for x in spans]
             columns = [[x.ravel() for x in spans], sizes, [len(x) for x in spans]]
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), batch.column("in_words"), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow_schema(schema))[2:], strict=True)]], schema=arrow_schema(schema))
@@ -470,8 +479,10 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, li
     if n_hot:
         many = join_small(sample_contexts(with_text.filter("hot"), length, window, width), hot, ["key"], n_hot, 16, "left_semi")
         marks = marks.unionByName(marked_contexts(written(_same_contexts(many)), length, window, limit))
-    placed = _placed_contexts(with_text, length, window, width).join(marks, ["key", "context"])
-    found = placed.groupBy("text_key", "in_words").agg(F.collect_list(F.struct("place", "base", "marks")).alias("found"))
+    # a row a context on either side, however often it stands in a text and into how many runs it was divided
+    merged = marks.groupBy("key", "context").agg(F.collect_list(F.struct("base", "marks")).alias("parts"))
+    placed = _placed_contexts(with_text, length, window, width).join(merged, ["key", "context"])
+    found = placed.groupBy("text_key", "in_words").agg(F.collect_list(F.struct("places", "parts")).alias("found"))
     cut = written(_marked_runs(found, length))
     of_bytes = cut.filter("not in_words").drop("in_words")
     if words is None:

@@ -66,23 +66,37 @@ def sample_gate(metrics: DataFrame, windows: int = 1008, events: int = 20) -> Da
     return metrics.withColumn("sample_sufficient", (F.col("n") >= windows) & (F.col("events") >= events))
 
 
-def _edges(df: DataFrame, column: str, count: int) -> Column:
-    return F.array_distinct(F.percentile_approx(F.col(column).cast("double"), F.array(*[F.lit((i + 1) / count) for i in range(count - 1)]), 10 * count))
+def _edges(column: str, count: int) -> Column:
+    return F.array_sort(F.array_distinct(F.percentile_approx(F.col(column).cast("double"), F.array(*[F.lit((i + 1) / count) for i in range(count - 1)]), 10 * count)))
 
 
-def ranked(df: DataFrame, p: str, tie: str, sums: dict[str, Column], buckets: int = 256) -> DataFrame:
+def _edges_up_to(value: Column, edges: Sequence[float], with_equal: bool) -> Column:
+    """How many of the ascending edges lie below the value (or at it): a binary search as nested conditions."""
+
+    def go(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        passed = value >= edges[mid] if with_equal else value > edges[mid]
+        return F.when(passed, go(mid + 1, hi)).otherwise(go(lo, mid))
+
+    return go(0, len(edges))
+
+
+def ranked(df: DataFrame, p: str, tie: str, sums: dict[str, Column], buckets: int = 128) -> DataFrame:
     """``df`` with rank (1 for the highest p; ties by ``tie``) and running totals of ``sums`` in that order.
 
-    Rows are dealt by approximate quantiles of p, however p is distributed.  A value at a quantile
-    is a bucket of its own and is dealt once more by quantiles of ``tie``, so that a value that
-    most rows have is spread too.  Sums of the buckets (as many as the parameter allows) are added up.
+    Rows are dealt by approximate quantiles of p (``buckets`` numbers that go to the driver),
+    however p is distributed.  A value at a quantile is a bucket of its own and is dealt once more
+    by quantiles of ``tie``, so that a value that most rows have is spread too.  Sums of the
+    buckets (as many as the parameter allows) are added up.
     """
-    edges = df.agg(_edges(df, p, buckets).alias("__p"), _edges(df, tie, buckets).alias("__t"))
-    placed = df.crossJoin(F.broadcast(edges))  # a single row
-    exact = F.array_contains("__p", F.col(p).cast("double"))
-    above = F.size(F.filter("__p", lambda e: e > F.col(p).cast("double")))
-    placed = placed.withColumn("__bucket", 2 * above + exact.cast("int"))
-    placed = placed.withColumn("__sub", F.when(exact, F.size(F.filter("__t", lambda e: e < F.col(tie).cast("double")))).otherwise(0)).drop("__p", "__t")
+    found = df.agg(_edges(p, buckets).alias("p"), _edges(tie, buckets).alias("t")).first()
+    own_edges, tie_edges = list(found["p"] or []), list(found["t"] or [])
+    value = F.col(p).cast("double")
+    exact = value.isin(*own_edges) if own_edges else F.lit(False)
+    placed = df.withColumn("__bucket", exact.cast("int") - 2 * _edges_up_to(value, own_edges, True))
+    placed = placed.withColumn("__sub", F.when(exact, _edges_up_to(F.col(tie).cast("double"), tie_edges, False)).otherwise(0))
     totals = placed.groupBy("__bucket", "__sub").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__{k}") for k, c in sums.items()])
     before = Window.orderBy("__bucket", "__sub").rowsBetween(Window.unboundedPreceding, -1)
     names = ["n", *sums]
@@ -179,26 +193,30 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], bins: int
     the bin that holds the rank, until it has ``few`` distinct values at most.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
-    out = []
+    span = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).first()
+    out: list[float] = []
+    first, held = 0, []  # distinct values and counts around the rank before, and how many rows are below them
     for rank in ranks:
-        span = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).first()
-        lo, hi, n, below = span["lo"], span["hi"], span["n"], 0
-        while n > few and lo < hi:
-            inside = values.filter(F.col("v").between(lo, hi))
-            number = F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / (hi - lo) * bins))
-            for r in inside.groupBy(number.alias("b")).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect():
-                if below + r["n"] > rank:
-                    stuck = (r["lo"], r["hi"]) == (lo, hi)
-                    lo, hi, n = r["lo"], r["hi"], r["n"]
+        if not first <= rank < first + sum(n for _, n in held):
+            lo, hi, n, first = span["lo"], span["hi"], span["n"], 0
+            while n > few and lo < hi:
+                inside = values.filter(F.col("v").between(lo, hi))
+                number = F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / (hi - lo) * bins))
+                for r in inside.groupBy(number.alias("b")).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect():
+                    if first + r["n"] > rank:
+                        stuck = (r["lo"], r["hi"]) == (lo, hi)
+                        lo, hi, n = r["lo"], r["hi"], r["n"]
+                        break
+                    first += r["n"]
+                if stuck:  # the range is too narrow for doubles to divide: few distinct values are left
                     break
-                below += r["n"]
-            if stuck:  # the range is too narrow for doubles to divide: few distinct values are left
-                break
-        for r in values.filter(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("v").alias("n")).orderBy("v").collect():
-            if below + r["n"] > rank:
-                out.append(r["v"])
+            held = [(r["v"], r["n"]) for r in values.filter(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("v").alias("n")).orderBy("v").collect()]
+        below = first
+        for value, n in held:
+            if below + n > rank:
+                out.append(value)
                 break
-            below += r["n"]
+            below += n
     return out
 
 

@@ -66,6 +66,10 @@ def sample_gate(metrics: DataFrame, windows: int = 1008, events: int = 20) -> Da
     return metrics.withColumn("sample_sufficient", (F.col("n") >= windows) & (F.col("events") >= events))
 
 
+#: Rows that a window ranks together, about, as far as the buckets go.
+RANKED_TOGETHER = 100_000
+
+
 def _edges(column: str, count: int) -> Column:
     return F.array_sort(F.array_distinct(F.percentile_approx(F.col(column).cast("double"), F.array(*[F.lit((i + 1) / count) for i in range(count - 1)]), 10 * count)))
 
@@ -91,8 +95,9 @@ def ranked(df: DataFrame, p: str, tie: str, sums: dict[str, Column], buckets: in
     by quantiles of ``tie``, so that a value that most rows have is spread too.  Sums of the
     buckets (as many as the parameter allows) are added up.
     """
-    found = df.agg(_edges(p, buckets).alias("p"), _edges(tie, buckets).alias("t")).first()
-    own_edges, tie_edges = list(found["p"] or []), list(found["t"] or [])
+    found = df.agg(_edges(p, buckets).alias("p"), _edges(tie, buckets).alias("t"), F.count(F.lit(1)).alias("n")).first()
+    every = max(1, buckets // max(16, found["n"] // RANKED_TOGETHER))  # few rows need few buckets
+    own_edges, tie_edges = list(found["p"] or [])[::every], list(found["t"] or [])[::every]
     value = F.col(p).cast("double")
     exact = value.isin(*own_edges) if own_edges else F.lit(False)
     placed = df.withColumn("__bucket", exact.cast("int") - 2 * _edges_up_to(value, own_edges, True))

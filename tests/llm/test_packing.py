@@ -14,7 +14,6 @@ from tidemark.llm import packing
 def check(rows, texts):
     """Ids, cuts and places of a packing; the number of its sequences."""
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     of, places = defaultdict(list), defaultdict(list)
     for r in rows:
         of[r["doc_id"]].append(r)
@@ -59,6 +58,7 @@ def test_ids_by_words_are_those_of_whole_texts(monkeypatch):
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(0, 30))) for _ in range(20_000)]
     texts += ["".join(map(chr, range(a, a + 16))) + " " + " ".join(map(chr, range(a, a + 16))) for a in range(0, 0x3100, 16)]
     assert tokenizer.by_words and tokenizer.ids(texts) == tokenizer.whole(texts)
+    assert np.frombuffer(tokenizer.ids(["x", "hello <|endoftext|> world"])[1], "<u4").tolist() == [31373, 220, 50256, 995]
     monkeypatch.setattr(packing, "KNOWN_BYTES", 100)
     for k in (0, 50, 25, 100):
         assert tokenizer.ids(texts[k : k + 50]) == tokenizer.whole(texts[k : k + 50]) and not tokenizer.known and tokenizer.older

@@ -62,20 +62,19 @@ class ByteTokenizer:
     Its pre-tokenizer never lets a token go on over white space that follows something else, so that
     texts are cut at such spaces and line breaks and each word is encoded once and remembered.  New words of
     a batch are encoded as one text, which is cut where the bytes of its tokens say; a word that
-    does not end with a token is encoded alone.  Strings of special tokens in a text are ordinary
-    text.  Other kinds of tokenizers encode whole texts.
-    """
+XX    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         before = spec.get("pre_tokenizer") or {}
         self.by_words = not spec.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.by_words = self.by_words and not any(c.isspace() for x in self.added for c in x)
         vocabulary = spec["model"].get("vocab") if self.by_words else {}
         self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # a character of a token stands for a byte
         for token, number in vocabulary.items():
@@ -121,6 +120,11 @@ class ByteTokenizer:
         """Little-endian 32-bit ids of each text."""
         if not self.by_words:
             return self.whole(texts)
+        whole = [k for k, t in enumerate(texts) if any(x in t for x in self.added)]
+        if whole:
+            found = dict(zip(whole, self.whole([texts[k] for k in whole]), strict=True))
+            rest = iter(self.ids([t for k, t in enumerate(texts) if k not in found]))
+            return [found[k] if k in found else next(rest) for k in range(len(texts))]
         words: list[list[Word]] = []
         for text in texts:
             own: list[Word] = []

@@ -79,17 +79,18 @@ class VaFile:
             inside = cell == c
             self.low[:, c] = np.where(inside, self.entries, np.iinfo(np.int64).max).min(axis=0)
             self.high[:, c] = np.where(inside, self.entries, np.iinfo(np.int64).min).max(axis=0)
-        self.member = np.zeros((d * cells, n))  # which cell of each coordinate an entry lies in
+        self.member = np.zeros((d * cells, n), np.float32)  # which cell of each coordinate an entry lies in
         self.member[(np.arange(d) * cells + cell).ravel(), np.repeat(np.arange(n), d)] = 1.0
 
     def candidates(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Query and entry numbers, by query, that bounds can't part."""
         asked = queries[:, :, None].astype(float)
         below, above = self.low - asked, asked - self.high
-        lower = (np.maximum(np.maximum(below, above), 0.0) ** 2).reshape(len(queries), -1) @ self.member
-        upper = (np.maximum(np.abs(below), np.abs(above)) ** 2).reshape(len(queries), -1) @ self.member
-        # sums of doubles: the slack is far above their rounding
-        return np.nonzero(lower * (1 - 1e-9) <= upper.min(axis=1, keepdims=True) * (1 + 1e-9))
+        nearest, farthest = np.maximum(np.maximum(below, above), 0.0), np.maximum(np.abs(below), np.abs(above))
+        lower, upper = ((x * x).astype(np.float32).reshape(len(queries), -1) @ self.member for x in (nearest, farthest))
+        # terms are rounded to 24 bits and none is negative: the slack is above the rounding of a sum
+        slack = np.float32(1e-7 * (self.entries.shape[1] + 8))
+        return np.nonzero(lower * (1 - slack) <= upper.min(axis=1, keepdims=True) * (1 + slack))
 
     def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of the nearest entry (the lower one of equals) and its squared distance, as integers."""

@@ -37,7 +37,7 @@ RANKED_TOGETHER = 100_000
 MAYBE_SPACE = frozenset("\u180e\u200b\u2060\ufeff")
 
 #: Bytes of words and their ids, about, that a worker remembers before the older half goes.
-KNOWN_BYTES = 128 << 20
+KNOWN_BYTES = 256 << 20
 
 #: Words of a batch that go to the tokenizer as one text.
 WORDS_TOGETHER = 8192
@@ -62,7 +62,10 @@ class ByteTokenizer:
     Its pre-tokenizer never lets a token go on over white space that follows something else, so that
     texts are cut at such spaces and line breaks and each word is encoded once and remembered.  New words of
     a batch are encoded as one text, which is cut where the bytes of its tokens say; a word that
-XX    """
+    does not end with a token is encoded alone.  Texts that hold the string of an added token (it
+    becomes that token, as the library has it) and all texts of other kinds of tokenizers are
+    encoded whole.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,28 +96,28 @@ XX    """
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[Word]) -> Iterator[tuple[Word, bytes]]:
+    def _words(self, words: list[Word]) -> dict[Word, bytes]:
         """Ids of words, with what they stand behind."""
-        alone, fit = [], []
-        for w in words:  # behind white space the next word would not start anew
-            shown = " " + w if isinstance(w, str) else w[0] + w[1]
-            end = shown[-1:]
-            (alone if end.isspace() or end in MAYBE_SPACE else fit).append((w, shown))
+        shown = [" " + w if isinstance(w, str) else w[0] + w[1] for w in words]
+        ends = [x[-1:] for x in shown]
+        spaced = {x for x in set(ends) if x.isspace() or x in MAYBE_SPACE}  # behind white space the next word would not start anew
+        alone = [k for k, x in enumerate(ends) if x in spaced]
+        fit = [k for k, x in enumerate(ends) if x not in spaced]
+        found: dict[Word, bytes] = {}
         for lo in range(0, len(fit), WORDS_TOGETHER):
             part = fit[lo : lo + WORDS_TOGETHER]
-            (text,) = self.tokenizer.encode_batch_fast(["".join([x for _, x in part])], add_special_tokens=False)
+            texts = [shown[k] for k in part]
+            (text,) = self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)
             ids = np.array(text.ids, "<u4")
-            ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])
-            cuts = np.concatenate([[0], np.cumsum([len(x.encode()) for _, x in part])])
-            at = np.searchsorted(ends, cuts)
-            clean = ends[np.minimum(at, len(ends) - 1)] == cuts
+            stops = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+            cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, map(str.encode, texts)), np.int64, len(texts)))])
+            at = np.searchsorted(stops, cuts)
+            clean = stops[np.minimum(at, len(stops) - 1)] == cuts
             raw, at = ids.tobytes(), (4 * at).tolist()
-            for k, (word, ok) in enumerate(zip(part, (clean[:-1] & clean[1:]).tolist(), strict=True)):
-                if ok:
-                    yield word[0], raw[at[k] : at[k + 1]]
-                else:
-                    alone.append(word)
-        yield from zip([w for w, _ in alone], self.whole([x for _, x in alone]), strict=True)
+            found.update(zip([words[k] for k in part], map(raw.__getitem__, map(slice, at, at[1:])), strict=False))
+            alone += [part[k] for k in np.flatnonzero(~(clean[:-1] & clean[1:])).tolist()]
+        found.update(zip([words[k] for k in alone], self.whole([shown[k] for k in alone]), strict=True))
+        return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -140,8 +143,8 @@ XX    """
         again = new.intersection(self.older)
         known.update((w, self.older[w]) for w in again)
         known.update(self._words(list(new - again)))
-        self.held += sum(len(w) + len(known[w]) + 200 for w in new)
-        out = [b"".join([a, *[known[w] for w in x]]) for a, x in zip(first, words, strict=True)]
+        self.held += sum(map(len, new)) + sum(map(len, map(known.__getitem__, new))) + 200 * len(new)
+        out = [a + b"".join(map(known.__getitem__, x)) for a, x in zip(first, words, strict=True)]
         if self.held > KNOWN_BYTES // 2:
             self.known, self.older, self.held = {}, known, 0
         return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Generator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -55,6 +55,58 @@ def _likelihood(rows: DataFrame, weights: np.ndarray) -> tuple[float, np.ndarray
     return float(total[0] or 0.0), np.array([float(x or 0.0) for x in total[1:]])
 
 
+def first_weights(features: int, events: int, exposure: float | None) -> np.ndarray:
+    """Only an intercept: the events in an hour of exposure."""
+    rate = min(0.5, max(1e-6, events / max(float(exposure or 1), 1.0)))
+    return np.array([np.log(rate / (1 - rate)), *[0.0] * features])
+
+
+def ascent(w: np.ndarray, ridge: float, iterations: int = 60, tolerance: float = 1e-5) -> Generator[np.ndarray, tuple[float, np.ndarray], tuple[np.ndarray, bool, list[list[float]]]]:
+    """BFGS with Armijo steps, as a dialogue: it yields weights and is sent their log-likelihood and gradient.
+
+    Ends with weights, whether they converged, and their covariance (empty where the information
+    is not positive definite).  Who asks decides how many such searches share a job.
+    """
+    penalty = np.array([0.0] + [ridge] * (len(w) - 1))
+
+    def penalised(at: np.ndarray, found: tuple[float, np.ndarray]) -> tuple[float, np.ndarray]:
+        return -found[0] + 0.5 * float(penalty @ (at * at)), -found[1] + penalty * at
+
+    h = np.eye(len(w))
+    value, gradient = penalised(w, (yield w))
+    converged = False
+    for _ in range(iterations):
+        if np.abs(gradient).max() < tolerance:
+            converged = True
+            break
+        step = -h @ gradient
+        if step @ gradient >= 0:
+            h, step = np.eye(len(w)), -gradient
+        size = 1.0
+        while size > 1e-8:
+            new_value, new_gradient = penalised(w + size * step, (yield w + size * step))
+            if new_value <= value + 1e-4 * size * (step @ gradient):
+                break
+            size /= 2
+        else:
+            break
+        s, y = size * step, new_gradient - gradient
+        if s @ y > 1e-12:
+            rho, eye = 1 / (s @ y), np.eye(len(w))
+            h = (eye - rho * np.outer(s, y)) @ h @ (eye - rho * np.outer(y, s)) + rho * np.outer(s, s)
+        w, value, gradient = w + s, new_value, new_gradient
+    # observed information by central differences of the gradient
+    information = np.zeros((len(w), len(w)))
+    for k in range(len(w)):
+        move = np.zeros(len(w))
+        move[k] = 1e-4
+        above = penalised(w + move, (yield w + move))[1]
+        information[k] = (above - penalised(w - move, (yield w - move))[1]) / 2e-4
+    information = (information + information.T) / 2
+    values, vectors = np.linalg.eigh(information)
+    return w, converged, ((vectors / values) @ vectors.T).tolist() if values.min() > 1e-10 * max(values.max(), 1e-300) else []
+
+
 def fit(examples: DataFrame, features: Sequence[str], event: str, exposure: str, ridge: float = 1.0, iterations: int = 60, tolerance: float = 1e-5) -> HazardModel:
     """Maximise the penalised likelihood by BFGS with Armijo steps; only sums go to the driver.
 
@@ -64,50 +116,16 @@ def fit(examples: DataFrame, features: Sequence[str], event: str, exposure: str,
     stats = {r["feature"]: r for r in standardisation(examples, features).collect()}  # one row a feature
     model = HazardModel(list(features), [float(stats[c]["mean"] or 0) for c in features], [float(stats[c]["scale"] or 1) for c in features], [0.0] * (len(features) + 1))
     rows = examples.select(F.col(event).alias("event"), F.col(exposure).cast("double").alias("exposure"), model.row().alias("x")).persist()
-    penalty = np.array([0.0] + [ridge] * len(features))
-
-    def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
-        value, gradient = _likelihood(rows, w)
-        return -value + 0.5 * float(penalty @ (w * w)), -gradient + penalty * w
-
     try:
         counts = examples.agg(F.countDistinct(event), F.sum(exposure)).first()
-        rate = min(0.5, max(1e-6, counts[0] / max(float(counts[1] or 1), 1.0)))
-        w = np.zeros(len(features) + 1)
-        w[0] = np.log(rate / (1 - rate))
-        h = np.eye(len(w))
-        value, gradient = objective(w)
-        model.converged = False
-        for _ in range(iterations):
-            if np.abs(gradient).max() < tolerance:
-                model.converged = True
-                break
-            step = -h @ gradient
-            if step @ gradient >= 0:
-                h, step = np.eye(len(w)), -gradient
-            size = 1.0
-            while size > 1e-8:
-                new_value, new_gradient = objective(w + size * step)
-                if new_value <= value + 1e-4 * size * (step @ gradient):
-                    break
-                size /= 2
-            else:
+        search = ascent(first_weights(len(features), counts[0], counts[1]), ridge, iterations, tolerance)
+        w = next(search)
+        while True:
+            try:
+                w = search.send(_likelihood(rows, w))
+            except StopIteration as end:
+                w, model.converged, model.covariance = end.value
                 break
-            s, y = size * step, new_gradient - gradient
-            if s @ y > 1e-12:
-                rho, eye = 1 / (s @ y), np.eye(len(w))
-                h = (eye - rho * np.outer(s, y)) @ h @ (eye - rho * np.outer(y, s)) + rho * np.outer(s, s)
-            w, value, gradient = w + s, new_value, new_gradient
-        # observed information by central differences of the gradient
-        information = np.zeros((len(w), len(w)))
-        for k in range(len(w)):
-            move = np.zeros(len(w))
-            move[k] = 1e-4
-            information[k] = (objective(w + move)[1] - objective(w - move)[1]) / 2e-4
-        information = (information + information.T) / 2
-        values, vectors = np.linalg.eigh(information)
-        if values.min() > 1e-10 * max(values.max(), 1e-300):
-            model.covariance = ((vectors / values) @ vectors.T).tolist()
         model.weights = w.tolist()
     finally:
         rows.unpersist()

@@ -65,7 +65,7 @@ def folds(anchors: DataFrame, keys: Sequence[str], anchor: str, burn_in_days: in
     An anchor whose window leaves its fold belongs to none and falls away.
     """
     first = anchors.groupBy(*keys).agg(floor_hour(F.min(anchor)).alias("__first"))
-    rows = anchors.join(F.broadcast(first), list(keys)) if not keys else anchors.join(first, list(keys))
+    rows = anchors.crossJoin(F.broadcast(first)) if not keys else anchors.join(first, list(keys))
     begin = micros(F.col("__first")) + burn_in_days * DAY_US
     number = F.floor((micros(F.col(anchor)) - begin) / (fold_days * DAY_US))
     rows = rows.withColumn("fold", number.cast("int")).withColumn("origin", from_micros(begin + number * fold_days * DAY_US))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.plans import model_queries, source_queries
-from tidemark.streaming import delivery, ledger, subscriptions, traffic
+from tidemark.plans import model_queries, source_queries, stream_queries
+from tidemark.streaming import delivery, ledger, projector, subscriptions, traffic
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -79,3 +79,44 @@ def test_streamed_outbox(spark, tmp_path):
     got = spark.read.parquet(out)
     assert got.count() == got.select("id").distinct().count() == got.select("semantic_key").distinct().count()
     assert got.count() > 0 and source_queries.outbox_jobs(spark, FOLDER).count() > 0
+
+
+def published(df):
+    return sorted((tuple(r) for r in df.select("subject", F.col("at").cast("timestamp_ntz").alias("at"), "kind", "entity", "row").collect()), key=repr)
+
+
+def test_publications_of_a_stream_that_stops_and_goes_on(spark, tmp_path):
+    """Two runs with one checkpoint: the state and the timers of the first live on in the second."""
+    rows = stream_queries.facts(spark.read.parquet(f"{FOLDER}/events.parquet")).persist()
+    edges = rows.select(F.percentile_approx("at", [0.3, 0.6])).first()[0]
+    path, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")
+    kept = 0
+    for k, (lo, hi) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
+        part = rows.filter((F.lit(True) if lo is None else F.col("at") > F.lit(lo)) & (F.lit(True) if hi is None else F.col("at") <= F.lit(hi)))
+        part.coalesce(1).write.parquet(f"{path}/{k}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(path)
+        stream_queries.run_projection(spark, stream, out, checkpoint)
+        now = spark.read.parquet(out).count()
+        assert now > kept
+        kept = now
+    got = published(spark.read.parquet(out))
+    want = published(projector.publications(stream_queries._until(rows), "until"))
+    assert got == want
+    assert {r[2] for r in got} == {"confirmed", "corrected", "retracted", "withdrawn", "opened", "closed", "authority_opened", "authority_ended"}
+    rows.unpersist()
+
+
+def test_publication_rules(spark):
+    import datetime as dt
+
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    rows = [
+        (1, day(1), 1, "outcome", "a", "retracted", "x", None, None),  # nothing was confirmed
+        (1, day(1), 2, "outcome", "a", "confirmed", "x", None, None), (1, day(2), 3, "outcome", "a", "pending", "y", None, None),
+        (1, day(3), 4, "outcome", "a", "confirmed", "x", None, None), (1, day(4), 5, "outcome", "a", "confirmed", "z", None, None),
+        (1, day(5), 6, "outcome", "a", "withdrawn", "z", None, None), (1, day(6), 7, "outcome", "a", "retracted", "z", None, None),
+        (1, day(1), 8, "probability", None, None, None, 0.9, None), (1, day(2), 9, "probability", None, None, None, 0.4, None), (1, day(3), 10, "probability", None, None, None, 0.3, None), (1, day(4), 11, "probability", None, None, None, None, None), (1, day(5), 12, "probability", None, None, None, 0.5, None),
+        (1, day(1), 13, "authority", "w", None, "r", None, day(3)), (1, day(2), 14, "authority", "w", None, "s", None, day(3)), (1, day(4), 15, "authority", "w", None, "t", None, day(3)), (2, day(1), 16, "authority", "w", None, "q", None, None),
+    ]
+    got = projector.publications(spark.createDataFrame(rows, projector.FACT)).orderBy("at", "kind").collect()
+    assert [(r["at"].day, r["kind"], r["row"]) for r in got] == [(1, "authority_opened", "r"), (1, "confirmed", "x"), (3, "authority_ended", "r"), (3, "closed", None), (4, "corrected", "z"), (5, "opened", None), (5, "withdrawn", "z")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.plans import model_queries, source_queries, stream_queries
-from tidemark.streaming import delivery, ledger, projector, subscriptions, traffic
+from tidemark.streaming import delivery, ledger, projector, settlement, subscriptions, traffic
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -95,7 +95,7 @@ def test_publications_of_a_stream_that_stops_and_goes_on(spark, tmp_path):
         part = rows.filter((F.lit(True) if lo is None else F.col("at") > F.lit(lo)) & (F.lit(True) if hi is None else F.col("at") <= F.lit(hi)))
         part.coalesce(1).write.parquet(f"{path}/{k}")
         stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(path)
-        stream_queries.run_projection(spark, stream, out, checkpoint)
+        stream_queries.run_stream(spark, projector.publication_stream(stream), out, checkpoint)
         now = spark.read.parquet(out).count()
         assert now > kept
         kept = now
@@ -120,3 +120,64 @@ def test_publication_rules(spark):
     ]
     got = projector.publications(spark.createDataFrame(rows, projector.FACT)).orderBy("at", "kind").collect()
     assert [(r["at"].day, r["kind"], r["row"]) for r in got] == [(1, "authority_opened", "r"), (1, "confirmed", "x"), (3, "authority_ended", "r"), (3, "closed", None), (4, "corrected", "z"), (5, "opened", None), (5, "withdrawn", "z")]
+
+
+def decided(facts, t, start, end):
+    """Status of a window by all that was known at t."""
+    latest = {}
+    for at, kind, entity, revision, s, e, status in facts:
+        if at <= t and kind != "window":
+            latest[(kind, entity)] = max(latest.get((kind, entity), (-1,)), (revision, s, e, status))
+    met = {v[3] for (k, _), v in latest.items() if k == "outcome" and v[1] < end and v[2] > start}
+    held = set()
+    for (k, _), v in latest.items():
+        if k == "coverage" and v[3] == "eligible":
+            held |= set(range(v[1], v[2]))
+    return "positive" if "confirmed" in met else "censored" if "ambiguous" in met else "negative" if set(range(start, end)) <= held else "censored"
+
+
+def test_desk_says_what_is_known():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(200):
+        facts = [(0, "window", f"w{k}", 0, k * 5, k * 5 + rng.randrange(1, 12), None) for k in range(4)]
+        revisions = {}
+        for at in sorted(rng.choices(range(60), k=14)):
+            kind = rng.choice(["outcome", "coverage"])
+            entity = f"{kind}{rng.randrange(4)}"
+            revisions[entity] = revisions.get(entity, 0) + 1
+            s = rng.randrange(30)
+            facts.append((at, kind, entity, revisions[entity], s, s + rng.randrange(1, 15), rng.choice(["confirmed", "ambiguous", "cancelled"] if kind == "outcome" else ["eligible", "eligible", "other"])))
+        desk = settlement.Desk()
+        cut = rng.randrange(len(facts) + 1)
+        got = []
+        for part in (facts[:cut], facts[cut:]):
+            if part and cut and part is not facts[:cut] and facts[cut - 1][0] == part[0][0]:
+                break  # facts of one time arrive together
+            got += desk.advance(part)
+        else:
+            got += desk.expire(1 << 62)
+            for k in range(4):
+                start, end = k * 5, facts[k][5]
+                own = [g for g in got if g[0] == f"w{k}"]
+                assert [g[5] for g in own] == list(range(1, len(own) + 1)) and [g[6] for g in own] == [None, *[g[4] for g in own[:-1]]]
+                for t in range(end, 70):
+                    assert [g for g in own if g[3] <= t][-1][4] == decided(facts, t, start, end)
+
+
+def test_settlement_of_a_stream_that_stops_and_goes_on(spark, tmp_path):
+    rows = stream_queries.settlement_facts(spark, FOLDER).filter("subject % 4 = 0").persist()
+    edges = rows.select(F.percentile_approx("at", [0.3, 0.7])).first()[0]
+    path, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")
+    for k, (lo, hi) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
+        part = rows.filter((F.lit(True) if lo is None else F.col("at") > F.lit(lo)) & (F.lit(True) if hi is None else F.col("at") <= F.lit(hi)))
+        part.coalesce(1).write.parquet(f"{path}/{k}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(path)
+        stream_queries.run_stream(spark, settlement.settlement_stream(stream), out, checkpoint)
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    got = key(spark.read.parquet(out))
+    until = rows.crossJoin(F.broadcast(rows.agg((F.max("at") - F.expr("interval 1 hour")).alias("until"))))
+    assert got == key(settlement.settlement_history(until, "until"))
+    assert any(r[7] for r in got) and {r[5] for r in got} == {"positive", "negative", "censored"}
+    rows.unpersist()

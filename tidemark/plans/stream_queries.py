@@ -10,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import time as tm
+from tidemark.operators import coverage
+from tidemark.plans import coverage_queries
+from tidemark.plans.coverage_queries import _CUTOFFS, _ISLANDS, _LATEST, ASSERTIONS
 from tidemark.plans.model_queries import stream_folder
 from tidemark.session import table
-from tidemark.streaming import projector
+from tidemark.streaming import projector, settlement
 
 
 def facts(events: DataFrame) -> DataFrame:
@@ -49,17 +53,16 @@ def streamed_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = facts(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
     folder = stream_folder(spark, "publications")
-    run_projection(spark, stream, f"{folder}/table", f"{folder}/checkpoint")
+    run_stream(spark, projector.publication_stream(stream), f"{folder}/table", f"{folder}/checkpoint")
     return spark.read.schema(projector.OUTPUT).parquet(f"{folder}/table").withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
-def run_projection(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str) -> None:
-    """All that the stream has now, appended to a Parquet table."""
+def run_stream(spark: SparkSession, out: DataFrame, path: str, checkpoint: str) -> None:
+    """All that a stream with state has now, appended to a Parquet table."""
     before = {k: spark.conf.get(k, None) for k in projector.PROVIDER}
     for k, v in projector.PROVIDER.items():
         spark.conf.set(k, v)
     try:
-        out = projector.publication_stream(stream)
         out.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
     finally:
         for k, v in before.items():
@@ -69,7 +72,48 @@ def run_projection(spark: SparkSession, stream: DataFrame, path: str, checkpoint
                 spark.conf.set(k, v)
 
 
-QUERIES = {f.__name__: f for f in (publications, streamed_publications)}
+def settlement_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of ``coverage_queries`` as windows, its assertions as coverage, purchases of 100 or more as outcomes known two days later.
+
+    The revisions of an assertion are known in their order, when it was asserted.
+    """
+    a = coverage_queries.assertions(spark, sf_dir)
+    eligible = (F.col("adequacy") == coverage.ELIGIBLE) & ~F.col("revoked")
+    days = a.groupBy("user_id", "start").agg(F.max("end").alias("end"))
+    hits = table(spark, sf_dir, "events").filter("event_type = 'purchase' and value >= 100")
+    none = F.lit(0).cast("long")
+    parts = [
+        days.select(F.col("user_id").alias("subject"), F.col("start").alias("at"), none.alias("tie"), F.lit("window").alias("kind"), F.date_format("start", "yyyy-MM-dd").alias("entity"), none.alias("revision"), "start", "end", F.lit(None).cast("string").alias("status")),
+        a.select(F.col("user_id").alias("subject"), F.col("asserted_at").alias("at"), F.col("event_id").alias("tie"), F.lit("coverage").alias("kind"), F.col("assertion_id").alias("entity"), F.col("revision").cast("long").alias("revision"), "start", "end", F.when(eligible, "eligible").otherwise("other").alias("status")),
+        hits.select(F.col("user_id").alias("subject"), tm.add_hours(F.col("ts"), 48).alias("at"), F.col("event_id").alias("tie"), F.lit("outcome").alias("kind"), F.col("event_id").cast("string").alias("entity"), none.alias("revision"), F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 1 microsecond")).alias("end"), F.lit("confirmed").alias("status")),
+    ]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("subject", F.col("at").cast("timestamp").alias("at"), "tie", "kind", "entity", "revision", F.col("start").cast("timestamp").alias("start"), F.col("end").cast("timestamp").alias("end"), "status")
+
+
+def _as_of(spark: SparkSession, sf_dir: str, history: DataFrame) -> DataFrame:
+    local = history.withColumn("at", F.col("at").cast("timestamp_ntz"))
+    windows = settlement_facts(spark, sf_dir).filter("kind = 'window'").select("subject", F.col("entity").alias("window"))
+    return settlement.status_as_of(local, coverage_queries.cutoffs(spark), windows)
+
+
+def settled_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses at four cutoffs, read from the history of all revisions."""
+    return _as_of(spark, sf_dir, settlement.settlement_history(settlement_facts(spark, sf_dir)))
+
+
+def streamed_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the revisions that a stream with state has written, its facts arriving as files in two parts."""
+    folder = stream_folder(spark, "settlement")
+    facts_ = settlement_facts(spark, sf_dir)
+    for k, part in enumerate((F.col("at") < F.lit("2024-01-16").cast("timestamp"), F.col("at") >= F.lit("2024-01-16").cast("timestamp"))):
+        facts_.filter(part).write.parquet(f"{folder}/facts/{k}")
+        stream = spark.readStream.schema(facts_.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/facts")
+        run_stream(spark, settlement.settlement_stream(stream), f"{folder}/table", f"{folder}/checkpoint")
+    return _as_of(spark, sf_dir, spark.read.schema(settlement.OUTPUT).parquet(f"{folder}/table"))
+
+
+QUERIES = {f.__name__: f for f in (publications, streamed_publications, settled_as_of, streamed_settlement)}
 
 _PUBLICATIONS = """
 WITH f AS (SELECT user_id % 50 AS subject, ts AS "at", event_id AS tie, event_type, CAST(user_id AS VARCHAR) AS entity, ['pending', 'confirmed', 'retracted', 'withdrawn', 'confirmed'][CAST(event_id % 5 + 1 AS INTEGER)] AS status,
@@ -85,4 +129,9 @@ UNION ALL SELECT subject, "at", CASE WHEN active = 1 THEN 'opened' ELSE 'closed'
 UNION ALL SELECT subject, "at", 'authority_opened', day, "row" FROM a
 UNION ALL SELECT subject, ends, 'authority_ended', day, "row" FROM a, u WHERE ends <= until"""
 
-ORACLES = {"publications": _PUBLICATIONS, "streamed_publications": _PUBLICATIONS}
+_SETTLED = f"""WITH {ASSERTIONS}, {_CUTOFFS}, {_LATEST.format(available='asserted_at')}, {_ISLANDS},
+d AS (SELECT user_id, s, max(e) AS e FROM a GROUP BY user_id, s), h AS (SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS s, min(ts) + INTERVAL 48 HOUR AS known FROM events WHERE event_type = 'purchase' AND value >= 100 GROUP BY 1, 2)
+SELECT k.cutoff, d.user_id AS subject, strftime(d.s, '%Y-%m-%d') AS window, CASE WHEN d.e > k.cutoff THEN 'pending' WHEN h.known <= k.cutoff THEN 'positive' WHEN EXISTS (SELECT 1 FROM m WHERE m.cutoff = k.cutoff AND m.user_id = d.user_id AND m.s <= d.s AND m.e >= d.e) THEN 'negative' ELSE 'censored' END AS status
+FROM d CROSS JOIN k LEFT JOIN h ON h.user_id = d.user_id AND h.s = d.s"""
+
+ORACLES = {"settled_as_of": _SETTLED, "streamed_settlement": _SETTLED, "publications": _PUBLICATIONS, "streamed_publications": _PUBLICATIONS}

@@ -85,4 +85,11 @@ def test_episodes_hold_their_entries(spark):
     for key, own in members.items():
         r, last = got[key], max(own, key=lambda e: (at[e]["last_at"], e))
         assert (r["n"], r["start"], r["end"]) == (len(own), min(at[e]["first_at"] for e in own), max(at[e]["last_at"] for e in own))
-        assert r["state"] == ("resolved" if last % 6 == 0 else "mitigating" if at[last]["followup"] else "active") and 0 <= r["pressure"] <= 1
+        timeline = [("resolved" if e % 6 == 0 else "mitigating" if at[e]["followup"] else "active", at[e]["last_at"]) for e in sorted(own, key=lambda e: (at[e]["last_at"], e))]
+        done, spell, was = False, None, None
+        for state, t in timeline:
+            done |= state == "resolved"
+            spell = t if was is None or (was == "resolved" and state != "resolved") else spell
+            was = state
+        assert r["state"] == ("reopened" if done and was != "resolved" else was) and r["spell_start"] == spell
+        assert 0 <= r["pressure"] <= r["peak_pressure"] <= 1

@@ -69,6 +69,78 @@ def pressure(parts: Mapping[str, Column], lifecycle: Column, sources: Column, ac
     return clamp(base * lifecycle * freshness(idle_hours, ttl_hours, half_life_hours), 0.0, 1.0)
 
 
+def pressure_at(
+    updates: DataFrame, samples: DataFrame, keys: Sequence[str], time: str, tie: str, group: str, state: str, severity: str, scope: str, workaround: str, category: str, weights: Mapping[str, float], ttl_hours: float, half_life_hours: float, bucket_hours: float = 24.0
+) -> DataFrame:
+    """State and pressure of each episode at each of its sample times (keys, sample in microseconds), by what was known then.
+
+    The state is that of the last update, but ``reopened`` for one that is not resolved after any
+    that was.  Its active spell begins with the first update after a resolved one and ends with the
+    last resolved one, or at the sample.  Severity and scope are those of the highest update of the
+    first one's category, workaround is the last one's, and sources are distinct groups.
+    ``weights`` says what states weigh (1 where it doesn't).  Samples before the first update fall
+    away.
+
+    A sweep over updates and samples together.  Episodes are cut at buckets of time: what is
+    carried over (sums and maxima) comes from the buckets' totals, so that no task sorts more than
+    a bucket of an episode.
+    """
+    width = int(bucket_hours * HOUR_US)
+    t = micros(F.col(time))
+    columns = {"__t": t, "__tie": F.col(tie), "__state": F.col(state), "__sev": F.col(severity).cast("double"), "__scope": F.col(scope).cast("double"), "__work": F.col(workaround).cast("double"), "__cat": F.col(category), "__group": F.col(group)}
+    rows = updates.select(*keys, *[c.alias(n) for n, c in columns.items()]).withColumn("__bucket", F.floor(F.col("__t") / width))
+    order = F.struct("__t", "__tie")
+    first = rows.groupBy(*keys).agg(F.min_by("__cat", order).alias("__first_cat"))
+    ends = rows.groupBy(*keys, "__bucket").agg(F.max_by("__state", order).alias("__end_state"))
+    ends = ends.withColumn("__before", F.lag("__end_state").over(Window.partitionBy(*keys).orderBy("__bucket"))).drop("__end_state")
+    own = [*keys, "__bucket"]
+    rows = rows.join(ends, own).join(first, list(keys))
+    within = Window.partitionBy(*own).orderBy("__t", "__tie")
+    was = F.coalesce(F.lag("__state").over(within), F.col("__before"))
+    begins = was.isNull() | ((was == "resolved") & (F.col("__state") != "resolved"))
+    no = F.lit(None)
+    facts = rows.select(
+        *own, "__t", F.lit(0).alias("__side"), "__tie",
+        F.struct("__t", "__tie", "__state", "__work").alias("__last"),
+        F.when(F.col("__cat").eqNullSafe(F.col("__first_cat")), F.struct("__sev", "__scope")).alias("__peak"),
+        F.when(begins, F.col("__t")).alias("__start"),
+        (F.col("__state") == "resolved").alias("__done"),
+        F.lit(0).cast("long").alias("__new"),
+    )
+    types = dict(facts.dtypes)
+    empty = {n: no.cast(types[n]).alias(n) for n in ("__tie", "__last", "__peak", "__start", "__done")}
+    groups = rows.groupBy(*keys, "__group").agg(F.min("__t").alias("__t")).withColumn("__bucket", F.floor(F.col("__t") / width))
+    groups = groups.select(*own, "__t", F.lit(0).alias("__side"), *empty.values(), F.lit(1).cast("long").alias("__new"))
+    asked = samples.select(*keys, F.col("sample").cast("long").alias("__t")).withColumn("__bucket", F.floor(F.col("__t") / width))
+    asked = asked.select(*own, "__t", F.lit(1).alias("__side"), *empty.values(), F.lit(0).cast("long").alias("__new"))
+    swept = facts.unionByName(groups).unionByName(asked)
+    carried = {"__last": F.max, "__peak": F.max, "__start": F.max, "__done": F.max, "__new": F.sum}
+    totals = swept.groupBy(*own).agg(*[f(n).alias(n) for n, f in carried.items()])
+    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*own, *[f(n).over(earlier).alias(f"{n}_p") for n, f in carried.items()])
+    so_far = Window.partitionBy(*own).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    met = swept.select(*own, "__t", "__side", *[f(n).over(so_far).alias(n) for n, f in carried.items()]).filter("__side = 1").join(totals, own)
+    both = {n: (F.coalesce(n, F.lit(0)) + F.coalesce(f"{n}_p", F.lit(0)) if n == "__new" else F.greatest(n, f"{n}_p")) for n in carried}
+    met = met.select(*keys, F.col("__t").alias("sample"), *[c.alias(n) for n, c in both.items()]).filter("__last is not null")
+    last = F.col("__last.__state")
+    found = met.select(
+        *keys, "sample",
+        F.when((last != "resolved") & F.col("__done"), "reopened").otherwise(last).alias("state"),
+        F.col("__new").alias("sources"),
+        F.col("__start").alias("spell_start"),
+        F.when(last == "resolved", F.col("__last.__t")).otherwise(F.col("sample")).alias("spell_end"),
+        F.col("__last.__t").alias("last_update"),
+        F.col("__peak.__sev").alias("severity"), F.col("__peak.__scope").alias("scope"), F.col("__last.__work").alias("workaround"),
+    )
+    weight = F.lit(1.0)
+    for name, w in weights.items():
+        weight = F.when(F.col("state") == name, float(w)).otherwise(weight)
+    active = clamp((F.col("spell_end") - F.col("spell_start")) / F.lit(float(HOUR_US)), 0.0, ttl_hours)
+    idle = F.greatest(F.lit(0.0), (F.col("sample") - F.col("last_update")) / F.lit(float(HOUR_US)))
+    level = pressure({k: F.col(k) for k in ("severity", "scope", "workaround")}, weight, F.col("sources"), active, idle, ttl_hours, half_life_hours)
+    return found.withColumns({"active_hours": active, "idle_hours": idle, "pressure": level})
+
+
 def revision_kinds(versions: DataFrame, keys: Sequence[str], order: str, state: str, ranks: Sequence[str], evidence: str, level: str, material: float = 0.005) -> DataFrame:
     """kind and trend of each version beside the one before.
 

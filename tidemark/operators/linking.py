@@ -181,10 +181,10 @@ def source_exclusions(outcomes: DataFrame, key: str, record: str, refs: str, gro
 
 def sample_times(updates: DataFrame, keys: Sequence[str], time: str, at: Column, ttl_hours: float) -> DataFrame:
     """The times at which an episode's pressure can peak: now, each update, just before it (but the first), and when it grows old."""
-    first = F.min(time).over(Window.partitionBy(*keys))
     us, now = micros(F.col(time)), micros(at)
     points = F.array(now, us, F.when(F.col(time) > F.col("__first"), us - 1000), F.least(now, us + int(ttl_hours * HOUR_US)))
-    rows = updates.filter(F.col(time) <= at).withColumn("__first", first)
+    known = updates.filter(F.col(time) <= at)
+    rows = known.join(known.groupBy(*keys).agg(F.min(time).alias("__first")), list(keys))
     return rows.select(*keys, F.explode(F.array_compact(points)).alias("sample")).distinct()
 
 

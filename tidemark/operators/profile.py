@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import canonical_json
+from tidemark.functions.time import from_micros, micros
 from tidemark.operators import metrics, model
-from tidemark.operators.episodes import milestones, pressure, window_classes
-from tidemark.operators.linking import scored_clusters
+from tidemark.operators.episodes import milestones, pressure_at, window_classes
+from tidemark.operators.linking import sample_times, scored_clusters
 
 # Why a window has no label, as ``window_classes`` says it.
 EXCLUSIONS = ("immature", "censored_anchor_inside_outcome", "censored_ambiguous_outcome", "censored_incomplete_coverage")
 
+#: What states weigh in an episode's pressure; others weigh 1.
+STATE_WEIGHTS = {"resolved": 0.2, "mitigating": 0.6}
+
 
 def labelled_windows(windows: DataFrame, outcomes: DataFrame, coverage: DataFrame, on: Sequence[str], ids: Sequence[str], cutoff: Column, bin_hours: float) -> DataFrame:
     """``windows`` with status and y: 1 or 0 where there is a label, null where a window is excluded."""
@@ -48,21 +52,25 @@ def compact_profile(profile: DataFrame, curve: DataFrame, keys: Sequence[str], p
     return profile.select(*keys, "status", "reason", "sample_count", "event_count").crossJoin(F.broadcast(packed))
 
 
-def impact_episodes(entries: DataFrame, keys: Sequence[str], tie: str, severity: str, official: Column, at: Column, gap_hours: float, ttl_hours: float, half_life_hours: float) -> DataFrame:
-    """Episodes of evidence (see ``scored_clusters``; with state and ``severity`` from 0 to 1): hull, state, milestones and pressure."""
+def impact_episodes(entries: DataFrame, keys: Sequence[str], tie: str, severity: str, official: Column, at: Column, gap_hours: float, ttl_hours: float, half_life_hours: float, weights: Mapping[str, float] = STATE_WEIGHTS) -> DataFrame:
+    """Episodes of evidence (see ``scored_clusters``; with state and ``severity`` from 0 to 1) as they stand at a time.
+
+    Hull, number, surfaces and milestones; state, active spell and pressure of the folded lifecycle
+    (see ``pressure_at``), and the highest pressure that it ever had, at the times at which it can
+    peak.  Each entry is a source of its own.
+    """
     clustered = scored_clusters(entries, keys, "first_at", "last_at", tie, "category", "surfaces", "tokens", "followup", gap_hours)
     own = [*keys, "cluster"]
-    hull = clustered.groupBy(*own).agg(
-        F.min("first_at").alias("start"), F.max("last_at").alias("end"), F.count(F.lit(1)).alias("n"), F.max(severity).alias("severity"), F.size(F.array_distinct(F.flatten(F.collect_set("surfaces")))).alias("n_surfaces"), F.max_by("state", F.struct("last_at", tie)).alias("state")
-    )
+    hull = clustered.groupBy(*own).agg(F.min("first_at").alias("start"), F.max("last_at").alias("end"), F.count(F.lit(1)).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("surfaces")))).alias("n_surfaces"))
     marks = milestones(clustered, own, "first_at", "state", official)
-    hours = {"active": F.col("end"), "idle": at}
-    since = {"active": F.col("start"), "idle": F.col("end")}
-    spans = {k: (F.unix_micros(hours[k].cast("timestamp")) - F.unix_micros(since[k].cast("timestamp"))) / F.lit(3.6e9) for k in hours}
-    weight = F.when(F.col("state") == "resolved", 0.2).when(F.col("state") == "mitigating", 0.6).otherwise(1.0)
-    parts = {"severity": F.col("severity"), "scope": F.least(F.lit(1.0), F.col("n_surfaces") / 5), "workaround": F.lit(0.5)}
-    level = pressure(parts, weight, F.col("n"), spans["active"], spans["idle"], ttl_hours, half_life_hours)
-    return hull.join(marks, own).withColumn("pressure", level)
+    updates = clustered.withColumns({"__scope": F.least(F.lit(1.0), F.size("surfaces") / 5), "__workaround": F.lit(0.5)})
+    samples = sample_times(updates, own, "last_at", at, ttl_hours)
+    levels = pressure_at(updates, samples, own, "last_at", tie, tie, "state", severity, "__scope", "__workaround", "category", weights, ttl_hours, half_life_hours)
+    now = F.col("sample") == micros(at)
+    shown = {c: F.max(F.when(now, F.col(c))) for c in ("state", "severity", "pressure")}
+    spell = from_micros(F.max(F.when(now, F.col("spell_start"))))
+    assessed = levels.groupBy(*own).agg(*[c.alias(n) for n, c in shown.items()], spell.alias("spell_start"), F.max("pressure").alias("peak_pressure"))
+    return hull.join(marks, own).join(assessed, own)
 
 
 def train_challenger(examples: DataFrame, features: Sequence[str], event: str, exposure: str, lineage: Mapping[str, object]) -> dict[str, object]:

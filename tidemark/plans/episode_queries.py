@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import time as tm
 from tidemark.functions.time import HOUR_US, micros
-from tidemark.operators import episodes, intervals
+from tidemark.operators import episodes, intervals, linking
 from tidemark.plans.metric_queries import HOURS, hours, r6
 from tidemark.session import table
 
@@ -102,13 +102,51 @@ def coverage_waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episodes.waiting_rollup(reports, ["role"], "user_id", _now())
 
 
-QUERIES = {f.__name__: f for f in (candidate_states, hypothesised_ranges, episode_milestones, peak_impacts, episode_pressure, revision_kinds, window_classes, alert_matches, provider_freshness, freshness_groups, coverage_waiting)}
+WEIGHTS = {"resolved": 0.2, "mitigating": 0.6, "investigating": 0.9, "reopened": 1.0}
+TTL, HALF_LIFE = 12.0, 6.0
+
+
+def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as updates of one episode: states, weights and independence groups by number."""
+    e = table(spark, sf_dir, "events").filter(F.col("ts") <= _now())
+    state = F.element_at(F.array(*[F.lit(x) for x in ("resolved", "mitigating", "investigating", "active", "active", "active")]), (F.col("event_id") % 6 + 1).cast("int"))
+    return e.select("user_id", "event_id", "ts", state.alias("state"), (F.col("event_id") % 5 / 4.0).alias("severity"), (F.col("event_id") % 4 / 3.0).alias("scope"), (F.col("event_id") % 3 / 2.0).alias("workaround"), F.col("event_type").alias("category"), (F.col("event_id") % 7).alias("origin"))
+
+
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = updates(spark, sf_dir)
+    samples = linking.sample_times(rows, ["user_id"], "ts", _now(), TTL)
+    return episodes.pressure_at(rows, samples, ["user_id"], "ts", "event_id", "origin", "state", "severity", "scope", "workaround", "category", WEIGHTS, TTL, HALF_LIFE)
+
+
+def pressure_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State, sources, spell and pressure of each user's episode at every time at which it can peak."""
+    return _sampled(spark, sf_dir).select("user_id", "sample", "state", "sources", "spell_start", r6("active_hours"), r6("idle_hours"), r6("pressure"))
+
+
+def sampled_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled(spark, sf_dir).groupBy("user_id").agg(F.max("pressure").alias("peak"), F.count(F.lit(1)).alias("n")).select("user_id", r6("peak"), "n")
+
+
+QUERIES = {f.__name__: f for f in (pressure_samples, sampled_peaks, candidate_states, hypothesised_ranges, episode_milestones, peak_impacts, episode_pressure, revision_kinds, window_classes, alert_matches, provider_freshness, freshness_groups, coverage_waiting)}
 
 _STATE = "CASE event_type WHEN 'signup' THEN 'resolved' WHEN 'click' THEN 'mitigating' ELSE 'active' END"
 _PROVIDERS = f"""g AS (SELECT user_id, max(ts) FILTER (WHERE event_type = 'view') AS success, max(ts) FILTER (WHERE event_type = 'error' AND value > 150) AS failure FROM events WHERE ts <= TIMESTAMP '{NOW}' GROUP BY user_id),
 p AS (SELECT user_id, user_id % 5 <> 0 AS enabled, CASE WHEN user_id % 5 = 0 THEN 'disabled' WHEN failure IS NOT NULL AND (success IS NULL OR failure >= success) THEN 'error' WHEN success IS NULL THEN 'unknown' WHEN epoch_us(TIMESTAMP '{NOW}') - epoch_us(success) > 60 * 3600000000 THEN 'stale' ELSE 'fresh' END AS status FROM g)"""
 
+_SAMPLED = f"""e AS (SELECT user_id, event_id, epoch_us(ts) AS t, ['resolved', 'mitigating', 'investigating', 'active', 'active', 'active'][CAST(event_id % 6 + 1 AS INTEGER)] AS state, event_id % 5 / 4.0::DOUBLE AS sev, event_id % 4 / 3.0::DOUBLE AS scope, event_id % 3 / 2.0::DOUBLE AS work, event_type, event_id % 7 AS origin
+  FROM events WHERE ts <= TIMESTAMP '{NOW}'),
+u AS (SELECT *, first_value(event_type) OVER w = event_type AS own, lag(state) OVER w AS was, min(t) OVER (PARTITION BY user_id) AS t0 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+s AS (SELECT DISTINCT user_id, unnest([epoch_us(TIMESTAMP '{NOW}'), t, CASE WHEN t > t0 THEN t - 1000 END, least(epoch_us(TIMESTAMP '{NOW}'), t + CAST({TTL} * 3.6e9 AS BIGINT))]) AS sample FROM u),
+g AS (SELECT s.user_id, sample, arg_max({{'state': state, 'work': work, 't': t}}, {{'t': t, 'i': event_id}}) AS l, bool_or(state = 'resolved') AS done, count(DISTINCT origin) AS sources, max({{'sev': sev, 'scope': scope}}) FILTER (WHERE own) AS p,
+  max(t) FILTER (WHERE was IS NULL OR (was = 'resolved' AND state <> 'resolved')) AS spell_start FROM s JOIN u ON u.user_id = s.user_id AND u.t <= s.sample WHERE sample IS NOT NULL GROUP BY 1, 2),
+q AS (SELECT *, CASE WHEN l.state <> 'resolved' AND done THEN 'reopened' ELSE l.state END AS st, least({TTL}, greatest(0, ((CASE WHEN l.state = 'resolved' THEN l.t ELSE sample END) - spell_start) / 3.6e9)) AS active, greatest(0, (sample - l.t) / 3.6e9) AS idle FROM g),
+pr AS (SELECT *, least(1, greatest(0, (p.sev * 0.4 + p.scope * 0.25 + 0.1 * (1 - exp(-3 * floor(active) / {TTL})) / (1 - exp(-3.0::DOUBLE)) + 0.15 * least(1, 0.4 + 0.2 * greatest(0, sources - 1)) + l.work * 0.1)
+  * CASE st WHEN 'resolved' THEN 0.2 WHEN 'mitigating' THEN 0.6 WHEN 'investigating' THEN 0.9 ELSE 1 END * pow(0.5, floor(greatest(0, idle - {TTL})) / {HALF_LIFE}))) AS pressure FROM q)"""
+
 ORACLES = {
+    "pressure_samples": f"WITH {_SAMPLED} SELECT user_id, sample, st AS state, sources, spell_start, round(active, 6) + 0.0 AS active_hours, round(idle, 6) + 0.0 AS idle_hours, round(pressure, 6) + 0.0 AS pressure FROM pr",
+    "sampled_peaks": f"WITH {_SAMPLED} SELECT user_id, round(max(pressure), 6) + 0.0 AS peak, count(*) AS n FROM pr GROUP BY user_id",
     "candidate_states": "WITH v AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'signup' AND value > 200) AS d, count(*) FILTER (WHERE event_type IN ('view', 'purchase')) AS f, count(*) FILTER (WHERE event_type = 'error') AS a FROM events GROUP BY user_id) SELECT user_id, CASE WHEN d > 0 THEN 'closed' WHEN a > f THEN 'contradicted' WHEN f > 0 THEN 'supported' ELSE 'open' END AS state FROM v",
     "hypothesised_ranges": 'SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) ELSE \'unknown\' END AS precision FROM events GROUP BY user_id, CAST(ts AS DATE)',
     "episode_milestones": "SELECT user_id, min(ts) FILTER (WHERE value >= 100) AS acknowledged_at, max(ts) FILTER (WHERE event_type = 'click') AS mitigated_at, max(ts) FILTER (WHERE event_type = 'signup') AS resolved_at FROM events GROUP BY user_id",

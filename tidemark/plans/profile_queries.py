@@ -48,7 +48,7 @@ def impact_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes of each user's events with state and pressure now."""
     e = link_queries._entries(spark, sf_dir).withColumns({"severity": F.least(F.lit(1.0), F.size("tokens") / 4.0 + (F.col("event_id") % 5) / 10.0), "state": F.when(F.col("event_id") % 6 == 0, "resolved").when(F.col("followup"), "mitigating").otherwise("active")})
     out = profile.impact_episodes(e, ["user_id"], "event_id", "severity", F.col("event_id") % 4 == 0, F.lit("2024-02-01").cast("timestamp_ntz"), 20.0, 72.0, 36.0)
-    return out.select("user_id", "cluster", "start", "end", "n", "state", "n_surfaces", r6("severity"), "acknowledged_at", "resolved_at", r6("pressure"))
+    return out.select("user_id", "cluster", "start", "end", "n", "state", "n_surfaces", r6("severity"), "acknowledged_at", "resolved_at", "spell_start", r6("pressure"), r6("peak_pressure"))
 
 
 QUERIES = {f.__name__: f for f in (window_labels, threshold_profile, compact_profile, impact_episodes)}

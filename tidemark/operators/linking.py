@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.text import DISTINCTIVE
 from tidemark.functions.time import HOUR_US, micros
+from tidemark.operators.identity import claims
 from tidemark.operators.revisions import latest_by
 
 
@@ -105,28 +106,12 @@ def scored_clusters(entries: DataFrame, keys: Sequence[str], first: str, last: s
 def claimed_identities(clusters: DataFrame, priors: DataFrame, keys: Sequence[str], cluster: str, order: str, groups: str, prior: str, created: str) -> DataFrame:
     """identity of each cluster: the oldest earlier entity of its key that shares a group and is not claimed yet, else null.
 
-    Clusters claim in their ``order``.  Candidate pairs are sorted by Spark; a task goes through
-    them once and remembers only which entities of the key at hand are taken.
+    Clusters claim in their ``order``, in rounds (see ``identity.claims``).
     """
-    pairs = clusters.select(*keys, cluster, order, F.explode(groups).alias("__g")).join(priors.select(*keys, prior, created, F.explode(groups).alias("__g")), [*keys, "__g"])
-    pairs = pairs.select(*keys, cluster, order, prior, created).distinct().repartition(*keys).sortWithinPartitions(*keys, order, cluster, created, prior)
-    schema = T.StructType([clusters.schema[cluster], T.StructField("identity", priors.schema[prior].dataType)])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, taken, last = None, set(), None
-        for part in parts:
-            out = []
-            for row in part.itertuples(index=False):
-                key, name, own = row[: len(keys)], getattr(row, cluster), getattr(row, prior)
-                if key != held:
-                    held, taken, last = key, set(), None
-                if name != last and own not in taken:
-                    taken.add(own)
-                    last = name
-                    out.append((name, own))
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return clusters.join(pairs.mapInPandas(run, schema), cluster, "left")
+    own = clusters.select(*keys, F.col(cluster).alias("cluster"), F.col(order).alias("turn"), F.explode(groups).alias("g"))
+    before = priors.select(*keys, F.col(prior).alias("prior"), F.col(created).alias("created"), F.explode(groups).alias("g"))
+    taken = claims(own, before, keys).select(F.col("cluster").alias(cluster), F.col("prior").alias("identity"))
+    return clusters.join(taken, cluster, "left")
 
 
 def uncancelled(supports: DataFrame, contradictions: DataFrame, keys: Sequence[str], available: str, active: Column, tie: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import time as tm
-from tidemark.operators import linking, training
+from tidemark.operators import identity, linking, training
 from tidemark.plans.metric_queries import r6
 from tidemark.session import table
 
@@ -59,6 +59,17 @@ def claimed_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.claimed_identities(clusters, priors, ["scope"], "cluster", "order", "groups", "prior", "created").select("cluster", "identity")
 
 
+def cluster_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with default and split identities: three orders share a default, and a quarter of the priors have one for a name."""
+    lines = table(spark, sf_dir, "lineitem")
+    o, s = F.col("l_orderkey"), F.col("l_suppkey")
+    clusters = lines.groupBy((o % 10).alias("scope"), o.alias("cluster")).agg(F.collect_set(F.col("l_partkey") % 400).alias("groups"))
+    clusters = clusters.select("scope", "cluster", F.col("cluster").alias("turn"), "groups", F.concat(F.lit("d"), F.floor(F.col("cluster") / 30).cast("string")).alias("default_id"), F.concat(F.lit("s"), F.col("cluster").cast("string")).alias("split_id"))
+    name = F.concat(F.when(F.col("l_suppkey") % 4 == 0, "d").otherwise("p"), s.cast("string"))
+    priors = lines.groupBy((s % 10).alias("scope"), name.alias("prior")).agg(F.collect_set(F.col("l_partkey") % 400).alias("groups"), F.min("l_shipdate").alias("created"))
+    return identity.identities(clusters, priors, ["scope"]).select("cluster", "identity", "source")
+
+
 def uncancelled_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     out = linking.uncancelled(e.filter("event_type in ('purchase', 'view')"), e.filter("event_type = 'error' and value >= 60"), ["user_id"], "ts", F.col("value") >= 10, "event_id")
@@ -150,9 +161,21 @@ def display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("pressure"), F.desc("updated"), "user_id")))  # eight rows
 
 
-QUERIES = {f.__name__: f for f in (speaking_signals, collapsed_updates, scored_clusters, claimed_identities, uncancelled_supports, pending_observations, reconciled_signals, matching_plans, confirmation_timeline, continuity_order, source_exclusions, historical_peaks, linked_events, horizon_features, operator_outcomes, largest_cursors, display_order)}
+QUERIES = {f.__name__: f for f in (speaking_signals, collapsed_updates, scored_clusters, claimed_identities, cluster_identities, uncancelled_supports, pending_observations, reconciled_signals, matching_plans, confirmation_timeline, continuity_order, source_exclusions, historical_peaks, linked_events, horizon_features, operator_outcomes, largest_cursors, display_order)}
+
+_CLAIMS = """c AS (SELECT l_orderkey % 10 AS scope, l_orderkey AS cluster, list(DISTINCT l_partkey % 400) AS groups, 'd' || (l_orderkey // 30) AS default_id FROM lineitem GROUP BY 1, 2),
+p AS (SELECT l_suppkey % 10 AS scope, CASE WHEN l_suppkey % 4 = 0 THEN 'd' ELSE 'p' END || l_suppkey AS prior, list(DISTINCT l_partkey % 400) AS groups, min(l_shipdate) AS created FROM lineitem GROUP BY 1, 2),
+ow AS (SELECT scope, default_id AS prior, min(cluster) AS owner FROM c GROUP BY 1, 2),
+n AS (SELECT c.*, row_number() OVER (PARTITION BY scope ORDER BY cluster) AS n FROM c),
+f AS MATERIALIZED (SELECT n.scope, n.n, list(p.prior ORDER BY p.created, p.prior) AS fit FROM n JOIN p ON n.scope = p.scope AND list_has_any(n.groups, p.groups) LEFT JOIN ow ON ow.scope = p.scope AND ow.prior = p.prior WHERE ow.owner IS NULL OR ow.owner = n.cluster GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT n.scope, n.n, n.cluster, n.default_id, coalesce(f.fit, []) AS fit FROM n LEFT JOIN f ON n.scope = f.scope AND n.n = f.n),
+r AS (SELECT scope, 0::BIGINT AS n, 0::BIGINT AS cluster, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS own, CAST(NULL AS VARCHAR) AS source FROM (SELECT DISTINCT scope FROM c)
+  UNION ALL SELECT scope, n, cluster, list_append(taken, own), own, source FROM (
+    SELECT *, coalesce(chosen, CASE WHEN list_contains(taken, default_id) THEN 's' || cluster ELSE default_id END) AS own, CASE WHEN chosen IS NOT NULL THEN 'prior' WHEN list_contains(taken, default_id) THEN 'split' ELSE 'default' END AS source
+    FROM (SELECT m.scope, m.n, m.cluster, m.default_id, r.taken, list_filter(m.fit, lambda x: NOT list_contains(r.taken, x))[1] AS chosen FROM r JOIN m ON r.scope = m.scope AND m.n = r.n + 1)))"""
 
 ORACLES = {
+    "cluster_identities": f"WITH RECURSIVE {_CLAIMS} SELECT cluster, own AS identity, source FROM r WHERE n > 0",
     "speaking_signals": f"SELECT observation, event_id FROM (SELECT user_id || '@' || strftime(ts, '%Y-%m-%d') AS observation, event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY floor(value / 40) DESC, event_type IN ('purchase', 'click') DESC, event_id % 3 = 0 DESC, ts DESC, event_id) AS r FROM events WHERE event_type <> 'view' AND ts <= TIMESTAMP '{NOW}') WHERE r = 1",
     "collapsed_updates": """WITH x AS (SELECT user_id || '@' || strftime(ts, '%Y-%m-%d') AS g, event_type, floor(value / 10) AS tens, ts, event_id FROM events), u AS (SELECT g, event_type, tens, min(ts) AS t, arg_min(event_id, ts) AS i FROM x GROUP BY 1, 2, 3),
 k AS (SELECT g, string_agg(DISTINCT w, ',' ORDER BY w) AS tokens FROM (SELECT g, unnest([event_type, CAST(event_id % 4 AS VARCHAR)]) AS w FROM x) GROUP BY g)

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import time as tm
 from tidemark.operators import features, hazard, model, training
 from tidemark.plans.metric_queries import hours, r6
-from tidemark.session import table
+from tidemark.session import table, work_folder
 from tidemark.sources import records
 from tidemark.streaming import ledger, subscriptions, traffic
 
@@ -128,18 +125,10 @@ def synthetic_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.synthetic_history(spark).select("post_id", "cycle", "published_at")
 
 
-def stream_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a stream's files below spark.checkpoint.dir; only a local master may leave that unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='tidemark-')}/streams/{name}-{uuid.uuid4().hex}"
-
-
 def streamed_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly metrics as a stream leaves them: files in, changed windows out as Parquet, everything processed."""
     stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = stream_folder(spark, "minutes")
+    folder = work_folder(spark, "minutes")
     windows = traffic.minute_metrics(stream, "ts", "value", F.col("event_type") == "error", width="1 hour", late="10 minutes")
     traffic.keep_windows(windows, f"{folder}/table", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     out = traffic.latest_windows(spark.read.parquet(f"{folder}/table"))

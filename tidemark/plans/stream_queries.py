@@ -14,8 +14,7 @@ from tidemark.functions import time as tm
 from tidemark.operators import coverage
 from tidemark.plans import coverage_queries
 from tidemark.plans.coverage_queries import _CUTOFFS, _ISLANDS, _LATEST, ASSERTIONS
-from tidemark.plans.model_queries import stream_folder
-from tidemark.session import table
+from tidemark.session import table, work_folder
 from tidemark.streaming import projector, settlement
 
 
@@ -52,7 +51,7 @@ def streamed_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream with state and timers leaves it, over the table's files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = facts(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
-    folder = stream_folder(spark, "publications")
+    folder = work_folder(spark, "publications")
     run_stream(spark, projector.publication_stream(stream), f"{folder}/table", f"{folder}/checkpoint")
     return spark.read.schema(projector.OUTPUT).parquet(f"{folder}/table").withColumn("at", F.col("at").cast("timestamp_ntz"))
 
@@ -104,7 +103,7 @@ def settled_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from the revisions that a stream with state has written, its facts arriving as files in two parts."""
-    folder = stream_folder(spark, "settlement")
+    folder = work_folder(spark, "settlement")
     facts_ = settlement_facts(spark, sf_dir)
     for k, part in enumerate((F.col("at") < F.lit("2024-01-16").cast("timestamp"), F.col("at") >= F.lit("2024-01-16").cast("timestamp"))):
         facts_.filter(part).write.parquet(f"{folder}/facts/{k}")

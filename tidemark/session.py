@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,3 +17,28 @@ def session(app: str = "tidemark", master: str | None = None, **settings: str) -
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share; only a local master may leave that unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/work/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet in a new work folder and read again, so that a loop's plan stays short and lost executors cost one step."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

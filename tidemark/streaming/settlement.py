@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -125,20 +126,45 @@ def settlement_history(facts: DataFrame, until: str | None = None, bucket_hours:
     """All revisions of each window's status: subject, window, start, end, at, status, revision, retracts.
 
     A first revision is made as of the window's end, unless ``until`` (a column of one time for
-    all rows) has not reached it and no later fact came.  Groups are one subject's facts about one
-    bucket of time.
+    all rows) has not reached it and no later fact came.  Spark sorts the facts; a task holds those of one subject about one bucket
+    of time.
     """
-    rows = in_buckets(facts, bucket_hours, longest_hours).withColumn("until", F.col(until) if until else F.lit(None).cast("timestamp"))
-
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        desk = Desk()
-        found = list(desk.advance(_facts(own)))
-        end = own["until"].iloc[0]
-        found += desk.expire(1 << 62 if pd.isna(end) else end.value // 1000)
-        return _rows(key[0], found)
-
-    columns = ["subject", "bucket", "at", "tie", "kind", "entity", "revision", "start", "end", "status", "until"]
-    return rows.select(*columns).groupBy("subject", "bucket").applyInPandas(run, OUTPUT)
+    rows = in_buckets(facts, bucket_hours, longest_hours).withColumn("until", micros(F.col(until)) if until else F.lit(None).cast("long"))
+    rows = rows.withColumns({c: micros(F.col(c)) for c in ("at", "start", "end")}).repartition("subject", "bucket").sortWithinPartitions("subject", "bucket", "at", "tie")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own, end, out = None, [], None, []
+
+        def settle() -> None:
+            desk = Desk()
+            out.extend((held[0], *x) for x in desk.advance(own))
+            out.extend((held[0], *x) for x in desk.expire(1 << 62 if end is None else end))
+
+        for part in parts:
+            for subject, bucket, until_, *fact in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if (subject, bucket) != held:
+                    if held is not None:
+                        settle()
+                    held, own, end = (subject, bucket), [], until_
+                own.append(tuple(fact))
+            if out:
+                yield _arrow(out)
+                out.clear()
+        if held is not None:
+            settle()
+        if out:
+            yield _arrow(out)
+
+    raw = "subject long, window string, start long, end long, at long, status string, revision int, retracts string"
+    columns = ["subject", "bucket", "until", "at", "kind", "entity", "revision", "start", "end", "status"]
+    found = rows.select(*columns).mapInArrow(run, raw)
+    return found.withColumns({c: F.timestamp_micros(c) for c in ("start", "end", "at")})
+
+
+def _arrow(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["subject", "window", "start", "end", "at", "status", "revision", "retracts"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 class Settler(StatefulProcessor):

@@ -92,9 +92,11 @@ def test_exact_quantiles_by_nested_histograms(spark):
     assert metrics.quantiles(df.filter("false"), "v", (0.5,)) == [None]
 
 
-def test_ranks_of_hot_values(spark):
+def test_ranks_of_hot_values(spark, monkeypatch):
     """Most rows share one probability; ranks are still those of one sort."""
     rows = [(k, 0.001 if k % 3 else (k % 100) / 1e5, int(k % 7 == 0)) for k in range(3000)]
     df = spark.createDataFrame(rows, "id long, p double, y int")
     want = {r[0]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
-    assert {r["id"]: r["rank"] for r in metrics.ranked(df, "p", "id", {}, buckets=16).collect()} == want
+    for together in (10_000, 100):  # in one bucket, and in many
+        monkeypatch.setattr(metrics, "RANKED_TOGETHER", together)
+        assert {r["id"]: r["rank"] for r in metrics.ranked(df, "p", "id", {}, buckets=16).collect()} == want

@@ -7,7 +7,7 @@ ordered within probability buckets whose sums are added up, never in one task.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +96,9 @@ def ranked(df: DataFrame, p: str, tie: str, sums: dict[str, Column], buckets: in
     buckets (as many as the parameter allows) are added up.
     """
     found = df.agg(_edges(p, buckets).alias("p"), _edges(tie, buckets).alias("t"), F.count(F.lit(1)).alias("n")).first()
+    if found["n"] <= RANKED_TOGETHER:  # one bucket
+        whole = Window.orderBy(F.col(p).desc(), F.col(tie))
+        return df.withColumns({"rank": F.row_number().over(whole).cast("long")} | {k: F.sum(c).over(whole.rowsBetween(Window.unboundedPreceding, 0)) for k, c in sums.items()})
     every = max(1, buckets // max(16, found["n"] // RANKED_TOGETHER))  # few rows need few buckets
     own_edges, tie_edges = list(found["p"] or [])[::every], list(found["t"] or [])[::every]
     value = F.col(p).cast("double")
@@ -191,51 +194,67 @@ def distribution_summary(df: DataFrame, p: str, points: int = 5) -> DataFrame:
     return s.select("n", "mean", "deviation", "minimum", "maximum", low2.cast("int").alias("low_percent"), high2.cast("int").alias("high_percent"), threshold.cast("int").alias("threshold_percent"))
 
 
-def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], bins: int = 4096, few: int = 10_000) -> list[float]:
-    """The values of given ranks (from 0) in ascending order, exactly, by nested histograms.
+def order_statistics(df: DataFrame, column: str, ranks: Sequence[int] | Callable[[int], Sequence[int]], bins: int = 4096, few: int = 10_000) -> list[float]:
+    """The values of given ranks (from 0), exactly, by nested histograms; ``ranks`` may be a function of the number of values.
 
-    Each step counts the bins of a range (at most ``bins`` rows come to the driver) and goes on in
-    the bin that holds the rank, until it has ``few`` distinct values at most.
+    Each step counts, in one job, the bins of all ranges that hold a rank (at most ``bins`` rows a
+    range come to the driver) and goes on in the bins that do, until ``few`` values at most are
+    left in each.  The last job counts the distinct values of what is left.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
     span = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).first()
-    out: list[float] = []
-    first, held = 0, []  # distinct values and counts around the rank before, and how many rows are below them
-    for rank in ranks:
-        if not first <= rank < first + sum(n for _, n in held):
-            lo, hi, n, first = span["lo"], span["hi"], span["n"], 0
-            while n > few and lo < hi:
-                inside = values.filter(F.col("v").between(lo, hi))
-                number = F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / (hi - lo) * bins))
-                for r in inside.groupBy(number.alias("b")).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect():
-                    if first + r["n"] > rank:
-                        stuck = (r["lo"], r["hi"]) == (lo, hi)
-                        lo, hi, n = r["lo"], r["hi"], r["n"]
-                        break
-                    first += r["n"]
-                if stuck:  # the range is too narrow for doubles to divide: few distinct values are left
-                    break
-            held = [(r["v"], r["n"]) for r in values.filter(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("v").alias("n")).orderBy("v").collect()]
-        below = first
-        for value, n in held:
-            if below + n > rank:
-                out.append(value)
-                break
-            below += n
-    return out
+    wanted = sorted(set(ranks(span["n"]) if callable(ranks) else ranks))
+    open_ = [(span["lo"], span["hi"], span["n"], 0, wanted)] if wanted else []  # range, its values, how many are below it, ranks
+    closed: list[tuple] = []
+
+    def inside(ranges: Sequence[tuple]) -> Column:
+        place = F.lit(None).cast("int")
+        for k, r in enumerate(ranges):
+            place = F.when(F.col("v").between(r[0], r[1]), k).otherwise(place)
+        return place
+
+    while True:
+        closed += [r for r in open_ if r[2] <= few or r[0] == r[1]]
+        open_ = [r for r in open_ if r[2] > few and r[0] < r[1]]
+        if not open_:
+            break
+        number = F.lit(0)
+        for k, (lo, hi, *_) in enumerate(open_):
+            number = F.when(F.col("__k") == k, F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / (hi - lo) * bins))).otherwise(number)
+        rows = values.withColumn("__k", inside(open_)).filter("__k is not null").withColumn("b", number)
+        found = sorted(tuple(r) for r in rows.groupBy("__k", "b").agg(F.count("v"), F.min("v"), F.max("v")).collect())
+        finer: list[tuple] = []
+        for k, (lo, hi, _, below, own) in enumerate(open_):
+            for _, _, n, low, high in (r for r in found if r[0] == k):
+                mine = [x for x in own if below <= x < below + n]
+                if mine:  # a range that doubles can't divide has few distinct values left
+                    (closed if (low, high) == (lo, hi) else finer).append((low, high, n, below, mine))
+                below += n
+        open_ = finer
+    out: dict[int, float] = {}
+    if closed:
+        rows = values.withColumn("__k", inside(closed)).filter("__k is not null")
+        found = sorted(tuple(r) for r in rows.groupBy("__k", "v").agg(F.count("v")).collect())
+        for k, (_, _, _, below, own) in enumerate(closed):
+            for _, v, n in (r for r in found if r[0] == k):
+                out.update((x, v) for x in own if below <= x < below + n)
+                below += n
+    return [out[x] for x in (ranks(span["n"]) if callable(ranks) else ranks)]
 
 
 def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
     """Linearly interpolated quantiles (type 7); null without values."""
-    n = df.filter(F.col(column).isNotNull()).count()
-    if not n:
+    places: list[float] = []
+
+    def ranks(n: int) -> list[int]:
+        places[:] = [share * (n - 1) for share in shares] if n else []
+        return [r for at in places for r in (math.floor(at), math.ceil(at))]
+
+    found = order_statistics(df, column, ranks)
+    if not found:
         return [None] * len(shares)
-    out = []
-    for share in shares:
-        at = share * (n - 1)
-        a, b = order_statistics(df, column, [math.floor(at), math.ceil(at)])
-        out.append(a + (b - a) * (at - math.floor(at)))
-    return out
+    pairs = zip(found[::2], found[1::2], places, strict=True)
+    return [a + (b - a) * (at - math.floor(at)) for a, b, at in pairs]
 
 
 def bandwidth(df: DataFrame, p: str) -> DataFrame:

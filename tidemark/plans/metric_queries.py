@@ -176,9 +176,9 @@ def weighted_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def standardise_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logistic score of each order's lines from winsorised z-scores of two columns."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").cast("double").alias("x"))
-    s = metrics.standardisation(lines, ["q", "x"]).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "scale")))).alias("s"))  # two entries
-    z = [mt.winsorised(F.col(c), F.col("s")[c]["mean"], F.col("s")[c]["scale"]) for c in ("q", "x")]
-    score = mt.sigmoid(F.lit(-1.0) + mt.dot(F.array(*z), [0.5, 0.25]))
+    s = metrics.standardisation(lines, ["q", "x"]).agg(*[F.max(F.when(F.col("feature") == c, F.col(v))).alias(f"{v}_{c}") for c in ("q", "x") for v in ("mean", "scale")])  # a single row
+    z = [mt.winsorised(F.col(c), F.col(f"mean_{c}"), F.col(f"scale_{c}")) for c in ("q", "x")]
+    score = mt.sigmoid(F.lit(-1.0) + 0.5 * z[0] + 0.25 * z[1])
     return lines.crossJoin(F.broadcast(s)).groupBy("l_orderkey").agg(F.round(F.avg(score), 6).alias("score"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import episodes, hazard, intervals, sequences
+from tidemark.operators import episodes, hazard, intervals, profile, sequences
 from tidemark.plans import metric_queries, text_queries
 from tidemark.streaming import subscriptions
 
@@ -120,3 +120,16 @@ def test_carry_of_purchases_sees_one_row_an_hour(spark, monkeypatch):
     folder = "/root/testdata/sf0.01"
     hours = metric_queries.refractory_multiplier(spark, folder).count()
     assert 0 < sides[0].count() <= hours and sides[0].select(F.date_trunc("hour", "at")).distinct().count() == sides[0].count()
+
+
+def test_stems_before_stop_words(spark):
+    """By hand: "stills" stems to a stop word, "crashing" and "crashed" to one token, "runs" is too short to lose its end."""
+    row = spark.createDataFrame([("Stills runs; crashing crashed THAT workspace workspaces",)], "t string").select(text.topic_tokens(F.col("t")).alias("a"), text.topic_tokens(F.col("t"), suffixes=(), stop_words=("that",)).alias("b")).first()
+    assert row["a"] == ["runs", "crash", "workspace", "workspac"]
+    assert row["b"] == ["stills", "runs", "crashing", "crashed", "workspace", "workspaces"]
+
+
+def test_watermark_sees_changed_and_repeated_rows(spark):
+    base = [(1, "2024-01-01", 5), (2, "2024-01-02", 6)]
+    marks = [profile.watermark(spark.createDataFrame(rows, "id int, t string, v int"), "t", "id") for rows in (base, [*base[:1], (2, "2024-01-02", 7)], [*base, base[0], base[0]], [*base, base[1], base[1]], base[::-1])]
+    assert marks[0] == marks[4] and len(set(marks[:4])) == 4

@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 
 Rule = tuple[str, str]
 
-# Event types of one family, suffixes that stems lose, words that no topic has.
+# Event types of one family.
 EVENT_FAMILIES = {"quota_reset": "quota_restoration", "quota_refill": "quota_restoration"}
+#: This library's own suffixes that stems lose, and words that no topic has; ``topic_tokens`` takes others.
 SUFFIXES = ("ingly", "edly", "ing", "ed", "ly", "es", "s")
-#: Topic words of which a single common one is enough; the reference compares them, unstemmed, with stems.
+# Topic words of which a single common one is enough; they are compared, unstemmed, with stems.
 DISTINCTIVE = ("allowance", "corrupt", "crash", "delete", "drain", "freeze", "hang", "leak", "login", "regress", "stuck", "timeout", "upload", "workspace")
 STOP_WORDS = ("this", "that", "with", "from", "have", "been", "were", "they", "their", "there", "about", "after", "before", "still", "again")
 
@@ -61,18 +62,18 @@ def same_segment(text: Column, one: str, other: str) -> Column:
     return F.exists(segments(text), lambda x: matches(x, one) & matches(x, other))
 
 
-def stem(token: Column) -> Column:
+def stem(token: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
     out = token
-    for suffix in reversed(SUFFIXES):
+    for suffix in reversed(suffixes):
         out = F.when(token.endswith(suffix) & (F.length(token) - len(suffix) >= 4), F.substring(token, F.lit(1), F.length(token) - len(suffix))).otherwise(out)
     return out
 
 
-def topic_tokens(text: Column) -> Column:
-    """Distinct stems of the words of four characters or more, without stop words, in order of appearance."""
+def topic_tokens(text: Column, suffixes: Sequence[str] = SUFFIXES, stop_words: Sequence[str] = STOP_WORDS, least: int = 4) -> Column:
+    """Distinct stems of the words, in order of appearance: words are stemmed first, then short stems and stop words go."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_-]+)"), F.lit(1))
-    long = F.filter(words, lambda x: (F.length(x) >= 4) & ~x.isin(*STOP_WORDS))
-    return F.array_distinct(F.transform(long, stem))
+    stems = F.transform(words, lambda x: stem(x, suffixes))
+    return F.array_distinct(F.filter(stems, lambda x: (F.length(x) >= least) & ~x.isin(*stop_words)))
 
 
 def shares_topic(a: Column, b: Column, least: int = 2, distinctive: Sequence[str] = DISTINCTIVE) -> Column:

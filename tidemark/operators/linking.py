@@ -152,10 +152,14 @@ def confirmation_timeline(observations: DataFrame, signals: DataFrame, limit: in
 
 
 def continuity_order(versions: DataFrame, cluster: str, version: str, direct: Column, official: Column, recent: Column) -> DataFrame:
-    """The last version of each cluster with continuity, the sum of 4 (direct), 2 (official) and 1 (recent), and its rank, best first."""
+    """The last version of each cluster with continuity, the sum of 4 (direct), 2 (official) and 1 (recent), and tier: its place among the eight possible sums, 1 for the best.
+
+    Versions are looked at in order of tier, then cluster; the order itself is the reader's, as
+    ranking all clusters would need them sorted.
+    """
     last = latest_by(versions, [cluster], [version])
     score = direct.cast("int") * 4 + official.cast("int") * 2 + recent.cast("int")
-    return last.withColumn("continuity", score)
+    return last.withColumn("continuity", score).withColumn("tier", 8 - F.col("continuity"))
 
 
 def source_exclusions(outcomes: DataFrame, key: str, record: str, refs: str, groups: str) -> DataFrame:

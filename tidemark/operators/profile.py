@@ -87,8 +87,9 @@ def artifact_is_intact(artifact: Mapping[str, object]) -> bool:
 
 
 def watermark(df: DataFrame, time: str, key: str) -> str:
-    """A hash that changes when rows are added or changed: their number, last time and the sum of their hashes."""
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.max(time).cast("string").alias("t"), F.bit_xor(F.xxhash64(key, time)).alias("x")).first()
+    """A hash that changes when rows are added, changed or repeated: their number, last time and the sum of the hashes of all their columns."""
+    whole = F.xxhash64(key, *df.columns).cast("decimal(38,0)")
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.max(time).cast("string").alias("t"), F.sum(whole).cast("string").alias("x")).first()
     return hashlib.sha256(f"{r['n']}|{r['t']}|{r['x']}".encode()).hexdigest()
 
 

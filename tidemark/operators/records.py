@@ -172,11 +172,10 @@ def serving_current(age_hours: Column, cadence_hours: float, same_config: Column
     return F.coalesce(same_config & same_watermark & (age_hours >= 0) & (age_hours <= 3 * cadence_hours), F.lit(False))
 
 
-def operator_confirmation(o: Mapping[str, Column], producer: str, most_minutes: int = 1) -> Column:
+def operator_confirmation(o: Mapping[str, Column], producer: str) -> Column:
     """Whether an observation is an operator's confirmation: made by the console, of its own text, with clocks that agree."""
     same_clock = (micros(o["published"]) == micros(o["seen"])) & (micros(o["seen"]) == micros(o["fetched"])) & (micros(o["fetched"]) == micros(o["created"]))
-    whole = micros(o["published"]) % (most_minutes * 60_000_000) < most_minutes * 60_000_000
-    return F.coalesce((o["producer"] == producer) & (o["content_hash"] == hashing.label(o["text"])) & (o["media_type"] == "text/plain") & (F.length(o["text"]) > 0) & (o["relations"] == 0) & o["url"].isNull() & same_clock & whole, F.lit(False))
+    return F.coalesce((o["producer"] == producer) & (o["content_hash"] == hashing.label(o["text"])) & (o["media_type"] == "text/plain") & (F.length(o["text"]) > 0) & (o["relations"] == 0) & o["url"].isNull() & same_clock, F.lit(False))
 
 
 def impact_policy(episode: Mapping[str, Column], contract: str, parameters: Mapping[str, float]) -> Column:

@@ -33,7 +33,7 @@ def prediction_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prediction_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     far = forecasts.largest_difference(F.col("slots"))
-    return _forecasts(spark, sf_dir).filter(F.dayofmonth(F.to_date("day")) % 3 != 0).select("day", (far <= 1e-10).alias("intact"), r6(far, "largest"))
+    return _forecasts(spark, sf_dir).select("day", (far <= 1e-10).alias("intact"), r6(far, "largest"))
 
 
 def well_formed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ n2 AS (SELECT day, dd, ph, hour, abs(fst - sp * hz) AS a, abs(bye - (1 - sp * (1
 
 ORACLES = {
     "prediction_faults": f"WITH {_CURVE}, {_ANEW} SELECT day, concat_ws(',', CASE WHEN bool_or(ph + INTERVAL 1 HOUR <> hour) THEN 'slots_not_contiguous' END, CASE WHEN bool_or(a > 1e-8) THEN 'first_differs' END, CASE WHEN bool_or(b > 1e-8) THEN 'by_end_differs' END, CASE WHEN bool_or(cn OR c > 1e-8) THEN 'rolling_differs' END) AS faults FROM n2 GROUP BY day",
-    "prediction_integrity": f"WITH {_CURVE}, {_ANEW} SELECT day, max(greatest(a, b, coalesce(c, 0))) <= 1e-10 AS intact, round(max(greatest(a, b, coalesce(c, 0))), 6) + 0.0 AS largest FROM n2 WHERE dd % 3 <> 0 GROUP BY day",
+    "prediction_integrity": f"WITH {_CURVE}, {_ANEW} SELECT day, max(greatest(a, b, coalesce(c, 0))) <= 1e-10 AS intact, round(max(greatest(a, b, coalesce(c, 0))), 6) + 0.0 AS largest FROM n2 GROUP BY day",
     "well_formed_predictions": f"WITH {_CURVE}, x AS (SELECT day, count(*) FILTER (WHERE hh < 4) AS c4, count(*) AS c24 FROM d3 GROUP BY day) SELECT day, c4 = 4 AS h4, c24 = 24 AS h24, false AS h25 FROM x",
     "latest_by_anchor": """WITH p AS (SELECT event_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS anchor, event_id * 7 % 50 AS back, value >= 10 AS well, event_id % 3 = 1 AS rel FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY anchor, well AND rel ORDER BY back, event_id) AS n FROM p), c AS (SELECT anchor, count(*) FILTER (WHERE NOT well) AS malformed, count(*) FILTER (WHERE well AND NOT rel) AS other_release, greatest(count(*) FILTER (WHERE well AND rel) - 1, 0) AS superseded FROM p GROUP BY anchor)

@@ -109,7 +109,7 @@ def confirmation_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def continuity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     out = linking.continuity_order(e, "user_id", "event_id", F.col("event_type") == "purchase", F.col("value") > 30, F.col("ts") > _now())
-    return out.select("user_id", "event_id", "continuity")
+    return out.select("user_id", "event_id", "continuity", "tier")
 
 
 def source_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +188,7 @@ SELECT a.key, CASE WHEN b.key IS NULL THEN 'new' WHEN a.p = b.p THEN 'kept' ELSE
     "confirmation_timeline": """WITH o AS (SELECT event_id // 3 AS s, event_id, floor(value / 50) AS rk, ts, event_type FROM events), b AS (SELECT s, min(ts) AS first_seen, max(ts) AS p FROM o GROUP BY s), f AS (SELECT s, event_id FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY rk DESC, ts DESC, event_id DESC) AS r FROM o) WHERE r = 1),
 g AS (SELECT s, event_id + 7 AS signal FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY event_id % 11 DESC, event_id DESC) AS r FROM o WHERE event_type <> 'click') WHERE r = 1)
 SELECT b.s AS status_id, f.event_id AS observation, signal, first_seen FROM b JOIN f USING (s) LEFT JOIN g USING (s) ORDER BY p DESC, b.s LIMIT 12""",
-    "continuity_order": f"SELECT user_id, event_id, CAST((event_type = 'purchase') AS INTEGER) * 4 + CAST((value > 30) AS INTEGER) * 2 + CAST((ts > TIMESTAMP '{NOW}') AS INTEGER) AS continuity FROM events e WHERE event_id = (SELECT max(event_id) FROM events x WHERE x.user_id = e.user_id)",
+    "continuity_order": f"SELECT user_id, event_id, CAST((event_type = 'purchase') AS INTEGER) * 4 + CAST((value > 30) AS INTEGER) * 2 + CAST((ts > TIMESTAMP '{NOW}') AS INTEGER) AS continuity, 8 - continuity AS tier FROM events e WHERE event_id = (SELECT max(event_id) FROM events x WHERE x.user_id = e.user_id)",
     "source_exclusions": "WITH p AS (SELECT user_id, event_id, value FROM events WHERE event_type = 'purchase'), r AS (SELECT DISTINCT user_id, unnest(CASE WHEN event_id % 2 = 0 THEN [CAST(event_id AS VARCHAR), CAST(event_id % 50 AS VARCHAR)] ELSE [CAST(event_id AS VARCHAR)] END) AS x FROM p), g AS (SELECT DISTINCT user_id, 'g' || (event_id % 3) AS x FROM p WHERE value > 20) SELECT r.user_id, string_agg(x, ',' ORDER BY x) AS records, coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM g WHERE g.user_id = r.user_id), '') AS groups FROM r GROUP BY r.user_id",
     "historical_peaks": f"""WITH e AS (SELECT user_id, epoch_us(ts) AS t, value / 500 AS w FROM events WHERE ts <= TIMESTAMP '{NOW}'), n AS (SELECT epoch_us(TIMESTAMP '{NOW}') AS now),
 s AS (SELECT DISTINCT user_id, unnest([now, t, CASE WHEN t > (SELECT min(t) FROM e x WHERE x.user_id = e.user_id) THEN t - 1000 END, least(now, t + 43200000000)]) AS a FROM e, n),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import time as tm
 from tidemark.operators import features, hazard, model, training
 from tidemark.plans.metric_queries import hours, r6
-from tidemark.session import table, work_folder
+from tidemark.session import stored, table, work_folder
 from tidemark.sources import records
 from tidemark.streaming import ledger, subscriptions, traffic
 
@@ -116,7 +116,7 @@ def publication_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors published in two batches, one entry a user and day; the second batch repeats part of the first."""
     e = table(spark, sf_dir, "events").filter("event_type = 'error'")
     c = e.select(F.col("event_id").cast("string").alias("event_id"), F.concat_ws("|", F.col("user_id").cast("string"), tm.day_key(F.col("ts"))).alias("delivery_key"), "ts", F.col("event_id").alias("n"))
-    first = ledger.next_entries(c.filter("ts < timestamp_ntz'2024-01-15'"), None, ["ts", "n"]).persist()
+    first = stored(ledger.next_entries(c.filter("ts < timestamp_ntz'2024-01-15'"), None, ["ts", "n"]), "ledger")
     second = ledger.next_entries(c.filter("ts >= timestamp_ntz'2024-01-10'"), first, ["ts", "n"])
     return first.unionByName(second).select("event_id", "delivery_key", "sequence")
 

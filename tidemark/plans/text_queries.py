@@ -96,7 +96,7 @@ QUERIES = {f.__name__: f for f in (classify_rules, topic_tokens, topic_tokens_al
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 _STEM = "CASE " + " ".join(f"WHEN suffix(x, '{s}') AND length(x) - {len(s)} >= 4 THEN left(x, length(x) - {len(s)})" for s in text.SUFFIXES) + " ELSE x END"
-_TOKENS = f"list_transform(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_-]+'), lambda x: length(x) >= 4 AND x NOT IN ({_STOP})), lambda x: {_STEM})"
+_TOKENS = f"list_filter(list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_-]+'), lambda x: {_STEM}), lambda x: length(x) >= 4 AND x NOT IN ({_STOP}))"
 _CASE = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{label}'" for p, label in DOC_RULES) + " ELSE 'other' END"
 
 _TAGLESS = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|section|article|blockquote)\s*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g')"""

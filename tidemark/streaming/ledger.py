@@ -46,29 +46,38 @@ def next_entries(candidates: DataFrame, ledger: DataFrame | None, order: list[st
     return _numbered(candidates.crossJoin(F.broadcast(last)), F.col("__last"), order).drop("__last")  # a single row
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    known = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return known.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(known)
+def _last_batch(spark: SparkSession, path: str, number: int) -> int | None:
+    """The last batch before this one that has written a folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return None
+    names = [f.getPath().getName() for f in files.listStatus(root)]
+    known = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
+    return max((k for k in known if k < number), default=None)
 
 
 def publish(stream: DataFrame, path: str, order: list[str], checkpoint: str) -> DataStreamWriter:
     """Writer that publishes each micro-batch of ``stream`` into the table at ``path``, a folder a batch.
 
     What was published is known from the stream's state (keys of event_id and delivery_key), so
-    that no batch reads the ledger, but for the last sequence of the batches before it.  A batch
-    that is replayed writes its own folder anew, with the same numbers.
+    that no batch reads the ledger, but for the last sequence in the folder of the batch before.
+    A batch that is replayed writes its own folder anew, with the same numbers.  The state keeps
+    every key for good, as an entry may never be published again: two short strings an entry.
     """
 
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = F.lit(0)
-        if _exists(spark, path):
-            earlier = spark.read.parquet(path).filter(F.col("batch") < number).agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("s"))
-            last = F.lit(earlier.first()["s"])
+        before = _last_batch(spark, path, number)
+        if before is not None:
+            last = F.lit(spark.read.parquet(f"{path}/batch={before}").agg(F.max("sequence")).first()[0])
         for key in KEYS[1:]:  # rows of one batch: the state lets any of them pass first, the order decides
             first = Window.partitionBy(key).orderBy(*order)
             batch = batch.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
-        _numbered(batch, last, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        numbered = _numbered(batch, last, order)
+        if not numbered.isEmpty():  # every folder has a last sequence
+            numbered.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.dropDuplicates([KEYS[0]]).dropDuplicates([KEYS[1]]).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
 

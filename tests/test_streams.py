@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.plans import model_queries, source_queries, stream_queries
-from tidemark.streaming import delivery, ledger, projector, settlement, subscriptions, traffic
+from tidemark.streaming import delivery, ledger, projector, ring, settlement, subscriptions, traffic
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -181,3 +182,32 @@ def test_settlement_of_a_stream_that_stops_and_goes_on(spark, tmp_path):
     assert got == key(settlement.settlement_history(until, "until"))
     assert any(r[7] for r in got) and {r[5] for r in got} == {"positive", "negative", "censored"}
     rows.unpersist()
+
+
+def test_inputs_of_a_stream_that_stops_and_goes_on(spark, tmp_path):
+    rows = stream_queries.ring_facts(spark.read.parquet(f"{FOLDER}/events.parquet")).persist()
+    edges = rows.select(F.percentile_approx("at", [0.4, 0.8])).first()[0]
+    path, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")
+    for k, (lo, hi) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
+        part = rows.filter((F.lit(True) if lo is None else F.col("at") > F.lit(lo)) & (F.lit(True) if hi is None else F.col("at") <= F.lit(hi)))
+        part.coalesce(1).write.parquet(f"{path}/{k}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(path)
+        stream_queries.run_stream(spark, ring.numbered_stream(stream, 10), out, checkpoint)
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert key(spark.read.parquet(out)) == key(ring.numbered(rows, 10))
+    rows.unpersist()
+
+
+def test_replay_fails_closed_on_a_gap(spark):
+    inputs = model_queries._forecast_inputs(spark, FOLDER)
+    w = Window.partitionBy("subscriber").orderBy("emitted", "prediction")
+    rows = inputs.withColumn("sequence", F.row_number().over(w)).persist()
+    floors = rows.groupBy("subscriber").agg((F.max("sequence") - 4).alias("floor"), F.max("sequence").alias("tail"))
+    cursors = floors.select("subscriber", (F.col("floor") - 1 - F.col("subscriber") % 2).alias("after"))
+    got = ring.replay_after(rows, cursors, floors).collect()
+    gaps = {r["subscriber"] for r in got if r["reason"] == "retention_gap"}
+    assert gaps and gaps == {r["subscriber"] for r in cursors.collect() if r["subscriber"] % 2}
+    assert all(r["prediction"] is None for r in got if r["subscriber"] in gaps)
+    sound = rows.join(floors.filter("subscriber % 2 = 0"), "subscriber").filter("sequence >= floor").select(*inputs.columns)
+    assert sorted(map(tuple, [r for r in got if r["subscriber"] not in gaps])) == sorted(map(tuple, subscriptions.replay(sound).collect()))
+    rows.unpersist()

@@ -15,7 +15,7 @@ from tidemark.operators import coverage
 from tidemark.plans import coverage_queries
 from tidemark.plans.coverage_queries import _CUTOFFS, _ISLANDS, _LATEST, ASSERTIONS
 from tidemark.session import table, work_folder
-from tidemark.streaming import projector, settlement
+from tidemark.streaming import projector, ring, settlement
 
 
 def facts(events: DataFrame) -> DataFrame:
@@ -112,7 +112,49 @@ def streamed_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_of(spark, sf_dir, spark.read.schema(settlement.OUTPUT).parquet(f"{folder}/table"))
 
 
-QUERIES = {f.__name__: f for f in (publications, streamed_publications, settled_as_of, streamed_settlement)}
+KEEP = 40
+
+
+def ring_facts(events: DataFrame) -> DataFrame:
+    """Topics are user_id modulo 20; errors set the gate of their day, other events are inputs keyed by tens of their value."""
+    gate = F.col("event_type") == "error"
+    return events.select(
+        (F.col("user_id") % 20).alias("topic"),
+        F.col("ts").cast("timestamp").alias("at"),
+        F.col("event_id").alias("tie"),
+        F.when(gate, "gate").otherwise("input").alias("kind"),
+        F.when(gate, F.when(F.col("value") >= 5, F.date_format("ts", "yyyy-MM-dd"))).otherwise(F.floor(F.col("value") / 10).cast("string")).alias("key"),
+        F.when(~gate, F.col("event_id").cast("string")).alias("payload"),
+        F.when(gate, F.expr("cast(ts as timestamp) + make_dt_interval(0, cast(event_id % 5 - 2 as int))")).alias("known_at"),
+    )
+
+
+def _shown(ring_: DataFrame) -> DataFrame:
+    return ring_.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("at", "gate_at")})
+
+
+def input_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(ring.numbered(ring_facts(table(spark, sf_dir, "events")), KEEP))
+
+
+def streamed_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream with state leaves it, over the table's files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = ring_facts(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
+    folder = work_folder(spark, "inputs")
+    run_stream(spark, ring.numbered_stream(stream, KEEP), f"{folder}/table", f"{folder}/checkpoint")
+    return _shown(spark.read.schema(ring.OUTPUT).parquet(f"{folder}/table"))
+
+
+def ring_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of five for readers with cursors near both ends of what is kept, and beyond them."""
+    found = ring.numbered(ring_facts(table(spark, sf_dir, "events")), KEEP)
+    ends = ring.bounds(found).withColumn("reader", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    after = F.element_at(F.array(F.col("floor") - 2, F.col("floor") - 1, F.col("tail") - 3, F.col("tail"), F.col("tail") + 1, F.col("floor") + 10), F.col("reader") + 1)
+    return ring.ring_pages(found, ends.select("reader", "topic", after.alias("after")), 5)
+
+
+QUERIES = {f.__name__: f for f in (publications, streamed_publications, settled_as_of, streamed_settlement, input_sequence, streamed_inputs, ring_pages)}
 
 _PUBLICATIONS = """
 WITH f AS (SELECT user_id % 50 AS subject, ts AS "at", event_id AS tie, event_type, CAST(user_id AS VARCHAR) AS entity, ['pending', 'confirmed', 'retracted', 'withdrawn', 'confirmed'][CAST(event_id % 5 + 1 AS INTEGER)] AS status,
@@ -133,4 +175,17 @@ d AS (SELECT user_id, s, max(e) AS e FROM a GROUP BY user_id, s), h AS (SELECT u
 SELECT k.cutoff, d.user_id AS subject, strftime(d.s, '%Y-%m-%d') AS window, CASE WHEN d.e > k.cutoff THEN 'pending' WHEN h.known <= k.cutoff THEN 'positive' WHEN EXISTS (SELECT 1 FROM m WHERE m.cutoff = k.cutoff AND m.user_id = d.user_id AND m.s <= d.s AND m.e >= d.e) THEN 'negative' ELSE 'censored' END AS status
 FROM d CROSS JOIN k LEFT JOIN h ON h.user_id = d.user_id AND h.s = d.s"""
 
-ORACLES = {"settled_as_of": _SETTLED, "streamed_settlement": _SETTLED, "publications": _PUBLICATIONS, "streamed_publications": _PUBLICATIONS}
+_RING = f"""f AS (SELECT user_id % 20 AS topic, ts, event_id, event_type = 'error' AS gate, CASE WHEN event_type <> 'error' THEN CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) WHEN value >= 5 THEN strftime(ts, '%Y-%m-%d') END AS key, ts + to_hours(CAST(event_id % 5 - 2 AS INTEGER)) AS known FROM events),
+g AS (SELECT * FROM (SELECT *, row_number() OVER w AS n, lag(key) OVER w AS was FROM f WHERE gate WINDOW w AS (PARTITION BY topic ORDER BY ts, event_id)) WHERE was IS DISTINCT FROM key),
+i AS (SELECT topic, ts, event_id, key, row_number() OVER (PARTITION BY topic ORDER BY ts, event_id) AS sequence FROM (SELECT *, lag(key) OVER (PARTITION BY topic ORDER BY ts, event_id) AS was FROM f WHERE NOT gate) WHERE was IS NULL OR was <> key),
+c AS (SELECT i.*, (SELECT arg_max({{'gate': g.key, 'gate_at': CASE WHEN g.key IS NOT NULL THEN greatest(g.known, g.ts) END}}, {{'t': g.ts, 'i': g.event_id}}) FROM g WHERE g.topic = i.topic AND (g.ts < i.ts OR (g.ts = i.ts AND g.event_id < i.event_id))) AS gt FROM i),
+rg AS (SELECT topic, sequence, ts AS "at", key, CAST(event_id AS VARCHAR) AS payload, greatest(1, sequence - {KEEP} + 1) AS floor, gt.gate AS gate, gt.gate_at AS gate_at FROM c)"""
+
+ORACLES = {
+    "input_sequence": f"WITH {_RING} SELECT * FROM rg",
+    "streamed_inputs": f"WITH {_RING} SELECT * FROM rg",
+    "ring_pages": f"""WITH {_RING}, b AS (SELECT topic, max(floor) AS fl, max(sequence) AS tl FROM rg GROUP BY topic),
+k AS (SELECT topic, fl, tl, CAST(r AS INTEGER) AS reader, [fl - 2, fl - 1, tl - 3, tl, tl + 1, fl + 10][r + 1] AS after FROM b, range(6) x(r)),
+s AS (SELECT *, CASE WHEN after > tl THEN 'ahead_of_tail' WHEN after < fl - 1 THEN 'retention_gap' ELSE 'ok' END AS status FROM k)
+SELECT reader, s.topic, status, sequence, key, payload FROM s LEFT JOIN rg ON rg.topic = s.topic AND sequence > after AND sequence <= after + 5 AND status = 'ok'""",
+    "settled_as_of": _SETTLED, "streamed_settlement": _SETTLED, "publications": _PUBLICATIONS, "streamed_publications": _PUBLICATIONS}

@@ -6,7 +6,7 @@ them.  The default one speaks of hosted developer tools; another domain passes i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -264,9 +264,12 @@ def asserted_range(text: Column, published: Column, phase: Column) -> Column:
     return out
 
 
-def signal_of(text: Column, published: Column, official: Column, v: Vocabulary = TOOLS) -> Column:
-    """Everything a post claims, as one struct; null when it claims no event."""
+def signal_of(text: Column, published: Column, official: Column, v: Vocabulary = TOOLS, dated: Callable[[Column, Column, Column], Column] = asserted_range) -> Column:
+    """Everything a post claims, as one struct; null when it claims no event.
+
+    ``dated`` finds the range from text, post time and phase; ``timephrases.stated_range`` is the fuller grammar.
+    """
     kind = event_of(text, v)
     phase = phase_of(text, kind, v)
-    whole = F.struct(kind.alias("event_type"), phase.alias("phase"), impact_of(text, kind, official, v).alias("impact"), rivalry_of(text, kind, v).alias("rivalry"), products_in(text, v).alias("product"), scope_predicates(text, v).alias("scope"), asserted_range(text, published, phase).alias("range"))
+    whole = F.struct(kind.alias("event_type"), phase.alias("phase"), impact_of(text, kind, official, v).alias("impact"), rivalry_of(text, kind, v).alias("rivalry"), products_in(text, v).alias("product"), scope_predicates(text, v).alias("scope"), dated(text, published, phase).alias("range"))
     return F.when(kind.isNotNull(), whole)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,16 +46,16 @@ def violations(df: DataFrame, key: str, rules: Mapping[str, Column]) -> DataFram
     return df.select(key, F.explode(broken).alias("rule"))
 
 
-def episode_rules(states: Sequence[str], trends: Sequence[str]) -> dict[str, Column]:
-    """What an episode (state, trend, pressure, first_at, last_at, resolved_at, as_of, roots) must keep."""
+def episode_rules(states: Sequence[str], trends: Sequence[str], field: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """What an episode (state, trend, pressure, first_at, last_at, resolved_at, as_of, roots) must keep; ``field`` finds a field's column."""
     return {
-        "state": F.col("state").isin(*states),
-        "trend": F.col("trend").isin(*trends),
-        "pressure": F.col("pressure").between(0.0, 1.0),
-        "clock_order": (F.col("first_at") <= F.col("last_at")) & (F.col("last_at") <= F.col("as_of")),
-        "resolved_clock": F.when(F.col("state") == "resolved", F.col("resolved_at").isNotNull() & (F.col("resolved_at") <= F.col("as_of"))).otherwise(F.lit(True)),
-        "roots_unique": F.size(F.array_distinct("roots")) == F.size("roots"),
-        "roots_present": F.size("roots") > 0,
+        "state": field("state").isin(*states),
+        "trend": field("trend").isin(*trends),
+        "pressure": field("pressure").between(0.0, 1.0),
+        "clock_order": (field("first_at") <= field("last_at")) & (field("last_at") <= field("as_of")),
+        "resolved_clock": F.when(field("state") == "resolved", field("resolved_at").isNotNull() & (field("resolved_at") <= field("as_of"))).otherwise(F.lit(True)),
+        "roots_unique": F.size(F.array_distinct(field("roots"))) == F.size(field("roots")),
+        "roots_present": F.size(field("roots")) > 0,
     }
 
 

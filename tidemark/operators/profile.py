@@ -13,6 +13,8 @@ from tidemark.functions.time import from_micros, micros
 from tidemark.operators import metrics, model
 from tidemark.operators.episodes import milestones, pressure_at, window_classes
 from tidemark.operators.linking import sample_times, scored_clusters
+from tidemark.operators.sequences import non_overlapping
+from tidemark.session import stored
 
 # Why a window has no label, as ``window_classes`` says it.
 EXCLUSIONS = ("immature", "censored_anchor_inside_outcome", "censored_ambiguous_outcome", "censored_incomplete_coverage")
@@ -45,6 +47,60 @@ def threshold_profile(rows: DataFrame, events: DataFrame, keys: Sequence[str], p
     return out.withColumns({"passed": passed, "status": status, "reason": reason})
 
 
+def _edge(p: str, steps: int) -> Column:
+    """The highest k with k / steps below p, as ``metrics.threshold_sweep`` has it."""
+    return (F.ceil(F.col(p) * steps - 1e-12) - 1).cast("int")
+
+
+def profile_curve(windows: DataFrame, held: DataFrame, p: str, start: str, tie: str, event: str, hours: float, least: int = 20) -> DataFrame:
+    """One row for each per cent from 0 to 100: what windows with a probability above it came to.
+
+    ``windows`` have a label y each (several of one start differ in ``tie``); ``held`` has the
+    events in positive windows with the window's probability.  alerts and hits of all windows;
+    chosen and chosen_hits of a chronological choice of windows of ``hours`` that do not overlap,
+    with rate and Wilson interval; confidence, the rate where at least ``least`` were chosen;
+    events_hit and recall of the events that can be hit; density of the probabilities.
+
+    A window reaches each threshold below it, at most 100; the choice is made by threshold, over
+    windows of one report, whose number the hours of its time bound.
+    """
+    sweep = metrics.threshold_sweep(windows, p, "y").withColumnRenamed("precision", "window_rate")
+    k = "threshold_percent"
+    above = windows.select(start, tie, "y", F.explode(F.when(_edge(p, 100) >= 0, F.sequence(F.lit(0), _edge(p, 100)))).alias(k))
+    apart = non_overlapping(above, [k], start, tie, hours).filter("chosen = 1")
+    rates = metrics.wilson_rates(apart, [k], "y").select(k, F.col("n").alias("chosen"), F.col("hits").alias("chosen_hits"), "low", "high")
+    best = held.groupBy(event).agg(F.max(_edge(p, 100)).alias("__k")).groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))  # at most 101 rows
+    reached = best.withColumn(k, F.explode(F.when(F.col("__k") >= 0, F.sequence(F.lit(0), F.col("__k"))))).groupBy(k).agg(F.sum("__n").alias("events_hit"))
+    total = best.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__events"))
+    out = sweep.join(F.broadcast(rates), k, "left").join(F.broadcast(reached), k, "left").crossJoin(F.broadcast(total))  # 101 rows, and a single one
+    out = out.join(F.broadcast(metrics.density(windows, p).select(F.col("i").alias(k), "density")), k, "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("chosen", "chosen_hits", "events_hit")})
+    rate = F.when(F.col("chosen") > 0, F.col("chosen_hits") / F.col("chosen"))
+    recall = F.when(F.col("__events") > 0, F.col("events_hit") / F.col("__events"))
+    return out.select(k, "alerts", "hits", "window_rate", "chosen", "chosen_hits", rate.alias("rate"), "low", "high", F.when(F.col("chosen") >= least, rate).alias("confidence"), "events_hit", recall.alias("recall"), F.coalesce("density", F.lit(0.0)).alias("density"))
+
+
+def whole_profile(rows: DataFrame, held: DataFrame, p: str, start: str, tie: str, event: str, hours: float, minimum_windows: int = 1008, minimum_events: int = 20) -> DataFrame:
+    """The whole report as one row: ``threshold_profile`` with positives, negatives, first and last window, both gates, summary, distribution (20 bins) and curve (101 points).
+
+    content names the labelled windows, whatever their order: the sum of their hashes.  Without a
+    labelled window the counts are 0, and what they would average is null.
+    """
+    used = stored(rows.filter(F.col("y").isNotNull()).select(start, tie, p, "y"), "windows")
+    one = F.lit(1).alias("__one")
+    base = threshold_profile(rows.select("*", one), held.select(event, one).distinct(), ["__one"], p, minimum_windows, minimum_events).drop("__one", "mean", "deviation")
+    content = F.sum(F.xxhash64(start, tie, p, "y").cast("decimal(38,0)")).cast("string")
+    more = used.agg(F.count_if(F.col("y") == 1).alias("positive"), F.count_if(F.col("y") == 0).alias("negative"), F.min(start).alias("first_start"), F.max(start).alias("last_start"), content.alias("content"))
+    summary = metrics.distribution_summary(used, p).select(F.struct("*").alias("summary"))
+    bins = metrics.histogram(used, p, "y").agg(F.array_sort(F.collect_list(F.struct("*"))).alias("distribution"))  # 20 bins
+    curve = profile_curve(used, held, p, start, tie, event, hours).agg(F.array_sort(F.collect_list(F.struct("*"))).alias("curve"))  # 101 points
+    out = base
+    for part in (more, summary, bins, curve):
+        out = out.crossJoin(F.broadcast(part))  # a single row each
+    gates = {"windows_passed": F.col("sample_count") >= minimum_windows, "events_passed": F.col("event_count") >= minimum_events}
+    return out.withColumns(gates)
+
+
 def compact_profile(profile: DataFrame, curve: DataFrame, keys: Sequence[str], percents: Sequence[int]) -> DataFrame:
     """The columns of a profile that a reader is shown, with the points of some thresholds as one array."""
     points = metrics.compact_points(curve).filter(F.col("threshold_percent").isin(*percents))

@@ -133,3 +133,14 @@ def test_watermark_sees_changed_and_repeated_rows(spark):
     base = [(1, "2024-01-01", 5), (2, "2024-01-02", 6)]
     marks = [profile.watermark(spark.createDataFrame(rows, "id int, t string, v int"), "t", "id") for rows in (base, [*base[:1], (2, "2024-01-02", 7)], [*base, base[0], base[0]], [*base, base[1], base[1]], base[::-1])]
     assert marks[0] == marks[4] and len(set(marks[:4])) == 4
+
+
+def test_hazards_come_back_from_tiny_masses(spark):
+    """Hazards near 1 leave less than 1e-12 after a few slots; the mass of no event keeps what is left exact."""
+    want = [0.95, 0.94, 0.9, 0.97] * 6
+    df = spark.createDataFrame([(1, i, h) for i, h in enumerate(want)] + [(2, i, h) for i, h in enumerate([0.5, 1.0, 0.3])], "k int, i int, hazard double")
+    mass = hazard.no_event_mass(hazard.first_event_mass(df, ["k"], "i"), ["k"])
+    rows = hazard.hazards_of_mass(mass.drop("hazard"), ["k"], "i", no_event="no_event").collect()
+    got = {(r["k"], r["i"]): r["hazard"] for r in rows}
+    assert [got[1, i] for i in range(24)] == pytest.approx(want, rel=1e-9)
+    assert [got[2, i] for i in range(3)] == [0.5, 1.0, 0.0]

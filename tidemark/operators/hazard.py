@@ -44,8 +44,21 @@ def first_event_mass(df: DataFrame, keys: Sequence[str], order: str, hazard: str
     return df.withColumn(name, F.coalesce(F.product(1 - F.col(hazard)).over(before), F.lit(1.0)) * F.col(hazard))
 
 
-def hazards_of_mass(df: DataFrame, keys: Sequence[str], order: str, mass: str = "mass", name: str = "hazard") -> DataFrame:
-    """Hazards back from masses: mass over what remains, 0 where nothing does."""
+def no_event_mass(df: DataFrame, keys: Sequence[str], hazard: str = "hazard", name: str = "no_event") -> DataFrame:
+    """The mass of no event in any slot of the key, beside each of its slots: with the masses of the slots it makes 1."""
+    return df.withColumn(name, F.product(1 - F.col(hazard)).over(Window.partitionBy(*keys)))
+
+
+def hazards_of_mass(df: DataFrame, keys: Sequence[str], order: str, mass: str = "mass", name: str = "hazard", no_event: str | None = None) -> DataFrame:
+    """Hazards back from masses: mass over what remains, 0 where nothing does.
+
+    ``no_event``: the mass that is left after the last slot (see ``no_event_mass``).  What remains
+    is then summed from the end, which stays exact however little that is; without it, 1 minus the
+    masses before is lost in rounding below 1e-12.
+    """
+    if no_event:
+        left = F.sum(mass).over(_slots(keys, order).rowsBetween(0, Window.unboundedFollowing)) + F.col(no_event)
+        return df.withColumn(name, F.when(left <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.col(mass) / left)))
     before = _slots(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     left = 1 - F.coalesce(F.sum(mass).over(before), F.lit(0.0))
     return df.withColumn(name, F.when(left <= 1e-12, 0.0).otherwise(F.least(F.lit(1.0), F.col(mass) / left)))

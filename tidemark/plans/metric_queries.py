@@ -77,8 +77,8 @@ def log_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_event_mass_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mass = hazard.first_event_mass(daily_hours(spark, sf_dir), ["day"], "hour")
-    return hazard.hazards_of_mass(mass.drop("hazard"), ["day"], "hour").select("hour", r6("mass"), r6("hazard"))
+    mass = hazard.no_event_mass(hazard.first_event_mass(daily_hours(spark, sf_dir), ["day"], "hour"), ["day"])
+    return hazard.hazards_of_mass(mass.drop("hazard"), ["day"], "hour", no_event="no_event").select("hour", r6("mass"), r6("hazard"))
 
 
 def refractory_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:

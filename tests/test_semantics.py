@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import episodes, hazard, intervals, profile, sequences
-from tidemark.plans import metric_queries, text_queries
+from tidemark.plans import metric_queries, source_queries, text_queries
 from tidemark.streaming import subscriptions
 
 DAY = dt.datetime(2024, 1, 1)
@@ -154,3 +154,9 @@ def test_times_of_ids_with_wide_sequences(spark, tmp_path, number):
     ms = 410000000000 + number * 977
     assert row["status_id"] == str(ms * 4194304 + number)
     assert row["at"] == dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=ms + 1288834974657)
+
+
+def test_gateway_times_of_wide_sequences(spark, tmp_path):
+    spark.createDataFrame([(n, 3, "view", DAY) for n in (0, 4194304, 5999998)], "event_id long, user_id long, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["published"] for r in source_queries.gateway_items(spark, str(tmp_path)).filter("published is not null").collect()}
+    assert got == {dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=410000000000 + n * 977 + 1288834974657) for n in (0, 4194304, 5999998) if n % 3 < 2}

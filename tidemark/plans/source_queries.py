@@ -36,8 +36,8 @@ def search_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gateway_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = ((F.lit(410000000000) + F.col("event_id") * 977) * 4194304 + F.col("event_id")).cast("string")
-    e = _events(spark, sf_dir).select("event_type", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("https://posts.example/a/status/"), number)).otherwise("https://posts.example/about").alias("url"), F.when(F.col("event_id") % 3 == 1, number).otherwise("none").alias("event_id"), F.concat(F.lit("g"), _text("event_id")).alias("id"), F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("@h"), _text("user_id"))).alias("handle"))
-    out = rows.gateway_items(e, F.col("event_type") == "view")
+    e = _events(spark, sf_dir).select("event_type", F.col("event_id").alias("sequence"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("https://posts.example/a/status/"), number)).otherwise("https://posts.example/about").alias("url"), F.when(F.col("event_id") % 3 == 1, number).otherwise("none").alias("event_id"), F.concat(F.lit("g"), _text("event_id")).alias("id"), F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("@h"), _text("user_id"))).alias("handle"))
+    out = rows.gateway_items(e, F.col("event_type") == "view", F.col("sequence"))
     return out.select("item_id", "url", "published", "handle", "media_type", F.size("relations").alias("n_relations"), "availability")
 
 

@@ -58,14 +58,17 @@ def recheck_ids(items: DataFrame, item: str, published: str, limit: int = 25) ->
     return items.filter(F.col(item).rlike(r"^\d+$")).orderBy(F.desc(published), F.desc(F.col(item).cast("decimal(38,0)"))).limit(limit).select(item)
 
 
-def gateway_items(events: DataFrame, summary: Column) -> DataFrame:
-    """Gateway events (event_id, id, url, handle, text, seen) as items: the post's number from the first of url, event_id and id that has one, its time from the number."""
+def gateway_items(events: DataFrame, summary: Column, sequence: Column | None = None) -> DataFrame:
+    """Gateway events (event_id, id, url, handle, text, seen) as items: the post's number from the first of url, event_id and id that has one, its time from the number.
+
+    ``sequence``: see ``snowflake_time``.
+    """
     number = F.coalesce(status_id(F.col("url")), status_id(F.col("event_id")), status_id(F.col("id")))
     handle = F.nullif(F.regexp_replace(F.coalesce("handle", F.lit("")), "^@", ""), F.lit(""))
     own = F.when(number.isNotNull(), F.concat(F.lit("https://posts.example/"), F.coalesce(handle, F.lit("i")), F.lit("/status/"), number))
     relations = F.when(summary & number.isNotNull(), F.array(F.struct(F.lit("links").alias("type"), number.alias("target")))).otherwise(F.array().cast("array<struct<type:string,target:string>>"))
     media = F.when(summary, "application/vnd.x-search-summary+text").otherwise("text/plain")
-    return events.select(F.coalesce(number, F.col("id")).alias("item_id"), F.coalesce(own, F.col("url")).alias("url"), snowflake_time(number).alias("published"), handle.alias("handle"), media.alias("media_type"), relations.alias("relations"), F.when(summary, "gateway_first_seen").otherwise("provider_first_seen").alias("availability"))
+    return events.select(F.coalesce(number, F.col("id")).alias("item_id"), F.coalesce(own, F.col("url")).alias("url"), snowflake_time(number, sequence).alias("published"), handle.alias("handle"), media.alias("media_type"), relations.alias("relations"), F.when(summary, "gateway_first_seen").otherwise("provider_first_seen").alias("availability"))
 
 
 def last_of_each(items: DataFrame, item: str, ordinal: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -211,3 +213,23 @@ def test_replay_fails_closed_on_a_gap(spark):
     sound = rows.join(floors.filter("subscriber % 2 = 0"), "subscriber").filter("sequence >= floor").select(*inputs.columns)
     assert sorted(map(tuple, [r for r in got if r["subscriber"] not in gaps])) == sorted(map(tuple, subscriptions.replay(sound).collect()))
     rows.unpersist()
+
+
+def test_settlement_does_not_depend_on_buckets(spark):
+    """Days or weeks as keys: the same revisions, also where one moves a fact away from a window."""
+    facts = stream_queries.settlement_facts(spark, FOLDER).filter("subject % 7 = 0").persist()
+    shown = ["subject", "window", "start", "end", "at", "status", "revision", "retracts"]
+    days, weeks = (sorted((tuple(r) for r in settlement.settlement_history(facts, bucket_hours=h).select(*shown).collect()), key=repr) for h in (24.0, 168.0))
+    assert days and days == weeks
+    facts.unpersist()
+    desk, hour = settlement.Desk(), 3_600_000_000
+    moves = [(0, "window", "w", 0, 0, 24 * hour, None), (25 * hour, "outcome", "o", 0, hour, 2 * hour, "confirmed"), (30 * hour, "outcome", "o", 1, 50 * hour, 51 * hour, "confirmed")]
+    assert [(x[4], x[5], x[6]) for x in desk.advance(moves)] == [("censored", 1, None), ("positive", 2, "censored"), ("censored", 3, "positive")]
+
+
+def test_settlement_keys_are_few(spark):
+    """A month of one subject's days is a handful of keys of the stream, not one or two a day."""
+    facts = stream_queries.settlement_facts(spark, FOLDER)
+    width = inspect.signature(settlement.settlement_stream).parameters["bucket_hours"].default
+    keys = settlement.in_buckets(facts, width).select("subject", "bucket").distinct().groupBy("subject").count().agg(F.max("count")).first()[0]
+    assert keys <= 7

@@ -8,7 +8,7 @@ or anything else for one that no longer counts), ``coverage`` facts revisions of
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -50,10 +50,10 @@ class Desk:
                 reach = max(reach, e)
         return "negative" if reach >= end > start else "censored"
 
-    def settle(self, until: int) -> Iterator[tuple]:
-        """Decisions of windows that are over by ``until``, where they are new or others than before."""
+    def settle(self, until: int, spans: Sequence[tuple[int, int]]) -> Iterator[tuple]:
+        """Decisions of windows that are over by ``until``, where they are new or, as what changed in ``spans`` has it, others than before."""
         for name, (start, end, before, revision) in list(self.windows.items()):
-            if end > until:
+            if end > until or (before and not any(s < end and e > start for s, e in spans)):
                 continue
             now = self.status(start, end)
             if now != before:
@@ -82,14 +82,18 @@ class Desk:
     def _apply(self, facts: list[Fact]) -> Iterator[tuple]:
         yield from self._mature(facts[0][0] - 1)  # what is over before these were known
         self.clock = max(self.clock, facts[0][0])
+        spans: list[tuple[int, int]] = []
         for _, kind, entity, revision, start, end, status in facts:
             if kind == "window":
                 self.windows.setdefault(entity, (start, end, "", 0))
             elif kind in ("outcome", "coverage"):
                 table = self.outcomes if kind == "outcome" else self.coverage
                 if entity not in table or revision >= table[entity][0]:
+                    if entity in table:
+                        spans.append(table[entity][1:3])  # a window that the fact no longer reaches
                     table[entity] = (revision, start, end, status)
-        yield from self.settle(self.clock)
+                    spans.append((start, end))
+        yield from self.settle(self.clock, spans)
 
     def expire(self, until: int) -> Iterator[tuple]:
         """Decisions of windows that no fact came after."""
@@ -109,9 +113,10 @@ def in_buckets(facts: DataFrame, bucket_hours: float = 24.0, longest_hours: floa
 
 
 def _facts(rows: pd.DataFrame) -> list[Fact]:
-    rows = rows.sort_values(["at", "tie"], kind="stable")
-    times = [rows[c].astype("datetime64[us]").astype("int64").tolist() for c in ("at", "start", "end")]
-    return list(zip(times[0], rows["kind"], rows["entity"], rows["revision"].tolist(), times[1], times[2], rows["status"], strict=True))
+    at, start, end = (rows[c].astype("datetime64[us]").astype("int64").tolist() for c in ("at", "start", "end"))
+    ties = zip(at, rows["tie"].tolist(), strict=True)
+    facts = zip(at, rows["kind"].tolist(), rows["entity"].tolist(), rows["revision"].tolist(), start, end, rows["status"].tolist(), strict=True)
+    return [fact for _, fact in sorted(zip(ties, facts, strict=True), key=lambda x: x[0])]
 
 
 def _rows(subject: Any, found: Iterable[tuple]) -> pd.DataFrame:
@@ -191,23 +196,26 @@ class Settler(StatefulProcessor):
             if not desk.windows[name][2]:
                 self.handle.registerTimer(-(-desk.windows[name][1] // 1000))
         self._keep(desk)
-        yield _rows(key[0], found)
+        if found:
+            yield _rows(key[0], found)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         desk = self._load()
         found = list(desk.expire(expiredTimerInfo.getExpiryTimeInMs() * 1000))
         if found:
             self._keep(desk)
-        yield _rows(key[0], found)
+            yield _rows(key[0], found)
 
     def close(self) -> None:
         pass
 
 
-def settlement_stream(facts: DataFrame, late: str = "1 hour", bucket_hours: float = 24.0, longest_hours: float = 24.0) -> DataFrame:
+def settlement_stream(facts: DataFrame, late: str = "1 hour", bucket_hours: float = 168.0, longest_hours: float = 24.0) -> DataFrame:
     """The same over a stream of facts, with a revision as soon as its evidence is known.  Needs the RocksDB state store.
 
-    Facts behind the watermark are dropped.  State is one small row a subject and bucket.
+    Facts behind the watermark are dropped.  State is one small row a subject and bucket.  A bucket
+    is a week here, as each key costs calls to Python and the state store, and facts near a
+    bucket's edge go to two; results do not depend on it.
     """
     grouped = in_buckets(facts.withWatermark("at", late), bucket_hours, longest_hours).groupBy("subject", "bucket")
     return grouped.transformWithStateInPandas(statefulProcessor=Settler(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")

@@ -125,3 +125,16 @@ def test_empty_tables(spark):
     assert [row[c] for c in features.VECTOR[-4:]] == [0.0] * 4 and row["weekly_cos_1"] is not None
     evidence, outcomes = frames(spark, *history())
     assert af.asof_vectors(targets.limit(0), evidence, outcomes, ["scope"]).count() == 0
+
+
+def test_targets_of_one_slot_and_cutoff_are_one_case(spark):
+    """Own outcomes that a cutoff doesn't know yet set nothing apart, so that history is weighed once however many there are."""
+    evidence, outcomes = history()
+    outcomes += [(0, 100 + k, f"own{k}", at(250 + k / 60), at(251 + k / 60), at(400), None) for k in range(30)]
+    targets = [(0, at(251), at(250), own, group, "") for own, group in [(None, None), (2, "a"), (4, "b"), *((100 + k, f"own{k}") for k in range(30))]]
+    frame, (_, history_) = spark.createDataFrame(targets, TARGETS), frames(spark, evidence, outcomes)
+    rows, cases = af._cases(af.contexts(frame, ["scope"]), history_, ["scope"])
+    assert rows.count() == 33 and sorted((r["own_outcome"] or 0) for r in cases.collect()) == [0, 2]
+    got = {r["own_outcome"]: [r[c] for c in features.VECTOR[-4:]] for r in af.asof_vectors(frame, *frames(spark, evidence, outcomes), ["scope"]).collect()}
+    for t in targets:
+        assert got[t[3]] == pytest.approx(expected(t, evidence, outcomes), abs=1e-9), t

@@ -64,3 +64,12 @@ def test_revisions_only_on_change(spark):
     before = spark.createDataFrame([("a", "x", 3), ("b", "z", 1), ("c", None, 2)], "id string, payload string, revision int")
     got = {tuple(r) for r in identity.identity_revisions(found, before, "id", "payload", "revision").collect()}
     assert got == {("b", "y", 2, "revised"), ("d", None, 1, "new")}
+
+
+def test_blocks_write_only_what_they_decide(spark, monkeypatch):
+    """A hot group's clusters and priors are written again for rounds, which get rarer, and not for each block."""
+    names, keep = [], identity.stored
+    monkeypatch.setattr(identity, "stored", lambda df, name="table": names.append(name) or keep(df, name))
+    clusters = [(0, c, c, ["hot"], f"d{c}", f"s{c}") for c in range(60)]
+    check(spark, clusters, [(0, f"p{p:02}", p, ["hot"]) for p in range(50)], 2)
+    assert names.count("clusters") <= 10 and names.count("priors") <= 10

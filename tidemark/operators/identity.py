@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,40 +30,72 @@ def _mutual(clusters: DataFrame, priors: DataFrame, keys: Sequence[str]) -> Data
 
 
 def _block(clusters: DataFrame, priors: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
-    """cluster and prior (or null) of the next ``size`` clusters of each key, decided one after the other.
+    """cluster, turn and prior (or null) of the next ``size`` clusters of each key, decided one after the other.
 
     The others of a block take fewer than ``size`` priors, so that a cluster needs no more than
-    that many of the oldest of each of its groups: a task sees ``size`` clusters and at most
-    ``size`` priors of each group.
+    that many of the oldest of each of its groups.  A task gets those, once a group, and then the
+    clusters in turn; what it does grows with both, not with their pairs.
     """
     turn = Window.partitionBy(*keys).orderBy("turn", "cluster")
-    names = clusters.select(*keys, "cluster", "turn").distinct().withColumn("n", F.row_number().over(turn)).filter(F.col("n") <= size)
+    some = clusters.withColumn("n", F.dense_rank().over(turn)).filter(F.col("n") <= size).drop("n")
     age = Window.partitionBy(*keys, "g").orderBy("created", "prior")
-    some = priors.withColumn("n", F.row_number().over(age)).filter(F.col("n") <= size).drop("n")
-    pairs = names.join(clusters.drop("turn"), [*keys, "cluster"]).join(some, [*keys, "g"], "left")
-    pairs = pairs.select(*keys, "cluster", "turn", "prior", "created").distinct().repartition(*keys).sortWithinPartitions(*keys, "turn", "cluster", F.col("created").asc_nulls_last(), "prior")
-    schema = T.StructType([*[pairs.schema[k] for k in keys], pairs.schema["cluster"], pairs.schema["prior"]])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, cluster, found, taken = None, None, None, set()
+    oldest = priors.join(some.select(*keys, "g").distinct(), [*keys, "g"], "left_semi").withColumn("n", F.row_number().over(age)).filter(F.col("n") <= size).drop("n")
+    rows = oldest.withColumn("side", F.lit(0)).unionByName(some.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    rows = rows.select(*keys, "side", "created", "prior", "turn", "cluster", "g").repartition(*keys).sortWithinPartitions(*keys, "side", "created", "prior", "turn", "cluster")
+    schema = T.StructType([*[rows.schema[k] for k in keys], rows.schema["cluster"], rows.schema["turn"], rows.schema["prior"]])
+    names = schema.names
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, queues, at, order, taken = None, {}, {}, [], []
+        waiting, groups, out = None, [], []
+
+        def decide() -> None:
+            best = None
+            for g in groups:
+                queue, k = queues.get(g, ()), at.get(g, 0)
+                while k < len(queue) and taken[queue[k]]:
+                    k += 1
+                at[g] = k
+                if k < len(queue) and (best is None or queue[k] < best):
+                    best = queue[k]
+            if best is not None:
+                taken[best] = True
+            out.append((*key, *waiting, None if best is None else order[best]))
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, types[n]) for n, c in zip(names, columns, strict=True)], names)
+
+        types = {}
         for part in parts:
-            part = part.astype(object).where(part.notna(), None)
-            out = []
-            for row in part.itertuples(index=False):
-                own = tuple(row[: len(keys)])
-                if (own, row.cluster) != (key, cluster):
-                    if cluster is not None:
-                        out.append((*key, cluster, found))
-                    taken = taken if own == key else set()
-                    key, cluster, found = own, row.cluster, None
-                if found is None and row.prior is not None and row.prior not in taken:
-                    found = row.prior
-                    taken.add(found)
-            yield pd.DataFrame(out, columns=schema.names).astype(object)
-        if cluster is not None:
-            yield pd.DataFrame([(*key, cluster, found)], columns=schema.names).astype(object)
-
-    return pairs.mapInPandas(run, schema)
+            types = {f.name: f.type for f in part.schema}
+            owns = zip(*[part.column(k).to_pylist() for k in keys], strict=True)
+            for own, side, prior, turn, cluster, g in zip(owns, *[part.column(c).to_pylist() for c in ("side", "prior", "turn", "cluster", "g")], strict=True):
+                if waiting is not None and (own != key or (cluster, turn) != waiting):
+                    decide()
+                    waiting, groups = None, []
+                if own != key:
+                    key, queues, at, order, taken = own, {}, {}, [], []
+                if side:
+                    waiting = (cluster, turn)
+                    groups.append(g)
+                else:
+                    if not order or order[-1] != prior:
+                        order.append(prior)
+                        taken.append(False)
+                    queues.setdefault(g, []).append(len(order) - 1)
+            if out:
+                yield flush()
+        if waiting is not None:
+            decide()
+            yield flush()
+
+    return rows.mapInArrow(run, schema)
+
+
+#: How many times its first size a block may have, as blocks double while rounds don't pay.
+LARGEST_BLOCK = 8
 
 
 def claims(clusters: DataFrame, priors: DataFrame, keys: Sequence[str], block: int = 1000, least_share: float = 0.05) -> DataFrame:
@@ -71,25 +103,49 @@ def claims(clusters: DataFrame, priors: DataFrame, keys: Sequence[str], block: i
 
     ``clusters``: keys, cluster, turn, g; ``priors``: keys, prior, created, g; a row a group.
     Rounds of mutual first choices go on while they settle at least ``least_share`` of the clusters
-    that are left; then the next ``block`` clusters of each key are decided in order, and rounds
-    begin again.  What is left is written after each step.
+    that are left, and write what is left.  Then blocks of the next clusters of each key are
+    decided in order, of ``block`` clusters first; they write only what they decide.  After 1, 2,
+    4, ... blocks a round is tried again.
     """
     spark = clusters.sparkSession
-    found, in_rounds = [], True
+    found: list[DataFrame] = []
     left, free = stored(clusters.distinct(), "clusters"), stored(priors.distinct(), "priors")
+    waits, pause, factor = 0, 1, 1
+    decided: list[DataFrame] = []  # by blocks since left and free were written
     while True:
-        here = left.join(free.select(*keys, "g").distinct(), [*keys, "g"], "left_semi")  # groups that still have a prior
+        still_free, behind = free, left
+        if decided:
+            done = decided[0]
+            for more in decided[1:]:
+                done = done.unionByName(more)
+            still_free = free.join(done.filter("prior is not null").select(*keys, "prior"), [*keys, "prior"], "left_anti")
+            reached = done.groupBy(*keys).agg(F.max(F.struct("turn", "cluster")).alias("__reached"))
+            behind = left.join(reached, list(keys), "left").filter(F.coalesce(F.struct("turn", "cluster") > F.col("__reached"), F.lit(True))).drop("__reached")
+        here = behind.join(still_free.select(*keys, "g").distinct(), [*keys, "g"], "left_semi")  # groups that still have a prior
+        if waits:
+            settled = stored(_block(here, still_free, keys, block * factor), "claims")
+            waits, factor = waits - 1, min(2 * factor, LARGEST_BLOCK)
+            if settled.isEmpty():
+                break
+            decided.append(settled)
+            found.append(settled.filter("prior is not null").select(*keys, "cluster", "prior"))
+            continue
         open_ = stored(here, "clusters")
+        unclaimed = stored(still_free, "priors") if decided else free
+        if decided:
+            dropped(spark, free)
         dropped(spark, left)
-        left = open_
+        left, free, decided = open_, unclaimed, []
         n = left.select(*keys, "cluster").distinct().count()
         if not n:
             break
-        settled = stored(_mutual(left, free, keys) if in_rounds else _block(left, free, keys, block).select(*keys, "cluster", "prior"), "claims")
-        pairs = settled.filter("prior is not null")
-        found.append(pairs)
-        in_rounds = not in_rounds or settled.count() >= least_share * n
-        rest, still = stored(left.join(settled, [*keys, "cluster"], "left_anti"), "clusters"), stored(free.join(pairs.select(*keys, "prior"), [*keys, "prior"], "left_anti"), "priors")
+        settled = stored(_mutual(left, free, keys), "claims")
+        found.append(settled)
+        if settled.count() >= least_share * n:
+            pause, factor = 1, 1
+        else:
+            waits, pause = pause, 2 * pause
+        rest, still = stored(left.join(settled, [*keys, "cluster"], "left_anti"), "clusters"), stored(free.join(settled.select(*keys, "prior"), [*keys, "prior"], "left_anti"), "priors")
         for old in (left, free):
             dropped(spark, old)
         left, free = rest, still

@@ -176,3 +176,13 @@ def test_sentences_as_in_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = sorted(tuple(r) for r in text_queries.sentence_counts(spark, str(tmp_path)).select("doc_id", "n", "legal").collect())
     assert got == sorted(con.execute(f"SELECT doc_id, n, legal FROM ({text_queries.ORACLES['sentence_counts']})").fetchall())
+
+
+def test_references_are_dealt_by_rows(spark, monkeypatch):
+    """As many tasks as counted references need, however few bytes they have."""
+    from tidemark.operators import revisions
+
+    monkeypatch.setattr(revisions, "REFS_TOGETHER", 100)
+    out = revisions.unresolved(spark.range(1000).union(spark.range(500)), spark.range(0, 1000, 2), ["id"])
+    assert sorted(r["id"] for r in out.collect()) == list(range(1, 1000, 2))
+    assert len(out.select(F.spark_partition_id().alias("p")).distinct().collect()) > 8

@@ -105,9 +105,14 @@ def current_then_filter(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
     return latest_by(df, keys, order).filter(eligible)
 
 
+#: References that a task compares, about.  Shuffled ids are so small that adaptive execution, which goes by bytes, would put many millions into one.
+REFS_TOGETHER = 500_000
+
+
 def unresolved(refs: DataFrame, targets: DataFrame, on: Sequence[str]) -> DataFrame:
-    """References that name nothing."""
-    return refs.join(targets.select(*on).distinct(), list(on), "left_anti")
+    """Distinct references that name nothing; ``refs`` are dealt over tasks by their counted rows."""
+    parts = 1 + refs.count() // REFS_TOGETHER
+    return refs.select(*on).repartition(parts, *on).distinct().join(targets.select(*on), list(on), "left_anti")
 
 
 def version_key(version: Column) -> Column:

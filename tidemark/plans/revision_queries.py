@@ -186,7 +186,7 @@ def reference_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
     out = None
     for name, store in (("l_orderkey", orders), ("l_partkey", parts), ("l_suppkey", suppliers)):
-        missing = revisions.unresolved(lines.select(name).distinct(), store, [name]).select(F.lit(name).alias("reference"), F.col(name).alias("id"))
+        missing = revisions.unresolved(lines.select(name), store, [name]).select(F.lit(name).alias("reference"), F.col(name).alias("id"))
         out = missing if out is None else out.unionByName(missing)
     return out
 

@@ -44,3 +44,10 @@ def test_no_labelled_windows(spark):
     got = report(spark, [row(1, 0.4, None)], [])
     assert (got["status"], got["reason"], got["sample_count"], got["positive"], got["first_start"]) == ("insufficient", "no_labelled_windows", 0, 0, None)
     assert len(got["curve"]) == 101 and {c["alerts"] for c in got["curve"]} == {0} and {c["density"] for c in got["curve"]} == {0.0}
+
+
+def test_episodes_are_folded_once(spark):
+    from tidemark.plans import profile_queries
+
+    out = profile_queries.impact_episodes(spark, "/root/testdata/sf0.001")
+    assert "MapInPandas" not in out._jdf.queryExecution().toString()  # what reads the clusters reads them stored

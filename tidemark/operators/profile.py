@@ -115,7 +115,7 @@ def impact_episodes(entries: DataFrame, keys: Sequence[str], tie: str, severity:
     (see ``pressure_at``), and the highest pressure that it ever had, at the times at which it can
     peak.  Each entry is a source of its own.
     """
-    clustered = scored_clusters(entries, keys, "first_at", "last_at", tie, "category", "surfaces", "tokens", "followup", gap_hours)
+    clustered = stored(scored_clusters(entries, keys, "first_at", "last_at", tie, "category", "surfaces", "tokens", "followup", gap_hours), "clustered")  # folded once, read many times
     own = [*keys, "cluster"]
     hull = clustered.groupBy(*own).agg(F.min("first_at").alias("start"), F.max("last_at").alias("end"), F.count(F.lit(1)).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("surfaces")))).alias("n_surfaces"))
     marks = milestones(clustered, own, "first_at", "state", official)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import inspect
+import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -88,6 +91,79 @@ def published(df):
     return sorted((tuple(r) for r in df.select("subject", F.col("at").cast("timestamp_ntz").alias("at"), "kind", "entity", "row").collect()), key=repr)
 
 
+class Kept:
+    """State in memory that counts how often it is asked for or changed."""
+
+    def __init__(self):
+        self.calls, self.timers, self.tables = 0, [], {}
+
+    def getMapState(self, name, *_):
+        return self.tables.setdefault(name, Kept())
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def __getattr__(self, name):
+        self.calls += 1
+        rows = self.tables
+        return {
+            "exists": lambda: bool(rows),
+            "get": lambda: rows["value"],
+            "update": lambda v: rows.update(value=v),
+            "getValue": rows.get,
+            "containsKey": rows.__contains__,
+            "updateValue": rows.__setitem__,
+            "removeKey": rows.pop,
+        }[name]
+
+
+def odd_facts(n, seed=7):
+    """Facts of three outcomes, one watch and four windows, with ties, nulls and statuses that nobody knows."""
+    r = random.Random(seed)
+    day = datetime.datetime(2024, 1, 1)
+    out = []
+    for tie in range(n):
+        at = day + datetime.timedelta(minutes=5 * (tie // 3))
+        kind = r.choice(["outcome", "probability", "authority", "else"])
+        status = r.choice(["pending", "confirmed", "confirmed", "retracted", "withdrawn", "unheard", None])
+        ends = r.choice([None, *(day + datetime.timedelta(days=k) for k in (1, 40, 41))])
+        out.append((1, at, tie, kind, r.choice(["a", "b", None]), status, r.choice(["x", "y", None]), r.choice([None, 0.1, 0.3, 0.4, 0.5, 0.9]), ends))
+    return out
+
+
+def test_a_row_costs_no_call_to_the_state(spark):
+    """Three batches, each in parts out of order, publish what windows over all facts do; state is called once an outcome or window."""
+    rows = odd_facts(3000)
+    facts = spark.createDataFrame(rows, projector.FACT)
+    names = [c.split()[0] for c in projector.FACT.split(", ")]
+    handle, it, got = Kept(), projector.Projector(), []
+    it.init(handle)
+    for lo in (0, 1000, 2000):
+        own = pd.DataFrame(rows[lo : lo + 1000], columns=names).sample(frac=1, random_state=lo)
+        own["at"], own["ends"] = (pd.to_datetime(own[c]).astype("datetime64[us]") for c in ("at", "ends"))
+        for found in it.handleInputRows((1, 0), (own.iloc[k : k + 90] for k in range(0, 1000, 90)), None):
+            got += list(found.itertuples(index=False, name=None))
+    # facts that name a window again after its end say nothing, so that all windows may stay in the state here
+    want = [tuple(r) for r in projector.publications(facts.withColumn("until", F.lit(None).cast("timestamp")), "until").withColumn("at", F.col("at").cast("timestamp_ntz")).collect()]
+    assert sorted(got, key=repr) == sorted(((s, pd.Timestamp(at), *x) for s, at, *x in want), key=repr)
+    assert {r[2] for r in got} == {"confirmed", "corrected", "retracted", "withdrawn", "opened", "closed", "authority_opened"}
+    assert sum(x.calls for x in handle.tables.values()) < 100 and len(handle.timers) <= 9
+
+
+def test_lanes_leave_the_publications_of_one(spark, tmp_path):
+    facts = spark.createDataFrame(odd_facts(300), projector.FACT)
+    facts.coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = []
+    for lanes in (1, 5):
+        stream = spark.readStream.schema(facts.schema).parquet(str(tmp_path / "in"))
+        out = str(tmp_path / f"out{lanes}")
+        stream_queries.run_stream(spark, projector.publication_stream(stream, lanes=lanes), out, str(tmp_path / f"c{lanes}"))
+        found.append(published(spark.read.parquet(out)))
+    assert found[0] == found[1] == published(projector.publications(stream_queries._until(facts), "until"))
+
+
 def test_publications_of_a_stream_that_stops_and_goes_on(spark, tmp_path):
     """Two runs with one checkpoint: the state and the timers of the first live on in the second."""
     rows = stream_queries.facts(spark.read.parquet(f"{FOLDER}/events.parquet")).persist()

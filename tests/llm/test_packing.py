@@ -64,6 +64,25 @@ def test_ids_by_words_are_those_of_whole_texts(monkeypatch):
         assert tokenizer.ids(texts[k : k + 50]) == tokenizer.whole(texts[k : k + 50]) and not tokenizer.known and tokenizer.older
 
 
+def test_letters_are_encoded_once_whatever_marks_follow(monkeypatch):
+    """Only a word's letters are new; marks behind them, and letters that are no plain ones, get the ids of the whole text."""
+    tokenizer = packing.ByteTokenizer(packing.default_tokenizer())
+    got, encode = [], tokenizer._words
+    monkeypatch.setattr(tokenizer, "_words", lambda words: got.extend(words) or encode(words))
+    marks = [*packing.MARKS, "...", ",&&&", "!?", "'", "''", "$$$.", "\"),", "'.", "-'s", "'s,"]
+    texts = ["x " + " ".join(w + m for m in marks) for w in ("laenvienpa", "ciónasmiñ", "straße")]
+    texts += ["x osarciue", "x\nosarciue, osarciue.", " ".join(["x", *marks]), "x 中文, ǅa. a1, 1. ª! µ? ÷, ×. a÷. é\u0301,"]
+    assert tokenizer.ids(texts) == tokenizer.whole(texts)
+    for w in ("laenvienpa", "ciónasmiñ", "straße"):
+        assert sorted(x for x in got if w in x) == sorted([w, w + "-'s", w + "'s,"])
+    got.clear()
+    texts = ["x osarciue! laenvienpa?! straße;", "x laenvienpa?! straße; straße"]
+    assert tokenizer.ids(texts) == tokenizer.whole(texts) and not got
+    monkeypatch.setattr(packing, "MARKS_KNOWN", 1)
+    texts = ["x osarciue& straße&&", "x laenvienpa&&& straße;;"]
+    assert tokenizer.ids(texts) == tokenizer.whole(texts)
+
+
 def test_null_ids_and_repeated_rows_are_packed(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (3, "a b"), (4, None)], "doc_id long, text string")
     rows = packing.pack(docs).collect()

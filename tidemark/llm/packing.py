@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import zlib
 from bisect import bisect_left
 from collections import Counter
@@ -30,6 +31,9 @@ from tidemark.llm._common import arrow_schema, gapless_rank, map_arrow, written
 #: A space, or a line break, behind anything but white space, or what some tables of characters call so: a token starts here.
 WORD_START, LINE_START = (re.compile(f"{c}(?<=[^\\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]{c})") for c in (" ", "\n"))
 
+#: White space, or what some tables of characters call so, beside spaces and line breaks.  Where a text has none, and no two of those in a row, it is cut at each of them.
+ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+
 #: Pieces of one length that a window numbers together, about.
 RANKED_TOGETHER = 100_000
 
@@ -39,6 +43,12 @@ MAYBE_SPACE = frozenset("\u180e\u200b\u2060\ufeff")
 #: Bytes of words and their ids, about, that a worker remembers before the older half goes.
 KNOWN_BYTES = 256 << 20
 
+#: Neither letters nor numbers nor white space, for all tables of characters.
+MARKS = string.punctuation
+
+#: Runs of marks that a worker remembers.
+MARKS_KNOWN = 10_000
+
 #: Words of a batch that go to the tokenizer as one text.
 WORDS_TOGETHER = 8192
 
@@ -84,6 +94,7 @@ class ByteTokenizer:
             self.sizes[number] = len(token)
         self.known: dict[Word, bytes] = {}
         self.older: dict[Word, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.held = 0
 
     @classmethod
@@ -101,8 +112,8 @@ class ByteTokenizer:
         shown = [" " + w if isinstance(w, str) else w[0] + w[1] for w in words]
         ends = [x[-1:] for x in shown]
         spaced = {x for x in set(ends) if x.isspace() or x in MAYBE_SPACE}  # behind white space the next word would not start anew
-        alone = [k for k, x in enumerate(ends) if x in spaced]
-        fit = [k for k, x in enumerate(ends) if x not in spaced]
+        alone = [k for k, x in enumerate(ends) if x in spaced] if spaced else []
+        fit = [k for k, x in enumerate(ends) if x not in spaced] if spaced else range(len(ends))
         found: dict[Word, bytes] = {}
         for lo in range(0, len(fit), WORDS_TOGETHER):
             part = fit[lo : lo + WORDS_TOGETHER]
@@ -119,6 +130,30 @@ class ByteTokenizer:
         found.update(zip([words[k] for k in alone], self.whole([shown[k] for k in alone]), strict=True))
         return found
 
+    def _learn(self, new: set[Word]) -> None:
+        """Have the ids of words that are not known.
+
+        Letters before marks are a word of their own, whose ids may be known: a token never goes
+        on from a letter to a mark.
+        """
+        known, marks = self.known, self.marks
+        marked = [w for w in new if w and isinstance(w, str) and w[-1] in MARKS]  # words behind line breaks stay whole
+        letters = [w.rstrip(MARKS) for w in marked]
+        parts = {w: x for w, x in zip(marked, letters, strict=True) if x.isalpha() and (x.isascii() or max(x) <= "\xff")}
+        plain = new.difference(parts)
+        plain.update(set(parts.values()).difference(known))
+        again = plain.intersection(self.older)
+        known.update((w, self.older[w]) for w in again)
+        known.update(self._words(list(plain - again)))
+        ends = {w: w[len(x) :] for w, x in parts.items()}
+        if len(marks) > MARKS_KNOWN:
+            marks.clear()
+        unseen = list(set(ends.values()).difference(marks))
+        marks.update(zip(unseen, self.whole(unseen), strict=True))
+        known.update({w: known[x] + marks[ends[w]] for w, x in parts.items()})
+        for own in (plain, parts):
+            self.held += sum(map(len, own)) + sum(map(len, map(known.__getitem__, own))) + 200 * len(own)
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.by_words:
@@ -128,28 +163,28 @@ class ByteTokenizer:
             found = dict(zip(whole, self.whole([texts[k] for k in whole]), strict=True))
             rest = iter(self.ids([t for k, t in enumerate(texts) if k not in found]))
             return [found[k] if k in found else next(rest) for k in range(len(texts))]
-        words: list[list[Word]] = []
-        for text in texts:
-            own: list[Word] = []
-            for line in LINE_START.split(text):
-                at = len(own)
-                own += WORD_START.split(line)
-                if at:
-                    own[at] = ("\n", own[at])
-            words.append(own)
+        words = [_cut(x) for x in texts]
         first = self.whole([x.pop(0) for x in words])
         known = self.known
-        new = set().union(*words).difference(known)
-        again = new.intersection(self.older)
-        known.update((w, self.older[w]) for w in again)
-        known.update(self._words(list(new - again)))
-        self.held += sum(map(len, new)) + sum(map(len, map(known.__getitem__, new))) + 200 * len(new)
+        self._learn(set().union(*words).difference(known))
         out = [a + b"".join(map(known.__getitem__, x)) for a, x in zip(first, words, strict=True)]
         if self.held > KNOWN_BYTES // 2:
             self.known, self.older, self.held = {}, known, 0
         return out
 
 
+def _cut(text: str) -> list[Word]:
+    """The words of a text; the first stands behind nothing."""
+    simple = not ODD_SPACE.search(text) and "  " not in text and " \n" not in text and "\n " not in text and "\n\n" not in text
+    words: list[Word] = []
+    for line in text.split("\n") if simple else LINE_START.split(text):
+        at = len(words)
+        words += line.split(" ") if simple else WORD_START.split(line)
+        if at:
+            words[at] = ("\n", words[at])
+    return words
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

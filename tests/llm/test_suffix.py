@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.tables import SMALL, by_id, documents
@@ -84,6 +86,48 @@ def test_text_of_many_parts(spark, monkeypatch):
         assert (getattr(whole, name) == getattr(parts, name)).all()
 
 
+def peak_of(function) -> tuple[object, int]:
+    tracemalloc.start()
+    try:
+        return function(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_sampling_needs_no_fresh_arrays():
+    """A run of texts is sampled in the arrays of the run before, beside the hashes of its prefixes."""
+    data = np.random.default_rng(4).integers(97, 123, suffix.RUN_BYTES).astype(np.uint8)
+    offsets = np.arange(0, len(data) + 1, len(data) // 64)
+    once = suffix.Samples(data, offsets, 400, 256)
+    again, peak = peak_of(lambda: suffix.Samples(data, offsets, 400, 256))
+    assert len(once.place) and (once.place == again.place).all() and (once.key == again.key).all()
+    assert peak < 24 * len(data)
+
+
+def test_marks_are_laid_down_as_runs(spark, monkeypatch):
+    """Marks become removed runs without a number for each string that starts somewhere."""
+    rng = random.Random(6)
+    monkeypatch.setattr(suffix, "map_arrow", lambda _, run, __: run)
+    rows = []
+    for n_places, full in [(10_000, True), (2, False), (3, False)]:
+        parts = [{"base": base, "marks": np.packbits([full or k == 63 or rng.random() < 0.1 for k in range(64)]).tobytes()} for base in (0, 64, 128)]
+        rows.append([{"places": [256 + rng.randrange(90_000) for _ in range(n_places)], "parts": parts[k:]} for k in range(2)])
+    kind = pa.list_(pa.struct([("places", pa.list_(pa.int64())), ("parts", pa.list_(pa.struct([("base", pa.int32()), ("marks", pa.binary())])))]))
+    batch = pa.RecordBatch.from_arrays([pa.array([b"a", b"a", b"b"]), pa.array([False, True, False]), pa.array(rows, kind)], ["text_key", "in_words", "found"])
+    for own in (batch, batch.slice(1)):
+        out, peak = peak_of(lambda own=own: list(suffix._marked_runs(None, 400)([own]))[0].to_pylist())
+        assert peak < 30 << 20
+        for got, contexts in zip(out, own.column("found").to_pylist(), strict=True):
+            gone = np.zeros(100_000, np.int8)
+            for c in contexts:
+                for place in c["places"]:
+                    for x in c["parts"]:
+                        for k in np.flatnonzero(np.unpackbits(np.frombuffer(x["marks"], np.uint8))):
+                            gone[place - x["base"] - k : place - x["base"] - k + 400] = 1
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
+            assert (got["spans"], got["n_removed"], got["n_spans"]) == (edges.tolist(), int(gone.sum()), len(edges) // 2)
+
+
 def test_null_ids_count_as_rows(spark):
     text = "".join(map(chr, range(200, 500)))
     docs = spark.createDataFrame([(None, text), (None, text), (1, "x"), (None, None)], "doc_id long, text string")

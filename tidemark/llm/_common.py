@@ -186,8 +186,12 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Polynomial prefix sums of bytes modulo 2**64; with ``powers`` they give the hash of any substring."""
     forward, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
+    values = out[1:]
+    values[:] = data
     with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forward[: len(data)], out=out[1:])
+        values += np.uint64(1)
+        values *= forward[: len(data)]
+        np.cumsum(values, out=values)
     return out
 
 

@@ -55,17 +55,30 @@ GROUP_LIMIT, PARTS = 256, 4
 SHARD_ROWS = 8192
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each window of ``width`` values."""
-    n = len(values)
+_room: list[np.ndarray] = []
+
+
+def _scratch(n: int) -> np.ndarray:
+    """Two arrays of ``n`` values to write into and one of 0, 1, 2, ...; kept from run to run, as fresh memory costs more than what is done in it."""
+    if not _room or _room[0].shape[1] < n:
+        room = np.empty((3, max(n, 2 * RUN_BYTES)), np.uint64)
+        room[2] = np.arange(room.shape[1], dtype=np.uint64)
+        if n > 8 * RUN_BYTES:  # too much to be held
+            return room[:, :n]
+        _room[:] = [room]
+    return _room[0][:, :n]
+
+
+def sliding_min(values: np.ndarray, width: int, spare: np.ndarray) -> np.ndarray:
+    """Minimum of each window of ``width`` values; writes over them and over ``spare``, an array of their size."""
+    n, reach = len(values), 1
     if n < width:
         return values[:0]
-    padded = np.full(-(-n // width) * width, np.iinfo(values.dtype).max, values.dtype)
-    padded[:n] = values
-    blocks = padded.reshape(-1, width)
-    left = np.minimum.accumulate(blocks, axis=1).ravel()
-    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[: n - width + 1], left[width - 1 : n])
+    while 2 * reach <= width:
+        m = len(values) - reach
+        values, spare = np.minimum(values[:m], values[reach:], out=spare[:m]), values
+        reach *= 2
+    return np.minimum(values[: n - width + 1], values[width - reach :], out=spare[: n - width + 1])
 
 
 class Samples:
@@ -80,36 +93,37 @@ class Samples:
         self.offsets, self.length = offsets, length
         self.raw = np.ascontiguousarray(data)
         places, starts, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        start = [np.arange(lo, hi - length + 1) for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if hi - lo >= length]
-        whole = np.concatenate(start) if start else np.zeros(0, np.int64)
-        cuts = np.searchsorted(whole, np.arange(0, len(data) + PART_BYTES, PART_BYTES))
+        heads = np.unique(offsets[:-1])
         last = -1
-        for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if a == b:
-                continue
-            base = part * PART_BYTES
-            place, key = self._part(base, whole[a:b], window)
-            new = np.concatenate([[place[0] != last], place[1:] != place[:-1]])  # a sample that two parts share is one
-            last = place[-1]
+        for base in range(0, len(data) - length + 1, PART_BYTES):
+            least, key = self._part(base, window)
+            # a new sample can begin with the part, with a text and where the smallest hash is another
+            own = heads[np.searchsorted(heads, base) : np.searchsorted(heads, base + len(least))]
+            start = np.unique(np.concatenate([[base], own, np.flatnonzero(least[1:] != least[:-1]) + base + 1]))
+            start = start[start + length <= offsets[np.searchsorted(offsets, start, side="right")]]
+            place = (least[start - base] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) + base
+            new = place != last  # a sample that two parts share is one
+            last = place[-1] if len(place) else last
             places.append(place[new])
-            starts.append(whole[a:b][new])
+            starts.append(start[new])
             keys.append(key(place[new]))
         self.place, start = np.concatenate(places), np.concatenate(starts)
         self.reach, self.key = self.place - start, np.concatenate(keys)
         self.owner = np.searchsorted(offsets, start, side="right") - 1
 
-    def _part(self, base: int, start: np.ndarray, window: int):  # noqa: ANN202
-        raw = self.raw[base : base + PART_BYTES + self.length]
+    def _part(self, base: int, window: int):  # noqa: ANN202
+        raw = self.raw[base : base + PART_BYTES + self.length - 1]
         eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))  # the eight bytes from each position on
-        hashes = eight[: len(raw) - KMER + 1] * np.uint64(0x9E3779B97F4A7C15) + eight[8 : len(raw) - KMER + 9] * np.uint64(0xC2B2AE3D27D4EB4F)
-        hashes ^= hashes >> np.uint64(32)
+        hashes, spare, places = _scratch(len(raw) - KMER + 1)
+        np.multiply(eight[: len(hashes)], np.uint64(0x9E3779B97F4A7C15), out=hashes)
+        hashes += np.multiply(eight[8:], np.uint64(0xC2B2AE3D27D4EB4F), out=spare)
+        hashes ^= np.right_shift(hashes, np.uint64(32), out=spare)
         hashes *= np.uint64(0xD6E8FEB86659FD93)
         hashes &= ~np.uint64((1 << PLACE_BITS) - 1)
-        hashes |= np.arange(len(hashes), dtype=np.uint64)
-        least = sliding_min(hashes, window) & np.uint64((1 << PLACE_BITS) - 1)
+        hashes |= places
         prefix = prefix_hash(raw)
         common = self.length - window + 1
-        return least[start - base].astype(np.int64) + base, lambda place: span_hash(prefix, place - base, place - base + common)
+        return sliding_min(hashes, window, spare)[: len(raw) - self.length + 1], lambda place: span_hash(prefix, place - base, place - base + common)
 
     def ends(self, at: np.ndarray) -> np.ndarray:
         return np.minimum(self.place[at] + self.length, self.offsets[self.owner[at] + 1])
@@ -419,11 +433,34 @@ def _placed_contexts(texts: DataFrame, length: int, window: int, width: int) ->
     return map_arrow(texts, run, schema)
 
 
-def _runs(starts: np.ndarray, length: int) -> np.ndarray:
-    """(runs, 2): where the runs that strings of ``length`` cover start and end."""
-    starts = np.unique(starts)
-    new = np.flatnonzero(np.concatenate([[True], starts[1:] > starts[:-1] + length]))
-    return np.column_stack([starts[new], starts[np.append(new[1:], len(starts)) - 1] + length])
+def _mark_runs(marks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of set bits of each row: its row, first and last bit."""
+    offsets = np.frombuffer(marks.buffers()[1], np.int32)[marks.offset : marks.offset + len(marks) + 1]
+    at = (offsets - offsets[0]).astype(np.int64) * 8
+    bits = np.unpackbits(np.frombuffer(marks.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]).view(bool)
+    ahead = np.concatenate([bits, [False]])
+    ahead[at] = False  # a run ends with its row
+    behind = np.concatenate([[False], bits])
+    behind[at] = False
+    first, last = np.flatnonzero(bits & ~behind[:-1]), np.flatnonzero(bits & ~ahead[1:])
+    row = np.searchsorted(at, first, side="right") - 1
+    return row, first - at[row], last - at[row]
+
+
+def _inner(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The entries of a column of lists, one after the other, and how many each list has."""
+    return lists.flatten(), np.diff(lists.offsets.to_numpy())
+
+
+def _joined_runs(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same stretches with those of an owner that overlap or touch as one, by owner and place."""
+    order = np.lexsort((start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    apart = owner * (int(end.max(initial=0)) + 1 - int(start.min(initial=0)))  # stretches of two owners do not overlap
+    reached = np.maximum.accumulate(apart + end)
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | ((apart + start)[1:] > reached[:-1])])[: len(owner)])
+    last = np.append(first[1:], len(owner))[: len(first)] - 1
+    return owner[first], start[first], (reached - apart)[last]
 
 
 def _marked_runs(found: DataFrame, length: int) -> DataFrame:
@@ -432,16 +469,22 @@ def _marked_runs(found: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = []
-            for own in batch.column("found"):
-                starts = []
-                for places, parts in zip(*[own.values.field(k).to_pylist() for k in ("places", "parts")], strict=True):
-                    back = np.concatenate([x["base"] + np.flatnonzero(np.unpackbits(np.frombuffer(x["marks"], np.uint8))) for x in parts])
-                    starts.append((np.array(places)[:, None] - back[None, :]).ravel())
-                spans.append(_runs(np.concatenate(starts), length))
-            sizes = [int((x[:, 1] - x[:, 0]).sum()) for x in spans]
-            columns = [[x.ravel() for x in spans], sizes, [len(x) for x in spans]]
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), batch.column("in_words"), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow_schema(schema))[2:], strict=True)]], schema=arrow_schema(schema))
+            contexts, n_contexts = _inner(batch.column("found"))
+            (places, n_places), (parts, n_parts) = (_inner(contexts.field(k)) for k in ("places", "parts"))
+            part, low, high = _mark_runs(parts.field("marks"))
+            base = parts.field("base").to_numpy()[part]
+            context = np.repeat(np.arange(len(contexts)), n_parts)[part]
+            # every run of marks of a context at each of its places
+            times = n_places[context]
+            run_of = np.repeat(np.arange(len(part)), times)
+            place = places.to_numpy()[np.repeat((np.cumsum(n_places) - n_places)[context] - np.cumsum(times) + times, times) + np.arange(len(run_of))]
+            owner = np.repeat(np.arange(batch.num_rows), n_contexts)[context][run_of]
+            owner, start, end = _joined_runs(owner, place - (base + high)[run_of], place - (base + low)[run_of] + length)
+            first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            sizes = np.diff(np.concatenate([[0], np.cumsum(end - start)])[first])
+            spans = pa.ListArray.from_arrays(pa.array((2 * first).astype(np.int32)), pa.array(np.column_stack([start, end]).ravel()))
+            target = arrow_schema(schema)
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), batch.column("in_words"), spans.cast(target.field(2).type), pa.array(sizes), pa.array(np.diff(first))], schema=target)
 
     return map_arrow(found, run, schema)
 

@@ -73,3 +73,30 @@ def test_blocks_write_only_what_they_decide(spark, monkeypatch):
     clusters = [(0, c, c, ["hot"], f"d{c}", f"s{c}") for c in range(60)]
     check(spark, clusters, [(0, f"p{p:02}", p, ["hot"]) for p in range(50)], 2)
     assert names.count("clusters") <= 10 and names.count("priors") <= 10
+
+
+def test_a_key_that_fits_a_block_is_decided_at_once(spark, monkeypatch):
+    """Even in a hot group: nothing is written again, and no rounds are tried."""
+    names, keep = [], identity.stored
+    monkeypatch.setattr(identity, "stored", lambda df, name="table": names.append(name) or keep(df, name))
+    clusters = [(k % 2, k, -k, ["hot"], f"d{k}", f"s{k}") for k in range(60)]
+    check(spark, clusters, [(p % 2, f"p{p:02}", p, ["hot", "x"]) for p in range(50)], 1000)
+    assert names.count("claims") == 1 and "clusters" not in names
+
+
+def test_small_blocks_and_rounds_give_the_same(spark):
+    check(spark, *tables(4, 90, 60, [f"g{k}" for k in range(30)], 1), 4)
+
+
+def test_groups_of_a_cluster_in_several_rows(spark):
+    clusters, priors = tables(5, 40, 30, list("abcdef"))
+    one = spark.createDataFrame(clusters, C)
+    members = spark.createDataFrame([(k, c, t, [g]) for k, c, t, groups, *_ in clusters for g in [*groups, groups[0], None]], "k int, cluster int, turn int, groups array<string>")
+    found = identity.identities(one.drop("groups"), spark.createDataFrame(priors, P), ["k"], members=members).collect()
+    assert {(r["k"], r["cluster"]): (r["identity"], r["source"]) for r in found} == sequential(clusters, priors)
+
+
+def test_edges_are_about_a_block(spark):
+    rows = spark.range(9000).selectExpr("cast(id % 2 as int) as k", "-id as turn", "id as cluster").filter("k = 0 or cluster < 100")
+    edges = {r["k"]: r["__edge"] for r in identity._edges(rows, ["k"], 2000).collect()}
+    assert edges[1] is None and 1600 <= (8998 - edges[0]["cluster"]) // 2 + 1 <= 2400

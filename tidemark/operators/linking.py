@@ -15,6 +15,7 @@ from tidemark.functions.text import DISTINCTIVE
 from tidemark.functions.time import HOUR_US, micros
 from tidemark.operators.identity import claims
 from tidemark.operators.revisions import latest_by
+from tidemark.session import stored
 
 
 def speaking_signals(signals: DataFrame, observation: str, observation_revision: str, eligible: Column, direct: Column, official: Column, available: str, tie: str, at: Column) -> DataFrame:
@@ -103,15 +104,19 @@ def scored_clusters(entries: DataFrame, keys: Sequence[str], first: str, last: s
     return rows.mapInPandas(run, schema)
 
 
-def claimed_identities(clusters: DataFrame, priors: DataFrame, keys: Sequence[str], cluster: str, order: str, groups: str, prior: str, created: str) -> DataFrame:
+def claimed_identities(clusters: DataFrame, priors: DataFrame, keys: Sequence[str], cluster: str, order: str, groups: str, prior: str, created: str, members: DataFrame | None = None) -> DataFrame:
     """identity of each cluster: the oldest earlier entity of its key that shares a group and is not claimed yet, else null.
 
-    Clusters claim in their ``order``, in rounds (see ``identity.claims``).
+    Clusters claim in their ``order``, in blocks and rounds (see ``identity.claims``).  ``members``,
+    where clusters have no groups: keys, cluster, order and groups, which a cluster may have in
+    several rows; it is read several times.
     """
-    own = clusters.select(*keys, F.col(cluster).alias("cluster"), F.col(order).alias("turn"), F.explode(groups).alias("g"))
-    before = priors.select(*keys, F.col(prior).alias("prior"), F.col(created).alias("created"), F.explode(groups).alias("g"))
-    taken = claims(own, before, keys).select(F.col("cluster").alias(cluster), F.col("prior").alias("identity"))
-    return clusters.join(taken, cluster, "left")
+    if members is None:
+        clusters = members = stored(clusters, "named")
+    own = members.select(*keys, F.col(cluster).alias("cluster"), F.col(order).alias("turn"), F.explode(groups).alias("g"))
+    before = stored(priors.select(*keys, F.col(prior).alias("prior"), F.col(created).alias("created"), F.col(groups).alias("groups")), "before")
+    taken = claims(own, before, keys).select(*keys, F.col("cluster").alias(cluster), F.col("prior").alias("identity"))
+    return clusters.join(taken, [*keys, cluster], "left").select(*clusters.columns, "identity")
 
 
 def uncancelled(supports: DataFrame, contradictions: DataFrame, keys: Sequence[str], available: str, active: Column, tie: str) -> DataFrame:

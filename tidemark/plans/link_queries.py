@@ -51,23 +51,34 @@ def scored_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "event_id", "cluster")
 
 
+def _orders_and_suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders, their lines' groups, and suppliers with all groups of theirs and their first day.
+
+    Groups are those of parts.  Orders' groups stay a row a line: an order is a handful of lines,
+    and nothing reads them together.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    o, s, group = F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_partkey") % 400
+    members = lines.select((o % 10).alias("scope"), o.alias("cluster"), F.array(group).alias("groups"))
+    met = lines.groupBy((s % 10).alias("scope"), s.alias("supplier"), group.alias("group")).agg(F.min("l_shipdate").alias("created"))
+    suppliers = met.repartition("scope", "supplier").groupBy("scope", "supplier").agg(F.collect_list("group").alias("groups"), F.min("created").alias("created"))
+    return members.select("scope", "cluster").distinct(), members, suppliers
+
+
 def claimed_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as clusters of parts, and suppliers' lines as what was there before: who goes on what."""
-    lines = table(spark, sf_dir, "lineitem")
-    clusters = lines.groupBy((F.col("l_orderkey") % 10).alias("scope"), F.col("l_orderkey").alias("cluster")).agg(F.collect_set(F.col("l_partkey") % 400).alias("groups")).withColumn("order", F.col("cluster"))
-    priors = lines.groupBy((F.col("l_suppkey") % 10).alias("scope"), F.col("l_suppkey").alias("prior")).agg(F.collect_set(F.col("l_partkey") % 400).alias("groups"), F.min("l_shipdate").alias("created"))
-    return linking.claimed_identities(clusters, priors, ["scope"], "cluster", "order", "groups", "prior", "created").select("cluster", "identity")
+    orders, members, suppliers = _orders_and_suppliers(spark, sf_dir)
+    members = members.withColumn("order", F.col("cluster"))
+    return linking.claimed_identities(orders, suppliers.withColumnRenamed("supplier", "prior"), ["scope"], "cluster", "order", "groups", "prior", "created", members).select("cluster", "identity")
 
 
 def cluster_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with default and split identities: three orders share a default, and a quarter of the priors have one for a name."""
-    lines = table(spark, sf_dir, "lineitem")
-    o, s = F.col("l_orderkey"), F.col("l_suppkey")
-    clusters = lines.groupBy((o % 10).alias("scope"), o.alias("cluster")).agg(F.collect_set(F.col("l_partkey") % 400).alias("groups"))
-    clusters = clusters.select("scope", "cluster", F.col("cluster").alias("turn"), "groups", F.concat(F.lit("d"), F.floor(F.col("cluster") / 30).cast("string")).alias("default_id"), F.concat(F.lit("s"), F.col("cluster").cast("string")).alias("split_id"))
-    name = F.concat(F.when(F.col("l_suppkey") % 4 == 0, "d").otherwise("p"), s.cast("string"))
-    priors = lines.groupBy((s % 10).alias("scope"), name.alias("prior")).agg(F.collect_set(F.col("l_partkey") % 400).alias("groups"), F.min("l_shipdate").alias("created"))
-    return identity.identities(clusters, priors, ["scope"]).select("cluster", "identity", "source")
+    orders, members, suppliers = _orders_and_suppliers(spark, sf_dir)
+    c, s = F.col("cluster"), F.col("supplier")
+    clusters = orders.select("scope", "cluster", c.alias("turn"), F.concat(F.lit("d"), F.floor(c / 30).cast("string")).alias("default_id"), F.concat(F.lit("s"), c.cast("string")).alias("split_id"))
+    priors = suppliers.withColumn("prior", F.concat(F.when(s % 4 == 0, "d").otherwise("p"), s.cast("string")))
+    return identity.identities(clusters, priors, ["scope"], members=members.withColumn("turn", c)).select("cluster", "identity", "source")
 
 
 def uncancelled_supports(spark: SparkSession, sf_dir: str) -> DataFrame:

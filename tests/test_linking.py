@@ -49,3 +49,13 @@ def test_claimed_identities(spark):
 def test_claims_of_real_rows(spark):
     rows = link_queries.claimed_identities(spark, FOLDER).filter(F.col("identity").isNotNull()).collect()
     assert rows and len({r["identity"] for r in rows}) == len(rows)
+
+
+def test_claims_of_clusters_in_several_rows(spark):
+    """Groups a row each; a cluster of one name in two keys is two clusters."""
+    names = "scope int, cluster int, turn int"
+    a = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (1, 1, 1)], names)
+    rows = spark.createDataFrame([(0, 1, 1, ["b"]), (0, 1, 1, ["a"]), (0, 2, 2, ["a"]), (0, 2, 2, ["c"]), (1, 1, 1, ["a"])], names + ", groups array<string>")
+    b = spark.createDataFrame([(0, "old", 1, ["a"]), (0, "mid", 2, ["b"]), (0, "new", 3, ["c"]), (1, "far", 9, ["a"])], "scope int, prior string, created int, groups array<string>")
+    got = linking.claimed_identities(a, b, ["scope"], "cluster", "turn", "groups", "prior", "created", rows).collect()
+    assert sorted((r["scope"], r["cluster"], r["identity"]) for r in got) == [(0, 1, "old"), (0, 2, "new"), (1, 1, "far")]

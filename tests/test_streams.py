@@ -309,3 +309,47 @@ def test_settlement_keys_are_few(spark):
     width = inspect.signature(settlement.settlement_stream).parameters["bucket_hours"].default
     keys = settlement.in_buckets(facts, width).select("subject", "bucket").distinct().groupBy("subject").count().agg(F.max("count")).first()[0]
     assert keys <= 7
+
+
+def test_lanes_leave_the_settlement_of_one(spark, tmp_path):
+    rows = stream_queries.settlement_facts(spark, FOLDER).filter("subject % 5 = 0").persist()
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = []
+    for lanes in (1, 6):
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        out = str(tmp_path / f"out{lanes}")
+        stream_queries.run_stream(spark, settlement.settlement_stream(stream, lanes=lanes), out, str(tmp_path / f"c{lanes}"), 2)
+        found.append(sorted(map(tuple, spark.read.parquet(out).collect()), key=repr))
+    until = rows.crossJoin(F.broadcast(rows.agg((F.max("at") - F.expr("interval 1 hour")).alias("until"))))
+    assert found[0] == found[1] == sorted(map(tuple, settlement.settlement_history(until, "until").collect()), key=repr)
+    rows.unpersist()
+
+
+def test_a_lane_of_subjects_is_one_state_and_one_timer():
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+    class Kept:
+        value, calls = None, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    kept, timers = Kept(), []
+    handle = type("Handle", (), {"getValueState": lambda self, *_: kept, "registerTimer": lambda self, t: timers.append(t)})()
+    settler = settlement.Settler()
+    settler.init(handle)
+    day = pd.Timestamp("2024-01-01")
+    rows = pd.DataFrame([(s, day, 0, "window", f"w{d}", 0, day + pd.Timedelta(days=d), day + pd.Timedelta(days=d + 1), None) for s in range(30) for d in range(3)], columns=["subject", "at", "tie", "kind", "entity", "revision", "start", "end", "status"])
+    ms = lambda d: (day + pd.Timedelta(days=d)).value // 1_000_000
+    assert not list(settler.handleInputRows((0, 0), iter([rows[:50], rows[50:]]), None)) and timers == [ms(1)] and kept.calls == 1
+    out = pd.concat(list(settler.handleExpiredTimer((0, 0), TimerValues(0, ms(2.5)), ExpiredTimerInfo(ms(1)))))
+    assert len(out) == 60 and set(out["window"]) == {"w0", "w1"} and set(out["status"]) == {"censored"} and (out["at"] == out["end"]).all()
+    assert timers == [ms(1), ms(3)] and kept.calls == 3

@@ -56,10 +56,11 @@ def streamed_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(projector.OUTPUT).parquet(f"{folder}/table").withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
-def run_stream(spark: SparkSession, out: DataFrame, path: str, checkpoint: str) -> None:
-    """All that a stream with state has now, appended to a Parquet table."""
-    before = {k: spark.conf.get(k, None) for k in projector.PROVIDER}
-    for k, v in projector.PROVIDER.items():
+def run_stream(spark: SparkSession, out: DataFrame, path: str, checkpoint: str, tasks: int | None = None) -> None:
+    """All that a stream with state has now, appended to a Parquet table; a new checkpoint's state is dealt over ``tasks``, or as the session has it."""
+    settings = projector.PROVIDER | ({"spark.sql.shuffle.partitions": str(tasks)} if tasks else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         out.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
@@ -102,13 +103,18 @@ def settled_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from the revisions that a stream with state has written, its facts arriving as files in two parts."""
+    """The same from the revisions that a stream with state has written, its facts arriving as files in two parts.
+
+    Some fifty users share a lane, and a core has four tasks, as each costs time in every batch.
+    """
     folder = work_folder(spark, "settlement")
     facts_ = settlement_facts(spark, sf_dir)
+    lanes = 1 + table(spark, sf_dir, "events").agg(F.approx_count_distinct("user_id")).first()[0] // 50
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     for k, part in enumerate((F.col("at") < F.lit("2024-01-16").cast("timestamp"), F.col("at") >= F.lit("2024-01-16").cast("timestamp"))):
         facts_.filter(part).write.parquet(f"{folder}/facts/{k}")
         stream = spark.readStream.schema(facts_.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/facts")
-        run_stream(spark, settlement.settlement_stream(stream), f"{folder}/table", f"{folder}/checkpoint")
+        run_stream(spark, settlement.settlement_stream(stream, lanes=lanes), f"{folder}/table", f"{folder}/checkpoint", tasks)
     return _as_of(spark, sf_dir, spark.read.schema(settlement.OUTPUT).parquet(f"{folder}/table"))
 
 

@@ -8,6 +8,7 @@ or anything else for one that no longer counts), ``coverage`` facts revisions of
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -23,7 +24,7 @@ from tidemark.functions.time import HOUR_US, micros
 
 FACT = "subject long, at timestamp, tie long, kind string, entity string, revision long, start timestamp, end timestamp, status string"
 OUTPUT = "subject long, window string, start timestamp, end timestamp, at timestamp, status string, revision int, retracts string"
-STATE = "clock long, windows array<struct<entity string, start long, end long, status string, revision int>>, outcomes array<struct<entity string, revision long, start long, end long, status string>>, coverage array<struct<entity string, revision long, start long, end long, status string>>"
+STATE = "desks string"  # JSON: by subject [clock, windows, outcomes, coverage] of its Desk
 
 Fact = tuple[int, str, str, int, int, int, str]  # at, kind, entity, revision, start, end, status; times in microseconds
 
@@ -62,11 +63,11 @@ class Desk:
 
     def _mature(self, until: int) -> Iterator[tuple]:
         """Windows that are over by ``until`` and have no decision yet, each as of its end."""
-        for name, (start, end, before, revision) in sorted(self.windows.items(), key=lambda x: x[1][1]):
-            if not before and end <= until:
-                now = self.status(start, end)
-                self.windows[name] = (start, end, now, revision + 1)
-                yield name, start, end, end, now, revision + 1, None
+        over = [(end, name, start, revision) for name, (start, end, before, revision) in self.windows.items() if not before and end <= until]
+        for end, name, start, revision in sorted(over, key=lambda x: x[0]):
+            now = self.status(start, end)
+            self.windows[name] = (start, end, now, revision + 1)
+            yield name, start, end, end, now, revision + 1, None
 
     def advance(self, facts: Iterable[Fact]) -> Iterator[tuple]:
         """Decisions as the facts, in order of their time, become known; facts of one time count together."""
@@ -99,6 +100,10 @@ class Desk:
         """Decisions of windows that no fact came after."""
         yield from self._mature(until)
 
+    def due(self) -> int | None:
+        """The end of the first window that nothing has decided yet."""
+        return min((end for _, end, status, _ in self.windows.values() if not status), default=None)
+
 
 def in_buckets(facts: DataFrame, bucket_hours: float = 24.0, longest_hours: float = 24.0) -> DataFrame:
     """Facts with the buckets of the windows that they may touch, so that a busy subject is many small keys.
@@ -112,15 +117,19 @@ def in_buckets(facts: DataFrame, bucket_hours: float = 24.0, longest_hours: floa
     return facts.filter(F.col("start") < F.col("end")).withColumn("bucket", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
 
 
-def _facts(rows: pd.DataFrame) -> list[Fact]:
+def _facts(rows: pd.DataFrame) -> dict[int, list[Fact]]:
+    """Facts of each subject in order of their time, then tie."""
     at, start, end = (rows[c].astype("datetime64[us]").astype("int64").tolist() for c in ("at", "start", "end"))
     ties = zip(at, rows["tie"].tolist(), strict=True)
     facts = zip(at, rows["kind"].tolist(), rows["entity"].tolist(), rows["revision"].tolist(), start, end, rows["status"].tolist(), strict=True)
-    return [fact for _, fact in sorted(zip(ties, facts, strict=True), key=lambda x: x[0])]
+    out: dict[int, list[Fact]] = {}
+    for _, subject, fact in sorted(zip(ties, rows["subject"].tolist(), facts, strict=True), key=lambda x: x[0]):
+        out.setdefault(subject, []).append(fact)
+    return out
 
 
-def _rows(subject: Any, found: Iterable[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame([(subject, *x) for x in found], columns=["subject", "window", "start", "end", "at", "status", "revision", "retracts"])
+def _rows(found: Iterable[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(found, columns=["subject", "window", "start", "end", "at", "status", "revision", "retracts"])
     for c in ("start", "end", "at"):
         out[c] = pd.to_datetime(out[c], unit="us").astype("datetime64[us]")
     out["revision"] = out["revision"].astype("int32")
@@ -173,52 +182,60 @@ def _arrow(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Settler(StatefulProcessor):
-    """A Desk as state; a timer at the end of each window that nothing has decided yet."""
+    """The Desks of a lane's subjects as one state, with a timer at the first end of a window that nothing has decided yet."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("desk", STATE)
+        self.state = handle.getValueState("desks", STATE)
 
-    def _load(self) -> Desk:
+    def _load(self) -> dict[int, Desk]:
         if not self.state.exists():
-            return Desk()
-        clock, windows, outcomes, coverage = self.state.get()
-        return Desk(clock, *[{x[0]: tuple(x[1:]) for x in part} for part in (windows, outcomes, coverage)])
-
-    def _keep(self, desk: Desk) -> None:
-        self.state.update((desk.clock, *[[(k, *v) for k, v in part.items()] for part in (desk.windows, desk.outcomes, desk.coverage)]))
+            return {}
+        kept = json.loads(self.state.get()[0])
+        return {subject: Desk(clock, *[{x[0]: tuple(x[1:]) for x in part} for part in parts]) for subject, clock, *parts in kept}
+
+    def _keep(self, desks: dict[int, Desk]) -> None:
+        """Store the desks, and have them called when the next window is over."""
+        kept = [(subject, d.clock, *[[(k, *v) for k, v in part.items()] for part in (d.windows, d.outcomes, d.coverage)]) for subject, d in desks.items()]
+        self.state.update((json.dumps(kept, separators=(",", ":")),))
+        due = min((t for d in desks.values() if (t := d.due()) is not None), default=None)
+        if due is not None:
+            self.handle.registerTimer(-(-due // 1000))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        desk = self._load()
-        before = set(desk.windows)
-        found = list(desk.advance(_facts(pd.concat(list(rows), ignore_index=True))))
-        for name in set(desk.windows) - before:
-            if not desk.windows[name][2]:
-                self.handle.registerTimer(-(-desk.windows[name][1] // 1000))
-        self._keep(desk)
+        desks = self._load()
+        found = []
+        for subject, facts in _facts(pd.concat(list(rows), ignore_index=True)).items():
+            desk = desks.setdefault(subject, Desk())
+            found.extend((subject, *x) for x in desk.advance(facts))
+        self._keep(desks)
         if found:
-            yield _rows(key[0], found)
+            yield _rows(found)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        desk = self._load()
-        found = list(desk.expire(expiredTimerInfo.getExpiryTimeInMs() * 1000))
+        """All that is over by the watermark, so that one timer serves many windows."""
+        desks = self._load()
+        until = 1000 * max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        found = [(subject, *x) for subject, desk in desks.items() for x in desk.expire(until)]
         if found:
-            self._keep(desk)
-            yield _rows(key[0], found)
+            self._keep(desks)
+            yield _rows(found)
 
     def close(self) -> None:
         pass
 
 
-def settlement_stream(facts: DataFrame, late: str = "1 hour", bucket_hours: float = 168.0, longest_hours: float = 24.0) -> DataFrame:
+def settlement_stream(facts: DataFrame, late: str = "1 hour", bucket_hours: float = 168.0, longest_hours: float = 24.0, lanes: int = 256) -> DataFrame:
     """The same over a stream of facts, with a revision as soon as its evidence is known.  Needs the RocksDB state store.
 
-    Facts behind the watermark are dropped.  State is one small row a subject and bucket.  A bucket
-    is a week here, as each key costs calls to Python and the state store, and facts near a
-    bucket's edge go to two; results do not depend on it.
+    Facts behind the watermark are dropped.  A key is a lane of subjects and a bucket, as each key
+    costs calls to Python and the state store, and its state is read and written whole where one
+    of its subjects has facts: choose ``lanes`` so that some fifty subjects share one, whatever
+    their number.  A bucket is a week here, as facts near a bucket's edge go to two.  Results
+    depend on neither; both must stay the same over a checkpoint.
     """
-    grouped = in_buckets(facts.withWatermark("at", late), bucket_hours, longest_hours).groupBy("subject", "bucket")
-    return grouped.transformWithStateInPandas(statefulProcessor=Settler(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+    dealt = in_buckets(facts.withWatermark("at", late), bucket_hours, longest_hours).withColumn("lane", F.pmod(F.xxhash64("subject"), F.lit(lanes)))
+    return dealt.groupBy("lane", "bucket").transformWithStateInPandas(statefulProcessor=Settler(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
 def status_as_of(history: DataFrame, cutoffs: DataFrame, windows: DataFrame) -> DataFrame:

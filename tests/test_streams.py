@@ -353,3 +353,13 @@ def test_a_lane_of_subjects_is_one_state_and_one_timer():
     out = pd.concat(list(settler.handleExpiredTimer((0, 0), TimerValues(0, ms(2.5)), ExpiredTimerInfo(ms(1)))))
     assert len(out) == 60 and set(out["window"]) == {"w0", "w1"} and set(out["status"]) == {"censored"} and (out["at"] == out["end"]).all()
     assert timers == [ms(1), ms(3)] and kept.calls == 3
+
+
+def test_settlement_facts_are_written_once(spark, tmp_path, monkeypatch):
+    """Both parts come from one reading of the events, also where the first has no rows."""
+    spark.read.parquet(f"{FOLDER}/events.parquet").filter("ts >= '2024-01-20' and user_id < 5").write.parquet(str(tmp_path / "events.parquet"))
+    calls, facts = [], stream_queries.settlement_facts
+    monkeypatch.setattr(stream_queries, "settlement_facts", lambda *args: calls.append(args) or facts(*args))
+    got = sorted(map(tuple, stream_queries.streamed_settlement(spark, str(tmp_path)).collect()), key=repr)
+    assert len(calls) == 1 and got
+    assert got == sorted(map(tuple, stream_queries.settled_as_of(spark, str(tmp_path)).collect()), key=repr)

@@ -91,15 +91,16 @@ def settlement_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("subject", F.col("at").cast("timestamp").alias("at"), "tie", "kind", "entity", "revision", F.col("start").cast("timestamp").alias("start"), F.col("end").cast("timestamp").alias("end"), "status")
 
 
-def _as_of(spark: SparkSession, sf_dir: str, history: DataFrame) -> DataFrame:
+def _as_of(spark: SparkSession, facts_: DataFrame, history: DataFrame) -> DataFrame:
     local = history.withColumn("at", F.col("at").cast("timestamp_ntz"))
-    windows = settlement_facts(spark, sf_dir).filter("kind = 'window'").select("subject", F.col("entity").alias("window"))
+    windows = facts_.filter("kind = 'window'").select("subject", F.col("entity").alias("window"))
     return settlement.status_as_of(local, coverage_queries.cutoffs(spark), windows)
 
 
 def settled_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statuses at four cutoffs, read from the history of all revisions."""
-    return _as_of(spark, sf_dir, settlement.settlement_history(settlement_facts(spark, sf_dir)))
+    facts_ = settlement_facts(spark, sf_dir)
+    return _as_of(spark, facts_, settlement.settlement_history(facts_))
 
 
 def streamed_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +112,13 @@ def streamed_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts_ = settlement_facts(spark, sf_dir)
     lanes = 1 + table(spark, sf_dir, "events").agg(F.approx_count_distinct("user_id")).first()[0] // 50
     tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    for k, part in enumerate((F.col("at") < F.lit("2024-01-16").cast("timestamp"), F.col("at") >= F.lit("2024-01-16").cast("timestamp"))):
-        facts_.filter(part).write.parquet(f"{folder}/facts/{k}")
-        stream = spark.readStream.schema(facts_.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/facts")
+    parts = facts_.withColumn("part", (F.col("at") >= F.lit("2024-01-16").cast("timestamp")).cast("int"))
+    parts.write.partitionBy("part").parquet(f"{folder}/facts")
+    for arrived in ("/part=0*", ""):  # a pattern, as there may be none; then all, of which the stream has seen the first
+        stream = spark.readStream.schema(facts_.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/facts{arrived}").filter("at is not null")
         run_stream(spark, settlement.settlement_stream(stream, lanes=lanes), f"{folder}/table", f"{folder}/checkpoint", tasks)
-    return _as_of(spark, sf_dir, spark.read.schema(settlement.OUTPUT).parquet(f"{folder}/table"))
+    written = spark.read.schema(facts_.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/facts")
+    return _as_of(spark, written, spark.read.schema(settlement.OUTPUT).parquet(f"{folder}/table"))
 
 
 KEEP = 40
